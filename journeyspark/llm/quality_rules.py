@@ -69,7 +69,7 @@ def measure(text: str | None) -> tuple[tuple[int, int, int, int, int], list[tupl
     return (n, chars, sum(map(text.count, SYMBOLS)), dups, repeat), feats, sizes
 
 
-def _words(line: str) -> list[str]:
+def split_words(line: str) -> list[str]:
     """Words between ASCII white space; str.split() alone would also cut at other Unicode spaces."""
     return line.split() if line.isascii() and not _INFO.intersection(line) else [w.decode("utf-8", "surrogatepass") for w in line.encode("utf-8", "surrogatepass").split()]
 
