@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +56,17 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def bounded_sample(df: DataFrame, rows: int, *keys: Column, seed: str = "sample") -> DataFrame:
-    """At most `rows` rows, the same on every run: those with the smallest hash of the keys."""
-    h = F.xxhash64(F.lit(seed), *keys)
-    return df.orderBy(h, *keys).limit(rows)
+def bounded_sample(docs: DataFrame, marks: DataFrame, rows: dict, text: str, doc_id: str, seed: str) -> DataFrame:
+    """(_id, _y, _text) of at most rows[y] documents of each mark y, the same on every run.
+
+    marks: (_id, _y). Chosen are the ids with the smallest hashes; only ids are sorted, and the chosen ones, whose
+    number `rows` bounds, are broadcast to a scan of the texts.
+    """
+    ids = docs.select(F.col(doc_id).alias("_id")).join(marks, "_id").dropDuplicates(["_id"])
+    h = F.xxhash64(F.lit(seed), "_id")
+    parts = [ids.where(F.col("_y") == y).orderBy(h, "_id").limit(n) for y, n in rows.items()]
+    few = reduce(DataFrame.unionByName, parts)
+    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_text is not null").join(F.broadcast(few), "_id")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -75,3 +84,9 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
+
+
+def shipped(spark: SparkSession, model):
+    """A broadcast of a fitted model, whose class workers need not be able to import; call the result in a task."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: cloudpickle.loads(held.value)

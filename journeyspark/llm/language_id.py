@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, bucket_of, table
+from .common import bounded_sample, bucket_of, shipped, table, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -33,32 +33,31 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class BackoffModel:
-    """langs, and a row of log frequencies (one per language) for each known word and each known n-gram."""
+    """langs, and for known words and known n-grams of each length the row of their log frequencies (a column per language)."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], parts: list[dict[str, np.ndarray]], kept: int = 100_000):
-        self.langs, self.words, self.parts, self.kept = langs, words, parts, kept
+    def __init__(self, langs: list[str], words: tuple[dict[str, int], np.ndarray], parts: list[tuple[dict[str, int], np.ndarray]], kept: int = 100_000):
+        self.langs, (self.words, self.rows), self.parts, self.kept = langs, words, parts, kept
         self.cache: dict[str, np.ndarray] = {}
 
     @staticmethod
     def from_counts(langs: list[str], words: dict[str, list[int]], parts: list[dict[str, list[int]]]) -> "BackoffModel":
-        def logs(table: dict[str, list[int]]) -> dict[str, np.ndarray]:
-            if not table:
-                return {}
-            c = np.array(list(table.values()), float) + 0.1
-            return dict(zip(table, np.log(c / c.sum(0)), strict=True))
+        def logs(table: dict[str, list[int]]) -> tuple[dict[str, int], np.ndarray]:
+            c = np.array(list(table.values()), float).reshape(-1, len(langs)) + 0.1
+            return {x: i for i, x in enumerate(table)}, np.log(c / c.sum(0))
 
         return BackoffModel(langs, logs(words), [logs(p) for p in parts])
 
     def row(self, word: str) -> np.ndarray:
         if (got := self.words.get(word)) is not None:
-            return got
+            return self.rows[got]
         if (got := self.cache.get(word)) is not None:
             return got
         out = np.zeros(len(self.langs))
         for n in range(len(self.parts), 0, -1):
-            known = [r for g in grams(word, n) if (r := self.parts[n - 1].get(g)) is not None]
+            index, rows = self.parts[n - 1]
+            known = [r for g in grams(word, n) if (r := index.get(g)) is not None]
             if known:
-                out = np.mean(known, axis=0)
+                out = rows[known].sum(0) / len(known)
                 break
         if len(self.cache) >= self.kept:  # only speed depends on what is kept
             self.cache.clear()
@@ -74,29 +73,28 @@ class BackoffModel:
         return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
-def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_lang: int = 1500, max_words: int = 40_000, max_langs: int = 500) -> BackoffModel:
+def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_lang: int = 600, max_words: int = 30_000, max_langs: int = 500) -> BackoffModel:
     """Count words and n-grams of at most `docs_per_lang` documents of each language, chosen by a hash of their ids.
 
     Spark counts; the driver gets the `max_words` most frequent words (found at least twice) and as many n-grams
     of each length at most, each with one count per language. More than `max_langs` languages raise ValueError.
     """
-    base = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    langs = sorted(r[0] for r in base.select("_lang").distinct().limit(max_langs + 1).collect())
+    base = docs.where(F.col(lang).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_y"))
+    langs = sorted(r[0] for r in base.select("_y").distinct().limit(max_langs + 1).collect())
     if len(langs) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     if not langs:
-        return BackoffModel([], {}, [{} for _ in range(LONGEST)])
-    few = None
-    for x in langs:
-        part = bounded_sample(base.where(F.col("_lang") == x), docs_per_lang, F.col("_id"), seed="lang")
-        few = part if few is None else few.unionByName(part)
+        return BackoffModel.from_counts([], {}, [{} for _ in range(LONGEST)])
+    few = bounded_sample(docs, base, dict.fromkeys(langs, docs_per_lang), text, doc_id, "lang")
 
     def counted(batches):
         for b in batches:
+            words: dict[str, Counter] = {}
+            for t, x in zip(b["_text"].to_pylist(), b["_y"].to_pylist(), strict=True):
+                words.setdefault(x, Counter()).update(language_words(t))
             found: Counter = Counter()
-            for t, x in zip(b["_text"].to_pylist(), b["_lang"].to_pylist(), strict=True):
-                words = Counter(language_words(t))
-                for w, n in words.items():
+            for x, own in words.items():
+                for w, n in own.items():
                     found[x, 0, w] += n
                     for k in range(1, LONGEST + 1):
                         for g in grams(w, k):
@@ -105,7 +103,7 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_i
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in keys], pa.string()), "kind": pa.array([k[1] for k in keys], pa.int32()), "part": pa.array([k[2] for k in keys], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
     each = few.mapInArrow(counted, "lang string, kind int, part string, n bigint")
-    wide = each.groupBy("kind", "part").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)])
+    wide = written(each.groupBy("kind", "part").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)]), "language-counts")
     tables: list[dict] = []
     for kind in range(LONGEST + 1):
         top = wide.where((F.col("kind") == kind) & (F.col("all") > 1)).orderBy(F.desc("all"), "part").limit(max_words)
@@ -120,13 +118,13 @@ def identify_language(docs: DataFrame, model: BackoffModel, text: str = "text")
     no language. Equal scores go to the language that sorts first. Incoming columns of these names are replaced.
     """
     src = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shipped(docs.sparkSession, model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields), "lang_pred string", "score double"])
     names = [*src.columns, "lang_pred", "score"]
     at = names.index(text)
 
     def named(batches):
-        m = held.value
+        m = held()
         for b in batches:
             got = [m.predict(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=names)

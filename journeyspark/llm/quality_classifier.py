@@ -1,7 +1,8 @@
 """Quality classifier: hashed word n-gram logistic regression, trained with follow-the-regularised-leader.
 
 A text is cut into lower-case word and punctuation tokens; unigrams and bigrams are hashed to 2^bits
-features, each weighted by its share of the text's tokens. FTRL-proximal (per-coordinate rates, L1 and L2)
+features, and so is every trigram that the text holds already (as one feature, whatever its words); each is
+weighted by its share of the text's tokens. FTRL-proximal (per-coordinate rates, L1 and L2)
 visits the training documents one at a time; a score is the sigmoid of one sparse dot product.
 """
 
@@ -15,21 +16,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, bucket_of, sigmoid, table
+from .common import bounded_sample, bucket_of, shipped, sigmoid, table
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Shares of tokens are small; this brings the features of a text to a useful size.
 SCALE = 30.0
+#: Stands for any trigram that came before in the same text.
+AGAIN = np.uint64(0xA5A5A5A5)
 
 
 def hashed(text: str | None, bits: int) -> np.ndarray:
-    """The feature of every unigram and bigram of the whole text, in order, repeats kept."""
+    """The feature of every unigram, bigram and repeated trigram of the whole text, repeats kept."""
     tokens = TOKEN.findall(text.lower()) if text else []
     if not tokens:
         return np.zeros(0, np.int64)
     h = np.fromiter(map(zlib.crc32, [t.encode("utf-8", "surrogatepass") for t in tokens]), np.uint64, len(tokens))
     two = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    return np.concatenate([h * np.uint64(0x9E3779B97F4A7C15), two * np.uint64(0x9E3779B97F4A7C15)]).__rshift__(np.uint64(64 - bits)).astype(np.int64)
+    three = two[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[2:]
+    again = np.full(len(three) - len(np.unique(three)), AGAIN, np.uint64)
+    return (np.concatenate([h, two, again]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class FtrlModel:
@@ -74,8 +79,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     Tasks hash the sampled texts; the driver gets the sparse rows and runs the updates in order of the hash.
     Without labels the model scores every text 0.5.
     """
-    marks = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label).alias("_y")).dropDuplicates(["_id"])
-    known = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(marks, "_id")
+    marks = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.lit(0).alias("_y"), F.col(label).alias("_label"))
+    known = bounded_sample(docs, marks, {0: max_docs}, text, doc_id, "ftrl")
 
     def rows(batches):
         for b in batches:
@@ -83,9 +88,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
             for t in b["_text"].to_pylist():
                 at, n = np.unique(hashed(t, bits), return_counts=True)
                 out.append((at.tolist(), (n * (SCALE * 2.0 / max(1, n.sum()))).tolist()))
-            yield pa.RecordBatch.from_pydict({"i": pa.array([i for i, _ in out], pa.list_(pa.int32())), "x": pa.array([x for _, x in out], pa.list_(pa.float32())), "y": b["_y"].cast(pa.int32())})
+            yield pa.RecordBatch.from_pydict({"i": pa.array([i for i, _ in out], pa.list_(pa.int32())), "x": pa.array([x for _, x in out], pa.list_(pa.float32())), "y": b["_label"].cast(pa.int32()), "id": b["_id"].cast(pa.int64())})
 
-    got = bounded_sample(known, max_docs, F.col("_id"), seed="ftrl").mapInArrow(rows, "i array<int>, x array<float>, y int").toArrow()
+    got = known.mapInArrow(rows, "i array<int>, x array<float>, y int, id bigint").orderBy(F.xxhash64("id"), "id").toArrow()
     data = [(i.values.to_numpy().astype(np.int64), x.values.to_numpy().astype(float), y) for i, x, y in zip(got["i"], got["x"], got["y"].to_pylist(), strict=True)]
     return FtrlModel(bits).fit(data, epochs)
 
@@ -97,13 +102,13 @@ def quality_score(docs: DataFrame, model: FtrlModel, text: str = "text", thresho
     The weights (2^bits floats) go to the tasks as one broadcast of fixed size.
     """
     src = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")])
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shipped(docs.sparkSession, model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields), "score double", "predicted int"])
     names = [*src.columns, "score", "predicted"]
     at = names.index(text)
 
     def scored(batches):
-        m = held.value
+        m = held()
         for b in batches:
             s = np.array([m.score(t) for t in b.column(at).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=names)

@@ -144,17 +144,15 @@ def fit_lines(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: st
 
     Tasks turn the sampled texts into line features; the driver gets those numbers of `max_docs` documents only.
     """
-    marks = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_id"), "quality").dropDuplicates(["_id"])
-    base = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    known = base.join(marks, "_id")
-    few = [bounded_sample(known.where(F.col("quality") == q), max_docs // 2, F.col("_id")) for q in (0, 1)]
+    marks = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y"))
+    few = bounded_sample(docs, marks, {0: max_docs // 2, 1: max_docs // 2}, text, doc_id, "lines")
 
     def numbers(batches):
         for b in batches:
-            out = [(y, np.array(f, np.float32).ravel().tolist()) for y, (_, f, _) in zip(b["quality"].to_pylist(), map(measure, b["_text"].to_pylist()), strict=True)]
+            out = [(y, np.array(f, np.float32).ravel().tolist()) for y, (_, f, _) in zip(b["_y"].to_pylist(), map(measure, b["_text"].to_pylist()), strict=True)]
             yield pa.RecordBatch.from_pydict({"y": pa.array([y for y, _ in out], pa.int32()), "f": pa.array([f for _, f in out], pa.list_(pa.float32()))})
 
-    rows = few[0].unionByName(few[1]).mapInArrow(numbers, "y int, f array<float>").collect()
+    rows = few.mapInArrow(numbers, "y int, f array<float>").collect()
     rows = [r for r in rows if r.f]
     return LineCrf().fit([np.array(r.f, float).reshape(-1, N_FEATURES) for r in rows], [r.y for r in rows])
 

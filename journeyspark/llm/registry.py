@@ -4,7 +4,9 @@ from importlib import import_module
 
 #: query -> module that holds it
 MODULES = {
+    "op4_language_id": "language_id",
     "op7_quality_rules": "quality_rules",
+    "op9_quality_classifier": "quality_classifier",
 }
 
 
