@@ -4,6 +4,8 @@ from importlib import import_module
 
 #: query -> module that holds it
 MODULES = {
+    "op1_mixing": "mixing",
+    "op2_sharding": "sharding",
     "op4_language_id": "language_id",
     "op7_quality_rules": "quality_rules",
     "op9_quality_classifier": "quality_classifier",
