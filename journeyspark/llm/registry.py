@@ -7,8 +7,11 @@ MODULES = {
     "op1_mixing": "mixing",
     "op2_sharding": "sharding",
     "op4_language_id": "language_id",
+    "op5_topk_search": "topk_search",
+    "op6_sentencepiece": "sentencepiece",
     "op7_quality_rules": "quality_rules",
     "op9_quality_classifier": "quality_classifier",
+    "op10_jaccard_join": "jaccard_join",
 }
 
 
