@@ -10,6 +10,7 @@ MODULES = {
     "op5_topk_search": "topk_search",
     "op6_sentencepiece": "sentencepiece",
     "op7_quality_rules": "quality_rules",
+    "op8_line_dedup": "line_dedup",
     "op9_quality_classifier": "quality_classifier",
     "op10_jaccard_join": "jaccard_join",
 }
