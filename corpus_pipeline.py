@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from journeyspark.llm.common import table, written
+from journeyspark.llm.jaccard_join import jaccard_classes
+from journeyspark.llm.line_dedup import dedup_lines
+from journeyspark.llm.mixing import mix, mixed_documents
 from journeyspark.llm.quality_rules import fit_lines, quality_rules
+from journeyspark.llm.sentencepiece import encode_documents
+
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +21,38 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs, model).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality_rules", rules)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete lines that an earlier document has; documents of which nothing is left go. n_chars follows the text."""
+    out = dedup_lines(docs)
+    out = out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).select(*docs.columns, "n_removed")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that share 0.8 or more of their five-word shingles, the one with the smallest id stays."""
+    gone = written(jaccard_classes(docs, k=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as the mix takes them: a row for each copy, shuffled within their shards."""
+    return mixed_documents(mix(docs), docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document of the mix."""
+    return encode_documents(docs, PIECES).select("doc_id", "source", "n_tokens", "round_trip", "token_ids")
+
+
+STAGES = [
+    ("quality_rules", rules),
+    ("line_dedup", lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("source_mix", mixture),
+    ("sentencepiece", tokens),
+]
 
 #: No stage's model or alignment can be written in SQL; tests compare each with a brute-force version.
 ORACLE_SQL = None

@@ -46,20 +46,22 @@ def need(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def counts(s: np.ndarray, classes: int) -> np.ndarray:
+    """How many shingles of a set are in each class of hashes."""
+    return np.bincount(s & (classes - 1), minlength=classes)
+
+
 class CountTree:
-    """An R-tree, packed by size and then by one coordinate, over the points of a group's sets."""
-
-    def __init__(self, sets: list[np.ndarray], classes: int):
-        n = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(len(sets)), n)
-        flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.int64)
-        points = np.bincount(owner * classes + (flat & (classes - 1)), minlength=len(sets) * classes).reshape(-1, classes).astype(np.int32)
-        slab = max(LEAF, int(math.sqrt(len(sets) / LEAF)) * LEAF)
+    """An R-tree, packed by size and then by one coordinate, over points whose coordinates add up to the sets' sizes."""
+
+    def __init__(self, points: np.ndarray):
+        points, n = points.astype(np.int32), points.sum(1, dtype=np.int64)
+        slab = max(LEAF, int(math.sqrt(len(n) / LEAF)) * LEAF)
         by_size = np.argsort(n, kind="stable")
-        wide = int(points.var(0).argmax()) if len(sets) else 0
-        self.order = np.concatenate([np.zeros(0, int), *(c[np.argsort(points[c, wide], kind="stable")] for c in (by_size[i : i + slab] for i in range(0, len(sets), slab)))]).astype(int)
+        wide = int(points.var(0).argmax()) if len(n) else 0
+        self.order = np.concatenate([np.zeros(0, int), *(c[np.argsort(points[c, wide], kind="stable")] for c in (by_size[i : i + slab] for i in range(0, len(n), slab)))]).astype(int)
         self.points, self.n = points[self.order], n[self.order]
-        self.leaves = self._boxes(np.arange(0, len(sets), LEAF), self.points, self.n, self.n)
+        self.leaves = self._boxes(np.arange(0, len(n), LEAF), self.points, self.n, self.n)
         self.inner = self._boxes(np.arange(0, len(self.leaves[0]), FANOUT), *self.leaves)
 
     @staticmethod
@@ -76,8 +78,8 @@ class CountTree:
         on = np.flatnonzero(fits)
         return on[np.minimum(high[on], corner).sum(1) >= need(low, least[on], percent)]
 
-    def partners(self, leaf: int, percent: int):
-        """Pairs (i, j) of rows in tree order, i in the leaf and j in it or a later one, that the bounds allow."""
+    def partners(self, leaf: int, percent: int, skip=lambda lo, hi, a, b: False):
+        """Pairs (i, j) of rows in tree order, i in the leaf and j in it or a later one, that the bounds allow: two arrays for each leaf met."""
         high, least, most = (x[leaf] for x in self.leaves)
         lo, hi = leaf * LEAF, min(len(self.n), (leaf + 1) * LEAF)
         for node in self._reach(self.inner, high, least, most, percent):
@@ -85,14 +87,24 @@ class CountTree:
                 continue
             part = slice(node * FANOUT, (node + 1) * FANOUT)
             for other in node * FANOUT + self._reach(tuple(x[part] for x in self.leaves), high, least, most, percent):
-                if other < leaf:
-                    continue
                 a, b = other * LEAF, min(len(self.n), (other + 1) * LEAF)
+                if other < leaf or skip(lo, hi, a, b):
+                    continue
                 both = np.minimum(self.points[lo:hi, None, :], self.points[None, a:b, :]).sum(2)
                 ok = both >= need(self.n[lo:hi, None], self.n[None, a:b], percent)
                 i, j = np.nonzero(ok)
                 i, j = i + lo, j + a
-                yield from zip(i[i < j].tolist(), j[i < j].tolist(), strict=True)
+                yield i[i < j], j[i < j]
+
+    def hopeful(self, percent: int) -> np.ndarray:
+        """Which points have a partner that the bounds allow."""
+        on = np.zeros(len(self.n), bool)
+        for leaf in range(len(self.leaves[0])):
+            for i, j in self.partners(leaf, percent, lambda lo, hi, a, b: on[lo:hi].all() and on[a:b].all()):
+                on[i] = on[j] = True
+        out = np.zeros(len(on), bool)
+        out[self.order] = on
+        return out
 
     def classes_of(self, sets: list[np.ndarray], percent: int) -> np.ndarray:
         """For each set the index of the first set of its class, linked pair by linked pair."""
@@ -106,7 +118,7 @@ class CountTree:
 
         order = self.order.tolist()
         for leaf in range(len(self.leaves[0])):
-            for i, j in self.partners(leaf, percent):
+            for i, j in (p for ij in self.partners(leaf, percent) for p in zip(*map(np.ndarray.tolist, ij), strict=True)):
                 a, b = root(order[i]), root(order[j])
                 if a != b:
                     x, y = sets[order[i]], sets[order[j]]
@@ -153,7 +165,37 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, classes: int = 64, text: str = "text", doc_id: str = "doc_id", order_sample: int = 4000, group_values: int = 4_000_000) -> DataFrame:
+def _groups(batches, value: str):
+    """((hub, tile), hubs, nodes, values) of each group of two rows or more, from batches sorted by hub and tile."""
+    key, held = None, []
+
+    def out():
+        hubs, nodes = (pa.concat_arrays([b[c] for b in held]) for c in ("hub", "node"))
+        return key, hubs, nodes, [v for b in held for v in _values(b[value])]
+
+    for b in batches:
+        hub, tile = b["hub"].to_numpy(zero_copy_only=False), b["tile"].to_numpy()
+        edges = np.flatnonzero((hub[1:] != hub[:-1]) | (tile[1:] != tile[:-1])) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
+            if lo == hi:
+                continue
+            if (hub[lo], tile[lo]) != key:
+                if sum(x.num_rows for x in held) > 1:
+                    yield out()
+                key, held = (hub[lo], tile[lo]), []
+            held.append(b.slice(lo, hi - lo))
+    if sum(x.num_rows for x in held) > 1:
+        yield out()
+
+
+def _values(column: pa.Array) -> list:
+    if pa.types.is_binary(column.type):
+        return column.to_pylist()
+    flat, offsets = np.asarray(column.values, np.int64), np.asarray(column.offsets)
+    return [flat[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, classes: int = 64, text: str = "text", doc_id: str = "doc_id", order_sample: int = 4000, group_rows: int = 20_000, group_values: int = 4_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: its set's size, and the smallest id that links lead to, itself included.
 
     Two documents link when their shared shingles are at least `percent` of the union. Null, empty and blank texts
@@ -161,8 +203,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, classes: int
     Rows that repeat an id are one document with several texts: it links by any of them, and each row is returned.
     `classes` is a power of two.
 
-    Groups of more than `group_values` shingles are cut into tiles, and every two tiles meet in a task of their own,
-    so no task holds more than twice that, however many documents share a shingle.
+    Two passes over the groups: the first sees the points alone, and keeps the documents to which the bounds leave a
+    partner; the second gets the sets of those. Groups of more than `group_rows` points, or `group_values` shingles,
+    are cut into tiles, and every two tiles meet in a task of their own, so no task holds more than twice that,
+    however many documents share a shingle.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
@@ -171,29 +215,48 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, classes: int
     def sketch(batches):
         last = hot()
         for b in batches:
-            n, prints, firsts = [], [], []
+            n, prints, firsts, points = [], [], [], []
             for t in b["t"].to_pylist():
                 s = shingles(t, k)
                 n.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
+                points.append(counts(s, classes).astype("<u4").tobytes())
                 if len(last):
                     at = np.searchsorted(last, s)
                     at[at == len(last)] = 0
                     often = last[at] == s
                     s = np.concatenate([s[~often], s[often]])
                 firsts.append(s[: len(s) - -(-percent * len(s) // 100) + 1])
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "n", "fp", "firsts"])
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(points, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "n", "fp", "point", "firsts"])
 
     kind = base.schema["id"].dataType.simpleString()
-    rows = written(base.mapInArrow(sketch, f"id {kind}, n bigint, fp binary, firsts array<bigint>"), "sketches")
+    rows = written(base.mapInArrow(sketch, f"id {kind}, n bigint, fp binary, point binary, firsts array<bigint>"), "sketches")
     nodes = written(rows.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-
     own = rows.where("n > 0").join(nodes, "fp").where(F.col("id") == F.col("node"))
+    own = written(own.select("node", "n", "point", "firsts"), "own")
+
     keys = own.select("node", F.explode("firsts").alias("s"))
     shared = keys.groupBy("s").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("s", "hub")
     members = written(keys.join(shared, "s").select("hub", "node").distinct(), "members")
-    sized = members.join(own.groupBy("node").agg(F.sum("n").alias("n")), "node")
-    tiles = sized.groupBy("hub").agg(F.ceil(F.sum("n") / group_values).cast("int").alias("tiles"))
+
+    def dealt(rows: DataFrame, weight, most: int) -> DataFrame:
+        """With the tile: 0 in groups of a weight up to `most`; beyond, one row for each pair of tiles that its own is in."""
+        sizes = rows.groupBy("hub").agg(F.ceil(F.sum(weight) / most).cast("int").alias("tiles"))
+        mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+        meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.least(mine, j).cast("long") * F.col("tiles") + F.greatest(mine, j))
+        big = rows.join(sizes.where("tiles > 1"), "hub").select("hub", "node", F.explode(meets).alias("tile"))
+        return rows.join(sizes.where("tiles > 1"), "hub", "left_anti").select("hub", "node", F.lit(0).cast("long").alias("tile")).unionByName(big)
+
+    def by_group(df: DataFrame) -> DataFrame:
+        return df.repartition(F.col("hub"), F.col("tile")).sortWithinPartitions("hub", "tile")
+
+    def bounded(batches):
+        for _, hubs, nodes, points in _groups(batches, "point"):
+            on = CountTree(np.frombuffer(b"".join(points), "<u4").reshape(-1, classes)).hopeful(percent)
+            yield pa.RecordBatch.from_arrays([hubs.filter(pa.array(on)), nodes.filter(pa.array(on))], names=["hub", "node"])
+
+    first = by_group(dealt(members, F.lit(1), group_rows).join(own.select("node", "point"), "node"))
+    close = written(first.mapInArrow(bounded, f"hub {kind}, node {kind}").distinct(), "close")
 
     def full(batches):
         for b in batches:
@@ -201,34 +264,20 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, classes: int
                 part = b.slice(lo, 512)
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array([shingles(t, k) for t in part["t"].to_pylist()], pa.list_(pa.int64()))], names=["node", "set"])
 
-    sets = base.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi").mapInArrow(full, f"node {kind}, set array<bigint>").where(F.size("set") > 0)
-    mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    meets = F.when(F.col("tiles") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.least(mine, j).cast("long") * F.col("tiles") + F.greatest(mine, j)))
-    dealt = members.join(tiles, "hub").select("hub", "node", F.explode(meets).alias("tile")).join(sets, "node")
+    asked = written(close.select(F.col("node").alias("id")).distinct(), "asked")
+    sets = base.join(asked, "id", "left_semi").mapInArrow(full, f"node {kind}, set array<bigint>").where(F.size("set") > 0)
 
     def linked(batches):
-        def flush(nodes: list, held: list):
-            at = np.argsort(np.array(nodes), kind="stable").tolist()
-            nodes, held = [nodes[i] for i in at], [held[i] for i in at]
-            first = CountTree(held, classes).classes_of(held, percent).tolist()
-            out = [(nodes[i], nodes[r]) for i, r in enumerate(first) if i != r]
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], edge), pa.array([b for _, b in out], edge)], names=["a", "b"])
-
-        edge, key, nodes, held = None, None, [], []
-        for b in batches:
-            edge = b["node"].type
-            values, offsets = np.asarray(b["set"].values, np.int64), np.asarray(b["set"].offsets)
-            for i, (hub, tile, node) in enumerate(zip(b["hub"].to_pylist(), b["tile"].to_pylist(), b["node"].to_pylist(), strict=True)):
-                if (hub, tile) != key:
-                    if len(nodes) > 1:
-                        yield flush(nodes, held)
-                    key, nodes, held = (hub, tile), [], []
-                nodes.append(node)
-                held.append(values[offsets[i] : offsets[i + 1]].copy())
-        if len(nodes) > 1:
-            yield flush(nodes, held)
-
-    edges = dealt.repartition(F.col("hub"), F.col("tile")).sortWithinPartitions("hub", "tile").mapInArrow(linked, f"a {kind}, b {kind}")
+        for _, _, nodes, sets in _groups(batches, "set"):
+            at = np.argsort(np.array(nodes.to_pylist()), kind="stable").tolist()
+            nodes, sets = nodes.take(pa.array(at)), [np.asarray(sets[i], np.int64) for i in at]
+            first = CountTree(np.stack([counts(s, classes) for s in sets])).classes_of(sets, percent)
+            on = np.flatnonzero(first != np.arange(len(first)))
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(on)), nodes.take(pa.array(first[on]))], names=["a", "b"])
+
+    sizes = own.groupBy("node").agg(F.max("n").alias("n"))
+    second = by_group(dealt(close.join(sizes, "node"), F.col("n"), group_values).join(sets, "node"))
+    edges = second.mapInArrow(linked, f"a {kind}, b {kind}")
     found = components(edges)
     placed = rows.select("id", "n", "fp").join(nodes, "fp", "left").join(found, nodes["node"] == found["node"], "left")
     by_row = placed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce(found["component"], nodes["node"], "id")).alias("component_id"))

@@ -6,6 +6,7 @@ from importlib import import_module
 MODULES = {
     "op1_mixing": "mixing",
     "op2_sharding": "sharding",
+    "op3_pii": "pii",
     "op4_language_id": "language_id",
     "op5_topk_search": "topk_search",
     "op6_sentencepiece": "sentencepiece",
