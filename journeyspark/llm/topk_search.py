@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import shipped, table, written
 
-LEAF, FANOUT = 96, 8
+LEAF, FANOUT = 256, 8
 
 
 class CoverTree:
@@ -94,12 +94,14 @@ def dual_search(q: CoverTree, d: CoverTree, k: int, floor: np.ndarray) -> tuple[
             for cut in range(start, end, 4 * LEAF):  # a node of equal points may be large
                 stop = min(end, cut + 4 * LEAF)
                 s = q.points[lo:hi] @ d.points[cut:stop].T
-                on = np.flatnonzero((s >= kth[lo:hi, None]).any(1))
+                good = s >= kth[lo:hi, None]
+                on, cols = np.flatnonzero(good.any(1)), np.flatnonzero(good.any(0))  # few, once the kth scores are high
                 if not len(on):
                     continue
                 rows = lo + on
-                all_s = np.concatenate([best[rows], np.where(s[on] >= kth[rows, None], s[on], -np.inf)], axis=1)
-                all_k = np.concatenate([keys[rows], np.broadcast_to(d.keys[cut:stop], (len(on), stop - cut))], axis=1)
+                part = np.where(good, s, -np.inf)[np.ix_(on, cols)]
+                all_s = np.concatenate([best[rows], part], axis=1)
+                all_k = np.concatenate([keys[rows], np.broadcast_to(d.keys[cut + cols], part.shape)], axis=1)
                 by = np.argsort(all_k, axis=1, kind="stable")
                 by = np.take_along_axis(by, np.argsort(-np.take_along_axis(all_s, by, 1), axis=1, kind="stable")[:, :k], 1)
                 best[rows], keys[rows] = np.take_along_axis(all_s, by, 1), np.take_along_axis(all_k, by, 1)
