@@ -2,7 +2,7 @@
 
 A document is its set of word shingles. A pair at the threshold must share a shingle among the first few of
 both sets, in any one order of all shingles; documents are dealt into groups by such shingles (rare ones come
-first in the order). In each group the shingles are hashed into a fixed number of classes, a document becomes
+first in the order). In each group the shingles are hashed into classes (more for larger sets), a document becomes
 the point of its counts per class, and an R-tree packs the points: the sum of the coordinate minima of two
 points, or of the upper corners of two boxes, bounds the overlap. What survives is verified on the sets.
 
@@ -46,11 +46,30 @@ def need(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def n_classes(n: int) -> int:
+    """Classes for a set of n shingles: a power of two of about n / 8, so counts tell unrelated sets of any size apart."""
+    return 1 << min(12, max(6, (max(1, n) // 8).bit_length()))
+
+
 def counts(s: np.ndarray, classes: int) -> np.ndarray:
-    """How many shingles of a set are in each class of hashes."""
+    """How many shingles of a set are in each class of hashes. With half the classes, each half's counts add up."""
     return np.bincount(s & (classes - 1), minlength=classes)
 
 
+def folded(point: np.ndarray, classes: int) -> np.ndarray:
+    return point.reshape(-1, classes).sum(0, dtype=np.int64)
+
+
+def hopeful_of(points: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which points have a possible partner. Sets that can link have as many classes, or one twice the other's."""
+    sizes, out = np.array([len(p) for p in points]), np.zeros(len(points), bool)
+    for level in np.unique(sizes).tolist():
+        at = np.flatnonzero((sizes == level) | (sizes == 2 * level))
+        if len(at) > 1:
+            out[at] |= CountTree(np.stack([folded(points[i], level) for i in at])).hopeful(percent)
+    return out
+
+
 class CountTree:
     """An R-tree, packed by size and then by one coordinate, over points whose coordinates add up to the sets' sizes."""
 
@@ -195,19 +214,20 @@ def _values(column: pa.Array) -> list:
     return [flat[a:b] for a, b in zip(offsets, offsets[1:])]
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, classes: int = 64, text: str = "text", doc_id: str = "doc_id", order_sample: int = 4000, group_rows: int = 20_000, group_values: int = 4_000_000) -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", order_sample: int = 4000, group_points: int = 2_000_000, group_values: int = 4_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: its set's size, and the smallest id that links lead to, itself included.
 
     Two documents link when their shared shingles are at least `percent` of the union. Null, empty and blank texts
     have no shingle, link with nothing and are their own component, as do documents with a null id (component null).
     Rows that repeat an id are one document with several texts: it links by any of them, and each row is returned.
-    `classes` is a power of two.
 
     Two passes over the groups: the first sees the points alone, and keeps the documents to which the bounds leave a
-    partner; the second gets the sets of those. Groups of more than `group_rows` points, or `group_values` shingles,
+    partner; the second gets the sets of those. Groups of more than `group_points` coordinates, or `group_values` shingles,
     are cut into tiles, and every two tiles meet in a task of their own, so no task holds more than twice that,
     however many documents share a shingle.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
     hot = shipped(spark, frequent_shingles(docs, k, text, doc_id, order_sample))
@@ -220,7 +240,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, classes: int
                 s = shingles(t, k)
                 n.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                points.append(counts(s, classes).astype("<u4").tobytes())
+                points.append(counts(s, n_classes(len(s))).astype("<u4").tobytes())
                 if len(last):
                     at = np.searchsorted(last, s)
                     at[at == len(last)] = 0
@@ -252,10 +272,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, classes: int
 
     def bounded(batches):
         for _, hubs, nodes, points in _groups(batches, "point"):
-            on = CountTree(np.frombuffer(b"".join(points), "<u4").reshape(-1, classes)).hopeful(percent)
+            on = hopeful_of([np.frombuffer(p, "<u4") for p in points], percent)
             yield pa.RecordBatch.from_arrays([hubs.filter(pa.array(on)), nodes.filter(pa.array(on))], names=["hub", "node"])
 
-    first = by_group(dealt(members, F.lit(1), group_rows).join(own.select("node", "point"), "node"))
+    sizes = own.groupBy("node").agg(F.max("n").alias("n"))
+    first = by_group(dealt(members.join(sizes, "node"), F.greatest(F.col("n") / 4, F.lit(64)), group_points).join(own.select("node", "point"), "node"))
     close = written(first.mapInArrow(bounded, f"hub {kind}, node {kind}").distinct(), "close")
 
     def full(batches):
@@ -271,11 +292,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, classes: int
         for _, _, nodes, sets in _groups(batches, "set"):
             at = np.argsort(np.array(nodes.to_pylist()), kind="stable").tolist()
             nodes, sets = nodes.take(pa.array(at)), [np.asarray(sets[i], np.int64) for i in at]
-            first = CountTree(np.stack([counts(s, classes) for s in sets])).classes_of(sets, percent)
+            wide = min(n_classes(max(map(len, sets))), n_classes(8 * (8_000_000 // len(sets)) // 2))  # bounds the points' memory
+            first = CountTree(np.stack([counts(s, wide) for s in sets])).classes_of(sets, percent)
             on = np.flatnonzero(first != np.arange(len(first)))
             yield pa.RecordBatch.from_arrays([nodes.take(pa.array(on)), nodes.take(pa.array(first[on]))], names=["a", "b"])
 
-    sizes = own.groupBy("node").agg(F.max("n").alias("n"))
     second = by_group(dealt(close.join(sizes, "node"), F.col("n"), group_values).join(sets, "node"))
     edges = second.mapInArrow(linked, f"a {kind}, b {kind}")
     found = components(edges)
