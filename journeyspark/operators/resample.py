@@ -96,7 +96,7 @@ def adasyn(df: DataFrame, k: int = 5, seed: int = 1, y: str = "y") -> DataFrame:
 
 def smote_tomek(df: DataFrame, k: int = 5, seed: int = 1, y: str = "y", warn_above: float = 0.5) -> tuple[DataFrame, float, bool]:
     """SMOTE and then Tomek removal; the share of rows removed, and whether it is above the warning level."""
-    grown = smote(df, k, seed, y)
+    grown = smote(df, k, seed, y).persist()  # read several times below
     kept = drop_tomek(grown, y=y)
     n, m = grown.count(), kept.count()
     removed = 1 - m / n if n else 0.0
