@@ -45,21 +45,35 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, id_: str = "id", vec: st
                 xv, yv = (np.stack([np.asarray(r["v"], float) for r in z]) for z in (x, y))
                 by = np.argsort(yi)
                 yi, yv = yi[by], yv[by]
-                for lo in range(0, len(xi), 128):
-                    part = xv[lo : lo + 128]
-                    d = ((part[:, None, :] - yv[None]) ** 2).sum(2) if len(yv) * yv.shape[1] <= 40_000 else np.stack([((r - yv) ** 2).sum(1) for r in part])
-                    if not with_self:
-                        d[xi[lo : lo + 128, None] == yi] = np.inf
-                    top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    dist = np.sqrt(np.take_along_axis(d, top, 1))
-                    ok = np.isfinite(dist)
-                    yield pd.DataFrame({"id": np.repeat(xi[lo : lo + 128], ok.sum(1)), "neighbour": yi[top][ok], "distance": dist[ok]})
+                yield _nearest(xi, xv, yi, yv, k, with_self)
 
     some = pairs.select("rows_lb", "rows_rb").repartition(max(1, nl * nr)).mapInPandas(nearest, "id bigint, neighbour bigint, distance double") if nl * nr > 1 else pairs.select("rows_lb", "rows_rb").mapInPandas(nearest, "id bigint, neighbour bigint, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     return some.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _nearest(xi: np.ndarray, xv: np.ndarray, yi: np.ndarray, yv: np.ndarray, k: int, with_self: bool) -> pd.DataFrame:
+    """The k nearest rows of y (in id order) for each of x: a matrix product finds who can be among them, differences decide."""
+    ids, near, dist = [], [], []
+    norms = (yv**2).sum(1)
+    for lo in range(0, len(xi), 256):
+        part = xv[lo : lo + 256]
+        own = (part**2).sum(1)
+        rough = own[:, None] + norms - 2 * part @ yv.T
+        if not with_self:
+            rough[xi[lo : lo + 256, None] == yi] = np.inf
+        top = np.partition(rough, min(k, len(yi)) - 1, axis=1)[:, min(k, len(yi)) - 1]
+        slack = 1e-9 * (1.0 + own + norms.max())
+        for i, row in enumerate(rough):
+            at = np.flatnonzero((row <= top[i] + slack[i]) & np.isfinite(row))
+            d = np.sqrt(((part[i] - yv[at]) ** 2).sum(1))
+            best = np.argsort(d, kind="stable")[:k]
+            ids += [xi[lo + i]] * len(best)
+            near += yi[at[best]].tolist()
+            dist += d[best].tolist()
+    return pd.DataFrame({"id": np.array(ids, np.int64), "neighbour": np.array(near, np.int64), "distance": np.array(dist, float)})
+
+
 def distance(a: str, b: str):
     """Euclidean distance of two array columns, in the JVM."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, t: s + t))
