@@ -109,26 +109,26 @@ def pad_sequences(s, d):
     return sequences.padded(journey.build_examples(journey.build_events(clicks(s, d))), 40).select("user_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "length")
 
 
-_U = uniform(11, F.col("user_id"), "split")
+_u = lambda: uniform(11, F.col("user_id"), "split")
 _USQL = uniform_sql(11, "user_id", "split")
 
 
 @q(f"WITH {POSITIONS}, e AS (SELECT user_id, count(*) - 1 AS n FROM pos GROUP BY user_id HAVING {_USQL} < 0.7) SELECT greatest(floor(quantile_cont(n, 0.95)), 2)::BIGINT AS max_len FROM e")
 def max_len_p95(s, d):
-    return sequences.max_len(journey.build_examples(journey.build_events(clicks(s, d))).where(_U < 0.7))
+    return sequences.max_len(journey.build_examples(journey.build_events(clicks(s, d))).where(_u() < 0.7))
 
 
 @q(f"""WITH {POSITIONS}, t AS (SELECT * FROM pos WHERE rn > 1 AND {_USQL} < 0.7)
 SELECT 'seq_duration_log' AS channel, round(avg(duration_log), 6) AS mean, round(stddev_pop(duration_log), 6) AS std FROM t UNION ALL SELECT 'seq_gap_log', round(avg(gap_log), 6), round(stddev_pop(gap_log), 6) FROM t""")
 def channel_stats(s, d):
-    return sequences.channel_stats(journey.build_examples(journey.build_events(clicks(s, d))).where(_U < 0.7)).select("channel", _r("mean"), _r("std"))
+    return sequences.channel_stats(journey.build_examples(journey.build_events(clicks(s, d))).where(_u() < 0.7)).select("channel", _r("mean"), _r("std"))
 
 
 @q(f"""WITH {POSITIONS}, m AS (SELECT avg(duration_log) AS mu, stddev_pop(duration_log) AS sd FROM pos WHERE rn > 1 AND {_USQL} < 0.7)
 SELECT user_id, round(sum((duration_log - mu) / sd), 4) AS scaled_duration, round(sum(device_mobile), 4)::DOUBLE AS device FROM pos, m WHERE rn > 1 GROUP BY user_id""")
 def scaled_channels(s, d):
     ex = journey.build_examples(journey.build_events(clicks(s, d)))
-    out = sequences.scale_channels(ex, sequences.channel_stats(ex.where(_U < 0.7)))
+    out = sequences.scale_channels(ex, sequences.channel_stats(ex.where(_u() < 0.7)))
     total = lambda c: F.round(F.aggregate(F.col(c).cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 4)
     return out.select("user_id", total("seq_duration_log").alias("scaled_duration"), total("seq_device").alias("device"))
 

@@ -31,7 +31,6 @@ def _round(df, *cols, n=6):
 VECS = f"vecs AS (SELECT vec_id AS id, label AS y, embedding[1:{DIM}]::DOUBLE[] AS v FROM embeddings)"
 PAIRS = VECS + ", pairs AS (SELECT a.id, a.y, b.id AS nb, b.y AS nby, list_distance(a.v, b.v) AS d FROM vecs a JOIN vecs b ON a.id <> b.id)"
 _NEAR = lambda cond, k: f"(SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nb) AS rn FROM pairs WHERE {cond} QUALIFY rn <= {k})"
-NOISE = uniform(3, F.col("id"), "p")
 NOISE_SQL = uniform_sql(3, "vec_id", "p")
 
 
@@ -246,7 +245,7 @@ def pca_projection(s, d):
 
 def preds(s, d):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("y_true"))
-    v = v.withColumn("u", NOISE).withColumn("y_pred", F.when(F.col("u") < 0.3, (F.col("y_true") + 1 + F.floor(F.col("u") * 30).cast("int") % 3) % 10).otherwise(F.col("y_true")))
+    v = v.withColumn("u", uniform(3, F.col("id"), "p")).withColumn("y_pred", F.when(F.col("u") < 0.3, (F.col("y_true") + 1 + F.floor(F.col("u") * 30).cast("int") % 3) % 10).otherwise(F.col("y_true")))
     raw = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("y_pred"), 0.4).otherwise(0.0) + F.round((F.col("id") * (i + 3) % 17) / 17.0, 3))
     return v.select("id", "y_true", "y_pred", raw.alias("probs"))
 
