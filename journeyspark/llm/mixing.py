@@ -62,7 +62,7 @@ def split_path(quotas: np.ndarray, shards: int, shard: int, seed: int) -> tuple[
     return first, have
 
 
-def mix(docs: DataFrame, weights=lambda sources: [float((5, 2, 1)[i % 3]) for i in range(len(sources))], shards: int = 64, block_words: int = 65_536, seed: int = 1, text: str = "text", source: str = "source", doc_id: str = "doc_id", max_sources: int = 10_000, most: float = 3.0) -> DataFrame:
+def mix(docs: DataFrame, weights=lambda sources: [float((5, 2, 1)[i % 3]) for i in range(len(sources))], shard_words: int = 4_000_000, least_shards: int = 8, block_words: int = 65_536, seed: int = 1, text: str = "text", source: str = "source", doc_id: str = "doc_id", max_sources: int = 10_000, most: float = 3.0) -> DataFrame:
     """Every document with its places in the mix.
 
     weights: from the list of sources (by code point, null last) to their weights. Adds `size` (words),
@@ -70,6 +70,8 @@ def mix(docs: DataFrame, weights=lambda sources: [float((5, 2, 1)[i % 3]) for i
     the document; empty if it doesn't. Columns of these names that come in are replaced, all others stay.
     `mixed_documents()` turns places into rows.
 
+    Shards hold about `shard_words` words each, so their number grows with the documents.
+
     Null texts have size 0 and are taken like others, at no cost. Rows that are equal in id, text and source are
     taken or left together. An empty table gives an empty result. Reruns agree, whatever the partitioning.
     The weights list one number per source, so the table of sources is small by nature: it is checked against
@@ -122,6 +124,7 @@ def mix(docs: DataFrame, weights=lambda sources: [float((5, 2, 1)[i % 3]) for i
     drawn = drawn.withColumn("_at", F.row_number().over(order).cast("long") - 1)
     counts = {r["_k"]: r["n"] for r in drawn.groupBy("_k").agg(F.count("*").alias("n")).collect()}
     quotas = np.array([counts.get(k, 0) for k in range(len(per))], np.int64)
+    shards = max(least_shards, -(-sum(sizes) // shard_words))
 
     def leaves(batches):
         for pdf in batches:
@@ -130,7 +133,7 @@ def mix(docs: DataFrame, weights=lambda sources: [float((5, 2, 1)[i % 3]) for i
                 k = np.flatnonzero(n)
                 yield pd.DataFrame({"_k": k.astype(np.int32), "_shard": np.int32(j), "_first": first[k], "_count": n[k]})
 
-    leaf = spark.range(0, shards, 1, min(shards, 32)).mapInPandas(leaves, "_k int, _shard int, _first bigint, _count bigint")
+    leaf = spark.range(0, shards, 1, min(shards, 32 + shards // 1000)).mapInPandas(leaves, "_k int, _shard int, _first bigint, _count bigint")
     seats = leaf.select("_k", "_shard", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_count") - 1)).alias("_at"))
     plan = drawn.join(seats, ["_k", "_at"]).groupBy("_k", "_block").agg(F.sort_array(F.collect_list(F.struct(F.col("_copy").alias("copy"), F.col("_shard").alias("shard")))).alias("_seats"))
     plan = written(plan, "mix-plan").select(F.col("_k").alias("_pk"), F.col("_block").alias("_pblock"), "_seats")

@@ -10,8 +10,9 @@ chunks, so equal chunks are searched once.
 from __future__ import annotations
 
 import re
-from collections import deque
+from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,72 +20,54 @@ from pyspark.sql import functions as F
 from .common import shipped, table
 
 MARK = "▁"
+_NONE = (1, 0.0, -1)
 #: How far a character without a piece is below the lowest score of a piece; at least as high are all pieces.
 UNKNOWN = 10.0
 
 
-def read_pieces(path: str) -> list[tuple[str, float, int]]:
+def read_pieces(path: str) -> tuple[tuple[str, float, int], ...]:
     """(piece, score, kind) by id; kinds as the model file has them: 1 normal, 2 unknown, 3 control, 4 user, 6 byte."""
     from sentencepiece import SentencePieceProcessor
 
     p = SentencePieceProcessor(model_file=path)
     kind = lambda i: 2 if p.is_unknown(i) else 3 if p.is_control(i) else 6 if p.is_byte(i) else 1
-    return [(p.id_to_piece(i), p.get_score(i), kind(i)) for i in range(p.get_piece_size())]
+    return tuple((p.id_to_piece(i), p.get_score(i), kind(i)) for i in range(p.get_piece_size()))
 
 
 class PieceModel:
-    """The vocabulary, its automaton (goto, failure and output links) and the searches over it."""
+    """The vocabulary, its automaton and the searches over it."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], kept: int = 150_000):
+    def __init__(self, pieces: tuple[tuple[str, float, int], ...], kept: int = 400_000):
         self.pieces, self.kept, self.cache = pieces, kept, {}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == 6}
         self.byte_at = {i: b for b, i in self.bytes.items()}
         normal = [(p, s, i) for i, (p, s, kind) in enumerate(pieces) if kind in (1, 4) and p]
         self.floor = min((s for _, s, _ in normal if s > -1e8), default=0.0) - UNKNOWN
         normal = [(p, max(s, self.floor + 1.0), i) for p, s, i in normal]  # pieces that the model's own merges never reach
-        self.goto: list[dict[str, int]] = [{}]
-        own: list[tuple[int, float, int] | None] = [None]
+        self.automaton = ahocorasick.Automaton()
         for p, s, i in normal:
-            at = 0
-            for ch in p:
-                if ch not in self.goto[at]:
-                    self.goto[at][ch] = len(self.goto)
-                    self.goto.append({})
-                    own.append(None)
-                at = self.goto[at][ch]
-            own[at] = (len(p), s, i)
-        self.fail = [0] * len(self.goto)
-        #: What ends in a state: its own piece and those that its output links lead to, longest first.
-        self.out: list[tuple] = [()] * len(self.goto)
-        todo = deque([0])
-        while todo:
-            at = todo.popleft()
-            for ch, to in self.goto[at].items():
-                f = self.fail[at]
-                while f and ch not in self.goto[f]:
-                    f = self.fail[f]
-                self.fail[to] = self.goto[f].get(ch, 0) if at else 0
-                self.out[to] = ((own[to],) if own[to] else ()) + self.out[self.fail[to]]
-                todo.append(to)
+            self.automaton.add_word(p, (len(p), s, i))
+        if normal:
+            self.automaton.make_automaton()
         self.apart = not any(MARK in p.lstrip(MARK) for p, _, _ in normal)
         self.text_of = [p.replace(MARK, " ") if kind in (1, 4) else "" for p, _, kind in pieces]
 
     def search(self, chunk: str) -> list[int]:
         """The ids of the best segmentation of a chunk, in which spaces are marks."""
-        n, goto, fail, out = len(chunk), self.goto, self.fail, self.out
-        best, step = [0.0] * (n + 1), [(1, 0.0, -1)] * (n + 1)
-        at = 0
-        for i, ch in enumerate(chunk, 1):
-            to = goto[at].get(ch)
-            while to is None and at:
-                at = fail[at]
-                to = goto[at].get(ch)
-            at = to or 0
-            top, by = best[i - 1] + self.floor, (1, 0.0, -1)
-            for piece in out[at]:
-                if (s := best[i - piece[0]] + piece[1]) > top:
-                    top, by = s, piece
-            best[i], step[i] = top, by
+        n, floor = len(chunk), self.floor
+        best, step, at = [0.0], [_NONE], 0
+        for end, piece in self.automaton.iter(chunk) if len(self.automaton) else ():  # by end; the output links give each piece that ends there
+            while at <= end:
+                at += 1
+                best.append(best[-1] + floor)
+                step.append(_NONE)
+            s = best[at - piece[0]] + piece[1]
+            if s > best[at]:
+                best[at], step[at] = s, piece
+        while at < n:
+            at += 1
+            best.append(best[-1] + floor)
+            step.append(_NONE)
         ids: list[int] = []
         while n:
             size, _, i = step[n]
@@ -126,6 +109,12 @@ class PieceModel:
         return out[1:] if out.startswith(" ") else out
 
 
+@lru_cache(maxsize=1)
+def piece_model(pieces: tuple) -> PieceModel:
+    """One model for all tasks of a worker, with the chunks that it has searched."""
+    return PieceModel(pieces)
+
+
 #: Stands for a mark of the text itself during the search: no piece holds it.
 _ALIEN = "\U0010fffd"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -149,7 +138,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text") -> Da
     at, names = names.index(text), [*names, "token_ids", "n_tokens", "round_trip"]
 
     def encoded(batches):
-        m = PieceModel(held())
+        m = piece_model(held())
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -170,7 +159,7 @@ def decode_documents(tokens: DataFrame, model_path: str, ids: str = "token_ids")
     at, names = names.index(ids), [*names, "decoded"]
 
     def decoded(batches):
-        m = PieceModel(held())
+        m = piece_model(held())
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.decode(i or []) for i in b.column(at).to_pylist()], pa.string())], names=names)
 
