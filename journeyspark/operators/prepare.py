@@ -119,3 +119,25 @@ def correlations(df: DataFrame, columns) -> DataFrame:
     pairs = [(a, b) for i, b in enumerate(columns) for a in columns[:i]]
     row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+
+
+def static_encoder(train: DataFrame, df: DataFrame, numeric=(), ordinal=(), nominal=(), skewed=(), aggregates=()) -> tuple[DataFrame, list[str]]:
+    """df with `static` (array of double) and the names of its entries, in this order: standardised numeric, min-max ordinal,
+    one-hot nominal, robust skewed columns and standardised aggregates (nulls 0). All is fitted on train."""
+    names: list[str] = []
+    groups = (("standard", numeric), ("minmax", ordinal), ("robust", skewed))
+    for kind, own in groups:
+        if own:
+            fitted = fit_scaler(train, own, kind)
+            df = scale(df.withColumns({f"_{c}": F.col(c) for c in own}), fitted.select(*[F.col(f"{p}_{c}").alias(f"{p}__{c}") for c in own for p in ("shift", "scale")]), [f"_{c}" for c in own])
+    for c in nominal:
+        df = one_hot(df, c, categories(train, c))
+    if aggregates:
+        zeroed = lambda d: d.withColumns({f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in aggregates})
+        own = [f"_{c}" for c in aggregates]
+        df = scale(zeroed(df), fit_scaler(zeroed(train), own, "standard"), own)
+    hot = [f"{c}_{int(v)}" for c in nominal for v in categories(train, c)]
+    names = [*numeric, *ordinal, *hot, *skewed, *aggregates]
+    columns = [n if n in hot else f"_{n}" for n in names]
+    out = df.withColumn("static", F.array(*[F.col(c).cast("double") for c in columns]))
+    return out.drop(*[f"_{c}" for c in (*numeric, *ordinal, *skewed, *aggregates)], *hot), names

@@ -278,3 +278,13 @@ def named_clusters(s, d):
 @q("SELECT c_nationkey % 5 - 1 AS cluster, count(*) AS n FROM customer WHERE c_nationkey % 5 > 0 GROUP BY 1")
 def segment_sizes(s, d):
     return profile.segment_sizes(table(s, d, "customer").withColumn("cluster", F.col("c_nationkey") % 5 - 1), "cluster")
+
+
+@q(f"""WITH {KEPT}, m AS (SELECT user_id, {_MED} FROM kept)
+SELECT user_id, round((age - (SELECT avg(age) FROM m)) / (SELECT stddev_pop(age) FROM m) + (income - (SELECT min(income) FROM m)) / (SELECT max(income) - min(income) FROM m) + 1
+ + (stage - (SELECT quantile_cont(stage, 0.5) FROM m)) / (SELECT quantile_cont(stage, 0.75) - quantile_cont(stage, 0.25) FROM m) + (household - (SELECT avg(household) FROM m)) / (SELECT stddev_pop(household) FROM m), 5) AS total,
+ (4 + (SELECT count(DISTINCT region) FROM m))::INT AS width FROM m""")
+def static_features(s, d):
+    x = prepare.median_impute(kept(s, d), COLS)
+    out, _ = prepare.static_encoder(x, x, ["age"], ["income"], ["region"], ["stage"], ["household"])
+    return out.select("user_id", F.round(F.aggregate("static", F.lit(0.0), lambda a, b: a + b), 5).alias("total"), F.size("static").alias("width"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from journeyspark.functions import metrics
 from journeyspark.functions.draws import uniform, uniform_sql
 from journeyspark.operators import cluster, journey, neighbors, resample, splits
-from journeyspark.plans import backoff, models
+from journeyspark.plans import backoff, models, search
 
 from .tables import POSITIONS, clicks, table
 
@@ -372,3 +372,41 @@ def logistic_holdout(s, d):
     model = models.fit(models.Candidate("logistic", models.ROSTER["logistic"].make), h.where("not is_test"))
     pred, labels = models.predict(model, h.where("is_test"))
     return pred.select("id", "y_true", "y_pred", F.round(F.array_max("probs"), 3).alias("top_prob"))
+
+
+@q(f"SELECT id, rn <= greatest(round(n * 0.12), 1) AS is_stop FROM ({_H % 'holdout'})")
+def inner_slice(s, d):
+    return splits.holdout(vecs(s, d), "y", "id", 0.12).select("id", F.col("is_test").alias("is_stop"))
+
+
+@q(f"SELECT part, count(*) AS n FROM (SELECT CASE WHEN rn <= round(n * 0.7) THEN 'train' WHEN rn <= round(n * 0.85) THEN 'val' ELSE 'test' END AS part FROM ({_H % 'parts'})) GROUP BY 1")
+def split_sizes(s, d):
+    return splits.three_way(vecs(s, d), "y", "id").groupBy("part").agg(F.count("*").alias("n"))
+
+
+@q(f"""WITH {PREDS}, f AS (SELECT id % 3 AS fold, y_true, y_pred FROM preds), c AS (SELECT fold, count(*) FILTER (y_true = y_pred) / count(*) AS a FROM f GROUP BY 1)
+SELECT round(avg(a), 6) AS mean, round(stddev_pop(a), 6) AS spread FROM c""")
+def fold_spread(s, d):
+    per = metrics.grouped_accuracy(preds(s, d).withColumn("fold", F.col("id") % 3), "fold")
+    return per.agg(F.round(F.avg("accuracy"), 6).alias("mean"), F.round(F.stddev_pop("accuracy"), 6).alias("spread"))
+
+
+@q()
+def permutation_importance(s, d):
+    data = preds(s, d).select("id", "y_true", "y_pred", (F.col("id") % 7).alias("noise"))
+    score = lambda x: metrics.macro(x.select("id", "y_true", "y_pred")).first()["f1_macro"]
+    return metrics.permutation_importance(data, score, {"prediction": ["y_pred"], "noise": ["noise"]}, "id", 2)
+
+
+@q()
+def eps_selection(s, d):
+    v = vecs(s, d)
+    got = cluster.select_eps(v, [r["eps"] for r in cluster.eps_candidates(cluster.k_distances(v, 8), (70, 80, 90)).collect()], 8)
+    return v.limit(1).select(F.lit(got["eps"]).alias("eps"), F.lit(got["clusters"]).alias("clusters"), F.lit(got["noise"]).alias("noise"), F.lit(got["cores"]).alias("cores"))
+
+
+@q()
+def forest_search(s, d):
+    p = splits.three_way(vecs(s, d), "y", "id").withColumn("y", F.col("y").cast("string"))
+    got = search.random_search(p.where("part = 'train'").drop("part"), p.where("part = 'val'").drop("part"), 2, knobs={"numTrees": (10, 20), "maxDepth": (3, 5)})
+    return s.createDataFrame([(r["name"], float(r["f1_macro"])) for r in got], "name string, f1_macro double")

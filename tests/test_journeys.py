@@ -111,7 +111,7 @@ def test_knn_impute_against_brute_force(spark):
                 if both.any() and not np.isnan(s[c]):
                     cand.append((round(float(np.sqrt(4 / both.sum() * ((r - s)[both] ** 2).sum())), 12), kind[tuple(np.nan_to_num(s, nan=-1))], j, s[c]))
             want = np.mean([v for *_, v in sorted(cand)[:5]]) if cand else np.nanmean(x[:, c])
-            assert abs(got[i][1 + c] - want) < 1e-5
+            assert abs(got[i][1 + int(c)] - want) < 1e-5
 
 
 def test_form_errors(spark):
