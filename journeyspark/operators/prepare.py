@@ -19,25 +19,25 @@ def knn_impute(df: DataFrame, columns, k: int = 5, key: str = "user_id", digits:
     counts = df.agg(*[F.count(c).alias(c) for c in columns], F.count("*").alias("_n")).first()
     if counts["_n"] and (empty := [c for c in columns if not counts[c]]):
         raise ValueError(f"no value in {', '.join(empty)}")
-    means = df.agg(*[F.avg(c).alias(f"mean_{c}") for c in columns])
-    kinds = df.groupBy(*columns).agg(F.count("*").alias("times"), F.min(key).alias("kind"))
+    means = df.agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
+    kinds = df.groupBy(*columns).agg(F.count("*").alias("_times"), F.min(key).alias("_kind"))
     gaps = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
-    recv = kinds.where(gaps).select(F.col("kind").alias("rid"), *[F.col(c).alias(f"r_{c}") for c in columns])
+    recv = kinds.where(gaps).select(F.col("_kind").alias("_rid"), *[F.col(c).alias(f"_r_{c}") for c in columns])
     both = recv.crossJoin(kinds)  # distinct profiles of small integer codes, not rows
-    present = sum((F.col(c).isNotNull() & F.col(f"r_{c}").isNotNull()).cast("int") for c in columns)
-    squares = sum(F.coalesce((F.col(c) - F.col(f"r_{c}")) ** 2, F.lit(0.0)) for c in columns)
-    far = both.withColumn("d", F.when(present > 0, F.sqrt(F.lit(float(p)) / present * squares))).where("d is not null")
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"r_{c}").isNull().alias("gap"), F.col(c).alias("value")) for c in columns])
-    long = far.select("rid", "d", "kind", "times", F.explode(cells).alias("c")).where("c.gap and c.value is not null")
-    w = Window.partitionBy("rid", "c.column").orderBy("d", "kind")
-    before = F.coalesce(F.sum("times").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    used = long.withColumn("used", F.least(F.col("times"), F.lit(k) - before)).where("used > 0")
-    filled = used.groupBy("rid", F.col("c.column").alias("column")).agg((F.sum(F.col("c.value") * F.col("used")) / F.sum("used")).alias("value"))
-    wide = filled.groupBy("rid").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"f_{c}") for c in columns])
+    present = sum((F.col(c).isNotNull() & F.col(f"_r_{c}").isNotNull()).cast("int") for c in columns)
+    squares = sum(F.coalesce((F.col(c) - F.col(f"_r_{c}")) ** 2, F.lit(0.0)) for c in columns)
+    far = both.withColumn("_d", F.when(present > 0, F.sqrt(F.lit(float(p)) / present * squares))).where("_d is not null")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_r_{c}").isNull().alias("gap"), F.col(c).alias("value")) for c in columns])
+    long = far.select("_rid", "_d", "_kind", "_times", F.explode(cells).alias("_c")).where("_c.gap and _c.value is not null")
+    w = Window.partitionBy("_rid", "_c.column").orderBy("_d", "_kind")
+    before = F.coalesce(F.sum("_times").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    used = long.withColumn("_used", F.least(F.col("_times"), F.lit(k) - before)).where("_used > 0")
+    filled = used.groupBy("_rid", F.col("_c.column").alias("column")).agg((F.sum(F.col("_c.value") * F.col("_used")) / F.sum("_used")).alias("value"))
+    wide = filled.groupBy("_rid").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"_f_{c}") for c in columns])
     same = reduce(lambda a, b: a & b, [F.col(f"b.{c}").eqNullSafe(F.col(f"k.{c}")) for c in columns])
-    out = df.alias("b").join(kinds.alias("k"), same, "left").select("b.*", "k.kind").join(wide, F.col("kind") == F.col("rid"), "left").crossJoin(F.broadcast(means))  # one row of means
+    out = df.alias("b").join(kinds.alias("k"), same, "left").select("b.*", "k._kind").join(wide, F.col("_kind") == F.col("_rid"), "left").crossJoin(F.broadcast(means))  # one row of means
     keep = [c for c in df.columns if c not in columns]
-    return out.select(*keep, *[F.round(F.coalesce(c, f"f_{c}", f"mean_{c}"), digits).alias(c) for c in columns])
+    return out.select(*keep, *[F.round(F.coalesce(c, f"_f_{c}", f"_mean_{c}"), digits).alias(c) for c in columns])
 
 
 def median_impute(df: DataFrame, columns) -> DataFrame:
