@@ -297,9 +297,19 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
             on = np.flatnonzero(first != np.arange(len(first)))
             yield pa.RecordBatch.from_arrays([nodes.take(pa.array(on)), nodes.take(pa.array(first[on]))], names=["a", "b"])
 
-    second = by_group(dealt(close.join(sizes, "node"), F.col("n"), group_values).join(sets, "node"))
-    edges = second.mapInArrow(linked, f"a {kind}, b {kind}")
-    found = components(edges)
+    def links(groups: DataFrame) -> DataFrame:
+        rows = by_group(dealt(groups.join(sizes, "node"), F.col("n"), group_values).join(sets, "node"))
+        return written(rows.mapInArrow(linked, f"a {kind}, b {kind}"), "links")
+
+    # Each document brings its set to one of its groups; then all do to the groups that this hasn't seen whole and that
+    # still hold several classes.
+    own_group = close.groupBy("node").agg(F.min("hub").alias("chosen"))
+    some = links(own_group.withColumnRenamed("chosen", "hub"))
+    found = components(some)
+    known = close.join(own_group, "node").join(found, "node", "left").select("hub", F.coalesce("component", "node").alias("c"), (F.col("chosen") == F.col("hub")).alias("seen"))
+    open_ = known.groupBy("hub").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min("seen").alias("whole")).where("least <> most and not whole").select("hub")
+    rest = written(close.join(open_, "hub", "left_semi"), "open-groups")
+    found = components(some.unionByName(links(rest)))
     placed = rows.select("id", "n", "fp").join(nodes, "fp", "left").join(found, nodes["node"] == found["node"], "left")
     by_row = placed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce(found["component"], nodes["node"], "id")).alias("component_id"))
     return by_row
