@@ -51,6 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def renamed(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """docs with its columns as in0, in1, …, so that no working name clashes; their names by the old ones; and the way back."""
+    name = {c: f"in{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in name.items()]), name, [F.col(name[c]).alias(c) for c in keep]
+
+
 def bucket_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, mod n; null ids give null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -42,7 +42,7 @@ class BackoffModel:
     @staticmethod
     def from_counts(langs: list[str], words: dict[str, list[int]], parts: list[dict[str, list[int]]]) -> "BackoffModel":
         def logs(table: dict[str, list[int]]) -> tuple[dict[str, int], np.ndarray]:
-            c = np.array(list(table.values()), float).reshape(-1, len(langs)) + 0.1
+            c = np.array(list(table.values()), float).reshape(len(table), len(langs)) + 0.1
             return {x: i for i, x in enumerate(table)}, np.log(c / c.sum(0))
 
         return BackoffModel(langs, logs(words), [logs(p) for p in parts])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, renamed, table, written
 
 
 def patience_blocks(a: list, b: list) -> list[tuple[int, int, int]]:
@@ -79,11 +79,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 4, text: str =
     at most, besides the rare ones, so a line in a third of all documents stays linear in them.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    base = docs.select(*[F.col(f"`{c}`") for c in keep])
-    lines = F.split(F.col(text), "\n", -1)
+    base, name, _ = renamed(docs, keep)
+    text_in, id_in = name[text], name[doc_id]
+    lines = F.split(F.col(text_in), "\n", -1)
     hashed = F.transform(lines, lambda x: F.xxhash64(x))
     sizes = F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD)))
-    rows = docs.where(F.col(doc_id).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).alias("id"), F.xxhash64(text, F.length(text)).alias("th"), hashed.alias("hashes"), sizes.alias("sizes"))
+    rows = base.where(F.col(id_in).isNotNull() & (F.col(text_in) != "")).select(F.col(id_in).alias("id"), F.xxhash64(text_in, F.length(text_in)).alias("th"), hashed.alias("hashes"), sizes.alias("sizes"))
     rows = written(rows, "lines")
 
     firsts = written(rows.groupBy("th").agg(F.min("id").alias("first"), F.count("*").alias("n")), "texts")
@@ -121,10 +122,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 4, text: str =
     marks = written(marks.unionByName(whole), "deletions").select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
     marks = marks.dropDuplicates(["_id", "_th"])
 
-    joined = base.withColumn("_key", F.xxhash64(text, F.length(text))).join(marks, (F.col(doc_id) == F.col("_id")) & (F.col("_key") == F.col("_th")), "left")
+    joined = base.withColumn("_key", F.xxhash64(text_in, F.length(text_in))).join(marks, (F.col(id_in) == F.col("_id")) & (F.col("_key") == F.col("_th")), "left")
     left = F.array_join(F.transform(F.filter(F.arrays_zip(lines.alias("l"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i")), lambda x: ~F.array_contains("_gone", x["i"])), lambda x: x["l"]), "\n")
     return joined.select(
-        *[(F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left) if c == text else F.col(f"`{c}`")).alias(c) for c in keep],
+        *[(F.when(F.col("_gone").isNull(), F.col(text_in)).otherwise(left) if c == text else F.col(name[c])).alias(c) for c in keep],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

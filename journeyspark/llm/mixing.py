@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, renamed, table, written
 
 #: A source has at most this many blocks; those of larger sources grow.
 MOST_BLOCKS = 1 << 20
@@ -78,9 +78,9 @@ def mix(docs: DataFrame, weights=lambda sources: [float((5, 2, 1)[i % 3]) for i
     `max_sources`, beyond which ValueError is raised, and only it is broadcast.
     """
     spark = docs.sparkSession
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "places")])
-    identity = F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(F.col(text)))
-    slim = written(docs.select(F.col(source).alias("_source"), identity.alias("_h"), n_words(F.col(text)).alias("_size")), "mix-sizes")
+    base, name, back = renamed(docs, [c for c in docs.columns if c not in ("size", "source_size", "target", "places")])
+    identity, words = F.xxhash64(F.lit(seed), F.col(name[doc_id]), F.xxhash64(F.col(name[text]))), n_words(F.col(name[text]))
+    slim = written(base.select(F.col(name[source]).alias("_source"), identity.alias("_h"), words.alias("_size")), "mix-sizes")
 
     per = slim.groupBy("_source").agg(F.sum("_size").alias("n")).limit(max_sources + 1).collect()
     if len(per) > max_sources:
@@ -89,9 +89,9 @@ def mix(docs: DataFrame, weights=lambda sources: [float((5, 2, 1)[i % 3]) for i
     sizes = [n for _, n in per]
     targets = share_targets(sizes, [float(w) for w in weights([s for s, _ in per])], most)
     rows = []
-    for k, ((name, size), target) in enumerate(zip(per, targets, strict=True)):
+    for k, ((who, size), target) in enumerate(zip(per, targets, strict=True)):
         passes = int(target // size) if size else 1  # a source without words is taken once, for nothing
-        rows.append((k, name, size, float(target), passes, float(target - passes * size) if size else 0.0, max(1, min(MOST_BLOCKS, -(-size // block_words)))))
+        rows.append((k, who, size, float(target), passes, float(target - passes * size) if size else 0.0, max(1, min(MOST_BLOCKS, -(-size // block_words)))))
     dims = spark.createDataFrame(rows, "_k int, _name string, _n bigint, _target double, _passes int, _rest double, _blocks bigint")
 
     def placed(df: DataFrame) -> DataFrame:
@@ -138,13 +138,13 @@ def mix(docs: DataFrame, weights=lambda sources: [float((5, 2, 1)[i % 3]) for i
     plan = drawn.join(seats, ["_k", "_at"]).groupBy("_k", "_block").agg(F.sort_array(F.collect_list(F.struct(F.col("_copy").alias("copy"), F.col("_shard").alias("shard")))).alias("_seats"))
     plan = written(plan, "mix-plan").select(F.col("_k").alias("_pk"), F.col("_block").alias("_pblock"), "_seats")
 
-    full = placed(base.withColumns({"_source": F.col(source), "_h": identity, "size": n_words(F.col(text))}))
+    full = placed(base.withColumns({"_source": F.col(name[source]), "_h": identity, "size": words}))
     full = full.join(F.broadcast(edge), full["_k"] == edge["_ek"], "left")
     full = full.join(fits, (full["_k"] == fits["_fk"]) & (full["_h"] == fits["_fh"]), "left").join(plan, (F.col("_k") == plan["_pk"]) & (F.col("_block") == plan["_pblock"]), "left")
     partly = (F.col("_block") == F.col("_edge")) & F.col("_fit").isNull()
     seats_of = F.coalesce("_seats", F.array().cast("array<struct<copy:int,shard:int>>"))
     places = F.filter(seats_of, lambda s: ~F.coalesce(partly & (s["copy"] == F.col("_passes")), F.lit(False)))
-    return full.select(*base.columns, "size", F.col("_n").alias("source_size"), F.col("_target").alias("target"), places.alias("places"))
+    return full.select(*back, "size", F.col("_n").alias("source_size"), F.col("_target").alias("target"), places.alias("places"))
 
 
 def mixed_documents(mixed: DataFrame, keep: list[str], seed: int = 1) -> DataFrame:

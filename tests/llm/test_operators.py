@@ -114,7 +114,7 @@ def test_language_on_held_out_documents(spark):
 
 
 def test_backoff_goes_to_shorter_parts():
-    m = language_id.BackoffModel.from_counts(["a", "b"], {"known": [9, 1]}, [{"z": [1, 9]}, {}, {}, {"\x02abc": [1, 9]}])
+    m = language_id.BackoffModel.from_counts(["a", "b"], {"known": [9, 1], "other": [1, 9]}, [{"z": [1, 9], "y": [9, 1]}, {}, {}, {"\x02abc": [1, 9], "\x02xyz": [9, 1]}])
     assert m.predict("known")[0] == "a" and m.predict("zq")[0] == "b" and m.predict("abcx")[0] == "b" and m.predict("12")[0] == "und"
 
 
