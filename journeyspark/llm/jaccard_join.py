@@ -60,13 +60,23 @@ def folded(point: np.ndarray, classes: int) -> np.ndarray:
     return point.reshape(-1, classes).sum(0, dtype=np.int64)
 
 
-def hopeful_of(points: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which points have a possible partner. Sets that can link have as many classes, or one twice the other's."""
+def packed(point: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs; the first byte tells how many."""
+    width = 1 if point.max(initial=0) < 1 << 8 else 2 if point.max() < 1 << 16 else 4
+    return bytes([width]) + point.astype(f"<u{width}").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+
+
+def hopeful_of(points: list[np.ndarray], percent: int, labels: np.ndarray | None = None) -> np.ndarray:
+    """Which points have a possible partner (of another label, if given). Sets that can link have as many classes, or one twice the other's."""
     sizes, out = np.array([len(p) for p in points]), np.zeros(len(points), bool)
     for level in np.unique(sizes).tolist():
         at = np.flatnonzero((sizes == level) | (sizes == 2 * level))
         if len(at) > 1:
-            out[at] |= CountTree(np.stack([folded(points[i], level) for i in at])).hopeful(percent)
+            out[at] |= CountTree(np.stack([folded(points[i], level) for i in at])).hopeful(percent, None if labels is None else labels[at])
     return out
 
 
@@ -115,11 +125,14 @@ class CountTree:
                 i, j = i + lo, j + a
                 yield i[i < j], j[i < j]
 
-    def hopeful(self, percent: int) -> np.ndarray:
-        """Which points have a partner that the bounds allow."""
+    def hopeful(self, percent: int, labels: np.ndarray | None = None) -> np.ndarray:
+        """Which points have a partner (of another label) that the bounds allow."""
         on = np.zeros(len(self.n), bool)
         for leaf in range(len(self.leaves[0])):
             for i, j in self.partners(leaf, percent, lambda lo, hi, a, b: on[lo:hi].all() and on[a:b].all()):
+                if labels is not None:
+                    apart = labels[self.order[i]] != labels[self.order[j]]
+                    i, j = i[apart], j[apart]
                 on[i] = on[j] = True
         out = np.zeros(len(on), bool)
         out[self.order] = on
@@ -184,13 +197,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _groups(batches, value: str):
+def _groups(batches, *values: str):
     """((hub, tile), hubs, nodes, values) of each group of two rows or more, from batches sorted by hub and tile."""
     key, held = None, []
 
     def out():
         hubs, nodes = (pa.concat_arrays([b[c] for b in held]) for c in ("hub", "node"))
-        return key, hubs, nodes, [v for b in held for v in _values(b[value])]
+        columns = [[v for b in held for v in _values(b[c])] for c in values]
+        return key, hubs, nodes, list(zip(*columns, strict=True)) if len(columns) > 1 else columns[0]
 
     for b in batches:
         hub, tile = b["hub"].to_numpy(zero_copy_only=False), b["tile"].to_numpy()
@@ -208,7 +222,7 @@ def _groups(batches, value: str):
 
 
 def _values(column: pa.Array) -> list:
-    if pa.types.is_binary(column.type):
+    if not pa.types.is_list(column.type):
         return column.to_pylist()
     flat, offsets = np.asarray(column.values, np.int64), np.asarray(column.offsets)
     return [flat[a:b] for a, b in zip(offsets, offsets[1:])]
@@ -240,7 +254,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
                 s = shingles(t, k)
                 n.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                points.append(counts(s, n_classes(len(s))).astype("<u4").tobytes())
+                points.append(packed(counts(s, n_classes(len(s)))))
                 if len(last):
                     at = np.searchsorted(last, s)
                     at[at == len(last)] = 0
@@ -271,13 +285,23 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
         return df.repartition(F.col("hub"), F.col("tile")).sortWithinPartitions("hub", "tile")
 
     def bounded(batches):
-        for _, hubs, nodes, points in _groups(batches, "point"):
-            on = hopeful_of([np.frombuffer(p, "<u4") for p in points], percent)
-            yield pa.RecordBatch.from_arrays([hubs.filter(pa.array(on)), nodes.filter(pa.array(on))], names=["hub", "node"])
+        for _, hubs, nodes, rows in _groups(batches, "point", "c"):
+            labels = np.unique(np.array([c for _, c in rows]), return_inverse=True)[1]
+            on = pa.array(hopeful_of([unpacked(p) for p, _ in rows], percent, labels))
+            yield pa.RecordBatch.from_arrays([hubs.filter(on), nodes.filter(on)], names=["hub", "node"])
+
+    def hopeful(groups: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members of groups to which the points leave a partner of another label."""
+        ready = dealt(groups.join(sizes, "node"), F.greatest(F.col("n") / 4, F.lit(64)), group_points).join(labels, "node").join(own.select("node", "point"), "node")
+        return written(by_group(ready).mapInArrow(bounded, f"hub {kind}, node {kind}").distinct(), "close")
 
+    # Partners are of about the same size: in the same or a neighbouring band of sizes. Only such members bring their points.
     sizes = own.groupBy("node").agg(F.max("n").alias("n"))
-    first = by_group(dealt(members.join(sizes, "node"), F.greatest(F.col("n") / 4, F.lit(64)), group_points).join(own.select("node", "point"), "node"))
-    close = written(first.mapInArrow(bounded, f"hub {kind}, node {kind}").distinct(), "close")
+    banded = members.join(sizes, "node").withColumn("band", F.floor(F.log("n") / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n"))
+    per_band = banded.groupBy("hub", "band").agg(F.count("*").alias("m"))
+    around = per_band.select("hub", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "m").groupBy("hub", "band").agg(F.sum("m").alias("m")).where("m > 1")
+    near = written(banded.join(around.select("hub", "band"), ["hub", "band"], "left_semi").select("hub", "node"), "near")
+    close = hopeful(near, own.select("node", F.col("node").alias("c")).distinct())
 
     def full(batches):
         for b in batches:
@@ -308,7 +332,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     found = components(some)
     known = close.join(own_group, "node").join(found, "node", "left").select("hub", F.coalesce("component", "node").alias("c"), (F.col("chosen") == F.col("hub")).alias("seen"))
     open_ = known.groupBy("hub").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min("seen").alias("whole")).where("least <> most and not whole").select("hub")
-    rest = written(close.join(open_, "hub", "left_semi"), "open-groups")
+    classes = asked.select(F.col("id").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
+    rest = hopeful(close.join(open_, "hub", "left_semi"), classes)
     found = components(some.unionByName(links(rest)))
     placed = rows.select("id", "n", "fp").join(nodes, "fp", "left").join(found, nodes["node"] == found["node"], "left")
     by_row = placed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce(found["component"], nodes["node"], "id")).alias("component_id"))
