@@ -30,8 +30,7 @@ def share_targets(sizes: list[int], weights: list[float], most: float = 3.0) ->
     """Targets that share sum(sizes) by weight; none is above `most` times its size, the excess goes to the others by weight."""
     total, open_, out = float(sum(sizes)), [i for i, s in enumerate(sizes) if s > 0], [0.0] * len(sizes)
     while open_:
-        rest = total - sum(most * s for i, s in enumerate(sizes) if i not in set(open_) and s > 0)
-        share = rest / sum(weights[i] for i in open_)
+        share = (total - sum(out)) / sum(weights[i] for i in open_)  # out has the closed sources only
         above = [i for i in open_ if weights[i] * share > most * sizes[i]]
         if not above:
             for i in open_:
@@ -39,7 +38,8 @@ def share_targets(sizes: list[int], weights: list[float], most: float = 3.0) ->
             break
         for i in above:
             out[i] = most * sizes[i]
-        open_ = [i for i in open_ if i not in set(above)]
+        closed = set(above)
+        open_ = [i for i in open_ if i not in closed]
     return out
 
 

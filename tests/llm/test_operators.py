@@ -74,6 +74,9 @@ def test_base_spans_follow_the_patterns():
     for _ in range(3000):
         t = "".join(rng.choice("a@.-+1 (") for _ in range(rng.randint(1, 30)))
         assert [m.span() for m in pii.PATTERNS["email"].finditer(t)] == [m.span() for m in pii._emails(t)]
+        t = "".join(rng.choice("12..a") for _ in range(rng.randint(1, 40)))
+        assert [m.span() for m in pii.PATTERNS["ip"].finditer(t)] == list(pii._addresses(t))
+    assert pii.base_spans("7" * 300_000) == []
 
 
 def test_crf_gradient_and_viterbi():
