@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Distinct profiles that a task compares at a time.
+BLOCK = 2048
+
 
 def knn_impute(df: DataFrame, columns, k: int = 5, key: str = "user_id", digits: int = 6) -> DataFrame:
     """Missing cells become the mean of the k nearest rows that have the column; no such row: the column's mean.
 
     Distance: sqrt(p / present * sum of squares) over the coordinates that both rows have. Rows with equal profiles
     count as one donor with a multiplicity, and equal receivers are served once, so work depends on the number of
-    distinct profiles. Ties go to the smaller key of the profile. A column without any value raises.
+    distinct profiles, of which blocks meet in tasks; only k donors a cell leave a meeting. Ties go to the smaller key of the profile. A column without any value raises.
     """
     p = len(columns)
     counts = df.agg(*[F.count(c).alias(c) for c in columns], F.count("*").alias("_n")).first()
@@ -22,16 +27,22 @@ def knn_impute(df: DataFrame, columns, k: int = 5, key: str = "user_id", digits:
     means = df.agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
     kinds = df.groupBy(*columns).agg(F.count("*").alias("_times"), F.min(key).alias("_kind"))
     gaps = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
-    recv = kinds.where(gaps).select(F.col("_kind").alias("_rid"), *[F.col(c).alias(f"_r_{c}") for c in columns])
-    both = recv.crossJoin(kinds)  # distinct profiles of small integer codes, not rows
-    present = sum((F.col(c).isNotNull() & F.col(f"_r_{c}").isNotNull()).cast("int") for c in columns)
-    squares = sum(F.coalesce((F.col(c) - F.col(f"_r_{c}")) ** 2, F.lit(0.0)) for c in columns)
-    far = both.withColumn("_d", F.when(present > 0, F.sqrt(F.lit(float(p)) / present * squares))).where("_d is not null")
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_r_{c}").isNull().alias("gap"), F.col(c).alias("value")) for c in columns])
-    long = far.select("_rid", "_d", "_kind", "_times", F.explode(cells).alias("_c")).where("_c.gap and _c.value is not null")
-    w = Window.partitionBy("_rid", "_c.column").orderBy("_d", "_kind")
+    row = F.struct(F.col("_kind").cast("long").alias("kind"), F.col("_times").alias("times"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+    n = kinds.count()
+    blocks = lambda df, name: df.groupBy(F.pmod(F.xxhash64("_kind"), F.lit(max(1, -(-n // BLOCK)))).alias(name)).agg(F.collect_list(row).alias(f"rows_{name}"))
+    pairs = blocks(kinds.where(gaps), "a").crossJoin(blocks(kinds, "b")).select("rows_a", "rows_b")  # pairs of blocks
+
+    def nearest(batches):
+        for pdf in batches:
+            for xs, ys in zip(pdf["rows_a"], pdf["rows_b"], strict=True):
+                yield _donors(xs, sorted(ys, key=lambda r: r["kind"]), k, p)
+
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("c") + 1)
+    far = pairs.repartition(max(1, n // BLOCK + 1) ** 2).mapInPandas(nearest, "_rid bigint, c int, _d double, _kind bigint, _times bigint, value double")
+    w = Window.partitionBy("_rid", "c").orderBy("_d", "_kind")
+    near = far.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)  # k profiles hold k rows at least
     before = F.coalesce(F.sum("_times").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    used = long.withColumn("_used", F.least(F.col("_times"), F.lit(k) - before)).where("_used > 0")
+    used = near.withColumn("_used", F.least(F.col("_times"), F.lit(k) - before)).where("_used > 0").select("_rid", F.struct(names.alias("column"), "value").alias("_c"), "_used")
     filled = used.groupBy("_rid", F.col("_c.column").alias("column")).agg((F.sum(F.col("_c.value") * F.col("_used")) / F.sum("_used")).alias("value"))
     wide = filled.groupBy("_rid").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"_f_{c}") for c in columns])
     same = reduce(lambda a, b: a & b, [F.col(f"b.{c}").eqNullSafe(F.col(f"k.{c}")) for c in columns])
@@ -40,6 +51,27 @@ def knn_impute(df: DataFrame, columns, k: int = 5, key: str = "user_id", digits:
     return out.select(*keep, *[F.round(F.coalesce(c, f"_f_{c}", f"_mean_{c}"), digits).alias(c) for c in columns])
 
 
+def _donors(xs, ys, k: int, p: int) -> pd.DataFrame:
+    """For every missing cell of xs the k nearest of ys (in the order of their kinds) that have the column."""
+    out: list[tuple] = []
+    y = np.stack([np.array(r["v"], float) for r in ys])
+    have = ~np.isnan(y)
+    filled = np.where(have, y, 0.0)
+    for r in xs:
+        x = np.array(r["v"], float)
+        own = ~np.isnan(x)
+        both = have & own
+        present = both.sum(1)
+        squares = (np.where(both, filled - np.where(own, x, 0.0), 0.0) ** 2).sum(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = np.where(present > 0, np.sqrt(float(p) / present * squares), np.inf)
+        for c in np.flatnonzero(~own).tolist():
+            at = np.flatnonzero(have[:, c] & np.isfinite(d))
+            for i in at[np.argsort(d[at], kind="stable")[:k]].tolist():
+                out.append((r["kind"], c, d[i], ys[i]["kind"], ys[i]["times"], y[i, c]))
+    return pd.DataFrame(out, columns=["_rid", "c", "_d", "_kind", "_times", "value"])
+
+
 def median_impute(df: DataFrame, columns) -> DataFrame:
     row = df.agg(*[F.median(c).alias(c) for c in columns]).first()
     return df.fillna({c: row[c] for c in columns if row[c] is not None})
