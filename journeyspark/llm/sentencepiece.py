@@ -10,7 +10,6 @@ chunks, so equal chunks are searched once.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -109,10 +108,15 @@ class PieceModel:
         return out[1:] if out.startswith(" ") else out
 
 
-@lru_cache(maxsize=1)
+_MODELS: dict[tuple, PieceModel] = {}
+
+
 def piece_model(pieces: tuple) -> PieceModel:
     """One model for all tasks of a worker, with the chunks that it has searched."""
-    return PieceModel(pieces)
+    if pieces not in _MODELS:
+        _MODELS.clear()
+        _MODELS[pieces] = PieceModel(pieces)
+    return _MODELS[pieces]
 
 
 #: Stands for a mark of the text itself during the search: no piece holds it.
