@@ -235,10 +235,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     have no shingle, link with nothing and are their own component, as do documents with a null id (component null).
     Rows that repeat an id are one document with several texts: it links by any of them, and each row is returned.
 
-    Two passes over the groups: the first sees the points alone, and keeps the documents to which the bounds leave a
-    partner; the second gets the sets of those. Groups of more than `group_points` coordinates, or `group_values` shingles,
-    are cut into tiles, and every two tiles meet in a task of their own, so no task holds more than twice that,
-    however many documents share a shingle.
+    Members of a group first meet as sizes, then as points, and only those to which the bounds leave a partner bring
+    their sets: each to one of its groups, and again to groups that still hold several classes. Groups of more than
+    `group_points` coordinates, or `group_values` shingles, are cut into tiles, and every two tiles meet in a task of
+    their own, so no task holds more than twice that, however many documents share a shingle. `percent` is above 50.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
