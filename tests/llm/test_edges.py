@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from journeyspark.llm import jaccard_join, language_id, line_dedup, mixing, pii, quality_classifier, quality_rules, sentencepiece, sharding, topk_search
-from journeyspark.llm.common import table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 CLASHES = ("size", "places", "target", "source_size", "shard", "shard_depth", "shard_bytes", "n_bytes", "base", "spans", "lang_pred", "score", "token_ids", "n_tokens", "round_trip", "n_words", "kept", "content_share", "n_lines", "n_removed", "predicted", "_h", "_k", "h", "id", "n", "t", "fp", "node", "v", "key", "gone", "_gone", "_id", "_y", "_text", "hub", "tile")
