@@ -124,7 +124,7 @@ def feature_matrix(train: DataFrame, df: DataFrame, groups: dict[str, list[str]]
     """
     columns = [c for g in groups.values() for c in g]
     check_groups(columns, groups)
-    out = median = train.agg(*[F.median(c).alias(c) for c in columns]).first()
+    median = train.agg(*[F.median(c).alias(c) for c in columns]).first()
     filled = df.fillna({c: median[c] for c in columns if median[c] is not None})
     base = train.fillna({c: median[c] for c in columns if median[c] is not None})
     out = filled.withColumns({f"raw_{c}": F.col(c) for c in columns})

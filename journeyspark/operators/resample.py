@@ -28,7 +28,6 @@ def _synthesize(draws: DataFrame, rows: DataFrame, near: DataFrame, seed: int, y
     b = rows.select(F.col("id").alias("neighbour"), F.col("v").alias("vb"))
     g = uniform(seed, key, "gap")
     moved = picked.join(a, "base").join(b, "neighbour").withColumn("g", g)
-    v = F.transform(F.arrays_zip("va", "vb"), lambda p: p["va"])
     v = F.zip_with("va", F.zip_with("va", "vb", lambda x, z: (z - x)), lambda x, step: F.struct(x.alias("x"), step.alias("s")))
     return moved.select((-F.col("s") - 1 - F.col(y).cast("long") * 1_000_000_000).alias("id"), y, F.transform(v, lambda p: p["x"] + F.col("g") * p["s"]).alias("v"), "base", "neighbour")
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from journeyspark.contracts import TOUCH_CODES
-from journeyspark.functions.draws import uniform, uniform_sql
 from journeyspark.operators import clean, journey, prepare, profile
 from journeyspark.sources import dimensions, files
 
-from .tables import CLICKS, KEPT, PROFILE_COLUMNS, PROFILES, RAW_PROFILES, RUNS, clicks, raw_profiles, table
+from .tables import CLICKS, KEPT, PROFILE_COLUMNS, PROFILES, RUNS, clicks, raw_profiles, table
 
 Q: dict = {}
 COLS = list(PROFILE_COLUMNS)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from journeyspark.contracts import TOUCH_CODES
 from journeyspark.functions.draws import uniform
 
 
@@ -30,18 +31,14 @@ def journeys(spark: SparkSession, n: int, seed: int = 4242, repeat: float = 0.45
     """8 to 20 events for each of n users; a touch repeats the one before it with probability `repeat`."""
     u = lambda what: uniform(seed, F.concat_ws("-", "i", "e"), what)
     events = spark.range(n).select(F.col("id").alias("i")).withColumn("e", F.explode(F.sequence(F.lit(1), (F.lit(8) + F.floor(uniform(seed, F.col("i"), "events") * 13)).cast("int"))))
-    from journeyspark.contracts import TOUCH_CODES
-
     codes = F.array(*[F.lit(c) for c in TOUCH_CODES])
-    from pyspark.sql import Window
-
     w = Window.partitionBy("i").orderBy("e")
     new = (F.col("e") == 1) | (u("repeat") >= repeat)
     run = F.sum(new.cast("int")).over(w)
     touch = F.element_at(codes, (F.floor(uniform(seed, F.concat_ws("-", "i", "run"), "touch") * len(TOUCH_CODES)) + 1).cast("int"))
     minutes = F.sum((F.lit(3) + F.floor(u("gap") * 597)).cast("long")).over(w)
     return events.withColumn("run", run).select(
-        (F.col("i") + 100_000).alias("UserID"), F.expr("timestampadd(MINUTE, 0, timestamp'" + first + "')").alias("base"), minutes.alias("m"), touch.cast("int").alias("type_touch"),
+        (F.col("i") + 100_000).alias("UserID"), F.lit(first).cast("timestamp").alias("base"), minutes.alias("m"), touch.cast("int").alias("type_touch"),
         (1 + F.floor(u("duration") * 1799)).cast("double").alias("Duration"), F.when(u("device") < 0.4, "MOBILE").otherwise("FIXED").alias("DEVICE_TYPE"),
         (u("own") < 0.02).cast("int").alias("purchase_own"), (u("any") < 0.05).cast("int").alias("purchase_any"), "e",
     ).select("UserID", F.timestamp_seconds(F.unix_timestamp("base") + F.col("m") * 60).alias("TIMESPSS"), "type_touch", "Duration", "DEVICE_TYPE", "purchase_own", "purchase_any", (F.col("UserID") * 1000 + F.col("e")).alias("ord"))
