@@ -1,7 +1,9 @@
 """Line dedup by pairwise alignment.
 
 Documents that overlap are found by the hashes of the lines they share. A rare line pairs each document that
-holds it with every earlier one; a line that more documents hold pairs each with the first of them. The lines of
+holds it with every earlier one; a line that more documents hold pairs each with the first of them, and while it
+stands with the next, until it goes or no earlier holder is left. Lines of one document alone match nothing, so
+holders that are equal but for such lines align alike, and only the first of them is tried. The lines of
 each pair are aligned by patience diff: lines that occur once in both are matched along the longest common
 subsequence, matches grow over equal neighbours, and the gaps between are aligned the same way. Common blocks of
 enough words are deleted from the later document, so the first document with a line always keeps it.
@@ -12,8 +14,10 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, renamed, table, written
@@ -66,6 +70,19 @@ def _increasing(both: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def cues(lines: np.ndarray, sizes: np.ndarray, shared: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What pairs a document: hash, start and end (exclusive) of each shared line of `min_words` words."""
+    at = np.flatnonzero(shared & (sizes >= min_words))
+    return lines[at], at, at + 1
+
+
+def frame_of(lines: np.ndarray, shared: np.ndarray) -> bytes:
+    """A fingerprint of the shared lines in order, with a mark where others lie between: equal ones align alike with any other document."""
+    runs = np.split(np.where(shared, lines, 0), np.flatnonzero(shared[1:] != shared[:-1]) + 1)
+    flags = np.split(shared, np.flatnonzero(shared[1:] != shared[:-1]) + 1)
+    return xxhash.xxh3_128_digest(b"".join(b"\1" + len(r).to_bytes(8, "little") + r.tobytes() if f[0] else b"\0" for r, f in zip(runs, flags, strict=True)))
+
+
 def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Every document with its text less the aligned common blocks, and n_lines, n_removed (long: lines, lines deleted).
 
@@ -75,8 +92,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 4, text: str =
     rows that repeat both id and text of another stay as they are. All other columns stay; incoming n_lines and
     n_removed are replaced. An empty table gives an empty result.
 
-    Only hashes of lines are shuffled, and once the texts with their deletions. Each line adds a pair per holder
-    at most, besides the rare ones, so a line in a third of all documents stays linear in them.
+    Only hashes of lines are shuffled, and once the texts with their deletions. A line that more than `rare` frames
+    hold adds a pair per holder at first, so one in a third of all documents stays linear in them; later rounds, each
+    over more holders than the last, only have the lines that still stand.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     base, name, _ = renamed(docs, keep)
@@ -93,13 +111,31 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 4, text: str =
     single = rows.join(firsts, "th").where("id = first").select("id", "th", "hashes", "sizes").dropDuplicates(["id", "th"])
     single = written(single, "distinct-texts")
 
-    held = single.select("id", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("hashes", "sizes"), lambda x: x["sizes"] >= min_words), lambda x: x["hashes"]))).alias("h"))
-    shared = held.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first <> last")
-    holders = written(held.join(shared.select("h", "first", "n"), "h"), "holders")
-    common = holders.where("id <> first").select(F.col("first").alias("early"), F.col("id").alias("late"))
-    few = holders.where(F.col("n") <= rare)
-    close = few.select("h", F.col("id").alias("early")).join(few.select("h", F.col("id").alias("late")), "h").where("early < late").select("early", "late")
-    pairs = common.unionByName(close).distinct()
+    kind = rows.schema["id"].dataType.simpleString()
+    held = single.select("id", "th", F.explode(F.array_distinct("hashes")).alias("h"))
+    shared = held.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    mine = held.join(shared, "h").groupBy("id", "th").agg(F.collect_list("h").alias("shared"))
+
+    def framed(batches):
+        for batch in batches:
+            out = []
+            for x, n, own in zip(batch["hashes"].to_pylist(), batch["sizes"].to_pylist(), batch["shared"].to_pylist(), strict=True):
+                x, on = np.array(x, np.int64), set(own)
+                both = np.fromiter((h in on for h in x.tolist()), bool, len(x))
+                h, lo, hi = cues(x, np.array(n), both, min_words)
+                out.append((frame_of(x, both), [{"h": p, "lo": q, "hi": r} for p, q, r in zip(h.tolist(), lo.tolist(), hi.tolist(), strict=True)]))
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["th"], pa.array([f for f, _ in out], pa.binary()), pa.array([c for _, c in out], cue)], names=["id", "th", "frame", "cues"])
+
+    cue = pa.list_(pa.struct([("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
+    frames = written(single.join(mine, ["id", "th"]).select("id", "th", "hashes", "sizes", "shared").mapInArrow(framed, f"id {kind}, th bigint, frame binary, cues array<struct<h:bigint,lo:int,hi:int>>").where(F.size("cues") > 0), "frames")
+
+    # Of each cue the holders in order, one for each frame: the first of its documents.
+    leads = frames.groupBy("frame").agg(F.min("id").alias("id"))
+    places = frames.select("id", "th", F.inline("cues"))
+    many = places.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("h")
+    holds = frames.join(leads, ["frame", "id"]).select("id", F.inline("cues")).select("h", "id").distinct().join(many, "h")
+    ranks = written(holds.select("h", F.col("id").alias("early"), (F.row_number().over(Window.partitionBy("h").orderBy("id")) - 1).alias("rank")), "holders")
+    stands = written(places.join(ranks.groupBy("h").agg(F.count("*").cast("int").alias("n"), F.min("early").alias("first")), "h").where("id > first").drop("first"), "standing")
 
     early = single.select(F.col("id").alias("early"), F.col("hashes").alias("a"))
     late = single.select(F.col("id").alias("late"), "th", F.col("hashes").alias("b"), "sizes")
@@ -115,10 +151,24 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 4, text: str =
                 out.append(gone)
             yield pa.RecordBatch.from_arrays([batch["late"], batch["th"], pa.array(out, pa.list_(pa.int32()))], names=["id", "th", "gone"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    ready = pairs.join(late, "late").join(early, "early").select("late", "th", "a", "b", "sizes")
-    each = ready.mapInArrow(aligned, f"id {kind}, th bigint, gone array<int>").where(F.size("gone") > 0)
-    marks = each.select("id", "th", F.explode("gone").alias("line")).distinct().groupBy("id", "th").agg(F.collect_list("line").alias("gone"))
+    # Round by round: the next holders of what still stands. Cues of few holders have all of them in the first round.
+    lo, hi, tried, marks = 0, 1, None, None
+    while True:
+        upto = F.when(F.col("n") <= rare, F.col("n")).otherwise(F.lit(hi)) if lo == 0 else F.least("n", F.lit(hi))
+        turns = stands.select("h", F.col("id").alias("late"), "n").distinct().select("h", "late", F.explode(F.sequence(F.lit(lo), upto - 1)).alias("rank"))
+        pairs = turns.join(ranks, ["h", "rank"]).where("early < late").select("early", "late").distinct()
+        pairs = written(pairs.join(tried, ["early", "late"], "left_anti") if tried else pairs, "pairs")
+        ready = pairs.join(late, "late").join(early, "early").select("late", "th", "a", "b", "sizes")
+        each = ready.mapInArrow(aligned, f"id {kind}, th bigint, gone array<int>").where(F.size("gone") > 0)
+        each = each.unionByName(marks) if marks else each
+        marks = written(each.select("id", "th", F.explode("gone").alias("line")).distinct().groupBy("id", "th").agg(F.collect_list("line").alias("gone")), "aligned")
+        tried = tried.unionByName(pairs) if tried else pairs
+        more = stands.where(F.col("n") > (F.greatest(F.lit(rare), F.lit(hi)) if lo == 0 else F.lit(hi))).join(marks, ["id", "th"], "left")
+        kept = F.col("gone").isNull() | F.exists(F.sequence(F.col("lo"), F.col("hi") - 1), lambda i: ~F.array_contains("gone", i))
+        stands = written(more.where(kept).drop("gone"), "standing")
+        if stands.isEmpty():
+            break
+        lo, hi = hi, 8 * hi
     marks = written(marks.unionByName(whole), "deletions").select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
     marks = marks.dropDuplicates(["_id", "_th"])
 

@@ -206,6 +206,31 @@ def test_line_dedup_by_brute_force(spark):
     assert got == want and any(gone.values())
 
 
+def _all_pairs(docs):
+    """The texts that are left when each document is aligned with every earlier one."""
+    words, left = lambda x: len(x.encode().split()), {}
+    for i, t in docs:
+        own, gone = t.split("\n"), set()
+        for j, u in docs:
+            if j < i:
+                for _, b, n in line_dedup.patience_blocks(u.split("\n"), own):
+                    gone |= set(range(b, b + n)) if sum(map(words, own[b : b + n])) >= 8 else set()
+        left[i] = "\n".join(x for n, x in enumerate(own) if n not in gone)
+    return left
+
+
+def test_line_dedup_tries_every_holder(spark):
+    long = ["%s one two three four five six seven eight" % x for x in "abc"]
+    twice = [(0, f"{long[0]}\nx0\n{long[0]}"), (1, f"y1\n{long[0]}"), (2, f"{long[1]}\nq\n{long[2]}\nr\n{long[0]}")]
+    crossed = [(i, f"p{i}\n{long[0]}\ns{i}\n{long[1]}\nt{i}\n{long[2]}") for i in range(3, 8)]
+    again = [(i, f"u{i}\n{long[0]}\nv{i}\n{long[0]}\nw{i}") for i in range(8, 30)]
+    docs = twice + crossed + again
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == _all_pairs(docs) and got[3] == "p3\ns3\nt3"
+    lone = got[1], line_dedup.dedup_lines(spark.createDataFrame(docs[:4], "doc_id bigint, text string")).where("doc_id = 3").first().text
+    assert lone == (_all_pairs(docs)[1], got[3])  # more copies of a line change nothing
+
+
 def test_quality_on_held_out_documents(spark):
     rows = quality_classifier.op9_quality_classifier(spark, "/root/testdata/sf0.1").join(table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").where("held_out").collect()
     s, y = np.array([r.score for r in rows]), np.array([r.quality for r in rows])
