@@ -7,8 +7,8 @@ number, the @ of an address), so that the model learns the context rather than t
 
 Whole texts are scored in overlapping windows. A character's tag scores come from the window in which it is
 farthest from an edge, and one Viterbi pass over each run of windows reconciles them, so no span is cut at a
-window's edge. Every kind has a digit or an @ in it, and spans without one are dropped: windows that no such
-character is near cannot add a span, and are not computed.
+window's edge. Every span has a digit, an @ or one of the words and brackets that stand for it, and spans without
+one are dropped: windows that no such cue is near cannot add a span, and are not computed.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ PATTERNS = {
 }
 DIGITS = re.compile(r"[0-9]")
 CUE = re.compile(r"[0-9@]")
+AT = r"@|\(at\)|\[at\]| at "
+HINT = re.compile(rf"[0-9]|{AT}| dot ")
 WINDOW, STEP, NEAR = 64, 32, 24
 
 
@@ -228,9 +230,9 @@ def tags_of(n: int, spans: list[tuple[str, int, int]]) -> np.ndarray:
 
 
 def runs_near_cues(text: str) -> list[tuple[int, int]]:
-    """Stretches that hold every digit and @ of the text with NEAR characters on either side."""
+    """Stretches that hold every digit, @ and stand-in for it of the text with NEAR characters on either side."""
     out: list[list[int]] = []
-    for m in re.finditer(r"[0-9@](?:[^\n]{0,8}[0-9@])*", text):
+    for m in HINT.finditer(text):
         a, b = max(0, m.start() - NEAR), min(len(text), m.end() + NEAR)
         if out and a <= out[-1][1]:
             out[-1][1] = b
@@ -299,7 +301,7 @@ def tagged_spans(model: BiLstmCrf | None, texts: list[str | None], batch: int =
                 left = 0 if lo == 0 else STEP // 2  # the inner half, where the next or last window is no better
                 scored[r][lo + left : lo + len(c)] = e[left : len(c)]
         for (i, a, _), e in zip(some, scored, strict=True):
-            out[i] += [(k, x + a, y + a) for k, x, y in spans_of(model.decode(e)) if CUE.search(texts[i], x + a, y + a)]
+            out[i] += [(k, x + a, y + a) for k, x, y in spans_of(model.decode(e)) if HINT.search(texts[i], x + a, y + a)]
     return out
 
 
@@ -337,7 +339,7 @@ def plausible(kind: str, found: str) -> bool:
     if kind == "ip":
         parts = re.findall(r"[0-9]+", found)
         return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts)
-    return bool(re.search(r"[A-Za-z0-9]\s?(@|\(at\)|\[at\]| at )\s?[A-Za-z0-9-]+\s?(\.| dot )\s?[A-Za-z0-9]", found))
+    return bool(re.search(rf"[A-Za-z0-9]\s?({AT})\s?[A-Za-z0-9-]+\s?(\.| dot )\s?[A-Za-z0-9]", found))
 
 
 def united(base: list[tuple[str, int, int]], added: list[tuple[str, int, int]], text: str | None) -> list[tuple[str, int, int]]:

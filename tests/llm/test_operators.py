@@ -110,6 +110,18 @@ def test_tagger_finds_what_the_patterns_miss(spark):
     assert not any(pii.tagged_spans(model, clean))
 
 
+def test_addresses_without_at_sign_or_digit(spark):
+    docs = [(i, f"so please write to {a}{s}{b}.org about the next meeting") for i, (a, b, s) in enumerate(itertools.product(("jane.doe", "mark.lee", "ann.fox"), ("example", "river", "house"), ("@", " at ")))]
+    model = pii.fit_tagger(spark.createDataFrame([(100 * j + i, t) for j in range(20) for i, t in docs if "@" in t], "doc_id bigint, text string"))
+    text = "so please write to jane.doe at example.org about the next meeting"
+    (found,) = pii.united([], pii.tagged_spans(model, [text])[0], text)
+    assert found[0] == "email" and " at example" in text[found[1] : found[2]]
+    for mark in (" at ", "(at)", " [at] "):
+        far = "x" * 90
+        runs = pii.runs_near_cues(f"{far} jane.doe{mark}example dot org {far}")
+        assert len(runs) == 1 and runs[0][0] <= 91 and runs[0][1] >= 91 + len(f"jane.doe{mark}example dot org")
+
+
 def test_language_on_held_out_documents(spark):
     d = table(spark, MIDDLE, "documents")
     got = language_id.op4_language_id(spark, MIDDLE).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
