@@ -1,7 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Documents that overlap are found by the hashes of the lines they share. A rare line pairs each document that
-holds it with every earlier one; a line that more documents hold pairs each with the first of them, and while it
+Documents that overlap are found by the hashes of the lines they share: of runs of lines that just reach enough words,
+a long line alone being one. A rare run pairs each document that
+holds it with every earlier one; a run that more documents hold pairs each with the first of them, and while it
 stands with the next, until it goes or no earlier holder is left. Lines of one document alone match nothing, so
 holders that are equal but for such lines align alike, and only the first of them is tried. The lines of
 each pair are aligned by patience diff: lines that occur once in both are matched along the longest common
@@ -71,9 +72,27 @@ def _increasing(both: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def cues(lines: np.ndarray, sizes: np.ndarray, shared: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What pairs a document: hash, start and end (exclusive) of each shared line of `min_words` words."""
-    at = np.flatnonzero(shared & (sizes >= min_words))
-    return lines[at], at, at + 1
+    """What pairs a document: hash, start and end (exclusive) of runs of shared lines that just reach `min_words` words.
+
+    One run goes forward from each line and one back from each, so every line of a common block with that many words
+    is in a run that lies in the block. Equal hashes of other runs only add pairs.
+    """
+    n, total = len(lines), np.concatenate([[0], np.cumsum(sizes)])
+    other = np.concatenate([[0], np.cumsum(~shared)])
+    at = np.arange(n)
+    ahead = np.maximum(np.searchsorted(total, total[:-1] + min_words), at + 1)
+    back = np.minimum(np.searchsorted(total, total[1:] - min_words, "right") - 1, at)
+    lo, hi = np.concatenate([at, back]), np.concatenate([ahead, at + 1])
+    on = (lo >= 0) & (hi <= n)
+    lo, hi = np.unique(np.stack([lo[on], hi[on]]), axis=1)
+    on = other[lo] == other[hi]
+    lo, hi = lo[on], hi[on]
+    power, inverse = (np.cumprod(np.full(n + 1, x, np.uint64)) for x in (ODD, pow(ODD, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines.view(np.uint64) * power[:n])])
+    return ((sums[hi] - sums[lo]) * inverse[lo]).view(np.int64), lo, hi
+
+
+ODD = 0x9E3779B97F4A7C15
 
 
 def frame_of(lines: np.ndarray, shared: np.ndarray) -> bytes:
@@ -86,8 +105,8 @@ def frame_of(lines: np.ndarray, shared: np.ndarray) -> bytes:
 def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Every document with its text less the aligned common blocks, and n_lines, n_removed (long: lines, lines deleted).
 
-    Earlier means a smaller id. A block goes if it has at least `min_words` words; lines of fewer words don't pair
-    documents but go along inside a block. Equal texts align as one block, so all but the first of them lose all
+    Earlier means a smaller id. A block goes if it has at least `min_words` words, in one line or in
+    several. Equal texts align as one block, so all but the first of them lose all
     lines (their text becomes empty) if they have that many words. Documents with a null id or text, empty texts and
     rows that repeat both id and text of another stay as they are. All other columns stay; incoming n_lines and
     n_removed are replaced. An empty table gives an empty result.

@@ -243,6 +243,14 @@ def test_line_dedup_tries_every_holder(spark):
     assert lone == (_all_pairs(docs)[1], got[3])  # more copies of a line change nothing
 
 
+def test_line_dedup_finds_runs_of_short_lines(spark):
+    rng, short = random.Random(5), [f"a{i} b c" for i in range(9)] + [""]
+    docs = [(0, "x\n" + "\n".join(short) + "\ny"), (1, "p\n" + "\n".join(short) + "\nq")]
+    docs += [(i, "\n".join([f"only{i}", *(rng.choice(short) for _ in range(rng.randint(1, 9)))])) for i in range(2, 40)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == _all_pairs(docs) and got[1] == "p\nq"
+
+
 def test_quality_on_held_out_documents(spark):
     rows = quality_classifier.op9_quality_classifier(spark, "/root/testdata/sf0.1").join(table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").where("held_out").collect()
     s, y = np.array([r.score for r in rows]), np.array([r.quality for r in rows])
