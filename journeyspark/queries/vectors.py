@@ -153,7 +153,7 @@ def eps_percentiles(s, d):
 
 @q()
 def knee_eps(s, d):
-    return _round(cluster.knee(cluster.k_distances(vecs(s, d), 10)), "eps")
+    return _round(cluster.knee(cluster.k_distances(vecs(s, d, None), 10)), "eps")
 
 
 _EPS, _MIN = 0.25, 8
@@ -222,22 +222,22 @@ def affinity_footprint(s, d):
 
 @q()
 def kmeans_segments(s, d):
-    return cluster.kmeans(vecs(s, d), 3, range(2)).groupBy("label").agg(F.count("*").alias("n"))
+    return cluster.kmeans(vecs(s, d, None), 3, range(2)).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @q()
 def spectral_segments(s, d):
-    return cluster.spectral(vecs(s, d), 3, 1.0, 150, seeds=range(2)).groupBy("label").agg(F.count("*").alias("n"))
+    return cluster.spectral(vecs(s, d, None), 3, 1.0, 150, seeds=range(2)).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @q()
 def k_probe(s, d):
-    return cluster.k_probe(vecs(s, d), (2, 3), range(2))
+    return cluster.k_probe(vecs(s, d, None), (2, 3), range(2))
 
 
 @q()
 def pca_projection(s, d):
-    return cluster.project(vecs(s, d))
+    return cluster.project(vecs(s, d, None))
 
 
 # Predictions: the label, wrong where a hash says so, with probabilities that lean to it.
@@ -368,7 +368,7 @@ def backoff_rank(s, d):
 
 @q()
 def logistic_holdout(s, d):
-    h = splits.holdout(vecs(s, d), "y", "id").withColumn("y", F.col("y").cast("string"))
+    h = splits.holdout(vecs(s, d, None), "y", "id").withColumn("y", F.col("y").cast("string"))
     model = models.fit(models.Candidate("logistic", models.ROSTER["logistic"].make), h.where("not is_test"))
     pred, labels = models.predict(model, h.where("is_test"))
     return pred.select("id", "y_true", "y_pred", F.round(F.array_max("probs"), 3).alias("top_prob"))
@@ -400,13 +400,13 @@ def permutation_importance(s, d):
 
 @q()
 def eps_selection(s, d):
-    v = vecs(s, d)
+    v = vecs(s, d, None)
     got = cluster.select_eps(v, [r["eps"] for r in cluster.eps_candidates(cluster.k_distances(v, 8), (70, 80, 90)).collect()], 8)
     return v.limit(1).select(F.lit(got["eps"]).alias("eps"), F.lit(got["clusters"]).alias("clusters"), F.lit(got["noise"]).alias("noise"), F.lit(got["cores"]).alias("cores"))
 
 
 @q()
 def forest_search(s, d):
-    p = splits.three_way(vecs(s, d), "y", "id").withColumn("y", F.col("y").cast("string"))
+    p = splits.three_way(vecs(s, d, None), "y", "id").withColumn("y", F.col("y").cast("string"))
     got = search.random_search(p.where("part = 'train'").drop("part"), p.where("part = 'val'").drop("part"), 2, knobs={"numTrees": (10, 20), "maxDepth": (3, 5)})
     return s.createDataFrame([(r["name"], float(r["f1_macro"])) for r in got], "name string, f1_macro double")

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from journeyspark.queries import registry
+from journeyspark.queries import registry, vectors
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -54,3 +54,17 @@ def test_partitions_do_not_matter(spark, duck, name):
         seen.append(sorted(map(tuple, registry.queries()[name](spark, DATA).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert seen[0] == seen[1] == seen[2]
+
+
+@pytest.mark.parametrize("name", ["knee_eps", "kmeans_segments", "spectral_segments", "k_probe", "pca_projection", "logistic_holdout", "eps_selection", "forest_search"])
+def test_whole_embeddings_without_sql(monkeypatch, name):
+    dims = []
+
+    def asked(s, d, dim=vectors.DIM):
+        dims.append(dim)
+        raise StopIteration
+
+    monkeypatch.setattr(vectors, "vecs", asked)
+    with pytest.raises(StopIteration):
+        vectors.Q[name][0](None, None)
+    assert dims == [None] and vectors.Q[name][1] is None
