@@ -222,17 +222,17 @@ def affinity_footprint(s, d):
 
 @q()
 def kmeans_segments(s, d):
-    return cluster.kmeans(vecs(s, d, None), 3, range(2)).groupBy("label").agg(F.count("*").alias("n"))
+    return cluster.kmeans(vecs(s, d, None), 3).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @q()
 def spectral_segments(s, d):
-    return cluster.spectral(vecs(s, d, None), 3, 1.0, 150, seeds=range(2)).groupBy("label").agg(F.count("*").alias("n"))
+    return cluster.spectral(vecs(s, d, None), 3).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @q()
 def k_probe(s, d):
-    return cluster.k_probe(vecs(s, d, None), (2, 3), range(2))
+    return cluster.k_probe(vecs(s, d, None))
 
 
 @q()
@@ -401,12 +401,12 @@ def permutation_importance(s, d):
 @q()
 def eps_selection(s, d):
     v = vecs(s, d, None)
-    got = cluster.select_eps(v, [r["eps"] for r in cluster.eps_candidates(cluster.k_distances(v, 8), (70, 80, 90)).collect()], 8)
+    got = cluster.select_eps(v, [r["eps"] for r in cluster.eps_candidates(cluster.k_distances(v, 8)).collect()], 8)
     return v.limit(1).select(F.lit(got["eps"]).alias("eps"), F.lit(got["clusters"]).alias("clusters"), F.lit(got["noise"]).alias("noise"), F.lit(got["cores"]).alias("cores"))
 
 
 @q()
 def forest_search(s, d):
     p = splits.three_way(vecs(s, d, None), "y", "id").withColumn("y", F.col("y").cast("string"))
-    got = search.random_search(p.where("part = 'train'").drop("part"), p.where("part = 'val'").drop("part"), 2, knobs={"numTrees": (10, 20), "maxDepth": (3, 5)})
+    got = search.random_search(p.where("part = 'train'").drop("part"), p.where("part = 'val'").drop("part"))
     return s.createDataFrame([(r["name"], float(r["f1_macro"])) for r in got], "name string, f1_macro double")

@@ -68,3 +68,17 @@ def test_whole_embeddings_without_sql(monkeypatch, name):
     with pytest.raises(StopIteration):
         vectors.Q[name][0](None, None)
     assert dims == [None] and vectors.Q[name][1] is None
+
+
+@pytest.mark.parametrize(("name", "module", "operator", "given"), [("k_probe", vectors.cluster, "k_probe", 1), ("kmeans_segments", vectors.cluster, "kmeans", 2), ("spectral_segments", vectors.cluster, "spectral", 2), ("forest_search", vectors.search, "random_search", 2), ("eps_selection", vectors.cluster, "eps_candidates", 1)])
+def test_operators_own_defaults(spark, monkeypatch, name, module, operator, given):
+    seen = []
+
+    def asked(*args, **named):
+        seen.append((len(args), named))
+        raise StopIteration
+
+    monkeypatch.setattr(module, operator, asked)
+    with pytest.raises(StopIteration):
+        vectors.Q[name][0](spark, DATA)
+    assert seen == [(given, {})]
