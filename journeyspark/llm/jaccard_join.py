@@ -329,6 +329,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     # still hold several classes.
     own_group = close.groupBy("node").agg(F.min("hub").alias("chosen"))
     some = links(own_group.withColumnRenamed("chosen", "hub"))
+    texts = rows.where("n > 0 and id is not null").select("id", "fp")
+    several = texts.groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("id")
+    own_nodes = texts.join(several, "id").join(nodes, "fp").select("id", "node").distinct()
+    bound = own_nodes.join(own_nodes.groupBy("id").agg(F.min("node").alias("a")), "id").where("a <> node").select("a", F.col("node").alias("b"))
+    some = written(some.unionByName(bound), "links")  # the texts of one id are one document
     found = components(some)
     known = close.join(own_group, "node").join(found, "node", "left").select("hub", F.coalesce("component", "node").alias("c"), (F.col("chosen") == F.col("hub")).alias("seen"))
     open_ = known.groupBy("hub").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min("seen").alias("whole")).where("least <> most and not whole").select("hub")

@@ -291,6 +291,13 @@ def test_classes_by_brute_force(spark, k, percent):
         assert all(got[i].n_shingles == len(sets[i]) for i in sets)
 
 
+def test_one_id_joins_the_sets_of_its_texts(spark):
+    a, b = "one two three four five six seven", "red green blue white black brown pink"
+    docs = spark.createDataFrame([(3, a), (4, b), (5, a), (5, b), (6, "some other words that stand alone")], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_classes(docs, k=3, percent=90).collect())
+    assert got == [(3, 3), (4, 3), (5, 3), (5, 3), (6, 6)]
+
+
 def test_bounds_never_lose_a_pair():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 4000, rng.integers(5, 400))) for _ in range(120)]
