@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space (`bytes.split()` cuts at the same six characters).
@@ -62,21 +61,37 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def bounded_sample(docs: DataFrame, marks: DataFrame, rows: dict, text: str, doc_id: str, seed: str) -> DataFrame:
-    """(_id, _y, _text) of at most rows[y] documents of each mark y, the same on every run.
+def bounded_sample(docs: DataFrame, marks: DataFrame, each: int, text: str, doc_id: str, seed: str) -> DataFrame:
+    """(_id, the marks' columns, _text) of at most `each` documents of every mark _y, the same on every run.
 
-    marks: (_id, _y). Chosen are the ids with the smallest hashes; only ids are sorted, and the chosen ones, whose
-    number `rows` bounds, are broadcast to a scan of the texts.
+    marks: (_id, _y, any others). Chosen are the ids with the smallest hashes; only ids are sorted, and the chosen ones,
+    whose number is bounded, are broadcast to a scan of the texts. An id with several marks takes the least of each
+    column, and an id with several texts the one with the least hash, so no id brings more than one row.
     """
-    ids = docs.select(F.col(doc_id).alias("_id")).join(marks, "_id").dropDuplicates(["_id"])
-    h = F.xxhash64(F.lit(seed), "_id")
-    parts = [ids.where(F.col("_y") == y).orderBy(h, "_id").limit(n) for y, n in rows.items()]
-    few = reduce(DataFrame.unionByName, parts)
-    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_text is not null").join(F.broadcast(few), "_id")
+    own = marks.where("_id is not null").groupBy("_id").agg(*[F.min(c).alias(c) for c in marks.columns if c != "_id"])
+    ids = docs.select(F.col(doc_id).alias("_id")).distinct().join(own, "_id")
+    first = F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64(F.lit(seed), "_id"), "_id"))
+    few = ids.withColumn("_rank", first).where(F.col("_rank") <= each).drop("_rank")
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_text is not null").join(F.broadcast(few), "_id")
+    return texts.groupBy(*few.columns).agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def ranked(df: DataFrame, key: str | None, order: str, name: str) -> DataFrame:
+    """df with _at: 0, 1, … by `order` among the rows of each key (of all, without one), whatever a key's share of the rows.
+
+    Rows are cut into ranges of (key, order) and numbered in each; what earlier ranges hold of a key is added. `order`
+    must not repeat within a key.
+    """
+    by = [key] if key else []
+    cut = written(df.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()), name)
+    held = cut.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(order)) - 1
+    keep = held.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_of"), before.alias("_before"))
+    same = F.col("_part") == F.col("_of")
+    for c in by:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return cut.withColumn("_inside", inside).join(keep, same).select(*df.columns, (F.col("_before") + F.col("_inside")).alias("_at"))
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -167,7 +167,7 @@ def frequent_shingles(docs: DataFrame, k: int, text: str, doc_id: str, sample: i
     The order decides how many documents meet in a group, never which pairs are found, so a sample does.
     """
     ids = docs.select(F.col(doc_id).alias("_id"), F.lit(0).alias("_y"))
-    few = bounded_sample(docs, ids, {0: sample}, text, doc_id, "order")
+    few = bounded_sample(docs, ids, sample, text, doc_id, "order")
 
     def each(batches):
         for b in batches:

@@ -85,7 +85,7 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_i
         raise ValueError(f"more than {max_langs} languages")
     if not langs:
         return BackoffModel.from_counts([], {}, [{} for _ in range(LONGEST)])
-    few = bounded_sample(docs, base, dict.fromkeys(langs, docs_per_lang), text, doc_id, "lang")
+    few = bounded_sample(docs, base, docs_per_lang, text, doc_id, "lang")
 
     def counted(batches):
         for b in batches:

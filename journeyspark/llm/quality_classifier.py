@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, bucket_of, shipped, sigmoid, table
+from .common import bounded_sample, bucket_of, mix64, shipped, sigmoid, table
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Shares of tokens are small; this brings the features of a text to a useful size.
@@ -73,24 +73,27 @@ class FtrlModel:
         return float(sigmoid(self.bias + (SCALE * 2.0 * float(self.weights[at].mean()) if len(at) else 0.0)))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", max_docs: int = 6000, bits: int = 18, epochs: int = 3) -> FtrlModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", max_docs: int = 6000, max_features: int = 20_000, bits: int = 18, epochs: int = 3) -> FtrlModel:
     """Learn `label` (0 or 1) from at most `max_docs` labelled documents, chosen by a hash of their ids.
 
-    Tasks hash the sampled texts; the driver gets the sparse rows and runs the updates in order of the hash.
-    Without labels the model scores every text 0.5.
+    Tasks hash the sampled texts; the driver gets the sparse rows, at most `max_features` features of a training
+    document (those with the least hashes, of a longer one), and runs the updates in order of the ids' hash.
+    Ids may be of any type; an id with several labels has the least of them. Without labels the model scores every text 0.5.
     """
     marks = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.lit(0).alias("_y"), F.col(label).alias("_label"))
-    known = bounded_sample(docs, marks, {0: max_docs}, text, doc_id, "ftrl")
+    known = bounded_sample(docs, marks, max_docs, text, doc_id, "ftrl")
 
     def rows(batches):
         for b in batches:
             out = []
             for t in b["_text"].to_pylist():
                 at, n = np.unique(hashed(t, bits), return_counts=True)
-                out.append((at.tolist(), (n * (SCALE * 2.0 / max(1, n.sum()))).tolist()))
-            yield pa.RecordBatch.from_pydict({"i": pa.array([i for i, _ in out], pa.list_(pa.int32())), "x": pa.array([x for _, x in out], pa.list_(pa.float32())), "y": b["_label"].cast(pa.int32()), "id": b["_id"].cast(pa.int64())})
+                x = n * (SCALE * 2.0 / max(1, n.sum()))
+                few = np.argsort(mix64(at.astype(np.uint64)))[:max_features] if len(at) > max_features else slice(None)
+                out.append((at[few].tolist(), x[few].tolist()))
+            yield pa.RecordBatch.from_pydict({"i": pa.array([i for i, _ in out], pa.list_(pa.int32())), "x": pa.array([x for _, x in out], pa.list_(pa.float32())), "y": b["_label"].cast(pa.int32()), "h": b["_h"]})
 
-    got = known.mapInArrow(rows, "i array<int>, x array<float>, y int, id bigint").orderBy(F.xxhash64("id"), "id").toArrow()
+    got = known.withColumn("_h", F.xxhash64("_id")).mapInArrow(rows, "i array<int>, x array<float>, y int, h bigint").orderBy("h").toArrow()
     data = [(i.values.to_numpy().astype(np.int64), x.values.to_numpy().astype(float), y) for i, x, y in zip(got["i"], got["x"], got["y"].to_pylist(), strict=True)]
     return FtrlModel(bits).fit(data, epochs)
 

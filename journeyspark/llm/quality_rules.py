@@ -5,7 +5,10 @@ document (features of the line, and of which label follows which) is fitted in n
 its exact log-likelihood; Viterbi decoding labels the lines, and the share of words in content lines decides
 whether the document stays.
 
-Line labels do not exist in the tables, so a training document lends its quality label to its lines.
+The tables label documents, not lines, so line labels are latent. At first a training document lends its label to its
+lines. Training sequences are runs of lines of one document, and runs spliced from documents of both labels, from which
+the field learns how labels change inside a text. The fitted field then labels the training lines anew; a document
+keeps its new line labels where their content share agrees with the document's label, and the field is fitted again.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, table
@@ -84,45 +87,45 @@ class LineCrf:
         self.emit = np.zeros((2, N_FEATURES)) if emit is None else emit
         self.move = np.zeros((2, 2)) if move is None else move
 
-    def fit(self, docs: list[np.ndarray], labels: list[int], steps: int = 120, rate: float = 0.15, l2: float = 1e-3, longest: int = 64) -> "LineCrf":
-        """Gradient ascent (Adam) on the log-likelihood, all sequences at once, cut into runs of `longest` lines."""
-        runs = [(d[i : i + longest], y) for d, y in zip(docs, labels, strict=True) for i in range(0, len(d), longest)]
-        if len({y for _, y in runs}) < 2:
+    def fit(self, runs: list[tuple[np.ndarray, np.ndarray, float]], steps: int = 120, rate: float = 0.15, l2: float = 1e-3) -> "LineCrf":
+        """Gradient ascent (Adam) on the log-likelihood of runs (features of the lines, their labels, weight), all at once."""
+        if len({int(y) for _, labels, _ in runs for y in labels}) < 2:
             return self
-        n, t = len(runs), max(len(d) for d, _ in runs)
-        x, on, gold = np.zeros((n, t, N_FEATURES)), np.zeros((n, t), bool), np.zeros(n, int)
-        for i, (d, y) in enumerate(runs):
-            x[i, : len(d)], on[i, : len(d)], gold[i] = d, True, y
-        # Each document counts once, and both labels have the same weight in all.
-        weight = np.where(gold == 1, 1.0 / max(1, (gold == 1).sum()), 1.0 / max(1, (gold == 0).sum())) / np.maximum(1, on.sum(1))
-        both = on[:, 1:] & on[:, :-1]
-        want_emit = np.stack([np.einsum("n,ntf->f", weight * (gold == k), x) for k in (0, 1)])
-        want_move = np.zeros((2, 2))
-        for k in (0, 1):
-            want_move[k, k] = (weight * (gold == k) * both.sum(1)).sum()
+        total = sum(w for _, _, w in runs)
+        groups: dict[int, list] = {}
+        for run in runs:  # runs of about the same length are padded together
+            groups.setdefault(-(-len(run[0]) // 8), []).append(run)
+        lots = [_padded(own, total) for own in groups.values()]
+        want_emit = sum(np.stack([np.einsum("nt,ntf->f", weight * (gold == k), x) for k in (0, 1)]) for x, gold, weight in lots)
+        pairs = lambda gold, weight, j, k: (weight[:, 1:] * (gold[:, :-1] == j) * (gold[:, 1:] == k)).sum()
+        want_move = np.array([[sum(pairs(gold, weight, j, k) for _, gold, weight in lots) for k in (0, 1)] for j in (0, 1)])
         m = [np.zeros_like(self.emit), np.zeros_like(self.move)]
         v = [np.zeros_like(self.emit), np.zeros_like(self.move)]
         for step in range(1, steps + 1):
-            score = x @ self.emit.T
-            fwd, bwd = np.zeros((n, t, 2)), np.zeros((n, t, 2))
-            fwd[:, 0] = score[:, 0]
-            for i in range(1, t):
-                new = np.logaddexp(fwd[:, i - 1, 0, None] + self.move[0], fwd[:, i - 1, 1, None] + self.move[1]) + score[:, i]
-                fwd[:, i] = np.where(on[:, i, None], new, fwd[:, i - 1])
-            for i in range(t - 2, -1, -1):
-                ahead = score[:, i + 1] + bwd[:, i + 1]
-                new = np.logaddexp(ahead[:, 0, None] + self.move[:, 0], ahead[:, 1, None] + self.move[:, 1])
-                bwd[:, i] = np.where(on[:, i + 1, None], new, 0.0)
-            z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
-            p = np.exp(fwd + bwd - z[:, None, None]) * (on * weight[:, None])[..., None]
-            pair = np.exp(fwd[:, :-1, :, None] + self.move + (score + bwd)[:, 1:, None, :] - z[:, None, None, None]) * (both * weight[:, None])[..., None, None]
-            grads = [want_emit - np.einsum("ntk,ntf->kf", p, x) - l2 * self.emit, want_move - pair.sum((0, 1)) - l2 * self.move]
+            got = [self._expected(x, weight) for x, _, weight in lots]
+            grads = [want_emit - sum(e for e, _ in got) - l2 * self.emit, want_move - sum(p for _, p in got) - l2 * self.move]
             for j, (param, g) in enumerate(zip((self.emit, self.move), grads, strict=True)):
                 m[j] = 0.9 * m[j] + 0.1 * g
                 v[j] = 0.99 * v[j] + 0.01 * g * g
                 param += rate * (m[j] / (1 - 0.9**step)) / (np.sqrt(v[j] / (1 - 0.99**step)) + 1e-8)
         return self
 
+    def _expected(self, x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected feature sums by label and label pairs, from forward and backward sums that are scaled to one at each line."""
+        score = x @ self.emit.T
+        emit, move, on = np.exp(score - score.max(2, keepdims=True)), np.exp(self.move - self.move.max()), weight > 0
+        fwd, bwd, scale = np.empty_like(emit), np.ones_like(emit), np.ones((*weight.shape, 1))
+        fwd[:, 0] = emit[:, 0] / emit[:, 0].sum(1, keepdims=True)
+        for i in range(1, x.shape[1]):
+            new = (fwd[:, i - 1] @ move) * emit[:, i]
+            scale[:, i] = new.sum(1, keepdims=True)
+            fwd[:, i] = new / scale[:, i]
+        for i in range(x.shape[1] - 2, -1, -1):
+            bwd[:, i] = np.where(on[:, i + 1, None], (emit[:, i + 1] * bwd[:, i + 1]) @ move.T / scale[:, i + 1], 1.0)
+        p = fwd * bwd * weight[..., None]
+        ahead = (emit * bwd / scale * weight[..., None])[:, 1:]
+        return p.reshape(-1, 2).T @ x.reshape(-1, x.shape[2]), move * (fwd[:, :-1].reshape(-1, 2).T @ ahead.reshape(-1, 2))
+
     def decode(self, feats: np.ndarray) -> list[int]:
         """The likeliest labels of a document's lines (Viterbi); ties go to content."""
         score = (feats @ self.emit.T).tolist()
@@ -139,22 +142,73 @@ class LineCrf:
         return out[::-1]
 
 
-def fit_lines(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_docs: int = 4000) -> LineCrf:
-    """Fit on at most `max_docs` labelled documents, half of each quality; without both kinds, no line is boilerplate.
-
-    Tasks turn the sampled texts into line features; the driver gets those numbers of `max_docs` documents only.
+def _padded(runs: list[tuple[np.ndarray, np.ndarray, float]], total: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features (n, t, features), labels and weights of the lines (n, t); weights beyond a run's end are 0."""
+    n, t = len(runs), max(len(d) for d, _, _ in runs)
+    x, gold, weight = np.zeros((n, t, N_FEATURES)), np.zeros((n, t), int), np.zeros((n, t))
+    for i, (d, y, w) in enumerate(runs):
+        x[i, : len(d)], gold[i, : len(d)], weight[i, : len(d)] = d, y, w / len(d) / total
+    return x, gold, weight
+
+
+def spliced(content: list, junk: list, n: int, longest: int, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """n runs made of two or three pieces, in turn from runs (features, labels) of either list."""
+    rng, out = np.random.default_rng(seed), []
+    for i in range(n):
+        parts = []
+        for j in range(2 + i % 2):
+            own = (content, junk)[(i // 2 + j) % 2]
+            x, y = own[rng.integers(len(own))]
+            m = int(rng.integers(1, min(len(x), longest // 3) + 1))
+            lo = int(rng.integers(0, len(x) - m + 1))
+            parts.append((x[lo : lo + m], y[lo : lo + m]))
+        out.append((np.concatenate([p for p, _ in parts]), np.concatenate([q for _, q in parts])))
+    return out
+
+
+def train_field(runs: list[tuple[np.ndarray, np.ndarray, int]], longest: int = 64, rounds: int = 2, least: float = 0.5) -> LineCrf:
+    """The field for runs (features, words per line, the document's label): labels lent at first, then found anew within what the document's label allows."""
+    model = LineCrf()
+    if len({y for _, _, y in runs}) < 2:
+        return model
+    labels = [np.full(len(x), y) for x, _, y in runs]
+    for turn in range(rounds):
+        if turn:
+            for i, (x, n, y) in enumerate(runs):
+                found = np.array(model.decode(x))
+                if (n @ found >= least * n.sum()) == (y == 1):
+                    labels[i] = found
+        kinds = [[(x, own) for (x, _, z), own in zip(runs, labels, strict=True) if z == y] for y in (0, 1)]
+        mixed = spliced(kinds[1], kinds[0], len(runs) // 2, longest)
+        # The three kinds of sequences have the same weight in all.
+        model = LineCrf().fit([(x, y, 1.0 / len(own)) for own in (*kinds, mixed) for x, y in own])
+    return model
+
+
+def fit_lines(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_docs: int = 4000, longest: int = 64) -> LineCrf:
+    """Fit on at most `max_docs` runs of up to `longest` lines from as many labelled documents, half of each quality.
+
+    Tasks turn the sampled texts into line features; the driver gets those numbers only, whatever the texts' lengths:
+    of the runs of a longer text each may be chosen. Without documents of both kinds, no line is boilerplate.
+    An id with several labels has the least of them, and null ids and labels teach nothing.
     """
-    marks = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y"))
-    few = bounded_sample(docs, marks, {0: max_docs // 2, 1: max_docs // 2}, text, doc_id, "lines")
+    marks = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y"))
+    few = bounded_sample(docs, marks, max_docs // 2, text, doc_id, "lines").select(F.xxhash64("_id").alias("_h"), "_y", "_text")
 
     def numbers(batches):
         for b in batches:
-            out = [(y, np.array(f, np.float32).ravel().tolist()) for y, (_, f, _) in zip(b["_y"].to_pylist(), map(measure, b["_text"].to_pylist()), strict=True)]
-            yield pa.RecordBatch.from_pydict({"y": pa.array([y for y, _ in out], pa.int32()), "f": pa.array([f for _, f in out], pa.list_(pa.float32()))})
-
-    rows = few.mapInArrow(numbers, "y int, f array<float>").collect()
-    rows = [r for r in rows if r.f]
-    return LineCrf().fit([np.array(r.f, float).reshape(-1, N_FEATURES) for r in rows], [r.y for r in rows])
+            out = []
+            for h, y, t in zip(b["_h"].to_pylist(), b["_y"].to_pylist(), b["_text"].to_pylist(), strict=True):
+                _, feats, sizes = measure(t)
+                out += [(h, i, y, np.array(feats[i : i + longest], np.float32).ravel().tolist(), sizes[i : i + longest]) for i in range(0, len(feats), longest)]
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "i", "y", "f", "n"])
+
+    runs = few.mapInArrow(numbers, "h bigint, i int, y int, f array<float>, n array<int>")
+    turn = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("h", "i"), "h", "i"))
+    got = runs.withColumn("r", turn).where(F.col("r") <= max_docs // 2).orderBy("y", "r").collect()
+    return train_field([(np.array(r.f, float).reshape(-1, N_FEATURES), np.array(r.n), r.y) for r in got], longest)
 
 
 def quality_rules(docs: DataFrame, model: LineCrf, text: str = "text", min_words: int = 10, max_repeat_percent: int = 20, min_content: float = 0.5) -> DataFrame:
