@@ -18,10 +18,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, renamed, table, written
+from .common import WORD, ranked, renamed, table, written
 
 
 def patience_blocks(a: list, b: list) -> list[tuple[int, int, int]]:
@@ -124,15 +124,16 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 4, text: str =
     rows = base.where(F.col(id_in).isNotNull() & (F.col(text_in) != "")).select(F.col(id_in).alias("id"), F.xxhash64(text_in, F.length(text_in)).alias("th"), hashed.alias("hashes"), sizes.alias("sizes"))
     rows = written(rows, "lines")
 
-    firsts = written(rows.groupBy("th").agg(F.min("id").alias("first"), F.count("*").alias("n")), "texts")
-    copies = rows.join(firsts.where("n > 1"), "th").where("id <> first").where(F.aggregate("sizes", F.lit(0), lambda s, x: s + x) >= min_words)
-    whole = copies.select("id", "th", F.sequence(F.lit(0), F.size("hashes") - 1).alias("gone"))
-    single = rows.join(firsts, "th").where("id = first").select("id", "th", "hashes", "sizes").dropDuplicates(["id", "th"])
-    single = written(single, "distinct-texts")
+    # Of equal texts the first stays and the others lose all lines. Texts are looked up by hash and id, so copies of one spread.
+    firsts = written(rows.groupBy("th").agg(F.min("id").alias("id"), F.count("*").alias("n")), "texts")
+    words = F.aggregate("sizes", F.lit(0), lambda s, x: s + x)
+    slim = rows.select("id", "th", words.alias("words")).where(F.col("words") >= min_words)
+    copies = slim.join(firsts.where("n > 1").select("th", F.col("id").alias("first")), "th").where("id <> first").select("id", "th", F.lit(None).cast("array<boolean>").alias("gone")).distinct()
+    single = written(rows.join(firsts.drop("n"), ["th", "id"]).select("id", "th", "hashes", "sizes").dropDuplicates(["id", "th"]), "distinct-texts")
 
     kind = rows.schema["id"].dataType.simpleString()
-    held = single.select("id", "th", F.explode(F.array_distinct("hashes")).alias("h"))
-    shared = held.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    held = written(single.select("id", "th", F.explode(F.array_distinct("hashes")).alias("h")), "held-lines")
+    shared = written(held.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared-lines")
     mine = held.join(shared, "h").groupBy("id", "th").agg(F.collect_list("h").alias("shared"))
 
     def framed(batches):
@@ -150,11 +151,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 4, text: str =
 
     # Of each cue the holders in order, one for each frame: the first of its documents.
     leads = frames.groupBy("frame").agg(F.min("id").alias("id"))
-    places = frames.select("id", "th", F.inline("cues"))
-    many = places.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("h")
+    places = written(frames.select("id", "th", F.inline("cues")), "cues")
+    many = written(places.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("h"), "common-cues")
     holds = frames.join(leads, ["frame", "id"]).select("id", F.inline("cues")).select("h", "id").distinct().join(many, "h")
-    ranks = written(holds.select("h", F.col("id").alias("early"), (F.row_number().over(Window.partitionBy("h").orderBy("id")) - 1).alias("rank")), "holders")
-    stands = written(places.join(ranks.groupBy("h").agg(F.count("*").cast("int").alias("n"), F.min("early").alias("first")), "h").where("id > first").drop("first"), "standing")
+    ranks = written(ranked(holds, "h", "id", "holds").select("h", F.col("id").alias("early"), F.col("_at").cast("int").alias("rank")), "holders")
+    totals = written(ranks.groupBy("h").agg(F.count("*").cast("int").alias("n"), F.min("early").alias("first")), "cue-holders")
+    stands = written(places.join(totals, "h").where("id > first").drop("first"), "standing")
 
     early = single.select(F.col("id").alias("early"), F.col("hashes").alias("a"))
     late = single.select(F.col("id").alias("late"), "th", F.col("hashes").alias("b"), "sizes")
@@ -163,43 +165,58 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 4, text: str =
         for batch in batches:
             out = []
             for x, y, n in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["sizes"].to_pylist(), strict=True):
-                gone = []
+                gone = np.zeros(len(y), bool)
                 for _, j, k in patience_blocks(x, y):
                     if sum(n[j : j + k]) >= min_words:
-                        gone += range(j, j + k)
-                out.append(gone)
-            yield pa.RecordBatch.from_arrays([batch["late"], batch["th"], pa.array(out, pa.list_(pa.int32()))], names=["id", "th", "gone"])
+                        gone[j : j + k] = True
+                out.append(gone.tolist() if gone.any() else None)
+            yield pa.RecordBatch.from_arrays([batch["late"], batch["th"], pa.array(out, pa.list_(pa.bool_()))], names=["id", "th", "gone"])
 
     # Round by round: the next holders of what still stands. Cues of few holders have all of them in the first round.
+    # What goes is a flag for each line of a text, so that looking lines up costs no search.
     lo, hi, tried, marks = 0, 1, None, None
     while True:
         upto = F.when(F.col("n") <= rare, F.col("n")).otherwise(F.lit(hi)) if lo == 0 else F.least("n", F.lit(hi))
-        turns = stands.select("h", F.col("id").alias("late"), "n").distinct().select("h", "late", F.explode(F.sequence(F.lit(lo), upto - 1)).alias("rank"))
+        turns = written(stands.select("h", F.col("id").alias("late"), "n").distinct().select("h", "late", F.explode(F.sequence(F.lit(lo), upto - 1)).alias("rank")), "turns")
         pairs = turns.join(ranks, ["h", "rank"]).where("early < late").select("early", "late").distinct()
         pairs = written(pairs.join(tried, ["early", "late"], "left_anti") if tried else pairs, "pairs")
         ready = pairs.join(late, "late").join(early, "early").select("late", "th", "a", "b", "sizes")
-        each = ready.mapInArrow(aligned, f"id {kind}, th bigint, gone array<int>").where(F.size("gone") > 0)
+        each = ready.mapInArrow(aligned, f"id {kind}, th bigint, gone array<boolean>").where("gone is not null")
         each = each.unionByName(marks) if marks else each
-        marks = written(each.select("id", "th", F.explode("gone").alias("line")).distinct().groupBy("id", "th").agg(F.collect_list("line").alias("gone")), "aligned")
+        marks = written(each.select("id", "th", F.posexplode("gone").alias("line", "on")).where("on").select("id", "th", "line").distinct().groupBy("id", "th").agg(F.collect_list("line").alias("at")), "aligned-lines")
+        marks = written(marks.mapInArrow(_flags, f"id {kind}, th bigint, gone array<boolean>"), "aligned")
         tried = tried.unionByName(pairs) if tried else pairs
         more = stands.where(F.col("n") > (F.greatest(F.lit(rare), F.lit(hi)) if lo == 0 else F.lit(hi))).join(marks, ["id", "th"], "left")
-        kept = F.col("gone").isNull() | F.exists(F.sequence(F.col("lo"), F.col("hi") - 1), lambda i: ~F.array_contains("gone", i))
+        kept = F.col("gone").isNull() | (F.size("gone") < F.col("hi")) | F.exists(F.slice("gone", F.col("lo") + 1, F.col("hi") - F.col("lo")), lambda x: ~x)
         stands = written(more.where(kept).drop("gone"), "standing")
         if stands.isEmpty():
             break
         lo, hi = hi, 8 * hi
-    marks = written(marks.unionByName(whole), "deletions").select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    marks = marks.dropDuplicates(["_id", "_th"])
+    marks = marks.withColumn("all", F.lit(False)).unionByName(copies.withColumn("all", F.lit(True)))
+    marks = written(marks, "deletions").select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone"), F.col("all").alias("_all"))
 
     joined = base.withColumn("_key", F.xxhash64(text_in, F.length(text_in))).join(marks, (F.col(id_in) == F.col("_id")) & (F.col("_key") == F.col("_th")), "left")
-    left = F.array_join(F.transform(F.filter(F.arrays_zip(lines.alias("l"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i")), lambda x: ~F.array_contains("_gone", x["i"])), lambda x: x["l"]), "\n")
+    stays = F.filter(F.arrays_zip(lines.alias("l"), F.col("_gone").alias("g")), lambda x: x["l"].isNotNull() & ~F.coalesce(x["g"], F.lit(False)))
+    left = F.when(F.col("_all"), "").otherwise(F.array_join(F.transform(stays, lambda x: x["l"]), "\n"))
+    removed = F.when(F.col("_all"), F.size(lines)).otherwise(F.coalesce(F.size(F.filter("_gone", lambda x: x)), F.lit(0)))
     return joined.select(
-        *[(F.when(F.col("_gone").isNull(), F.col(text_in)).otherwise(left) if c == text else F.col(name[c])).alias(c) for c in keep],
+        *[(F.when(F.col("_all").isNull(), F.col(text_in)).otherwise(left) if c == text else F.col(name[c])).alias(c) for c in keep],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("_all").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"),
     )
 
 
+def _flags(batches):
+    """From the numbers of the lines that go, a flag for each line up to the last of them."""
+    for batch in batches:
+        out = []
+        for at in batch["at"].to_pylist():
+            gone = np.zeros(max(at) + 1, bool)
+            gone[at] = True
+            out.append(gone.tolist())
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["th"], pa.array(out, pa.list_(pa.bool_()))], names=["id", "th", "gone"])
+
+
 def op8_line_dedup(spark, sf_dir):
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", "text")

@@ -289,43 +289,39 @@ def test_patience_blocks():
     assert line_dedup.patience_blocks(list("abc"), list("abc")) == [(0, 0, 3)]
 
 
-def test_line_dedup_by_brute_force(spark):
-    docs = [(r.doc_id, r.text) for r in table(spark, MIDDLE, "documents").orderBy("doc_id").collect()]
-    words = lambda x: len(x.encode().split())
-    first, lines, gone = {}, {}, defaultdict(set)
-    for i, t in docs:
-        if t in first:
-            gone[i] = set(range(len(t.split("\n")))) if words(t) >= 8 else set()
-        else:
-            first[t], lines[i] = i, t.split("\n")
-    held = defaultdict(list)
-    for i, own in lines.items():
-        for x in set(own):
-            if words(x) >= 8:
-                held[x].append(i)
-    pairs = {(v[0], j) for v in held.values() for j in v[1:]} | {(a, b) for v in held.values() if len(v) <= 4 for a, b in itertools.combinations(v, 2)}
-    for a, b in pairs:
-        for _, j, n in line_dedup.patience_blocks(lines[a], lines[b]):
-            if sum(map(words, lines[b][j : j + n])) >= 8:
-                gone[b] |= set(range(j, j + n))
-    want = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in docs}
-    got = {r.doc_id: r.text for r in line_dedup.op8_line_dedup(spark, MIDDLE).collect()}
-    assert got == want and any(gone.values())
-
-
 def _all_pairs(docs):
-    """The texts that are left when each document is aligned with every earlier one."""
+    """The texts that are left when each document is aligned with every earlier one that shares a line."""
     words, left = lambda x: len(x.encode().split()), {}
-    for i, t in docs:
-        own, gone = t.split("\n"), set()
-        for j, u in docs:
-            if j < i:
-                for _, b, n in line_dedup.patience_blocks(u.split("\n"), own):
+    split = [(i, t.split("\n")) for i, t in docs]
+    sets = [set(own) for _, own in split]
+    for (i, own), mine in zip(split, sets):
+        gone = set()
+        for (j, theirs), other in zip(split, sets):
+            if j < i and mine & other:
+                for _, b, n in line_dedup.patience_blocks(theirs, own):
                     gone |= set(range(b, b + n)) if sum(map(words, own[b : b + n])) >= 8 else set()
         left[i] = "\n".join(x for n, x in enumerate(own) if n not in gone)
     return left
 
 
+def test_line_dedup_by_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in table(spark, MIDDLE, "documents").orderBy("doc_id").collect()]
+    want = _all_pairs(docs)
+    got = {r.doc_id: r for r in line_dedup.op8_line_dedup(spark, MIDDLE).collect()}
+    assert {i: r.text for i, r in got.items()} == want and any(want[i] != t for i, t in docs)
+    for i, t in docs:
+        kept = want[i].split("\n") if want[i] else []
+        assert got[i].n_lines == len(t.split("\n")) and got[i].n_removed >= got[i].n_lines - max(1, len(kept))
+
+
+def test_line_dedup_of_a_long_repeated_text(spark):
+    text = "\n".join(f"line {i} of a long text that is here more than once" for i in range(30_000))
+    docs = [(1, text), (2, text), (3, text.replace("line 7 of", "verse 7 of")), (4, "\n".join(text.split("\n")[100:20_000]))]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got[1] == (text, 0) and got[2] == ("", 30_000) and got[4] == ("", 19_900)
+    assert got[3] == ("verse 7 of a long text that is here more than once", 29_999)
+
+
 def test_line_dedup_tries_every_holder(spark):
     long = ["%s one two three four five six seven eight" % x for x in "abc"]
     twice = [(0, f"{long[0]}\nx0\n{long[0]}"), (1, f"y1\n{long[0]}"), (2, f"{long[1]}\nq\n{long[2]}\nr\n{long[0]}")]
