@@ -10,14 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import renamed, table, written
 
-#: Bits of the hash: 15 hexadecimal digits of the md5 of the id.
-BITS = 60
+#: Bits of the hash: the first half from the md5 of the id, the others from the text, which part rows that share an id.
+BITS, ID_BITS = 60, 30
 
 
-def hash_bits(key: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
+def hash_bits(key: Column, text: Column) -> Column:
+    first = F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
+    rest = F.shiftrightunsigned(F.xxhash64(text), 64 - (BITS - ID_BITS))
+    return F.shiftleft(F.shiftright(first, BITS - ID_BITS), BITS - ID_BITS).bitwiseOR(rest)
 
 
 def shard(docs: DataFrame, limit: int = 1 << 20, text: str = "text", doc_id: str = "doc_id", step: int = 8) -> DataFrame:
@@ -25,47 +27,38 @@ def shard(docs: DataFrame, limit: int = 1 << 20, text: str = "text", doc_id: str
     n_bytes (of the text in UTF-8; null: 0) and shard_bytes (long) to every document; incoming columns of these names are replaced.
 
     Each round looks `step` bits further, at the documents of oversized buckets only: it sums their bytes by
-    prefix (pre-aggregated where they are read) and finds for each prefix the least depth that fits. Rows that repeat an id
-    share all bits; a bucket of one id is final, whatever its size. An empty table gives an empty result.
+    prefix (pre-aggregated where they are read) and finds for each prefix the least depth that fits. Rows with a repeated or null id
+    part by their texts; only rows equal in both share all bits, and a bucket of one such row, however often it is
+    there, is final. An empty table gives an empty result. Rounds work on (hash, bytes) alone; documents meet the
+    buckets found in one join.
     """
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_bytes", "shard", "shard_depth", "shard_bytes")])
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    slim = docs.select(hash_bits(F.col(doc_id)).alias("_h"), size.alias("_b")).groupBy("_h").agg(F.sum("_b").alias("_b"))
-    open_ = written(slim.withColumn("_prefix", F.lit(0).cast("long")), "shard-keys")
+    base, name, back = renamed(docs, [c for c in docs.columns if c not in ("n_bytes", "shard", "shard_depth", "shard_bytes")])
+    size = F.coalesce(F.octet_length(name[text]), F.lit(0)).cast("long")
+    bits = hash_bits(F.col(name[doc_id]), F.col(name[text]))
+    slim = base.select(bits.alias("_h"), size.alias("_b")).groupBy("_h").agg(F.sum("_b").alias("_b"))
+    open_ = written(slim, "shard-keys")
     found, depth = None, 0
     while True:
         deeper = min(BITS, depth + step)
-        cells = open_.groupBy(F.shiftright("_h", BITS - deeper).alias("_cell")).agg(F.sum("_b").alias("_b"), F.count("*").alias("_ids"))
-        ways = cells.select("_cell", "_b", "_ids", F.explode(F.sequence(F.lit(depth), F.lit(deeper))).alias("_d"))
+        cell = F.shiftright("_h", BITS - deeper).alias("_cell")
+        cells = open_.groupBy(cell).agg(F.sum("_b").alias("_b"), F.count("*").alias("_keys"))
+        ways = cells.select("_cell", "_b", "_keys", F.explode(F.sequence(F.lit(depth), F.lit(deeper))).alias("_d"))
         ways = ways.withColumn("_prefix", F.expr(f"_cell >> ({deeper} - _d)"))
-        sums = ways.groupBy("_d", "_prefix").agg(F.sum("_b").alias("_b"), F.sum("_ids").alias("_ids"))
-        fit = sums.where((F.col("_b") <= limit) | (F.col("_ids") == 1) | (F.col("_d") == BITS))
+        sums = ways.groupBy("_d", "_prefix").agg(F.sum("_b").alias("_b"), F.sum("_keys").alias("_keys"))
+        fit = sums.where((F.col("_b") <= limit) | (F.col("_keys") == 1) | (F.col("_d") == BITS))
         least = ways.select("_cell", "_d", "_prefix").join(fit, ["_d", "_prefix"]).groupBy("_cell").agg(F.min(F.struct("_d", "_prefix", "_b")).alias("s"))
-        entries = written(least.select("_cell", "s._d", "s._prefix", "s._b"), "shard-directory").withColumn("_g", F.lit(deeper))
-        found = entries if found is None else found.unionByName(entries)
-        cell = F.shiftright("_h", BITS - deeper)
-        left = open_.join(entries.select("_cell"), cell == F.col("_cell"), "left_anti")
+        entries = least.select("_cell", "s._d", "s._prefix", F.col("s._b").alias("shard_bytes"))
+        looked = written(open_.withColumn("_cell", cell).join(entries, "_cell", "left"), "shard-directory")
+        here = looked.where("_d is not null").select(F.col("_h").alias("_key"), "_d", "_prefix", "shard_bytes")
+        found = here if found is None else found.unionByName(here)
+        left = looked.where("_d is null").select("_h", "_b")
         if deeper == BITS or left.isEmpty():
             break
-        open_, depth = written(left, "shard-keys"), deeper
-    # Documents look themselves up at every level of the directory; one level alone has them.
-    levels = range(step, deeper + step, step)
-    directory = found.select(F.struct("_g", "_cell").alias("_key"), "_d", "_prefix", F.col("_b").alias("shard_bytes"))
-    withh = base.withColumns({"n_bytes": size, "_h": hash_bits(F.col(doc_id))})
-    if len(levels) == 1:
-        keyed = withh.withColumn("_key", F.struct(F.lit(min(step, BITS)).alias("_g"), F.shiftright("_h", BITS - min(step, BITS)).alias("_cell")))
-    else:
-        finals = written(found.select(F.col("_g").alias("_fg"), F.col("_cell").alias("_fcell")), "shard-levels")
-        keyed = withh
-        done = F.lit(None).cast("struct<_g:int,_cell:bigint>")
-        for g in (min(x, BITS) for x in levels):
-            level = finals.where(F.col("_fg") == g).select(F.col("_fcell").alias(f"_c{g}"))
-            keyed = keyed.join(level, F.shiftright("_h", BITS - g) == F.col(f"_c{g}"), "left")
-            done = F.coalesce(done, F.when(F.col(f"_c{g}").isNotNull(), F.struct(F.lit(g).alias("_g"), F.col(f"_c{g}").alias("_cell"))))
-        keyed = keyed.withColumn("_key", done)
-    out = keyed.join(directory, "_key", "left")
-    bits = F.when(F.col("_d") == 0, "").otherwise(F.expr("lpad(conv(_prefix, 10, 2), _d, '0')"))
-    return out.select(*base.columns, "n_bytes", bits.alias("shard"), F.col("_d").cast("int").alias("shard_depth"), "shard_bytes")
+        open_, depth = left, deeper
+    keyed = base.withColumns({"n_bytes": size, "_h": bits})
+    out = keyed.join(found, F.col("_h") == F.col("_key"), "left")
+    prefix = F.when(F.col("_d") == 0, "").otherwise(F.expr("lpad(conv(_prefix, 10, 2), _d, '0')"))
+    return out.select(*back, "n_bytes", prefix.alias("shard"), F.col("_d").cast("int").alias("shard_depth"), "shard_bytes")
 
 
 def op2_sharding(spark, sf_dir):

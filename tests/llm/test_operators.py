@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from journeyspark.llm import jaccard_join, language_id, line_dedup, mixing, pii, quality_classifier, quality_rules, registry, sentencepiece
+from journeyspark.llm import jaccard_join, language_id, line_dedup, mixing, pii, quality_classifier, quality_rules, registry, sentencepiece, sharding
 from journeyspark.llm.common import table
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -413,3 +413,14 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(out.toPandas(), out.schema)
         assert docs.count() > 0
     assert docs.where("not round_trip").count() == 0
+
+
+def test_shards_of_repeated_ids_split(spark):
+    same = spark.range(300).select(F.when(F.col("id") % 2 == 0, 7).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string"), F.lit("x" * 90)).alias("text"), F.lit("kept").alias("_h"))
+    got = sharding.shard(same, 1000)
+    per = {r.shard: (r.b, r.told) for r in got.groupBy("shard").agg(F.sum("n_bytes").alias("b"), F.max("shard_bytes").alias("told")).collect()}
+    assert all(b == told <= 1000 for b, told in per.values()) and got.count() == 300 and got.where("_h = 'kept'").count() == 300
+    names = sorted(per)
+    assert not any(b.startswith(a) for a, b in itertools.pairwise(names))
+    one = sharding.shard(spark.range(50).select(F.lit(1).alias("doc_id"), F.lit("y" * 100).alias("text")), 1000).collect()
+    assert len({r.shard for r in one}) == 1 and one[0].shard_bytes == 5000  # rows equal in id and text stay together
