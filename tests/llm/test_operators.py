@@ -45,19 +45,63 @@ def test_mix_hits_targets_and_reruns_agree(spark):
     assert out.count() == sum(r.n for r in got)
 
 
-def test_targets_are_capped():
-    assert mixing.share_targets([10, 1000, 0], [5, 1, 9]) == [30.0, 980.0, 0.0]
+def _targets(spark, sizes, weights):
+    rows = spark.createDataFrame(list(zip(range(len(sizes)), sizes, map(float, weights))), "_k int, _n bigint, _w double")
+    return [r["_target"] for r in mixing.with_targets(rows).orderBy("_k").collect()]
+
+
+def test_targets_are_capped(spark):
+    assert _targets(spark, [10, 1000, 0], [5, 1, 9]) == [30.0, 980.0, 0.0]
+    rng = random.Random(4)
+    for _ in range(6):
+        sizes, weights = [rng.choice((0, 1, 10, 500, 9000)) for _ in range(9)], [rng.choice((5, 2, 1)) for _ in range(9)]
+        closed, want = set(), [0.0] * 9
+        while True:  # as the contract puts it: share, cap, share the excess again
+            open_ = [i for i in range(9) if sizes[i] and i not in closed]
+            share = (sum(sizes) - sum(3 * sizes[i] for i in closed)) / max(1, sum(weights[i] for i in open_))
+            want = [3.0 * sizes[i] if i in closed else weights[i] * share if sizes[i] else 0.0 for i in range(9)]
+            above = {i for i in open_ if want[i] > 3 * sizes[i]}
+            if not above:
+                break
+            closed |= above
+        assert np.allclose(_targets(spark, sizes, weights), want)
 
 
 def test_split_tree_is_exact():
-    q = np.array([7, 0, 13, 100])
-    leaves = [mixing.split_path(q, 9, j, 1) for j in range(9)]
-    assert (sum(n for _, n in leaves) == q).all()
-    sizes = [int(n.sum()) for _, n in leaves]
+    q = np.array([7, 0, 13, 100, 5, 1])
+    groups = [q[:4], q[4:]]
+    totals = np.array([g.sum() for g in groups])
+    leaves = [[mixing.split_path(own, totals, g, 9, j, 1) for g, own in enumerate(groups)] for j in range(9)]
+    assert (sum(np.concatenate([n for _, n in both]) for both in leaves) == q).all()
+    sizes = [sum(int(n.sum()) for _, n in both) for both in leaves]
     assert max(sizes) - min(sizes) <= 1
-    for k in range(4):
-        runs = sorted((int(f[k]), int(n[k])) for f, n in leaves if n[k])
-        assert [a for a, _ in runs] == [0, *itertools.accumulate(n for _, n in runs)][:-1]
+    for g, own in enumerate(groups):
+        for k in range(len(own)):
+            runs = sorted((int(b[g][0][k]), int(b[g][1][k])) for b in leaves if b[g][1][k])
+            assert [a for a, _ in runs] == [0, *itertools.accumulate(n for _, n in runs)][:-1]
+
+
+def test_mix_of_many_sources_by_brute_force(spark):
+    """More sources than a group of the tree holds: exact sizes and targets, each taken near its target, shards disjoint and even."""
+    rng = random.Random(8)
+    docs = [(i, None if i % 97 == 0 else " ".join("w" for _ in range(rng.randint(0, 30))), None if i % 50 == 0 else f"s{rng.randrange(60)}") for i in range(3000)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    got = mixing.mix(d, group=7, block_words=40, shard_words=5000).collect()
+    size = Counter()
+    for _, t, s in docs:
+        size[s] += len(t.split()) if t else 0
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    target = dict(zip(order, _targets(spark, [size[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))])))
+    taken, shards = Counter(), Counter()
+    for r in got:
+        assert (r.size, r.source_size) == (len(r.text.split()) if r.text else 0, size[r.source]) and abs(r.target - target[r.source]) < 1e-6 and len(r.places) <= 3
+        taken[r.source] += r.size * len(r.places)
+        shards.update({p.shard: r.size for p in r.places})
+        assert len({p.copy for p in r.places}) == len(r.places)
+    assert all(target[s] - 30 <= taken[s] <= target[s] for s in order)  # a text has up to 30 words
+    assert len(shards) >= 8
+    rows = mixing.mixed_documents(mixing.mix(d, group=7, block_words=40, shard_words=5000), ["doc_id", "text"]).collect()
+    assert len(rows) == sum(len(r.places) for r in got) and Counter((r.doc_id, r._shard, r._copy) for r in rows) == Counter((r.doc_id, p.shard, p.copy) for r in got for p in r.places)
 
 
 def test_base_spans_follow_the_patterns():
