@@ -12,7 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, bucket_of, shipped, table, written
@@ -32,59 +32,88 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+class Counts:
+    """For parts of one kind: the languages that have each, sparsely, as log frequencies above those of a part that a language never has."""
+
+    def __init__(self, parts: dict[str, dict[int, int]], n_langs: int):
+        self.index = {x: i for i, x in enumerate(parts)}
+        self.starts = np.cumsum([0, *map(len, parts.values())])
+        self.langs = np.array([k for own in parts.values() for k in own], np.int32)
+        counts = np.array([n for own in parts.values() for n in own.values()], float)
+        totals = np.bincount(self.langs, counts, n_langs) + SMOOTH * len(parts) if len(counts) else np.full(n_langs, SMOOTH * max(1, len(parts)))
+        self.floor = np.log(SMOOTH / totals)
+        self.above = np.log((counts + SMOOTH) / SMOOTH)
+
+    def row(self, i: int, out: np.ndarray, share: float = 1.0) -> None:
+        lo, hi = self.starts[i], self.starts[i + 1]
+        out[self.langs[lo:hi]] += share * self.above[lo:hi]
+
+
+#: Added to every count.
+SMOOTH = 0.1
+
+
 class BackoffModel:
-    """langs, and for known words and known n-grams of each length the row of their log frequencies (a column per language)."""
-
-    def __init__(self, langs: list[str], words: tuple[dict[str, int], np.ndarray], parts: list[tuple[dict[str, int], np.ndarray]], kept: int = 100_000):
-        self.langs, (self.words, self.rows), self.parts, self.kept = langs, words, parts, kept
-        self.cache: dict[str, np.ndarray] = {}
-
-    @staticmethod
-    def from_counts(langs: list[str], words: dict[str, list[int]], parts: list[dict[str, list[int]]]) -> "BackoffModel":
-        def logs(table: dict[str, list[int]]) -> tuple[dict[str, int], np.ndarray]:
-            c = np.array(list(table.values()), float).reshape(len(table), len(langs)) + 0.1
-            return {x: i for i, x in enumerate(table)}, np.log(c / c.sum(0))
-
-        return BackoffModel(langs, logs(words), [logs(p) for p in parts])
-
-    def row(self, word: str) -> np.ndarray:
-        if (got := self.words.get(word)) is not None:
-            return self.rows[got]
-        if (got := self.cache.get(word)) is not None:
-            return got
-        out = np.zeros(len(self.langs))
+    """langs, and the counts of known words and of known n-grams of each length. Rows of words are built once and kept, up to `kept` numbers."""
+
+    def __init__(self, langs: list[str], words: dict[str, dict[int, int]], parts: list[dict[str, dict[int, int]]], kept: int = 4_000_000):
+        self.langs, self.words, self.parts = langs, Counts(words, len(langs)), [Counts(p, len(langs)) for p in parts]
+        self.most = max(1000, kept // max(1, len(langs)))
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((256, len(langs)))
+
+    def _row(self, word: str) -> np.ndarray:
+        if (i := self.words.index.get(word)) is not None:
+            out = self.words.floor.copy()
+            self.words.row(i, out)
+            return out
         for n in range(len(self.parts), 0, -1):
-            index, rows = self.parts[n - 1]
-            known = [r for g in grams(word, n) if (r := index.get(g)) is not None]
+            counts = self.parts[n - 1]
+            known = [i for g in grams(word, n) if (i := counts.index.get(g)) is not None]
             if known:
-                out = rows[known].sum(0) / len(known)
-                break
-        if len(self.cache) >= self.kept:  # only speed depends on what is kept
-            self.cache.clear()
-        self.cache[word] = out
-        return out
+                out = counts.floor.copy()
+                for i in known:
+                    counts.row(i, out, 1.0 / len(known))
+                return out
+        return np.zeros(len(self.langs))
+
+    def place(self, word: str) -> int:
+        i = len(self.at)
+        if i == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[i] = self._row(word)
+        self.at[word] = i
+        return i
+
+    def totals(self, counts: Counter) -> np.ndarray:
+        if len(self.at) + len(counts) > self.most:  # only speed depends on what is kept
+            self.at, self.rows = {}, np.zeros((256, len(self.langs)))
+        words, total = list(counts), np.zeros(len(self.langs))
+        for lo in range(0, len(words), self.most):
+            some = words[lo : lo + self.most]
+            if len(self.at) + len(some) > self.most:
+                self.at = {}
+            at = [got if (got := self.at.get(w)) is not None else self.place(w) for w in some]
+            total += np.fromiter((counts[w] for w in some), float, len(some)) @ self.rows[at]
+        return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(language_words(text))
         if not counts or not self.langs:
             return "und", 0.0
-        total = np.fromiter(counts.values(), float, len(counts)) @ np.array([self.row(w) for w in counts])
+        total = self.totals(counts)
         best = int(total.argmax())
         return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
-def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_lang: int = 600, max_words: int = 30_000, max_langs: int = 500) -> BackoffModel:
+def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_lang: int = 600, max_words: int = 30_000) -> BackoffModel:
     """Count words and n-grams of at most `docs_per_lang` documents of each language, chosen by a hash of their ids.
 
     Spark counts; the driver gets the `max_words` most frequent words (found at least twice) and as many n-grams
-    of each length at most, each with one count per language. More than `max_langs` languages raise ValueError.
+    of each length at most, each with the counts of the languages that have it. Languages may be of any number. An id
+    with several languages or texts counts once; null ids and languages teach nothing.
     """
     base = docs.where(F.col(lang).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_y"))
-    langs = sorted(r[0] for r in base.select("_y").distinct().limit(max_langs + 1).collect())
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    if not langs:
-        return BackoffModel.from_counts([], {}, [{} for _ in range(LONGEST)])
     few = bounded_sample(docs, base, docs_per_lang, text, doc_id, "lang")
 
     def counted(batches):
@@ -102,13 +131,15 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_i
             keys = list(found)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in keys], pa.string()), "kind": pa.array([k[1] for k in keys], pa.int32()), "part": pa.array([k[2] for k in keys], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
-    each = few.mapInArrow(counted, "lang string, kind int, part string, n bigint")
-    wide = written(each.groupBy("kind", "part").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)]), "language-counts")
-    tables: list[dict] = []
-    for kind in range(LONGEST + 1):
-        top = wide.where((F.col("kind") == kind) & (F.col("all") > 1)).orderBy(F.desc("all"), "part").limit(max_words)
-        tables.append({r["part"]: [r[f"c{i}"] for i in range(len(langs))] for r in top.select("part", *[f"c{i}" for i in range(len(langs))]).collect()})
-    return BackoffModel.from_counts(langs, tables[0], tables[1:])
+    each = written(few.mapInArrow(counted, "lang string, kind int, part string, n bigint").groupBy("kind", "part", "lang").agg(F.sum("n").alias("n")), "language-counts")
+    langs = [r[0] for r in each.where("kind = 0").select("lang").distinct().orderBy("lang").collect()]
+    places = {x: i for i, x in enumerate(langs)}
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("all"), "part"))
+    top = each.groupBy("kind", "part").agg(F.sum("n").alias("all")).where("all > 1").withColumn("rank", rank).where(F.col("rank") <= max_words)
+    tables: list[dict] = [{} for _ in range(LONGEST + 1)]
+    for r in each.join(top, ["kind", "part"]).orderBy("kind", "rank", "lang").select("kind", "part", "lang", "n").collect():
+        tables[r["kind"]].setdefault(r["part"], {})[places[r["lang"]]] = r["n"]
+    return BackoffModel(langs, tables[0], tables[1:])
 
 
 def identify_language(docs: DataFrame, model: BackoffModel, text: str = "text") -> DataFrame:

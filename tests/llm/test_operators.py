@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -228,10 +229,53 @@ def test_language_on_held_out_documents(spark):
 
 
 def test_backoff_goes_to_shorter_parts():
-    m = language_id.BackoffModel.from_counts(["a", "b"], {"known": [9, 1], "other": [1, 9]}, [{"z": [1, 9], "y": [9, 1]}, {}, {}, {"\x02abc": [1, 9], "\x02xyz": [9, 1]}])
+    m = language_id.BackoffModel(["a", "b"], {"known": {0: 9, 1: 1}, "other": {0: 1, 1: 9}}, [{"z": {0: 1, 1: 9}, "y": {0: 9, 1: 1}}, {}, {}, {"\x02abc": {1: 9}, "\x02xyz": {0: 9}}])
     assert m.predict("known")[0] == "a" and m.predict("zq")[0] == "b" and m.predict("abcx")[0] == "b" and m.predict("12")[0] == "und"
 
 
+def test_language_query_by_brute_force(spark):
+    """The model from plain counts of the documents that may teach, and each text's sum over its words."""
+    docs = table(spark, SMALL, "documents").select("doc_id", "text", "lang").collect()
+    teach = [d for d in docs if d.lang is not None and zlib.crc32(str(d.doc_id).encode()) % 4 != 2]
+    langs = sorted({d.lang for d in teach})
+    counts = [defaultdict(lambda: [0.0] * len(langs)) for _ in range(5)]
+    for d in teach:
+        for w in language_id.language_words(d.text):
+            counts[0][w][langs.index(d.lang)] += 1
+            for k in range(1, 5):
+                for g in language_id.grams(w, k):
+                    counts[k][g][langs.index(d.lang)] += 1
+    logs = []
+    for c in counts:
+        top = sorted((x for x in c if sum(c[x]) > 1), key=lambda x: (-sum(c[x]), x.encode()))[:30_000]
+        m = np.array([c[x] for x in top]) + 0.1
+        logs.append(dict(zip(top, np.log(m / m.sum(0)))))
+    got = {r.doc_id: r for r in language_id.op4_language_id(spark, SMALL).collect()}
+    for d in docs:
+        total = np.zeros(len(langs))
+        for w in language_id.language_words(d.text):
+            rows = [logs[0][w]] if w in logs[0] else next((own for k in range(4, 0, -1) if (own := [logs[k][g] for g in language_id.grams(w, k) if g in logs[k]])), [np.zeros(len(langs))])
+            total += np.mean(rows, axis=0)
+        r = got[d.doc_id]
+        p = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2)
+        if any(map(str.isalpha, d.text or "")):
+            assert abs(r.score - p[langs.index(r.lang_pred)]) < 1e-6 and p[langs.index(r.lang_pred)] > p.max() - 1e-9
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def test_more_languages_than_rows_of_one(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, f"{name(i % 700)} x{name(i % 700)} shared", f"l{i % 700:03d}") for i in range(2100)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    m = language_id.fit_languages(d)
+    assert len(m.langs) == 700 and all(m.predict(t)[0] == x for _, t, x in rows[:700:50])
+    small = language_id.fit_languages(d)
+    small.most = 2
+    assert small.predict(" ".join(t for _, t, _ in rows[:40]))[1] == pytest.approx(m.predict(" ".join(t for _, t, _ in rows[:40]))[1])
+
+
 def test_segmentation_is_the_best_and_decodes(spark):
     pieces = sentencepiece.read_pieces(PIECES)
     m = sentencepiece.PieceModel(pieces)
