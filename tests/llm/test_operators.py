@@ -490,19 +490,6 @@ def test_bounds_never_lose_a_pair():
             assert frozenset((a, b)) in got and on[a] and on[b]
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    docs = table(spark, SMALL, "documents")
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SMALL)
-        if name != "sentencepiece":
-            assert out.columns == docs.columns
-        docs = spark.createDataFrame(out.toPandas(), out.schema)
-        assert docs.count() > 0
-    assert docs.where("not round_trip").count() == 0
-
-
 def test_shards_of_repeated_ids_split(spark):
     same = spark.range(300).select(F.when(F.col("id") % 2 == 0, 7).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string"), F.lit("x" * 90)).alias("text"), F.lit("kept").alias("_h"))
     got = sharding.shard(same, 1000)
