@@ -125,11 +125,11 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 4, text: str =
     rows = written(rows, "lines")
 
     # Of equal texts the first stays and the others lose all lines. Texts are looked up by hash and id, so copies of one spread.
-    firsts = written(rows.groupBy("th").agg(F.min("id").alias("id"), F.count("*").alias("n")), "texts")
+    firsts = written(rows.groupBy("th").agg(F.min("id").alias("id")), "texts")
     words = F.aggregate("sizes", F.lit(0), lambda s, x: s + x)
     slim = rows.select("id", "th", words.alias("words")).where(F.col("words") >= min_words)
-    copies = slim.join(firsts.where("n > 1").select("th", F.col("id").alias("first")), "th").where("id <> first").select("id", "th", F.lit(None).cast("array<boolean>").alias("gone")).distinct()
-    single = written(rows.join(firsts.drop("n"), ["th", "id"]).select("id", "th", "hashes", "sizes").dropDuplicates(["id", "th"]), "distinct-texts")
+    copies = slim.join(firsts, ["th", "id"], "left_anti").select("id", "th", F.lit(None).cast("array<boolean>").alias("gone")).distinct()
+    single = written(rows.join(firsts, ["th", "id"]).select("id", "th", "hashes", "sizes").dropDuplicates(["id", "th"]), "distinct-texts")
 
     kind = rows.schema["id"].dataType.simpleString()
     held = written(single.select("id", "th", F.explode(F.array_distinct("hashes")).alias("h")), "held-lines")
