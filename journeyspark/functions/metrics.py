@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from journeyspark.functions.draws import uniform
+from journeyspark.functions.order import place_in_class
 
 
 def confusion(p: DataFrame) -> DataFrame:
@@ -63,23 +64,34 @@ def top_k_hits(p: DataFrame, labels: list, k: int = 3) -> DataFrame:
     return p.select("id").join(hit, "id", "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("top_k"))
 
 
+def _by_score(p: DataFrame, labels: list) -> DataFrame:
+    """(label, prob, n, np, below, np_below, total, np_total): rows and true rows of each score, and of all lower scores of the label.
+
+    Scores are summed in slices and then within them, so a label's scores are in many tasks.
+    """
+    rows = by_class(p, labels).withColumn("pos", (F.col("label") == F.col("y_true")).cast("int"))
+    piece = F.floor(F.greatest(F.lit(-4.0), F.least(F.col("prob"), F.lit(4.0))) * 1024).alias("slice")
+    ties = rows.groupBy("label", "prob").agg(F.count("*").alias("n"), F.sum("pos").alias("np")).select("*", piece)
+    sums = ties.groupBy("label", "slice").agg(F.sum("n").alias("sn"), F.sum("np").alias("sp"))
+    w, before = Window.partitionBy("label"), (Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    starts = sums.select("label", "slice", *[zero(F.sum(c).over(w.orderBy("slice").rowsBetween(*before))).alias(f"{c}0") for c in ("sn", "sp")], F.sum("sn").over(w).alias("total"), F.sum("sp").over(w).alias("np_total"))
+    inside = Window.partitionBy("label", "slice").orderBy("prob").rowsBetween(*before)
+    cut = ties.withColumns({"below": zero(F.sum("n").over(inside)), "np_below": zero(F.sum("np").over(inside))}).join(starts, ["label", "slice"])
+    return cut.select("label", "prob", "n", "np", (F.col("below") + F.col("sn0")).alias("below"), (F.col("np_below") + F.col("sp0")).alias("np_below"), "total", "np_total")
+
+
 def roc_auc(p: DataFrame, labels: list) -> DataFrame:
     """One against the rest, averaged over classes that have rows and counter-rows: Mann-Whitney with middle ranks."""
-    rows = by_class(p, labels).withColumn("pos", (F.col("label") == F.col("y_true")).cast("int"))
-    ties = rows.groupBy("label", "prob").agg(F.count("*").alias("n"), F.sum("pos").alias("np"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("rank", below + (F.col("n") + 1) / 2)
-    auc = ranked.groupBy("label").agg(F.sum(F.col("rank") * F.col("np")).alias("s"), F.sum("np").alias("p"), F.sum("n").alias("t")).where("p > 0 and p < t")
+    rank = F.col("below") + (F.col("n") + 1) / 2
+    auc = _by_score(p, labels).groupBy("label").agg(F.sum(rank * F.col("np")).alias("s"), F.sum("np").alias("p"), F.sum("n").alias("t")).where("p > 0 and p < t")
     return auc.agg(F.avg((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("t") - F.col("p")))).alias("roc_auc"))
 
 
 def pr_auc(p: DataFrame, labels: list) -> DataFrame:
     """Average precision, averaged over classes that have rows; equal scores form one step."""
-    rows = by_class(p, labels).withColumn("pos", (F.col("label") == F.col("y_true")).cast("int"))
-    ties = rows.groupBy("label", "prob").agg(F.count("*").alias("n"), F.sum("pos").alias("np"))
-    w = Window.partitionBy("label").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = ties.withColumns({"tp": F.sum("np").over(w), "seen": F.sum("n").over(w), "all": F.sum("np").over(Window.partitionBy("label"))}).where("all > 0")
-    ap = steps.groupBy("label").agg(F.sum(F.col("np") / F.col("all") * F.col("tp") / F.col("seen")).alias("ap"))
+    tp, seen = F.col("np_total") - F.col("np_below"), F.col("total") - F.col("below")
+    ap = _by_score(p, labels).where("np_total > 0").groupBy("label").agg(F.sum(F.col("np") / F.col("np_total") * tp / seen).alias("ap"))
     return ap.agg(F.avg("ap").alias("pr_auc"))
 
 
@@ -143,9 +155,9 @@ def permutation_importance(data: DataFrame, score, blocks: dict[str, list[str]],
     for block, columns in blocks.items():
         falls = []
         for r in range(repeats):
-            n1 = data.withColumn("_at", F.row_number().over(Window.orderBy(uniform(seed, F.col(id_), f"keep-{r}"), id_)))
-            n2 = data.select(F.row_number().over(Window.orderBy(uniform(seed, F.col(id_), f"{block}-{r}"), id_)).alias("_at"), *columns)
-            falls.append(base - score(n1.drop(*columns).join(n2, "_at").drop("_at")))
+            n1 = place_in_class(data, None, uniform(seed, F.col(id_), f"keep-{r}"), id_).drop("_n")
+            n2 = place_in_class(data.select(id_, *columns), None, uniform(seed, F.col(id_), f"{block}-{r}"), id_).select("_rn", *columns)
+            falls.append(base - score(n1.drop(*columns).join(n2, "_rn").drop("_rn")))
         mean = sum(falls) / repeats
         rows.append((block, float(mean), float((sum((f - mean) ** 2 for f in falls) / repeats) ** 0.5)))
     return spark.createDataFrame(rows, "block string, mean double, std double")

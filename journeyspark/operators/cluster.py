@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbors import distance, eps_join, knn_join, widest_axis
+from journeyspark.functions.draws import uniform
+from journeyspark.functions.lineage import written
+from journeyspark.functions.order import numbered
+
+from .neighbors import distance, knn_join, label_distances, least_near, linking_pairs, neighbour_counts, rows_of
 
 
 def k_distances(df: DataFrame, k: int = 20) -> DataFrame:
@@ -19,58 +26,93 @@ def k_distances(df: DataFrame, k: int = 20) -> DataFrame:
     return df.select(F.col("id").cast("long").alias("id")).join(far, "id", "left").fillna(0.0, subset=["distance"])
 
 
-def eps_candidates(curve: DataFrame, percents=(70, 75, 80, 85, 90)) -> DataFrame:
-    """(percent, eps): exact percentiles of the k-distance curve."""
-    at = curve.agg(F.percentile("distance", F.array(*[F.lit(p / 100) for p in percents])).alias("e"))
+def eps_candidates(curve: DataFrame, percents=(70, 75, 80, 85, 90), approx: bool = False) -> DataFrame:
+    """(percent, eps): percentiles of the k-distance curve, exact unless approx."""
+    wanted = [p / 100 for p in percents]
+    at = curve.agg((F.percentile_approx("distance", wanted) if approx else F.percentile("distance", F.array(*map(F.lit, wanted)))).alias("e"))
     return at.select(F.posexplode("e").alias("i", "eps")).select(F.element_at(F.array(*[F.lit(p) for p in percents]), F.col("i") + 1).alias("percent"), "eps")
 
 
-def knee(curve: DataFrame, points: int = 1000) -> DataFrame:
-    """eps at the knee of the sorted curve: of `points` quantiles, brought to 0..1 both ways, where the curve is farthest below the diagonal."""
-    q = curve.agg(F.percentile("distance", F.array(*[F.lit(i / (points - 1)) for i in range(points)])).alias("q")).select(F.posexplode("q").alias("i", "y"))
+def knee(curve: DataFrame, points: int = 1000, approx: bool = False) -> DataFrame:
+    """eps at the knee of the sorted curve: of `points` quantiles (exact unless approx), brought to 0..1 both ways, where the curve is farthest below the diagonal."""
+    wanted = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
+    q = curve.agg((F.percentile_approx("distance", [i / (points - 1) for i in range(points)]) if approx else F.percentile("distance", wanted)).alias("q")).select(F.posexplode("q").alias("i", "y"))
     span = F.max("y").over(Window.partitionBy()) - F.min("y").over(Window.partitionBy())
     unit = q.withColumn("gain", F.col("i") / (points - 1) - F.when(span > 0, (F.col("y") - F.min("y").over(Window.partitionBy())) / span).otherwise(0.0))
     return unit.agg(F.max_by("y", "gain").alias("eps"))
 
 
+#: Up to so many edges one task joins components; beyond, labels spread by joins.
+EDGES = 500_000
+
+
+def _joined(batches):
+    """(id, label) of the components of all edges of a partition: a union-find."""
+    up: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while up.setdefault(i, i) != i:
+            up[i] = up.setdefault(up[i], up[i])
+            i = up[i]
+        return i
+
+    for b in batches:
+        for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    ids = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(i) for i in ids], pa.int64())], names=["id", "label"])
+
+
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, label): the smallest id of each node's component, over edges (id, neighbour) both ways.
+    """(id, label): the smallest id of each node's component, over edges (a, b).
 
-    Labels spread and jump to their labels' labels until nothing changes; checkpoint() cuts the lineage if a
-    checkpoint folder is set.
+    Partitions first shrink their edges to forests. While more than `EDGES` are left, labels spread along them and jump to
+    their labels' labels, each round written to the shared folder; as many or fewer are joined in one task.
     """
-    sc = edges.sparkSession.sparkContext
-    cut = (lambda d: d.checkpoint()) if sc.getCheckpointDir() else (lambda d: d.cache())
-    labels = cut(nodes.select("id", F.col("id").alias("label")))
-    total = None
+    short = edges.select("a", "b").mapInArrow(_joined, "id bigint, label bigint").where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+    short = written(short.distinct(), "edges")
+    if short.count() <= EDGES:
+        found = short.coalesce(1).mapInArrow(_joined, "id bigint, label bigint")
+        return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    both = written(short.union(short.select("b", "a")), "edges-both-ways")
+    labels = written(nodes.select("id", F.col("id").alias("label")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("id").alias("neighbour"), "label"), "neighbour").groupBy("id").agg(F.min("label").alias("near"))
-        one = labels.join(near, "id", "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"))
-        up = one.select(F.col("id").alias("label"), F.col("label").alias("higher"))
-        labels = cut(one.join(up, "label").select("id", F.least("label", "higher").alias("label")))
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == total:
+        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        one = labels.join(near, "id", "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old"))
+        up = labels.select(F.col("id").alias("label"), F.col("label").alias("higher"))
+        new = written(one.join(up, "label").select("id", F.least("label", "higher").alias("label"), "old"), "labels")
+        labels = new.select("id", "label")
+        if new.where("label <> old").isEmpty():
             return labels
-        total = now
 
 
-def dbscan(df: DataFrame, eps: float, min_samples: int = 20, pairs: DataFrame | None = None) -> DataFrame:
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """(v, kind, n): each different vector once, with its smallest id and how often it is there."""
+    return df.groupBy(F.col("v").cast("array<double>").alias("v")).agg(F.min(F.col("id").cast("long")).alias("kind"), F.count("*").alias("n"))
+
+
+def dbscan(df: DataFrame, eps: float, min_samples: int = 20, kinds: DataFrame | None = None) -> DataFrame:
     """(id, is_core, label): cores have min_samples rows within eps, themselves included; clusters are numbered by their smallest core.
 
-    Border rows join the smallest cluster of a core within eps; the rest is noise, -1. `pairs` may be an eps join at a larger eps.
+    Border rows join the smallest cluster of a core within eps; the rest is noise, -1. Equal rows are one row with a
+    weight. Rows are counted first; of cores, only forests that connect them leave a task, and of other rows their
+    smallest cluster, so no list of pairs is ever built. `kinds` may be the `distinct_rows` of df.
     """
-    if pairs is None:
-        dim = len(df.select("v").first()[0]) if df.head(1) else 1
-        pairs = eps_join(df, eps, axis=widest_axis(df, dim))
-    pairs = pairs.where(F.col("distance") <= eps).select("id", "neighbour").cache()
-    cores = pairs.groupBy("id").count().where(F.col("count") >= min_samples).select("id").cache()
-    links = pairs.join(cores, "id").join(cores.select(F.col("id").alias("neighbour")), "neighbour")
-    comp = connected(links, cores)
-    roots = comp.select("label").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
-    named = comp.join(roots, "label").select("id", "cluster")
-    border = pairs.join(named.select(F.col("id").alias("neighbour"), "cluster"), "neighbour").groupBy("id").agg(F.min("cluster").alias("reach"))
-    out = df.select(F.col("id").cast("long").alias("id")).join(named, "id", "left").join(border, "id", "left")
-    return out.select("id", F.col("cluster").isNotNull().alias("is_core"), F.coalesce("cluster", "reach", F.lit(-1)).alias("label"))
+    kinds = distinct_rows(df) if kinds is None else kinds
+    rows = rows_of(kinds, "kind", "v", weight="n").persist()
+    counts = written(neighbour_counts(rows, eps).where(F.col("n") >= min_samples).select("id"), "cores")
+    cores = rows.join(counts, "id", "left_semi")
+    comp = written(connected(linking_pairs(cores, eps), counts), "components")
+    roots = numbered(comp.select("label").distinct(), "label").select(F.col("label").alias("root"), F.col("_at").cast("long").alias("cluster"))
+    named = written(comp.join(roots, F.col("label") == F.col("root")).select("id", "cluster"), "clusters")
+    reach = least_near(rows.join(counts, "id", "left_anti"), rows.drop("y").join(named, "id").withColumnRenamed("cluster", "y").select("l", "id", "v", "y", "w"), eps)
+    by_kind = kinds.select("kind", "v").join(named.withColumnRenamed("id", "kind"), "kind", "left").join(reach.withColumnRenamed("id", "kind"), "kind", "left")
+    label = F.coalesce("cluster", "reach", F.lit(-1)).cast("int")
+    found = written(by_kind.select("v", F.col("cluster").isNotNull().alias("is_core"), label.alias("label")), "density-labels")
+    rows.unpersist()
+    return df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).join(found, "v").select("id", "is_core", "label")
 
 
 def dbscan_summary(labels: DataFrame) -> DataFrame:
@@ -82,9 +124,8 @@ def select_eps(df: DataFrame, candidates: list[float], min_samples: int = 20) ->
     candidates = sorted({e for e in candidates if e > 0})
     if not candidates:
         raise ValueError("the data are constant: no radius separates anything")
-    dim = len(df.select("v").first()[0])
-    pairs = eps_join(df, candidates[-1], axis=widest_axis(df, dim)).cache()
-    tried = [{"eps": e} | dbscan_summary(dbscan(df, e, min_samples, pairs)).first().asDict() for e in candidates]
+    kinds = written(distinct_rows(df), "distinct-rows")
+    tried = [{"eps": e} | dbscan_summary(dbscan(df, e, min_samples, kinds)).first().asDict() for e in candidates]
     good = [t for t in tried if t["clusters"] > 1 and t["noise"] > 0]
     return min(good, key=lambda t: (t["noise_share"], t["eps"])) if good else max(tried, key=lambda t: (t["cores"], -t["eps"]))
 
@@ -108,30 +149,17 @@ def centroids(df: DataFrame) -> DataFrame:
     return n.join(c, "label")
 
 
-def silhouette(df: DataFrame) -> DataFrame:
-    """Mean silhouette over Euclidean distances, exact: sums of distances to each cluster, by blocks; singletons count 0."""
-    from .neighbors import _blocks, _count
-
-    n = _count(df)
-    rows = df.select("id", "v", "label")
-    a = _blocks(rows, "id", "v", None, n, "lb")
-    packed = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("rb"), F.struct("label", F.col("v").cast("array<double>").alias("v")).alias("r")).groupBy("rb").agg(F.collect_list("r").alias("rows_rb"))
+def silhouette(df: DataFrame, sample: int | None = None) -> DataFrame:
+    """Mean silhouette over Euclidean distances: sums of distances to each cluster, by blocks; singletons count 0.
 
-    def sums(batches):
-        for pdf in batches:
-            for x, y in zip(pdf["rows_lb"], pdf["rows_rb"], strict=True):
-                xi, xv = np.array([r["id"] for r in x]), np.stack([np.asarray(r["v"], float) for r in x])
-                yl, yv = np.array([r["label"] for r in y]), np.stack([np.asarray(r["v"], float) for r in y])
-                for label in np.unique(yl):
-                    part = yv[yl == label]
-                    total = np.array([np.sqrt(((r - part) ** 2).sum(1)).sum() for r in xv])
-                    yield pd.DataFrame({"id": xi, "other": int(label), "total": total, "n": len(part)})
-
-    d = a.crossJoin(packed).select("rows_lb", "rows_rb").mapInPandas(sums, "id bigint, other int, total double, n bigint").groupBy("id", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    own = d.join(rows.select(F.col("id").cast("long").alias("id"), "label"), "id")
-    s = own.groupBy("id").agg(
-        F.max(F.when((F.col("label") == F.col("other")) & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"),
-        F.min(F.when(F.col("label") != F.col("other"), F.col("total") / F.col("n"))).alias("b"),
+    Exact; with `sample`, the mean over that many rows (those with the least hashes), each against all rows.
+    """
+    rows = rows_of(df, "id", "v", "label")
+    chosen = rows if sample is None else rows.orderBy(F.xxhash64("id"), "id").limit(sample)
+    own = F.col("y") == F.col("other")
+    s = label_distances(rows, chosen).groupBy("id").agg(
+        F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"),
+        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"),
     )
     return s.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))).alias("silhouette"))
 
@@ -156,7 +184,7 @@ def k_probe(df: DataFrame, ks=(2, 3, 4, 5), seeds=range(3)) -> DataFrame:
     """(k, distortion, silhouette, davies_bouldin, calinski_harabasz) for each k."""
     out = None
     for k in ks:
-        lab = df.join(kmeans(df, k, seeds), "id").cache()
+        lab = written(df.join(kmeans(df, k, seeds), "id").select("id", "v", "label"), "labels")
         cost = lab.join(centroids(lab).drop("n"), "label").agg(F.lit(k).alias("k"), F.avg(distance("v", "c")).alias("distortion"))
         row = cost.crossJoin(silhouette(lab)).crossJoin(davies_bouldin(lab)).crossJoin(calinski_harabasz(lab))  # one row each
         out = row if out is None else out.unionByName(row)
@@ -222,6 +250,51 @@ def spectral(df: DataFrame, k: int, gamma: float = 1.0, landmarks: int = 300, ke
     return kmeans(df.select(F.col("id").cast("long"), "v").mapInPandas(embed, "id bigint, e array<double>"), k, seeds, "e")
 
 
+def spectral_graph(df: DataFrame, k: int, neighbours: int = 10, rounds: int = 60, seeds=range(5)) -> DataFrame:
+    """(id, label): normalised spectral clustering of the nearest-neighbour graph, each edge counted half from either end.
+
+    The graph is the edge list of `knn_join`. Its leading vectors come from subspace iteration: a round is one join of the
+    edges with a k-wide table and one sum, and the k by k products that keep the vectors apart are all that reaches the driver.
+    Every `STRIDE` rounds the table is written. K-means labels the rows.
+    """
+    near = knn_join(df, df, neighbours).select("id", "neighbour")
+    half = near.select("id", "neighbour").unionByName(near.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour")))
+    half = half.groupBy("id", "neighbour").agg((F.count("*") / 2).alias("w")).unionByName(df.select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("neighbour"), F.lit(1.0).alias("w")))
+    half = written(half, "neighbour-graph")
+    degree = half.groupBy("id").agg(F.sum("w").alias("degree"))
+    a = half.join(degree, "id").join(degree.select(F.col("id").alias("neighbour"), F.col("degree").alias("other")), "neighbour")
+    a = written(a.select("id", "neighbour", (F.col("w") / F.sqrt(F.col("degree") * F.col("other"))).alias("w")), "graph-weights")
+    wide = range(k + 2)
+    x = written(degree.select("id", *[(uniform(1, F.col("id"), f"axis-{i}") - 0.5).alias(f"x{i}") for i in wide], "degree"), "axes")
+
+    def apart(x: DataFrame) -> DataFrame:
+        """The columns made orthonormal, by the product of the table with itself."""
+        row = x.agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}_{j}") for i in wide for j in wide if i <= j]).first()
+        g = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in wide] for i in wide])
+        w, u = np.linalg.eigh(g)
+        keep = np.argsort(-w)
+        m = u[:, keep] / np.sqrt(np.maximum(w[keep], 1e-30))
+        return x.select("id", "degree", *[sum((F.col(f"x{i}") * float(m[i, j]) for i in wide), F.lit(0.0)).alias(f"x{j}") for j in wide])
+
+    for turn in range(rounds):
+        ahead = a.join(x.withColumnRenamed("id", "neighbour").drop("degree"), "neighbour").groupBy("id").agg(*[F.sum(F.col("w") * F.col(f"x{i}")).alias(f"y{i}") for i in wide])
+        x = x.join(ahead, "id").select("id", "degree", *[((F.col(f"x{i}") + F.col(f"y{i}")) / 2).alias(f"x{i}") for i in wide])
+        if turn % STRIDE == STRIDE - 1:
+            x = written(apart(written(x, "axes")), "axes")
+    # Rotate to the graph's own axes, and take the k leading ones.
+    image = a.join(x.withColumnRenamed("id", "neighbour").drop("degree"), "neighbour").groupBy("id").agg(*[F.sum(F.col("w") * F.col(f"x{i}")).alias(f"y{i}") for i in wide])
+    row = x.join(image, "id").agg(*[F.sum(F.col(f"x{i}") * F.col(f"y{j}")).alias(f"h{i}_{j}") for i in wide for j in wide]).first()
+    h = np.array([[row[f"h{i}_{j}"] for j in wide] for i in wide])
+    w, u = np.linalg.eigh((h + h.T) / 2)
+    lead = u[:, np.argsort(-w)[:k]]
+    axes = [sum((F.col(f"x{i}") * float(lead[i, j]) for i in wide), F.lit(0.0)) / F.sqrt("degree") for j in range(k)]
+    return kmeans(x.select("id", F.array(*axes).alias("e")), k, seeds, "e")
+
+
+#: Rounds of subspace iteration between two writings of the table.
+STRIDE = 5
+
+
 def contingency(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a, b, n) of two labelings (id, label)."""
     return a.select("id", F.col("label").alias("a")).join(b.select("id", F.col("label").alias("b")), "id").groupBy("a", "b").agg(F.count("*").alias("n"))
@@ -240,12 +313,12 @@ def adjusted_rand(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def fit_segmentation(df: DataFrame, min_samples: int = 20, ks=(2, 3, 4, 5), gamma: float = 1.0) -> tuple[DataFrame, dict]:
     """(id, label): -1 for rows the density gate rejects, segments for the rest; and the choices made. Too few rows raise."""
-    n = df.count()
-    if n < 10:
+    df = written(df.select("id", "v"), "rows")
+    if df.count() < 10:
         raise ValueError("fewer than 10 rows")
     eps = select_eps(df, [r["eps"] for r in eps_candidates(k_distances(df, min_samples)).collect()], min_samples)
-    gate = dbscan(df, eps["eps"], min_samples).cache()
-    live = df.join(gate.where("label >= 0").select("id"), "id").cache()
+    gate = written(dbscan(df, eps["eps"], min_samples), "gate")
+    live = written(df.join(gate.where("label >= 0").select("id"), "id"), "live")
     if live.count() < 10:
         raise ValueError("the density gate leaves fewer than 10 rows")
     k = select_k([r.asDict() for r in k_probe(live, ks).collect()])
@@ -277,8 +350,8 @@ def project(df: DataFrame, k: int = 2) -> DataFrame:
     return PCA(k=k, inputCol="c", outputCol="pc").fit(centred).transform(centred).select("id", vector_to_array("pc").alias("p"))
 
 
-def algorithm_table(df: DataFrame, k: int, seeds=range(2)) -> DataFrame:
-    """(algorithm, clusters, smallest, largest, silhouette, davies_bouldin) of several ways to make k clusters."""
+def algorithm_table(df: DataFrame, k: int, seeds=range(2), nearest=(10, 20, 50)) -> DataFrame:
+    """(algorithm, clusters, smallest, largest, noise, silhouette, davies_bouldin, seconds) of several ways to make k clusters."""
     x = _vectors(df).cache()
     fits = {
         "kmeans": lambda: kmeans(df, k, seeds),
@@ -286,11 +359,14 @@ def algorithm_table(df: DataFrame, k: int, seeds=range(2)) -> DataFrame:
         "bisecting_kmeans": lambda: BisectingKMeans(k=k, seed=1, predictionCol="label").fit(x).transform(x).select("id", "label"),
         **{f"spectral_rbf_{g}": (lambda g=g: spectral(df, k, g, 200, seeds=seeds)) for g in (1.0, 0.1, 0.01)},
         "spectral_laplacian": lambda: spectral(df, k, 0.1, 200, "laplacian", seeds),
+        **{f"spectral_nearest_{n}": (lambda n=n: spectral_graph(df, k, n, seeds=seeds)) for n in nearest},
     }
     out = None
     for name, fit in fits.items():
-        lab = df.join(fit(), "id").cache()
-        sizes = lab.groupBy("label").count().agg(F.lit(name).alias("algorithm"), F.count("*").alias("clusters"), F.min("count").alias("smallest"), F.max("count").alias("largest"))
+        start = time.time()
+        lab = written(df.join(fit(), "id"), "labels")
+        took = time.time() - start
+        sizes = lab.groupBy("label").count().agg(F.lit(name).alias("algorithm"), F.count_if(F.col("label") >= 0).alias("clusters"), F.min("count").alias("smallest"), F.max("count").alias("largest"), F.coalesce(F.sum(F.when(F.col("label") < 0, F.col("count"))), F.lit(0)).alias("noise"), F.lit(took).alias("seconds"))
         row = sizes.crossJoin(silhouette(lab)).crossJoin(davies_bouldin(lab))  # one row each
         out = row if out is None else out.unionByName(row)
     return out

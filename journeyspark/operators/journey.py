@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from journeyspark.contracts import require
+
 SESSION_GAP_S = 1800
 
 
@@ -126,7 +128,34 @@ def last_two(examples: DataFrame) -> DataFrame:
     return examples.select("user_id", "target", at(-1).alias("step2"), at(-2).alias("step3"))
 
 
-def assemble(clicks: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Runs, the newest three and the profile of every user who has both."""
-    known = clicks.join(profiles.select("user_id"), "user_id", "left_semi")
-    return journey_window(compress(known)).join(profiles, "user_id")
+def assemble(clicks: DataFrame, profiles: DataFrame, check: bool = False) -> DataFrame:
+    """Runs, the newest three and the profile of every user who has both. check: the window is confirmed by a second construction, over all users, or ValueError."""
+    require(clicks, "user_id", "ts", "touch", "duration", "ord", what="the click log")
+    require(profiles, "user_id", what="the profiles")
+    runs_ = compress(clicks.join(profiles.select("user_id"), "user_id", "left_semi"))
+    window = journey_window(runs_)
+    if check:
+        verify_window(window, runs_)
+    return window.join(profiles, "user_id")
+
+
+def assemble_report(clicks: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(stage, n) of `assemble`: users with clicks, those without a profile (dropped), those with too few runs (dropped), and rows that come out."""
+    users = clicks.groupBy("user_id").agg(F.count("*").alias("clicks"))
+    known = users.join(profiles.select("user_id").distinct().withColumn("known", F.lit(True)), "user_id", "left")
+    windows = journey_window(compress(clicks)).select("user_id").withColumn("window", F.lit(True))
+    has, sees = F.col("known").isNotNull(), F.col("window").isNotNull()
+    row = known.join(windows, "user_id", "left").agg(
+        F.count("*").alias("users"), F.count_if(~has).alias("without_profile"), F.count_if(has & ~sees).alias("too_few_runs"), F.count_if(has & sees).alias("rows"),
+    )
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).alias("n")) for c in ("users", "without_profile", "too_few_runs", "rows")])).alias("s")).select("s.*")
+
+
+def with_profiles(examples: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Examples and the profile of their user; users without one are dropped."""
+    return examples.join(profiles, "user_id")
+
+
+def dropped_examples(examples: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(dropped, targets): how many examples `with_profiles` drops, and of how many different targets."""
+    return examples.join(profiles.select("user_id"), "user_id", "left_anti").agg(F.count("*").alias("dropped"), F.count_distinct("target").alias("targets"))

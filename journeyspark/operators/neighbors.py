@@ -1,97 +1,273 @@
-"""Nearest neighbours and range joins over numeric vectors, exact and in blocks."""
+"""Nearest neighbours and range joins over numeric vectors: exact, in blocks that meet where bounds allow.
+
+Rows are dealt into blocks: by label where only one label's rows can be neighbours, and labels of many rows also by the
+nearest of a few pivots. A pair of pivots' groups whose distance, less both radii, is above what any row can need never
+meets. Rows then go to the meetings of their blocks, and a task takes one meeting after the other, so it holds two blocks,
+whatever the sizes of the tables or of a label.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one side that a task holds at a time.
-BLOCK = 2048
+#: Rows of the right side that a task holds at a time; of the left side it holds a quarter.
+ROWS = 8192
+#: At most so many pivots, so many rows go to the driver.
+PIVOTS = 256
+#: Cells of a distance matrix that are computed at a time.
+CELLS = 1 << 21
+
+
+def distance(a: str, b: str) -> Column:
+    """Euclidean distance of two array columns, in the JVM."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, t: s + t))
+
+
+def rows_of(df: DataFrame, id_: str, vec: str, label: str | None = None, by: bool = False, weight: str | None = None) -> DataFrame:
+    """(l, id, v, y, w): l the label to meet by, y a number for the label, w a weight."""
+    y = F.xxhash64(F.col(label)) if label else F.lit(0).cast("long")
+    return df.select((F.col(label).cast("string") if by else F.lit("")).alias("l"), F.col(id_).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), y.alias("y"), (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("w"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = np.asarray(column.flatten(), float)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def _nearest_pivot(pivots: np.ndarray):
+    def place(batches):
+        for b in batches:
+            x = np.nan_to_num(_matrix(b["v"]))
+            rough = (pivots**2).sum(1) - 2 * x @ pivots.T
+            g = rough.argmin(1)
+            d = np.sqrt(((x - pivots[g]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(g.astype(np.int32)), pa.array(d)], names=[*b.schema.names, "g", "d"])
+
+    return place
+
 
+def meetings(left: DataFrame, right: DataFrame, kernel, schema: str, within: float | None = None, k: int | None = None) -> DataFrame:
+    """What `kernel(left ids, vectors, labels, weights, right's four)` gives (an Arrow batch or None) for every meeting that matters.
 
-def _blocks(df: DataFrame, id_: str, vec: str, by: str | None, n: int, name: str) -> DataFrame:
-    """Rows packed by hash blocks (within a label, if given): (label, block, ids, flat vectors)."""
-    label = F.col(by).cast("string") if by else F.lit("")
-    keyed = df.select(label.alias("l"), F.pmod(F.xxhash64(F.col(id_)), F.lit(n)).alias(name), F.col(id_).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    return keyed.groupBy("l", name).agg(F.collect_list(F.struct("id", "v")).alias(f"rows_{name}"))
+    left and right come from `rows_of`; rows with the same l meet. With `within`, pairs of rows farther apart need
+    not meet; with `k`, only a left row's k nearest others of its l matter.
+    """
+    parts_of = lambda n, rows: F.greatest(F.lit(1), F.ceil(n / rows)).cast("int")
+    sizes = [df.groupBy("l").agg(F.count("*").alias("n")) for df in (left, right)]
+    most = sizes[1].agg(F.max("n")).first()[0] or 0
+    if most <= ROWS:
+        many = sizes[0].select("l", parts_of(F.col("n"), ROWS // 4).alias("parts"))
+        none = F.lit(-1)
+        a = left.join(many, "l").select("l", none.alias("ga"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("pa"), none.alias("gb"), F.lit(0).alias("pb"), F.lit(0).alias("side"), "id", "v", "y", "w")
+        b = right.join(many, "l").select("l", none.alias("ga"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pa"), none.alias("gb"), F.lit(0).alias("pb"), F.lit(1).alias("side"), "id", "v", "y", "w")
+    else:
+        few = right.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-most // ROWS) * 4)).select("v").toArrow()["v"].combine_chunks()
+        pivots = np.unique(np.nan_to_num(_matrix(few)), axis=0)
+        big = sizes[1].where(F.col("n") > ROWS).select("l")
+        place, fields = _nearest_pivot(pivots), "l string, id bigint, v array<double>, y bigint, w bigint, g int, d double"
+
+        def grouped(df: DataFrame) -> DataFrame:
+            near = df.join(big, "l", "left_semi").mapInArrow(place, fields)
+            return near.unionByName(df.join(big, "l", "left_anti").withColumns({"g": F.lit(-1), "d": F.lit(0.0)}))
+
+        a, b = grouped(left), grouped(right)
+        ha, hb = (df.groupBy("l", "g").agg(F.count("*").alias("n"), F.max("d").alias("r")) for df in (a, b))
+        ha = ha.select("l", F.col("g").alias("ga"), parts_of(F.col("n"), ROWS // 4).alias("na"), F.col("r").alias("ra"))
+        hb = hb.select("l", F.col("g").alias("gb"), parts_of(F.col("n"), ROWS).alias("nb"), F.col("n").alias("size"), F.col("r").alias("rb"))
+        gaps = np.stack([np.sqrt(((pivots - c) ** 2).sum(1)) for c in pivots])
+        i, j = np.indices(gaps.shape, np.int32)
+        apart = left.sparkSession.createDataFrame(pa.table({"ga": i.ravel(), "gb": j.ravel(), "apart": gaps.ravel()}))
+        pairs = ha.join(hb, "l").join(apart, ["ga", "gb"], "left").fillna(0.0, subset=["apart"])
+        low, high = F.col("apart") - F.col("ra") - F.col("rb"), F.col("apart") + F.col("ra") + F.col("rb")
+        slack = 1e-9 * (1 + high)
+        if within is not None:
+            pairs = pairs.where(low - slack <= within)
+        if k is not None:
+            enough = F.min(F.when(F.col("size") > k, high)).over(Window.partitionBy("l", "ga"))
+            pairs = pairs.withColumn("reach", F.coalesce(enough, F.lit(float("inf")))).where(low - slack <= F.col("reach"))
+        pairs = pairs.select("l", "ga", "na", "gb", "nb").persist()
+        mine = lambda df, n, rows, p: df.join(n, ["l", "g"]).withColumn(p, F.pmod(F.xxhash64("id"), "n").cast("int"))
+        a = mine(a, ha.select("l", F.col("ga").alias("g"), F.col("na").alias("n")), ROWS // 4, "pa").withColumnRenamed("g", "ga").join(pairs.drop("na"), ["l", "ga"])
+        a = a.select("l", "ga", "pa", "gb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("pb"), F.lit(0).alias("side"), "id", "v", "y", "w")
+        b = mine(b, hb.select("l", F.col("gb").alias("g"), F.col("nb").alias("n")), ROWS, "pb").withColumnRenamed("g", "gb").join(pairs.drop("nb"), ["l", "gb"])
+        b = b.select("l", "ga", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("pa"), "gb", "pb", F.lit(1).alias("side"), "id", "v", "y", "w")
+    keys = ["l", "ga", "pa", "gb", "pb"]
+    return a.unionByName(b).repartition(*keys).sortWithinPartitions(*keys, "side", "id").mapInArrow(_each(kernel, keys), schema)
+
+
+def _each(kernel, keys):
+    """Batches sorted by meeting and side, one meeting at a time to the kernel."""
+
+    def run(batches):
+        held, now = [], None
+        for b in batches:
+            cols = [b[c].dictionary_encode().indices if pa.types.is_string(b[c].type) else b[c] for c in keys]
+            marks = np.stack([np.asarray(c, np.int64) for c in cols]) if b.num_rows else np.zeros((len(keys), 0), np.int64)
+            edges = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                key = tuple(b[c][lo].as_py() for c in keys)
+                if key != now:
+                    yield from _met(kernel, held)
+                    held, now = [], key
+                held.append(b.slice(lo, hi - lo))
+        yield from _met(kernel, held)
+
+    return run
+
+
+def _met(kernel, held):
+    if not held:
+        return
+    side = np.concatenate([np.asarray(b["side"]) for b in held])
+    cut = int((side == 0).sum())
+    if 0 < cut < len(side):
+        cols = [pa.concat_arrays([b[c] for b in held]) for c in ("id", "v", "y", "w")]
+        halves = [[np.asarray(c[0][lo:hi]), _matrix(c[1][lo:hi]), np.asarray(c[2][lo:hi]), np.asarray(c[3][lo:hi])] for c in (cols,) for lo, hi in ((0, cut), (cut, len(side)))]
+        yield from kernel(*halves[0], *halves[1])
+
+
+def _rough(xv: np.ndarray, yv: np.ndarray):
+    """For some rows of x at a time: the first, the rows, their squared distances from all of y by a matrix product, and how far each row's may be off."""
+    norms, n = (yv**2).sum(1), len(yv)
+    for lo in range(0, len(xv), max(1, CELLS // max(1, n))):
+        part = xv[lo : lo + max(1, CELLS // max(1, n))]
+        own = (part**2).sum(1)
+        yield lo, part, own[:, None] + norms - 2 * part @ yv.T, 1e-9 * (1.0 + own + norms.max(initial=0.0))
 
 
-def _count(df: DataFrame) -> int:
-    return max(1, -(-df.count() // BLOCK))
+def _exact(part: np.ndarray, yv: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    step = max(1, CELLS // max(1, part.shape[1]))
+    return np.concatenate([np.zeros(0), *(np.sqrt(((part[i[s : s + step]] - yv[j[s : s + step]]) ** 2).sum(1)) for s in range(0, len(i), step))])
+
+
+def _nearest(k: int, with_self: bool, apart: bool):
+    """The k nearest right rows of each left one, ties to the smaller id; `apart`: of another label only."""
+
+    def kernel(xi, xv, xy, xw, yi, yv, yy, yw):
+        for lo, part, rough, slack in _rough(xv, yv):
+            ids = xi[lo : lo + len(part)]
+            if not with_self:
+                rough[ids[:, None] == yi] = np.inf
+            if apart:
+                rough[xy[lo : lo + len(part), None] == yy] = np.inf
+            at = min(k, len(yi)) - 1
+            top = np.partition(rough, at, axis=1)[:, at]
+            i, j = np.nonzero((rough <= (top + slack)[:, None]) & np.isfinite(rough))
+            d = _exact(part, yv, i, j)
+            by = np.lexsort((yi[j], d, i))
+            i, j, d = i[by], j[by], d[by]
+            turn = np.arange(len(i)) - np.searchsorted(i, i)
+            on = turn < k
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i[on]]), pa.array(yi[j[on]]), pa.array(d[on])], names=["id", "neighbour", "distance"])
+
+    return kernel
 
 
 def knn_join(left: DataFrame, right: DataFrame, k: int, id_: str = "id", vec: str = "v", within: str | None = None, other: str | None = None, with_self: bool = False) -> DataFrame:
     """(id, neighbour, distance, rank): the k nearest rows of right for each of left by Euclidean distance, ties to the smaller id.
 
     within: only rows with the same label; other: only rows with another label; a row is no neighbour of itself
-    unless with_self. Exact: blocks of both sides meet once, each meeting keeps its own k nearest, and a window
-    keeps the best of those. Work grows with the product of the sides, as any exact answer's does in high
-    dimensions; memory and rows moved don't, since only k rows leave a meeting per row of left.
+    unless with_self. Exact. Groups that bounds rule out don't meet; in high dimensions bounds rule out little, and work grows
+    with the product of the sides, as any exact answer's does. Memory doesn't, and only k rows leave a meeting per row of left.
     """
-    nl, nr = _count(left), _count(right)
-    a, b = _blocks(left, id_, vec, within or other, nl, "lb"), _blocks(right, id_, vec, within or other, nr, "rb")
-    if within:
-        pairs = a.join(b, "l")
-    else:
-        b = b.select(F.col("l").alias("rl"), "rb", "rows_rb")
-        pairs = a.join(b, F.col("l") != F.col("rl")) if other else a.crossJoin(b)
-
-    def nearest(batches):
-        for pdf in batches:
-            for x, y in zip(pdf["rows_lb"], pdf["rows_rb"], strict=True):
-                xi, yi = (np.array([r["id"] for r in z]) for z in (x, y))
-                xv, yv = (np.stack([np.asarray(r["v"], float) for r in z]) for z in (x, y))
-                by = np.argsort(yi)
-                yi, yv = yi[by], yv[by]
-                yield _nearest(xi, xv, yi, yv, k, with_self)
-
-    some = pairs.select("rows_lb", "rows_rb").repartition(max(1, nl * nr)).mapInPandas(nearest, "id bigint, neighbour bigint, distance double") if nl * nr > 1 else pairs.select("rows_lb", "rows_rb").mapInPandas(nearest, "id bigint, neighbour bigint, distance double")
+    a, b = (rows_of(df, id_, vec, within or other, bool(within)) for df in (left, right))
+    some = meetings(a, b, _nearest(k, with_self, bool(other)), "id bigint, neighbour bigint, distance double", k=None if other else k)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     return some.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _nearest(xi: np.ndarray, xv: np.ndarray, yi: np.ndarray, yv: np.ndarray, k: int, with_self: bool) -> pd.DataFrame:
-    """The k nearest rows of y (in id order) for each of x: a matrix product finds who can be among them, differences decide."""
-    ids, near, dist = [], [], []
-    norms = (yv**2).sum(1)
-    for lo in range(0, len(xi), 256):
-        part = xv[lo : lo + 256]
-        own = (part**2).sum(1)
-        rough = own[:, None] + norms - 2 * part @ yv.T
-        if not with_self:
-            rough[xi[lo : lo + 256, None] == yi] = np.inf
-        top = np.partition(rough, min(k, len(yi)) - 1, axis=1)[:, min(k, len(yi)) - 1]
-        slack = 1e-9 * (1.0 + own + norms.max())
-        for i, row in enumerate(rough):
-            at = np.flatnonzero((row <= top[i] + slack[i]) & np.isfinite(row))
-            d = np.sqrt(((part[i] - yv[at]) ** 2).sum(1))
-            best = np.argsort(d, kind="stable")[:k]
-            ids += [xi[lo + i]] * len(best)
-            near += yi[at[best]].tolist()
-            dist += d[best].tolist()
-    return pd.DataFrame({"id": np.array(ids, np.int64), "neighbour": np.array(near, np.int64), "distance": np.array(dist, float)})
-
-
-def distance(a: str, b: str):
-    """Euclidean distance of two array columns, in the JVM."""
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, t: s + t))
+def _within(eps: float):
+    def kernel(xi, xv, xy, xw, yi, yv, yy, yw):
+        for lo, part, rough, slack in _rough(xv, yv):
+            i, j = np.nonzero(rough <= (eps * eps + slack)[:, None])
+            d = _exact(part, yv, i, j)
+            on = d <= eps
+            yield pa.RecordBatch.from_arrays([pa.array(xi[lo + i[on]]), pa.array(yi[j[on]]), pa.array(d[on])], names=["id", "neighbour", "distance"])
 
+    return kernel
 
-def eps_join(df: DataFrame, eps: float, id_: str = "id", vec: str = "v", axis: int = 0) -> DataFrame:
-    """(id, neighbour, distance) of all pairs within eps, both ways, self included.
 
-    One coordinate is cut into cells of width eps: partners lie in the same cell or a neighbouring one, so an
-    equi-join on the cell replaces the cross join, and the exact distance filters.
-    """
-    base = df.select(F.col(id_).alias("id"), F.col(vec).cast("array<double>").alias("v"), F.floor(F.col(vec)[axis] / eps).cast("long").alias("cell"))
-    there = base.select(F.col("id").alias("neighbour"), F.col("v").alias("w"), F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)).alias("cell"))
-    near = base.join(there, "cell").where(F.abs(F.col("v")[axis] - F.col("w")[axis]) <= eps)
-    return near.withColumn("distance", distance("v", "w")).where(F.col("distance") <= eps).select("id", "neighbour", "distance")
+def eps_join(df: DataFrame, eps: float, id_: str = "id", vec: str = "v") -> DataFrame:
+    """(id, neighbour, distance) of all pairs within eps, both ways, self included. Groups of rows that lie farther apart don't meet."""
+    rows = rows_of(df, id_, vec)
+    return meetings(rows, rows, _within(eps), "id bigint, neighbour bigint, distance double", within=eps)
+
+
+def linked(xv: np.ndarray, yv: np.ndarray, eps: float) -> np.ndarray:
+    """Which rows are within eps of each other: a matrix of booleans, exact at the edge."""
+    out = np.zeros((len(xv), len(yv)), bool)
+    for lo, part, rough, slack in _rough(xv, yv):
+        near = rough <= (eps * eps - slack)[:, None]
+        i, j = np.nonzero(~near & (rough <= (eps * eps + slack)[:, None]))
+        near[i, j] = _exact(part, yv, i, j) <= eps
+        out[lo : lo + len(part)] = near
+    return out
+
+
+def neighbour_counts(rows: DataFrame, eps: float) -> DataFrame:
+    """(id, n): the weight of the rows within eps of each row, itself included. No pair leaves its task."""
+
+    def kernel(xi, xv, xy, xw, yi, yv, yy, yw):
+        yield pa.RecordBatch.from_arrays([pa.array(xi), pa.array(linked(xv, yv, eps) @ yw.astype(np.int64))], names=["id", "n"])
+
+    return meetings(rows, rows, kernel, "id bigint, n bigint", within=eps).groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def linking_pairs(rows: DataFrame, eps: float) -> DataFrame:
+    """(a, b): pairs of rows within eps that connect whatever pairs within eps connect: of each meeting a spanning forest."""
+
+    def kernel(xi, xv, xy, xw, yi, yv, yy, yw):
+        near = linked(xv, yv, eps)
+        a, b, open_x, open_y = [], [], np.ones(len(xi), bool), np.ones(len(yi), bool)
+        for start in range(len(xi)):
+            if not open_x[start]:
+                continue
+            open_x[start], todo = False, [start]
+            while todo:
+                x = todo.pop()
+                for y in np.flatnonzero(near[x] & open_y).tolist():
+                    open_y[y] = False
+                    a.append(xi[x])
+                    b.append(yi[y])
+                    more = np.flatnonzero(near[:, y] & open_x)
+                    open_x[more] = False
+                    a += xi[more].tolist()
+                    b += [yi[y]] * len(more)
+                    todo += more.tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
+
+    return meetings(rows, rows, kernel, "a bigint, b bigint", within=eps).where("a <> b")
+
+
+def least_near(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
+    """(id, reach): the least y of the right rows within eps of each left row that has any."""
+
+    def kernel(xi, xv, xy, xw, yi, yv, yy, yw):
+        near = linked(xv, yv, eps)
+        least = np.where(near, yy, np.iinfo(np.int64).max).min(1)
+        on = near.any(1)
+        yield pa.RecordBatch.from_arrays([pa.array(xi[on]), pa.array(least[on])], names=["id", "reach"])
+
+    return meetings(left, right, kernel, "id bigint, reach bigint", within=eps).groupBy("id").agg(F.min("reach").alias("reach"))
+
+
+def label_distances(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(id, y, other, total, n): for each chosen row, the sum of its distances from the rows of each label, itself included."""
 
+    def kernel(xi, xv, xy, xw, yi, yv, yy, yw):
+        labels, where = np.unique(yy, return_inverse=True)
+        hot = (where[:, None] == np.arange(len(labels))).astype(float)
+        for lo, part, rough, slack in _rough(xv, yv):
+            d = np.sqrt(np.maximum(rough, 0.0))
+            i, j = np.nonzero(rough <= (1e6 * slack)[:, None])  # too near for the product's digits
+            d[i, j] = _exact(part, yv, i, j)
+            total, m = d @ hot, len(part)
+            cols = [np.repeat(xi[lo : lo + m], len(labels)), np.repeat(xy[lo : lo + m], len(labels)), np.tile(labels, m), total.ravel(), np.tile(hot.sum(0).astype(np.int64), m)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "y", "other", "total", "n"])
 
-def widest_axis(df: DataFrame, dim: int, vec: str = "v") -> int:
-    """The coordinate with the largest variance: the best one to cut."""
-    row = df.agg(*[F.coalesce(F.var_pop(F.col(vec)[i]), F.lit(0.0)).alias(f"a{i}") for i in range(dim)]).first()
-    return max(range(dim), key=lambda i: row[i])
+    return meetings(chosen, rows, kernel, "id bigint, y bigint, other bigint, total double, n bigint").groupBy("id", "y", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

@@ -5,71 +5,89 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Distinct profiles that a task compares at a time.
-BLOCK = 2048
+from .neighbors import meetings, rows_of
 
+def fit_imputer(train: DataFrame, columns, key: str = "user_id") -> DataFrame:
+    """What imputation needs of its training rows: (kind, times, v), each different profile with its smallest key and how often it is there; missing cells are null.
 
-def knn_impute(df: DataFrame, columns, k: int = 5, key: str = "user_id", digits: int = 6) -> DataFrame:
-    """Missing cells become the mean of the k nearest rows that have the column; no such row: the column's mean.
+    A table like any other: it can be written, read back and applied to new rows. A column without any value raises.
+    """
+    counts = train.agg(*[F.count(c).alias(c) for c in columns], F.count("*").alias("_n")).first()
+    if counts["_n"] and (empty := [c for c in columns if not counts[c]]):
+        raise ValueError(f"no value in {', '.join(empty)}")
+    return train.groupBy(*columns).agg(F.count("*").alias("times"), F.min(F.col(key).cast("long")).alias("kind")).select("kind", "times", F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+
+
+def impute(df: DataFrame, fitted: DataFrame, columns, k: int = 5, key: str = "user_id", digits: int = 6) -> DataFrame:
+    """Missing cells become the mean of the k nearest fitted rows that have the column; no such row: the column's mean.
 
     Distance: sqrt(p / present * sum of squares) over the coordinates that both rows have. Rows with equal profiles
     count as one donor with a multiplicity, and equal receivers are served once, so work depends on the number of
-    distinct profiles, of which blocks meet in tasks; only k donors a cell leave a meeting. Ties go to the smaller key of the profile. A column without any value raises.
+    different profiles; blocks of them meet in tasks, and only k donors a cell leave a meeting. Ties go to the smaller kind.
     """
-    p = len(columns)
-    counts = df.agg(*[F.count(c).alias(c) for c in columns], F.count("*").alias("_n")).first()
-    if counts["_n"] and (empty := [c for c in columns if not counts[c]]):
-        raise ValueError(f"no value in {', '.join(empty)}")
-    means = df.agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
-    kinds = df.groupBy(*columns).agg(F.count("*").alias("_times"), F.min(key).alias("_kind"))
+    p, names = len(columns), F.array(*[F.lit(c) for c in columns])
+    means = fitted.agg(*[(F.sum(F.col("v")[i] * F.col("times")) / F.sum(F.when(F.col("v")[i].isNotNull(), F.col("times")))).alias(f"_mean_{c}") for i, c in enumerate(columns)])
     gaps = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
-    row = F.struct(F.col("_kind").cast("long").alias("kind"), F.col("_times").alias("times"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
-    n = kinds.count()
-    blocks = lambda df, name: df.groupBy(F.pmod(F.xxhash64("_kind"), F.lit(max(1, -(-n // BLOCK)))).alias(name)).agg(F.collect_list(row).alias(f"rows_{name}"))
-    pairs = blocks(kinds.where(gaps), "a").crossJoin(blocks(kinds, "b")).select("rows_a", "rows_b")  # pairs of blocks
-
-    def nearest(batches):
-        for pdf in batches:
-            for xs, ys in zip(pdf["rows_a"], pdf["rows_b"], strict=True):
-                yield _donors(xs, sorted(ys, key=lambda r: r["kind"]), k, p)
-
-    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("c") + 1)
-    far = pairs.repartition(max(1, n // BLOCK + 1) ** 2).mapInPandas(nearest, "_rid bigint, c int, _d double, _kind bigint, _times bigint, value double")
+    asks = df.where(gaps).groupBy(*columns).agg(F.min(F.col(key).cast("long")).alias("_rid"))
+    filled = lambda v: F.transform(v, lambda x: F.coalesce(x, F.lit(float("nan"))))
+    left = rows_of(asks.select("_rid", filled(F.array(*[F.col(c).cast("double") for c in columns])).alias("v")), "_rid", "v")
+    right = rows_of(fitted.select("kind", "times", filled(F.col("v")).alias("v")), "kind", "v", weight="times")
+    far = meetings(left, right, _donors(k, p), "_rid bigint, c int, _d double, _kind bigint, _times bigint, value double")
     w = Window.partitionBy("_rid", "c").orderBy("_d", "_kind")
     near = far.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)  # k profiles hold k rows at least
     before = F.coalesce(F.sum("_times").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    used = near.withColumn("_used", F.least(F.col("_times"), F.lit(k) - before)).where("_used > 0").select("_rid", F.struct(names.alias("column"), "value").alias("_c"), "_used")
-    filled = used.groupBy("_rid", F.col("_c.column").alias("column")).agg((F.sum(F.col("_c.value") * F.col("_used")) / F.sum("_used")).alias("value"))
-    wide = filled.groupBy("_rid").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"_f_{c}") for c in columns])
+    used = near.withColumn("_used", F.least(F.col("_times"), F.lit(k) - before)).where("_used > 0")
+    value = (F.sum(F.col("value") * F.col("_used")) / F.sum("_used")).alias("value")
+    cells = used.groupBy("_rid", F.element_at(names, F.col("c") + 1).alias("column")).agg(value)
+    wide = cells.groupBy("_rid").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"_f_{c}") for c in columns])
+    served = asks.join(wide, "_rid", "left")
     same = reduce(lambda a, b: a & b, [F.col(f"b.{c}").eqNullSafe(F.col(f"k.{c}")) for c in columns])
-    out = df.alias("b").join(kinds.alias("k"), same, "left").select("b.*", "k._kind").join(wide, F.col("_kind") == F.col("_rid"), "left").crossJoin(F.broadcast(means))  # one row of means
+    out = df.alias("b").join(served.alias("k"), same, "left").select("b.*", *[f"k._f_{c}" for c in columns]).crossJoin(F.broadcast(means))  # one row of means
     keep = [c for c in df.columns if c not in columns]
     return out.select(*keep, *[F.round(F.coalesce(c, f"_f_{c}", f"_mean_{c}"), digits).alias(c) for c in columns])
 
 
-def _donors(xs, ys, k: int, p: int) -> pd.DataFrame:
-    """For every missing cell of xs the k nearest of ys (in the order of their kinds) that have the column."""
-    out: list[tuple] = []
-    y = np.stack([np.array(r["v"], float) for r in ys])
-    have = ~np.isnan(y)
-    filled = np.where(have, y, 0.0)
-    for r in xs:
-        x = np.array(r["v"], float)
-        own = ~np.isnan(x)
-        both = have & own
-        present = both.sum(1)
-        squares = (np.where(both, filled - np.where(own, x, 0.0), 0.0) ** 2).sum(1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = np.where(present > 0, np.sqrt(float(p) / present * squares), np.inf)
-        for c in np.flatnonzero(~own).tolist():
-            at = np.flatnonzero(have[:, c] & np.isfinite(d))
-            for i in at[np.argsort(d[at], kind="stable")[:k]].tolist():
-                out.append((r["kind"], c, d[i], ys[i]["kind"], ys[i]["times"], y[i, c]))
-    return pd.DataFrame(out, columns=["_rid", "c", "_d", "_kind", "_times", "value"])
+def knn_impute(df: DataFrame, columns, k: int = 5, key: str = "user_id", digits: int = 6) -> DataFrame:
+    """`impute` of a table from itself."""
+    return impute(df, fit_imputer(df, columns, key), columns, k, key, digits)
+
+
+def _donors(k: int, p: int):
+    """For every missing cell of the left rows the k nearest right rows that have the column: products of values and of marks give all distances at once, differences decide."""
+
+    def kernel(xi, xv, xy, xw, yi, yv, yy, yw):
+        hy = ~np.isnan(yv)
+        y, norms = np.where(hy, yv, 0.0), np.where(hy, yv, 0.0) ** 2
+        step = max(1, (1 << 21) // len(yi))
+        for lo in range(0, len(xi), step):
+            part = xv[lo : lo + step]
+            hx = ~np.isnan(part)
+            x = np.where(hx, part, 0.0)
+            present = hx.astype(float) @ hy.T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rough = np.where(present > 0, np.maximum(0.0, (x**2) @ hy.T + hx @ norms.T - 2 * x @ y.T) * p / present, np.inf)
+            slack = 1e-9 * (1.0 + np.where(np.isfinite(rough), rough, 0.0).max(1))
+            for c in range(part.shape[1]):
+                rows, cols = np.flatnonzero(~hx[:, c]), np.flatnonzero(hy[:, c])
+                if not len(rows) or not len(cols):
+                    continue
+                d = rough[np.ix_(rows, cols)]
+                at = min(k, len(cols)) - 1
+                i, j = np.nonzero((d <= (np.partition(d, at, axis=1)[:, at] + slack[rows])[:, None]) & np.isfinite(d))
+                a, b = rows[i], cols[j]
+                both = hx[a] & hy[b]
+                exact = np.sqrt(float(p) / both.sum(1) * (np.where(both, x[a] - y[b], 0.0) ** 2).sum(1))
+                by = np.lexsort((yi[b], exact, a))
+                a, b, exact = a[by], b[by], exact[by]
+                on = np.arange(len(a)) - np.searchsorted(a, a) < k
+                a, b, exact = a[on], b[on], exact[on]
+                yield pa.RecordBatch.from_arrays([pa.array(xi[lo + a]), pa.array(np.full(len(a), c, np.int32)), pa.array(exact), pa.array(yi[b]), pa.array(yw[b]), pa.array(yv[b, c])], names=["_rid", "c", "_d", "_kind", "_times", "value"])
+
+    return kernel
 
 
 def median_impute(df: DataFrame, columns) -> DataFrame:
@@ -77,12 +95,16 @@ def median_impute(df: DataFrame, columns) -> DataFrame:
     return df.fillna({c: row[c] for c in columns if row[c] is not None})
 
 
-def fit_scaler(df: DataFrame, columns, kind: str) -> DataFrame:
-    """One row of (shift_c, scale_c): robust (median, interquartile range), minmax or standard (population); a scale of 0 counts as 1."""
+def fit_scaler(df: DataFrame, columns, kind: str, approx: bool = False) -> DataFrame:
+    """One row of (shift_c, scale_c): robust (median, interquartile range), minmax or standard (population); a scale of 0 counts as 1.
+
+    approx: sketched quantiles, for columns of more different values than one task can hold.
+    """
     aggs = []
+    at = (lambda c, p: F.percentile_approx(c, p)) if approx else (lambda c, p: F.percentile(c, F.lit(p)))
     for c in columns:
         lo, spread = {
-            "robust": lambda c: (F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))),
+            "robust": lambda c: (at(c, 0.5), at(c, 0.75) - at(c, 0.25)),
             "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)),
             "standard": lambda c: (F.avg(c), F.stddev_pop(c)),
         }[kind](c)

@@ -7,24 +7,32 @@ from pyspark.sql import functions as F
 
 
 def profile_columns(df: DataFrame, columns, approx: bool = False) -> DataFrame:
-    """(column, n, nulls, distinct, min, max, mean, std, p25, p50, p75) of numeric columns, in one pass."""
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    quant = (lambda c, p: F.percentile_approx(c, p)) if approx else (lambda c, p: F.percentile(c, F.lit(p)))
-    parts = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        parts.append(F.struct(
-            F.lit(c).alias("column"), F.count("*").alias("n"), F.count_if(x.isNull()).alias("nulls"), distinct(x).alias("distinct"), F.min(x).alias("min"), F.max(x).alias("max"),
-            F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), quant(x, 0.25).alias("p25"), quant(x, 0.5).alias("p50"), quant(x, 0.75).alias("p75"),
-        ))
-    return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
-
-
-def cluster_describe(df: DataFrame, cluster: str, columns) -> DataFrame:
-    """(cluster, column, n, mean, std, min, p50, max) for each cluster and column."""
+    """(column, n, nulls, distinct, min, max, mean, std, p25, p50, p75) of numeric columns.
+
+    Exact: equal values are counted first, before they are shuffled, and distinct counts and quantiles come from the counts.
+    approx: one pass with sketches, for columns of more different values than one task can hold.
+    """
+    plain = lambda c, x: [F.lit(c).alias("column"), F.count("*").alias("n"), F.count_if(x.isNull()).alias("nulls"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")]
+    sketch = lambda x: [F.approx_count_distinct(x).alias("distinct"), *[F.percentile_approx(x, p).alias(f"p{int(100 * p)}") for p in QUARTILES]]
+    cells = [F.struct(*plain(c, F.col(c).cast("double")), *(sketch(F.col(c).cast("double")) if approx else [])) for c in columns]
+    out = df.agg(F.array(*cells).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    if not approx:
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("s")).select("s.*")
+        values = long.where("x is not null").groupBy("column", "x").agg(F.count("*").alias("m"))
+        ranks = values.groupBy("column").agg(F.count("*").alias("distinct"), F.percentile("x", F.array(*map(F.lit, QUARTILES)), F.col("m")).alias("q"))
+        out = out.join(ranks, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0))).withColumns({f"p{int(100 * p)}": F.col("q")[i] for i, p in enumerate(QUARTILES)})
+    return out.select("column", "n", "nulls", "distinct", "min", "max", "mean", "std", "p25", "p50", "p75")
+
+
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def cluster_describe(df: DataFrame, cluster: str, columns, approx: bool = False) -> DataFrame:
+    """(cluster, column, n, mean, std, min, p50, max) for each cluster and column; the median is exact unless approx."""
+    middle = F.percentile_approx("x", 0.5) if approx else F.percentile("x", F.lit(0.5))
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
     long = df.select(cluster, F.explode(cells).alias("c")).select(cluster, "c.column", "c.x")
-    return long.groupBy(cluster, "column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.percentile("x", F.lit(0.5)).alias("p50"), F.max("x").alias("max"))
+    return long.groupBy(cluster, "column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), middle.alias("p50"), F.max("x").alias("max"))
 
 
 def cluster_counts(df: DataFrame, cluster: str, column: str) -> DataFrame:

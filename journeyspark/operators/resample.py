@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from journeyspark.functions.draws import uniform
+from journeyspark.functions.lineage import written
+from journeyspark.functions.order import numbered, place_in_class
 
 from .neighbors import knn_join
 
@@ -19,28 +21,32 @@ def class_needs(df: DataFrame, y: str = "y") -> DataFrame:
 
 
 def _synthesize(draws: DataFrame, rows: DataFrame, near: DataFrame, seed: int, y: str) -> DataFrame:
-    """draws: (y, s, base): a row for each new point. The base moves towards one of its neighbours."""
+    """draws: (y, base, key, at): a row for each new point, with the text its draws depend on and its number. The base moves towards one of its neighbours; ids are -1, -2, …"""
     count = near.groupBy("id").agg(F.count("*").alias("have"))
-    key = F.concat_ws("-", y, "s")
-    picked = draws.join(count, draws["base"] == count["id"]).drop("id").withColumn("rank", (F.floor(uniform(seed, key, "neighbour") * F.col("have")) + 1).cast("int"))
+    picked = draws.join(count, draws["base"] == count["id"]).drop("id").withColumn("rank", (F.floor(uniform(seed, F.col("key"), "neighbour") * F.col("have")) + 1).cast("int"))
     picked = picked.join(near.select(F.col("id").alias("base"), "rank", "neighbour"), ["base", "rank"])
     a = rows.select(F.col("id").alias("base"), F.col("v").alias("va"))
     b = rows.select(F.col("id").alias("neighbour"), F.col("v").alias("vb"))
-    g = uniform(seed, key, "gap")
-    moved = picked.join(a, "base").join(b, "neighbour").withColumn("g", g)
+    moved = picked.join(a, "base").join(b, "neighbour").withColumn("g", uniform(seed, F.col("key"), "gap"))
     v = F.zip_with("va", F.zip_with("va", "vb", lambda x, z: (z - x)), lambda x, step: F.struct(x.alias("x"), step.alias("s")))
-    return moved.select((-F.col("s") - 1 - F.col(y).cast("long") * 1_000_000_000).alias("id"), y, F.transform(v, lambda p: p["x"] + F.col("g") * p["s"]).alias("v"), "base", "neighbour")
+    return moved.select((-F.col("at") - 1).cast("long").alias("id"), y, F.transform(v, lambda p: p["x"] + F.col("g") * p["s"]).alias("v"), "base", "neighbour")
+
+
+def _counted(draws: DataFrame, y: str, *more: str) -> DataFrame:
+    """draws with key and at: their number in the order of label and `more`, so no two new points share an id, whatever labels and ids are."""
+    keyed = draws.withColumn("key", F.concat_ws("-", y, *more)).withColumn("_turn", F.struct(y, *more))
+    return numbered(keyed, "_turn", "draws").drop("_turn").withColumnRenamed("_at", "at")
 
 
 def smote(df: DataFrame, k: int = 5, seed: int = 1, y: str = "y") -> DataFrame:
-    """Original rows, and new ones (negative ids) for each class below the largest: a base drawn with replacement, towards one of its k nearest of the class."""
+    """Original rows, and new ones (negative ids) for each class below the largest: a base drawn with replacement, towards one of its k nearest of the class. Labels may be of any type that has an order."""
     rows = df.select(F.col("id").cast("long"), y, F.col("v").cast("array<double>").alias("v"))
     need = class_needs(rows, y)
-    draws = need.where("need > 0").select(y, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need") - 1)).alias("s"))
-    at = (F.floor(uniform(seed, F.concat_ws("-", y, "s"), "base") * F.col("n")) + 1).cast("int")
-    numbered = rows.select(y, F.col("id").alias("base"), F.row_number().over(Window.partitionBy(y).orderBy("id")).alias("at"))
-    draws = draws.withColumn("at", at).join(numbered, [y, "at"]).select(y, "s", "base")
+    slots = need.where("need > 0").select(y, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need") - 1)).alias("s"))
+    draws = _counted(slots, y, "s").withColumn("_rn", (F.floor(uniform(seed, F.col("key"), "base") * F.col("n")) + 1).cast("long"))
     short = rows.join(need.where("need > 0").select(y), y, "left_semi")
+    placed = place_in_class(short.select(y, F.col("id").alias("base")), y, uniform(seed, F.col("base"), "turn"), "base")
+    draws = draws.join(placed.select(y, "base", "_rn"), [y, "_rn"]).select(y, "base", "key", "at")
     near = knn_join(short, short, k, within=y)
     return rows.unionByName(_synthesize(draws, rows, near, seed, y).select("id", y, "v"))
 
@@ -78,25 +84,24 @@ def adasyn_budget(df: DataFrame, k: int = 5, y: str = "y") -> DataFrame:
     near = knn_join(df, df, k, with_self=True).join(df.select(F.col("id").alias("neighbour"), F.col(y).alias("ny")), "neighbour").crossJoin(F.broadcast(top))  # one row
     hard = near.groupBy("id").agg(F.avg((F.col("ny") == F.col("top")).cast("double")).alias("difficulty"))
     rows = df.select("id", y).join(hard, "id").join(need.where("need > 0"), y)
-    w = Window.partitionBy(y)
-    total = F.sum("difficulty").over(w)
-    share = F.when(total > 0, F.col("difficulty") / total).otherwise(1.0 / F.count("*").over(w))
-    return rows.select("id", y, "difficulty", F.floor(share * F.col("need") + 1e-9).cast("long").alias("budget"))
+    totals = rows.groupBy(y).agg(F.sum("difficulty").alias("total"), F.count("*").alias("rows"))
+    share = F.when(F.col("total") > 0, F.col("difficulty") / F.col("total")).otherwise(1.0 / F.col("rows"))
+    return rows.join(totals, y).select("id", y, "difficulty", F.floor(share * F.col("need") + 1e-9).cast("long").alias("budget"))
 
 
 def adasyn(df: DataFrame, k: int = 5, seed: int = 1, y: str = "y") -> DataFrame:
+    """Original rows, and new ones (negative ids) around the rows of smaller classes that the largest class surrounds, by `adasyn_budget`."""
     rows = df.select(F.col("id").cast("long"), y, F.col("v").cast("array<double>").alias("v"))
-    budget = adasyn_budget(rows, k, y).where("budget > 0")
+    budget = written(adasyn_budget(rows, k, y).where("budget > 0"), "budget")
     draws = budget.select(y, F.col("id").alias("base"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("budget") - 1)).alias("i"))
-    draws = draws.select(y, "base", (F.col("base") * 100_000 + F.col("i")).alias("s"))
     short = rows.join(budget.select(y).distinct(), y, "left_semi")
-    return rows.unionByName(_synthesize(draws, rows, knn_join(short, short, k, within=y), seed, y).select("id", y, "v"))
+    return rows.unionByName(_synthesize(_counted(draws, y, "base", "i"), rows, knn_join(short, short, k, within=y), seed, y).select("id", y, "v"))
 
 
 def smote_tomek(df: DataFrame, k: int = 5, seed: int = 1, y: str = "y", warn_above: float = 0.5) -> tuple[DataFrame, float, bool]:
     """SMOTE and then Tomek removal; the share of rows removed, and whether it is above the warning level."""
-    grown = smote(df, k, seed, y).persist()  # read several times below
-    kept = drop_tomek(grown, y=y)
+    grown = written(smote(df, k, seed, y), "grown")  # read several times below
+    kept = written(drop_tomek(grown, y=y), "kept")
     n, m = grown.count(), kept.count()
     removed = 1 - m / n if n else 0.0
     return kept, removed, removed > warn_above

@@ -33,9 +33,10 @@ def padded(examples: DataFrame, length: int) -> DataFrame:
     return examples.select("user_id", pad(encode("seq_touch"), length).alias("ids"), F.least(F.size("seq_touch"), F.lit(length)).alias("length"))
 
 
-def max_len(train: DataFrame, min_len: int = 3, share: float = 0.95) -> DataFrame:
-    """The whole part of the exact percentile of input lengths, min_len - 1 at least."""
-    return train.agg(F.greatest(F.floor(F.percentile(F.size("seq_touch"), F.lit(share))), F.lit(min_len - 1)).cast("long").alias("max_len"))
+def max_len(train: DataFrame, min_len: int = 3, share: float = 0.95, approx: bool = False) -> DataFrame:
+    """The whole part of the percentile of input lengths (exact unless approx), min_len - 1 at least."""
+    n = F.size("seq_touch")
+    return train.agg(F.greatest(F.floor(F.percentile_approx(n, share) if approx else F.percentile(n, F.lit(share))), F.lit(min_len - 1)).cast("long").alias("max_len"))
 
 
 def channel_stats(train: DataFrame, channels=("seq_duration_log", "seq_gap_log")) -> DataFrame:

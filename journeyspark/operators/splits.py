@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from journeyspark.functions.draws import uniform
+from journeyspark.functions.order import place_in_class
 
 
 def rare_classes(df: DataFrame, y: str, least: int = 6, folds: int = 5) -> DataFrame:
@@ -19,8 +20,7 @@ def drop_rare(df: DataFrame, y: str, least: int = 6, folds: int = 5) -> DataFram
 
 
 def _ranked(df: DataFrame, y: str, id_: str, seed: int, what: str) -> DataFrame:
-    w = Window.partitionBy(y)
-    return df.withColumn("_n", F.count("*").over(w)).withColumn("_rn", F.row_number().over(w.orderBy(uniform(seed, F.col(id_), what), id_)))
+    return place_in_class(df, y, uniform(seed, F.col(id_), what), id_)
 
 
 def holdout(df: DataFrame, y: str, id_: str, share: float = 0.2, seed: int = 1) -> DataFrame:

@@ -16,17 +16,24 @@ def fit(train: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, DataFrame, Dat
 
 
 def score(rows: DataFrame, fitted, alpha: float = 1.0, weight: float = 5.0) -> DataFrame:
-    """(id, target, prob) for each row (id, step2, step3) and each known class: each level adds `weight` times the shorter one's share to its counts."""
+    """(id, target, prob) for each row (id, step2, step3) and each known class: each level adds `weight` times the shorter one's share to its counts.
+
+    Shares are worked out once for each different (step3, step2), not for each row; rows then take their list. Spark decides by
+    size which counts to broadcast.
+    """
     two, one, none = fitted
     k = F.count("*").over(Window.partitionBy())
     base = none.withColumn("p0", (F.col("c0") + alpha) / (F.sum("c0").over(Window.partitionBy()) + alpha * k)).select("target", "p0")
     all1 = one.groupBy("step2").agg(F.sum("c1").alias("n1"))
     all2 = two.groupBy("step3", "step2").agg(F.sum("c2").alias("n2"))
-    grid = rows.crossJoin(F.broadcast(base))  # a row per class
-    grid = grid.join(F.broadcast(one), ["step2", "target"], "left").join(F.broadcast(all1), "step2", "left").join(F.broadcast(two), ["step3", "step2", "target"], "left").join(F.broadcast(all2), ["step3", "step2"], "left")  # bounded by the cube of the code list
+    pairs = rows.select("step3", "step2").distinct()
+    grid = pairs.crossJoin(base)  # different pairs of steps, and classes
+    grid = grid.join(one, ["step2", "target"], "left").join(all1, "step2", "left").join(two, ["step3", "step2", "target"], "left").join(all2, ["step3", "step2"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     p1 = (zero("c1") + weight * F.col("p0")) / (zero("n1") + weight)
-    return grid.withColumn("p1", p1).withColumn("prob", (zero("c2") + weight * F.col("p1")) / (zero("n2") + weight)).select("id", "target", "prob")
+    shares = grid.withColumn("p1", p1).select("step3", "step2", F.struct("target", ((zero("c2") + weight * F.col("p1")) / (zero("n2") + weight)).alias("prob")).alias("s"))
+    lists = shares.groupBy("step3", "step2").agg(F.collect_list("s").alias("all"))
+    return rows.select("id", "step3", "step2").join(lists, ["step3", "step2"]).select("id", F.inline("all"))
 
 
 def predictions(scored: DataFrame, truth: DataFrame) -> tuple[DataFrame, list]:

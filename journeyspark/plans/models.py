@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from journeyspark.functions import metrics
+from journeyspark.functions.lineage import written
 from journeyspark.operators import resample, splits
 
 
@@ -79,19 +80,18 @@ def predict(model: PipelineModel, rows: DataFrame) -> tuple[DataFrame, list]:
 
 def cross_validate(candidate: Candidate, rows: DataFrame, k: int = 3, seed: int = 1) -> list[dict]:
     """One result per fold: the measures, seconds, and an error instead of measures where a fit fails. Training rows alone are resampled."""
-    dealt = splits.folds(rows, "y", "id", k, seed).cache()
+    dealt = written(splits.folds(rows, "y", "id", k, seed), "folds")
     out = []
     for f in sorted(r[0] for r in dealt.select("fold").distinct().collect()):
         start = time.time()
         try:
             model = fit(candidate, dealt.where(F.col("fold") != f).drop("fold"))
             pred, labels = predict(model, dealt.where(F.col("fold") == f).drop("fold"))
-            got = metrics.bundle(pred.cache(), labels if candidate.probabilities else None).first().asDict()
+            got = metrics.bundle(written(pred, "predictions"), labels if candidate.probabilities else None).first().asDict()
             error = None
         except Exception as e:  # a candidate that can't be fitted is a result, not the end of the run
             got, error = {}, str(e)[:200]
         out.append({"name": candidate.label, "sampler": candidate.sampler or "none", "probabilities": candidate.probabilities, "fold": f, "seconds": time.time() - start, "error": error} | got)
-    dealt.unpersist()
     return out
 
 

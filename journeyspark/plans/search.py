@@ -8,6 +8,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import DataFrame
 
 from journeyspark.functions import metrics
+from journeyspark.functions.lineage import written
 
 from . import models
 
@@ -33,14 +34,17 @@ def draw_trials(knobs: dict[str, tuple], trials: int, seed: int = 1) -> list[dic
 
 
 def evaluate(candidates, train: DataFrame, val: DataFrame) -> list[dict]:
-    """One result per candidate: fitted on train, measured on val; a failed fit is a result too."""
-    out = []
+    """One result per candidate: fitted on train, measured on val; a failed fit is a result too, unless all fail."""
+    out, last = [], None
     for c in candidates:
         try:
             pred, labels = models.predict(models.fit(c, train), val)
-            out.append({"name": c.label, "error": None} | metrics.bundle(pred, labels if c.probabilities else None).first().asDict())
+            out.append({"name": c.label, "error": None} | metrics.bundle(written(pred, "predictions"), labels if c.probabilities else None).first().asDict())
         except Exception as e:
+            last = e
             out.append({"name": c.label, "error": str(e)[:200], "f1_macro": float("-inf")})
+    if last is not None and all(r["error"] for r in out):
+        raise ValueError("no candidate could be fitted") from last
     return out
 
 
@@ -50,6 +54,19 @@ def random_search(train: DataFrame, val: DataFrame, trials: int = 12, seed: int
     return sorted(got, key=lambda r: -r["f1_macro"])
 
 
+def baseline_grid(sets: dict[str, tuple[DataFrame, DataFrame, DataFrame]], candidates) -> list[dict]:
+    """One row for each feature set (train, val, test) and candidate: chosen by val, and measured on test for the best of each set."""
+    out = []
+    for name, (train, val, test) in sets.items():
+        rows = [r | {"set": name, "test_f1": None} for r in evaluate(candidates, train, val)]
+        best = max(rows, key=lambda r: r["f1_macro"])
+        won = next(c for c in candidates if c.label == best["name"])
+        pred, labels = models.predict(models.fit(won, train), test)
+        best["test_f1"] = metrics.bundle(written(pred, "predictions"), labels if won.probabilities else None).first()["f1_macro"]
+        out += rows
+    return out
+
+
 def choose_feature_set(sets: dict[str, tuple[DataFrame, DataFrame, DataFrame]], candidates) -> dict:
     """Of feature sets (train, val, test), the one with the best candidate on val; that one is refitted on train and val and scored on test once."""
     tried = {name: max(evaluate(candidates, tr, va), key=lambda r: r["f1_macro"]) for name, (tr, va, _) in sets.items()}
@@ -57,4 +74,4 @@ def choose_feature_set(sets: dict[str, tuple[DataFrame, DataFrame, DataFrame]],
     train, val, test = sets[name]
     best = next(c for c in candidates if c.label == tried[name]["name"])
     pred, labels = models.predict(models.fit(best, train.unionByName(val)), test)
-    return {"set": name, "candidate": best.label, "validation": {n: r["f1_macro"] for n, r in tried.items()}, "test": metrics.bundle(pred, labels).first().asDict()}
+    return {"set": name, "candidate": best.label, "validation": {n: r["f1_macro"] for n, r in tried.items()}, "test": metrics.bundle(written(pred, "predictions"), labels).first().asDict()}

@@ -57,11 +57,14 @@ def order_window(s, d):
     return journey.journey_window(o)
 
 
-@q(f"WITH {RUNS}{WINDOW} SELECT count(*) AS n_window, 0::BIGINT AS n_bad FROM win")
+@q(f"WITH {RUNS}{WINDOW} SELECT count(*) AS n_window, count(*) FILTER (user_id % 3 = 0 AND step1 <> step2) AS n_bad FROM win")
 def window_check(s, d):
+    """The second construction finds the rows whose newest steps were swapped, and no others."""
     runs = journey.compress(clicks(s, d))
     win = journey.journey_window(runs)
-    return win.agg(F.count("*").alias("n_window")).crossJoin(journey.window_mismatches(win, runs).agg(F.count("*").alias("n_bad")))
+    swap = F.col("user_id") % 3 == 0
+    wrong = win.select("user_id", F.when(swap, F.col("step2")).otherwise(F.col("step1")).alias("step1"), F.when(swap, F.col("step1")).otherwise(F.col("step2")).alias("step2"), "step3")
+    return wrong.agg(F.count("*").alias("n_window")).crossJoin(journey.window_mismatches(wrong, runs).agg(F.count("*").alias("n_bad")))
 
 
 @q(f"""WITH {POSITIONS} SELECT user_id, max(touch) FILTER (rn = 1) AS target, array_to_string(list(touch ORDER BY rn DESC) FILTER (rn > 1), ',') AS seq_touch,
@@ -144,3 +147,27 @@ def stage_report(s, d):
     c = clicks(s, d)
     r = journey.compress(c)
     return clean.stage_report({"raw": table(s, d, "events"), "clean": c, "runs": r, "window": journey.journey_window(r)})
+
+
+_KNOWN = "known AS (SELECT c_custkey AS user_id, c_nationkey AS nation FROM customer WHERE c_custkey % 4 <> 0)"
+
+
+def _known(s, d):
+    return table(s, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("nation"))
+
+
+@q(f"WITH {POSITIONS}, {_KNOWN}, ex AS (SELECT user_id, max(touch) FILTER (rn = 1) AS target, count(*) - 1 AS inputs FROM pos GROUP BY user_id) SELECT user_id, target, inputs::INT AS inputs, nation FROM ex JOIN known USING (user_id)")
+def examples_profiles(s, d):
+    ex = journey.with_profiles(journey.build_examples(journey.build_events(clicks(s, d))), _known(s, d))
+    return ex.select("user_id", "target", F.size("seq_touch").alias("inputs"), "nation")
+
+
+@q(f"WITH {POSITIONS}, {_KNOWN}, ex AS (SELECT user_id, max(touch) FILTER (rn = 1) AS target FROM pos GROUP BY user_id) SELECT count(*) AS dropped, count(DISTINCT target) AS targets FROM ex WHERE user_id NOT IN (SELECT user_id FROM known)")
+def dropped_examples(s, d):
+    return journey.dropped_examples(journey.build_examples(journey.build_events(clicks(s, d))), _known(s, d))
+
+
+@q(f"""WITH {RUNS}{WINDOW}, {_KNOWN}, u AS (SELECT user_id, user_id IN (SELECT user_id FROM known) AS has, user_id IN (SELECT user_id FROM win) AS sees FROM (SELECT DISTINCT user_id FROM clicks))
+SELECT unnest(['users', 'without_profile', 'too_few_runs', 'rows']) AS stage, unnest([count(*), count(*) FILTER (NOT has), count(*) FILTER (has AND NOT sees), count(*) FILTER (has AND sees)]) AS n FROM u""")
+def assemble_report(s, d):
+    return journey.assemble_report(clicks(s, d), _known(s, d))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from journeyspark.contracts import TOUCH_CODES
+from journeyspark.functions import metrics
 from journeyspark.operators import clean, journey, prepare, profile
+from journeyspark.plans import training
 from journeyspark.sources import dimensions, files
 
 from .tables import CLICKS, KEPT, PROFILE_COLUMNS, PROFILES, RUNS, clicks, raw_profiles, table
@@ -100,11 +102,12 @@ def dimension_resync(s, d):
     return dimensions.resync(dimensions.resync(now, wanted, "code"), wanted, "code")
 
 
-@q("""SELECT 'customer' AS "table", c AS "column", t AS type, (SELECT count(*) FROM customer) AS rows, n AS non_null FROM (
- SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS c, unnest(['bigint', 'string', 'int', 'double', 'string']) AS t,
- unnest([count(c_custkey), count(c_name), count(c_nationkey), count(c_acctbal), count(c_mktsegment)]) AS n FROM customer)""")
+_INFO = {"customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}, "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"}, "region": {"r_regionkey": "int", "r_name": "string"}}
+
+
+@q(" UNION ALL ".join(f"""SELECT '{t}' AS "table", unnest({list(own)}) AS "column", unnest({list(own.values())}) AS type, count(*) AS rows, unnest([{', '.join(f'count({c})' for c in own)}]) AS non_null FROM {t}""" for t, own in _INFO.items()))
 def dataset_info(s, d):
-    return files.dataset_info({"customer": table(s, d, "customer")})
+    return files.dataset_info({t: table(s, d, t) for t in _INFO})
 
 
 def _form(s, d):
@@ -175,21 +178,62 @@ def median_impute(s, d):
     return prepare.median_impute(kept(s, d), COLS)
 
 
-_DIST = " + ".join(f"coalesce(power(r.{c} - k.{c}, 2), 0)" for c in COLS)
-_BOTH = " + ".join(f"(r.{c} IS NOT NULL AND k.{c} IS NOT NULL)::INT" for c in COLS)
-_KNN = f"""WITH {KEPT}, kinds AS (SELECT {', '.join(COLS)}, min(user_id) AS kind FROM kept GROUP BY ALL),
-far AS (SELECT r.kind AS rid, kt.user_id AS donor, k.kind, sqrt(6.0 / nullif({_BOTH}, 0) * ({_DIST})) AS d, {', '.join(f'k.{c} AS {c}' for c in COLS)}
-  FROM kinds r CROSS JOIN kinds k JOIN kept kt ON {' AND '.join(f'kt.{c} IS NOT DISTINCT FROM k.{c}' for c in COLS)} WHERE {' OR '.join(f'r.{c} IS NULL' for c in COLS)}),
-""" + ", ".join(f"f_{c} AS (SELECT rid, avg({c}) AS {c} FROM (SELECT rid, {c}, row_number() OVER (PARTITION BY rid ORDER BY d, kind, donor) AS rn FROM far WHERE d IS NOT NULL AND {c} IS NOT NULL) WHERE rn <= 5 GROUP BY rid)" for c in COLS) + f"""
-SELECT b.user_id, {', '.join(f'round(coalesce(b.{c}, f_{c}.{c}, (SELECT avg({c}) FROM kept)), 6) AS {c}' for c in COLS)}
-FROM kept b JOIN kinds ON {' AND '.join(f'b.{c} IS NOT DISTINCT FROM kinds.{c}' for c in COLS)} {' '.join(f'LEFT JOIN f_{c} ON f_{c}.rid = kinds.kind' for c in COLS)}"""
+def _knn_sql(receivers: str, donors: str) -> str:
+    """(user_id, columns): rows of `receivers` with gaps filled from the five nearest rows of `donors`."""
+    dist = " + ".join(f"coalesce(power(r.{c} - k.{c}, 2), 0)" for c in COLS)
+    both = " + ".join(f"(r.{c} IS NOT NULL AND k.{c} IS NOT NULL)::INT" for c in COLS)
+    same = lambda a, b: " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in COLS)
+    return f"""asks AS (SELECT {', '.join(COLS)}, min(user_id) AS kind FROM {receivers} GROUP BY ALL), kinds AS (SELECT {', '.join(COLS)}, min(user_id) AS kind FROM {donors} GROUP BY ALL),
+far AS (SELECT r.kind AS rid, kt.user_id AS donor, k.kind, sqrt(6.0 / nullif({both}, 0) * ({dist})) AS d, {', '.join(f'k.{c} AS {c}' for c in COLS)}
+  FROM asks r CROSS JOIN kinds k JOIN {donors} kt ON {same('kt', 'k')} WHERE {' OR '.join(f'r.{c} IS NULL' for c in COLS)}),
+""" + ", ".join(f"f_{c} AS (SELECT rid, avg({c}) AS {c} FROM (SELECT rid, {c}, row_number() OVER (PARTITION BY rid ORDER BY d, kind, donor) AS rn FROM far WHERE d IS NOT NULL AND {c} IS NOT NULL) WHERE rn <= 5 GROUP BY rid)" for c in COLS) + f""",
+filled AS (SELECT b.user_id, {', '.join(f'round(coalesce(b.{c}, f_{c}.{c}, (SELECT avg({c}) FROM {donors})), 6) AS {c}' for c in COLS)}
+FROM {receivers} b JOIN asks ON {same('b', 'asks')} {' '.join(f'LEFT JOIN f_{c} ON f_{c}.rid = asks.kind' for c in COLS)})"""
 
 
-@q(_KNN)
+@q(f"WITH {KEPT}, {_knn_sql('kept', 'kept')} SELECT * FROM filled")
 def knn_impute(s, d):
     return prepare.knn_impute(kept(s, d), COLS)
 
 
+_SPLIT = "train AS (SELECT * FROM kept WHERE user_id % 5 <> 0), fresh AS (SELECT * FROM kept WHERE user_id % 5 = 0)"
+
+
+@q(f"WITH {KEPT}, {_SPLIT}, {_knn_sql('fresh', 'train')} SELECT * FROM filled")
+def impute_new_rows(s, d):
+    """The imputer is fitted on some customers and fills the gaps of others."""
+    x = kept(s, d)
+    return prepare.impute(x.where("user_id % 5 = 0"), prepare.fit_imputer(x.where("user_id % 5 <> 0"), COLS), COLS)
+
+
+_WHOLE = " AND ".join(f"{c} IS NOT NULL" for c in COLS)
+_UNIT = lambda src: ", ".join(f"({src}.{c} - m.m_{c}) / m.s_{c}" for c in COLS)
+
+
+@q(f"""WITH {KEPT}, {_SPLIT}, {_knn_sql('fresh', 'train')}, whole AS (SELECT * FROM train WHERE {_WHOLE}),
+m AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in COLS)} FROM whole),
+core AS (SELECT user_id, region::INT AS label, [{_UNIT('whole')}] AS v FROM whole, m WHERE user_id % 2 = 1), asked AS (SELECT user_id, [{_UNIT('filled')}] AS v FROM filled, m),
+near AS (SELECT a.user_id, c.label, list_distance(a.v, c.v) AS d FROM asked a CROSS JOIN core c QUALIFY row_number() OVER (PARTITION BY a.user_id ORDER BY list_distance(a.v, c.v), c.user_id) = 1)
+SELECT user_id, CASE WHEN d > 1 THEN -1 ELSE label END AS segment, d > 1 AS is_noise, {', '.join(f'filled.{c}' for c in COLS)} FROM near JOIN filled USING (user_id)""")
+def predict_path(s, d):
+    """New customers through a fitted run: imputer, scaler and gate come from other customers."""
+    x = kept(s, d)
+    old = x.where("user_id % 5 <> 0")
+    whole = old.dropna(subset=COLS)
+    scaler = prepare.fit_scaler(whole, COLS, "standard")
+    cores = prepare.scale(whole.where("user_id % 2 = 1").withColumn("label", F.col("region").cast("int")), scaler, COLS)
+    cores = cores.select(F.col("user_id").alias("id"), F.array(*COLS).alias("v"), "label", F.col("label").alias("dbscan_label"))
+    run = training.Run(COLS, prepare.fit_imputer(old, COLS), scaler, None, cores, 1.0)
+    return training.assign_segments(run, x.where("user_id % 5 = 0")).select("user_id", "segment", "is_noise", *COLS)
+
+
+@q("""SELECT CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'MACHINERY') THEN 'machines' WHEN c_mktsegment IN ('HOUSEHOLD', 'FURNITURE') THEN 'home' ELSE 'behavioural' END AS "group", round(sum(c_acctbal), 4) AS importance FROM customer GROUP BY 1""")
+def grouped_importance(s, d):
+    per = table(s, d, "customer").groupBy(F.col("c_mktsegment").alias("block")).agg(F.sum("c_acctbal").alias("mean"))
+    groups = {"AUTOMOBILE": "machines", "MACHINERY": "machines", "HOUSEHOLD": "home", "FURNITURE": "home"}
+    return _round(metrics.grouped_importance(per, groups), ["importance"], 4)
+
+
 def _scaled_sql(shift, spread):
     cols = ", ".join(f"round((c_acctbal_{i} - {shift.format(c=f'c_acctbal_{i}')}) / CASE WHEN {spread.format(c=f'c_acctbal_{i}')} = 0 THEN 1 ELSE {spread.format(c=f'c_acctbal_{i}')} END, 6) AS c_acctbal_{i}" for i in (0, 1, 2))
     return f"WITH x AS (SELECT c_custkey, c_acctbal AS c_acctbal_0, c_nationkey::DOUBLE AS c_acctbal_1, 5.0::DOUBLE AS c_acctbal_2 FROM customer) SELECT c_custkey, {cols} FROM x"
@@ -247,7 +291,7 @@ def corr_matrix(s, d):
 def corr_filter(s, d):
     x = table(s, d, "lineitem").withColumn("twice", F.col("l_quantity") * 2)
     kept_cols = prepare.correlation_filter(x, ["l_quantity", "twice", "l_extendedprice", "l_discount"])
-    return x.limit(1).select(F.explode(F.array(*[F.lit(c) for c in kept_cols])).alias("kept"))
+    return x.agg(F.count("*")).select(F.explode(F.array(*[F.lit(c) for c in kept_cols])).alias("kept"))
 
 
 @q(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS n, count(*) FILTER ({c} IS NULL) AS nulls, count(DISTINCT {c}) AS "distinct", min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 4) AS mean,

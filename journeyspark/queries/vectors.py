@@ -12,23 +12,23 @@ from journeyspark.plans import backoff, models, search
 from .tables import POSITIONS, clicks, table
 
 Q: dict = {}
-DIM = 8  # leading coordinates where SQL compares all pairs in a list
+#: Radii for whole embeddings, which have length 1: unrelated ones are about 1.4 apart.
+EPS_JOIN, ASSIGN = 1.15, 1.15
 
 
 def q(sql: str | None = None):
     return lambda f: Q.setdefault(f.__name__, (f, sql))[0]
 
 
-def vecs(s, d, dim: int | None = DIM):
-    v = F.slice("embedding", 1, dim) if dim else F.col("embedding")
-    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("y"), v.cast("array<double>").alias("v"))
+def vecs(s, d):
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("y"), F.col("embedding").cast("array<double>").alias("v"))
 
 
 def _round(df, *cols, n=6):
     return df.select(*[F.round(c, n).alias(c) if c in cols else c for c in df.columns])
 
 
-VECS = f"vecs AS (SELECT vec_id AS id, label AS y, embedding[1:{DIM}]::DOUBLE[] AS v FROM embeddings)"
+VECS = "vecs AS (SELECT vec_id AS id, label AS y, embedding::DOUBLE[] AS v FROM embeddings)"
 PAIRS = VECS + ", pairs AS (SELECT a.id, a.y, b.id AS nb, b.y AS nby, list_distance(a.v, b.v) AS d FROM vecs a JOIN vecs b ON a.id <> b.id)"
 _NEAR = lambda cond, k: f"(SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nb) AS rn FROM pairs WHERE {cond} QUALIFY rn <= {k})"
 NOISE_SQL = uniform_sql(3, "vec_id", "p")
@@ -79,23 +79,25 @@ def knn_same_class(s, d):
     return _round(neighbors.knn_join(v, v, 5, within="y"), "distance")
 
 
-@q(f"WITH {VECS} SELECT a.id, b.id AS neighbour, round(list_distance(a.v, b.v), 6) AS distance FROM vecs a JOIN vecs b ON list_distance(a.v, b.v) <= 0.15")
+@q(f"WITH {VECS} SELECT a.id, b.id AS neighbour, round(list_distance(a.v, b.v), 6) AS distance FROM vecs a JOIN vecs b ON list_distance(a.v, b.v) <= {EPS_JOIN}")
 def eps_join(s, d):
     v = vecs(s, d)
-    return _round(neighbors.eps_join(v, 0.15, axis=neighbors.widest_axis(v, DIM)), "distance")
+    return _round(neighbors.eps_join(v, EPS_JOIN), "distance")
 
 
-_BASE = f"base AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY id) AS at FROM vecs), need AS (SELECT y, n, max(n) OVER () - n AS need FROM (SELECT y, count(*) AS n FROM vecs GROUP BY y))"
+_BASE = f"base AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {uniform_sql(1, 'id', 'turn')}, id) AS at FROM vecs), need AS (SELECT y, n, max(n) OVER () - n AS need FROM (SELECT y, count(*) AS n FROM vecs GROUP BY y))"
 
 
 def _new_sql(draws: str) -> str:
-    return f"""newp AS (SELECT p.y, p.s, a.id AS base, b.id AS neighbour, {uniform_sql(1, "p.y::VARCHAR || '-' || p.s::VARCHAR", 'gap')} AS g, a.v AS va, b.v AS vb FROM ({draws}) p JOIN vecs a ON a.id = p.base
+    """draws: (y, base, key, at)."""
+    return f"""newp AS (SELECT p.y, p.num, a.id AS base, b.id AS neighbour, {uniform_sql(1, 'p.key', 'gap')} AS g, a.v AS va, b.v AS vb FROM ({draws}) p JOIN vecs a ON a.id = p.base
  JOIN (SELECT id, max(rn) AS have FROM {_NEAR('y = nby', 5)} GROUP BY id) h ON h.id = p.base
- JOIN {_NEAR('y = nby', 5)} nn ON nn.id = p.base AND nn.rn = floor({uniform_sql(1, "p.y::VARCHAR || '-' || p.s::VARCHAR", 'neighbour')} * have) + 1 JOIN vecs b ON b.id = nn.nb)"""
+ JOIN {_NEAR('y = nby', 5)} nn ON nn.id = p.base AND nn.rn = floor({uniform_sql(1, 'p.key', 'neighbour')} * have) + 1 JOIN vecs b ON b.id = nn.nb)"""
 
 
-_SMOTE = f"""WITH {PAIRS}, {_BASE}, {_new_sql(f"SELECT n.y, s, b.id AS base FROM (SELECT *, unnest(range(0, need)) AS s FROM need WHERE need > 0 AND n >= 2) n JOIN base b ON b.y = n.y AND b.at = floor({uniform_sql(1, chr(39).join(['n.y::VARCHAR || ', '-', ' || s::VARCHAR']), 'base')} * n.n) + 1")},
-grown AS (SELECT id, y, v FROM vecs UNION ALL SELECT -s - 1 - y::BIGINT * 1000000000, y, list_transform(list_zip(va, vb), lambda p: p[1] + g * (p[2] - p[1])) FROM newp)"""
+_SMOTE = f"""WITH {PAIRS}, {_BASE}, slots AS (SELECT y, n, s, y::VARCHAR || '-' || s::VARCHAR AS key, row_number() OVER (ORDER BY y, s) - 1 AS num FROM (SELECT *, unnest(range(0, need)) AS s FROM need WHERE need > 0 AND n >= 2)),
+{_new_sql(f"SELECT k.y, b.id AS base, key, k.num FROM slots k JOIN base b ON b.y = k.y AND b.at = floor({uniform_sql(1, 'key', 'base')} * n) + 1")},
+grown AS (SELECT id, y, v FROM vecs UNION ALL SELECT -num - 1, y, list_transform(list_zip(va, vb), lambda p: p[1] + g * (p[2] - p[1])) FROM newp)"""
 
 
 @q(f"{_SMOTE} SELECT id, y, round(list_sum(v), 6) AS total FROM grown")
@@ -128,7 +130,10 @@ def adasyn_budget(s, d):
     return _round(resample.adasyn_budget(vecs(s, d)), "difficulty")
 
 
-@q(f"WITH {PAIRS}, {_BASE}, {_ADA}, {_new_sql('SELECT y, id AS base, id * 100000 + unnest(range(0, budget)) AS s FROM bud WHERE budget > 0')} SELECT id, y, round(list_sum(v), 6) AS total FROM vecs UNION ALL SELECT -s - 1 - y::BIGINT * 1000000000, y, round(list_sum(va) + g * (list_sum(vb) - list_sum(va)), 6) FROM newp")
+_ADA_DRAWS = "SELECT y, id AS base, y::VARCHAR || '-' || id::VARCHAR || '-' || i::VARCHAR AS key, row_number() OVER (ORDER BY y, id, i) - 1 AS num FROM (SELECT y, id, unnest(range(0, budget)) AS i FROM bud WHERE budget > 0)"
+
+
+@q(f"WITH {PAIRS}, {_BASE}, {_ADA}, {_new_sql(_ADA_DRAWS)} SELECT id, y, round(list_sum(v), 6) AS total FROM vecs UNION ALL SELECT -num - 1, y, round(list_sum(va) + g * (list_sum(vb) - list_sum(va)), 6) FROM newp")
 def adasyn(s, d):
     return resample.adasyn(vecs(s, d)).select("id", "y", F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
 
@@ -151,12 +156,13 @@ def eps_percentiles(s, d):
     return _round(cluster.eps_candidates(cluster.k_distances(vecs(s, d), 10)), "eps")
 
 
-@q()
+@q(f"""WITH {PAIRS}, {_CURVE}, x AS (SELECT unnest(quantile_cont(distance, [{', '.join(f'{i}.0/999' for i in range(1000))}])) AS y, unnest(range(0, 1000)) AS i FROM curve),
+u AS (SELECT y, i, i / 999.0 - CASE WHEN max(y) OVER () > min(y) OVER () THEN (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) ELSE 0 END AS gain FROM x) SELECT round(y, 6) AS eps FROM u ORDER BY gain DESC LIMIT 1""")
 def knee_eps(s, d):
-    return _round(cluster.knee(cluster.k_distances(vecs(s, d, None), 10)), "eps")
+    return _round(cluster.knee(cluster.k_distances(vecs(s, d), 10)), "eps")
 
 
-_EPS, _MIN = 0.25, 8
+_EPS, _MIN = 1.2, 8
 _DB = f"""near AS (SELECT a.id, b.id AS nb FROM vecs a JOIN vecs b ON list_distance(a.v, b.v) <= {_EPS}), core AS (SELECT id FROM near GROUP BY id HAVING count(*) >= {_MIN}),
 link AS (SELECT id, nb FROM near WHERE id IN (FROM core) AND nb IN (FROM core)),
 walk AS (SELECT id, nb AS r FROM link UNION SELECT w.id, l.nb FROM walk w JOIN link l ON l.id = w.r),
@@ -179,7 +185,7 @@ _CEN = f"""{_LAB}, parts AS (SELECT id, label, unnest(v) AS x, generate_subscrip
 
 
 def lab(s, d):
-    return vecs(s, d, None).withColumn("label", F.col("y") % 3)
+    return vecs(s, d).withColumn("label", F.col("y") % 3)
 
 
 @q(f"WITH {_LAB}, t AS (SELECT a.id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS total, count(*) AS n FROM lab a JOIN lab b ON true GROUP BY 1, 2, 3), s AS (SELECT id, max(total / (n - 1)) FILTER (label = other AND n > 1) AS a, min(total / n) FILTER (label <> other) AS b FROM t GROUP BY 1) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM s")
@@ -206,11 +212,11 @@ def ari(s, d):
     return _round(cluster.adjusted_rand(v.select("id", (F.col("y") % 3).alias("label")), v.select("id", (F.col("y") % 4).alias("label"))), "ari")
 
 
-@q(f"WITH {VECS}, n AS (SELECT a.id, b.id AS core, b.y, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rn FROM vecs a JOIN vecs b ON a.id % 2 = 1 AND b.id % 2 = 0 QUALIFY rn = 1) SELECT id, CASE WHEN d > 0.3 THEN -1 ELSE y END AS label, d > 0.3 AS is_noise, round(d, 6) AS distance FROM n")
+@q(f"WITH {VECS}, n AS (SELECT a.id, b.id AS core, b.y, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rn FROM vecs a JOIN vecs b ON a.id % 2 = 1 AND b.id % 2 = 0 QUALIFY rn = 1) SELECT id, CASE WHEN d > {ASSIGN} THEN -1 ELSE y END AS label, d > {ASSIGN} AS is_noise, round(d, 6) AS distance FROM n")
 def assign_cluster(s, d):
     v = vecs(s, d)
     cores = v.where("id % 2 = 0").select("id", "v", F.col("y").alias("label"), F.col("y").alias("dbscan_label"))
-    return _round(cluster.assign(v.where("id % 2 = 1"), cores, 0.3), "distance")
+    return _round(cluster.assign(v.where("id % 2 = 1"), cores, ASSIGN), "distance")
 
 
 @q("SELECT count(*) * count(*) * 8 AS dense, count(*) * 240 AS sparse FROM embeddings")
@@ -222,22 +228,22 @@ def affinity_footprint(s, d):
 
 @q()
 def kmeans_segments(s, d):
-    return cluster.kmeans(vecs(s, d, None), 3).groupBy("label").agg(F.count("*").alias("n"))
+    return cluster.kmeans(vecs(s, d), 3).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @q()
 def spectral_segments(s, d):
-    return cluster.spectral(vecs(s, d, None), 3).groupBy("label").agg(F.count("*").alias("n"))
+    return cluster.spectral(vecs(s, d), 3).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @q()
 def k_probe(s, d):
-    return cluster.k_probe(vecs(s, d, None))
+    return cluster.k_probe(vecs(s, d))
 
 
 @q()
 def pca_projection(s, d):
-    return cluster.project(vecs(s, d, None))
+    return cluster.project(vecs(s, d))
 
 
 # Predictions: the label, wrong where a hash says so, with probabilities that lean to it.
@@ -368,7 +374,7 @@ def backoff_rank(s, d):
 
 @q()
 def logistic_holdout(s, d):
-    h = splits.holdout(vecs(s, d, None), "y", "id").withColumn("y", F.col("y").cast("string"))
+    h = splits.holdout(vecs(s, d), "y", "id").withColumn("y", F.col("y").cast("string"))
     model = models.fit(models.Candidate("logistic", models.ROSTER["logistic"].make), h.where("not is_test"))
     pred, labels = models.predict(model, h.where("is_test"))
     return pred.select("id", "y_true", "y_pred", F.round(F.array_max("probs"), 3).alias("top_prob"))
@@ -391,22 +397,41 @@ def fold_spread(s, d):
     return per.agg(F.round(F.avg("accuracy"), 6).alias("mean"), F.round(F.stddev_pop("accuracy"), 6).alias("spread"))
 
 
-@q()
+def _f1_sql(rows: str) -> str:
+    """Macro F1 of a relation (y_true, y_pred)."""
+    return f"""(SELECT avg(CASE WHEN t + p > 0 THEN 2.0 * h / (t + p) ELSE 0 END) FROM (SELECT label, sum(t) AS t, sum(p) AS p, sum(h) AS h FROM
+ (SELECT y_true AS label, 1 AS t, 0 AS p, (y_true = y_pred)::INT AS h FROM {rows} UNION ALL SELECT y_pred, 0, 1, 0 FROM {rows}) GROUP BY label))"""
+
+
+def _dealt_sql(block: str, r: int) -> str:
+    at = lambda what: f"row_number() OVER (ORDER BY {uniform_sql(1, 'id', what)}, id)"
+    return f"(SELECT a.y_true, b.y_pred FROM (SELECT y_true, {at(f'keep-{r}')} AS n FROM preds) a JOIN (SELECT y_pred, {at(f'{block}-{r}')} AS n FROM preds) b USING (n))"
+
+
+@q(f"""WITH {PREDS}, base AS (SELECT {_f1_sql('preds')} AS f), fall AS (SELECT f - {_f1_sql(_dealt_sql('prediction', 0))} AS a, f - {_f1_sql(_dealt_sql('prediction', 1))} AS b FROM base)
+SELECT 'prediction' AS block, round((a + b) / 2, 6) AS mean, round(abs(a - b) / 2, 6) AS std FROM fall UNION ALL SELECT 'noise', 0, 0""")
 def permutation_importance(s, d):
     data = preds(s, d).select("id", "y_true", "y_pred", (F.col("id") % 7).alias("noise"))
     score = lambda x: metrics.macro(x.select("id", "y_true", "y_pred")).first()["f1_macro"]
-    return metrics.permutation_importance(data, score, {"prediction": ["y_pred"], "noise": ["noise"]}, "id", 2)
+    return _round(metrics.permutation_importance(data, score, {"prediction": ["y_pred"], "noise": ["noise"]}, "id", 2), "mean", "std")
 
 
-@q()
+@q(f"""WITH RECURSIVE {PAIRS}, curve AS (SELECT id, max(d) AS distance FROM {_NEAR('true', 8)} GROUP BY id), e AS (SELECT unnest(quantile_cont(distance, [0.7, 0.75, 0.8, 0.85, 0.9])) AS eps FROM curve),
+near AS (SELECT eps, id, nb FROM pairs JOIN e ON d <= eps UNION ALL SELECT eps, id, id FROM vecs, e), core AS (SELECT eps, id FROM near GROUP BY ALL HAVING count(*) >= 8),
+link AS (SELECT n.eps, n.id, n.nb FROM near n JOIN core a ON a.eps = n.eps AND a.id = n.id JOIN core b ON b.eps = n.eps AND b.id = n.nb),
+walk AS (SELECT eps, id, nb AS r FROM link UNION SELECT w.eps, w.id, l.nb FROM walk w JOIN link l ON l.eps = w.eps AND l.id = w.r),
+comp AS (SELECT eps, id, min(r) AS root FROM walk GROUP BY ALL), k AS (SELECT e.eps, count(DISTINCT root) AS clusters, count(c.id) AS cores FROM e LEFT JOIN comp c USING (eps) GROUP BY ALL),
+z AS (SELECT e.eps, count(*) AS noise FROM vecs v, e WHERE NOT EXISTS (SELECT 1 FROM near n JOIN core c ON c.eps = n.eps AND c.id = n.nb WHERE n.eps = e.eps AND n.id = v.id) GROUP BY ALL),
+t AS (SELECT k.*, coalesce(noise, 0) AS noise, clusters > 1 AND coalesce(noise, 0) > 0 AS good FROM k LEFT JOIN z USING (eps))
+SELECT round(eps, 6) AS eps, clusters, noise, cores FROM t ORDER BY good DESC, CASE WHEN good THEN noise ELSE -cores END, eps LIMIT 1""")
 def eps_selection(s, d):
-    v = vecs(s, d, None)
+    v = vecs(s, d)
     got = cluster.select_eps(v, [r["eps"] for r in cluster.eps_candidates(cluster.k_distances(v, 8)).collect()], 8)
-    return v.limit(1).select(F.lit(got["eps"]).alias("eps"), F.lit(got["clusters"]).alias("clusters"), F.lit(got["noise"]).alias("noise"), F.lit(got["cores"]).alias("cores"))
+    return v.agg(F.count("*")).select(F.round(F.lit(got["eps"]), 6).alias("eps"), *[F.lit(got[c]).cast("long").alias(c) for c in ("clusters", "noise", "cores")])
 
 
 @q()
 def forest_search(s, d):
-    p = splits.three_way(vecs(s, d, None), "y", "id").withColumn("y", F.col("y").cast("string"))
+    p = splits.three_way(vecs(s, d), "y", "id").withColumn("y", F.col("y").cast("string"))
     got = search.random_search(p.where("part = 'train'").drop("part"), p.where("part = 'val'").drop("part"))
     return s.createDataFrame([(r["name"], float(r["f1_macro"])) for r in got], "name string, f1_macro double")

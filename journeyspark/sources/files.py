@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,12 @@ def dataset_info(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def samples(tables: dict[str, DataFrame], n: int = 5) -> DataFrame:
+    """(table, row): up to n rows of each table, as JSON."""
+    parts = [df.limit(n).select(F.lit(name).alias("table"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("row")) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def export(df: DataFrame, path: str, fmt: str = "csv", partition_by: tuple[str, ...] = ()) -> None:
     writer = df.write.mode("overwrite").partitionBy(*partition_by)
     writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path)

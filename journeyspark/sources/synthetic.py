@@ -9,12 +9,15 @@ from journeyspark.contracts import TOUCH_CODES
 from journeyspark.functions.draws import uniform
 
 
-def profiles(spark: SparkSession, n: int, seed: int = 4242, missing: float = 0.06) -> DataFrame:
-    """n profiles in three segments, with '--' in five of the columns."""
+def profiles(spark: SparkSession, n: int, seed: int = 4242, missing: float = 0.06, overlap: float = 0.0) -> DataFrame:
+    """n profiles in three segments, with '--' in five of the columns, and ord, their place in the file.
+
+    overlap: the share of rows that look like another segment's, as a demo panel has them.
+    """
     u = lambda what: uniform(seed, F.col("i"), what)
     pick = lambda what, lo, hi: (F.lit(lo) + F.floor(u(what) * (hi - lo + 1))).cast("int")
     gap = lambda what, value: F.when(u(what + "-gap") < missing, "--").otherwise(value.cast("string"))
-    seg = F.col("i") % 3
+    seg = (F.col("i") + F.when(u("stray") < overlap, 1).otherwise(0)) % 3
     age = F.when(seg == 0, pick("age", 60, 85)).when(seg == 1, pick("age", 35, 55)).otherwise(pick("age", 18, 32))
     stage = F.when(seg == 0, pick("stage", 2, 4)).when(seg == 1, pick("stage", 5, 7)).otherwise(pick("stage", 1, 3))
     kids = F.when(seg == 1, pick("kids", 1, 3)).otherwise(F.lit(0))
@@ -23,7 +26,7 @@ def profiles(spark: SparkSession, n: int, seed: int = 4242, missing: float = 0.0
         pick("region", 1, 5).cast("string").alias("SPSS_Regio5"), (kids + pick("adults", 1, 2)).cast("string").alias("BAS_huishoudgrootte"),
         gap("job", pick("job", 1, 9)).alias("BAS_werkzaamheid_resp"), kids.cast("string").alias("afg_kinderen_huishouden"),
         gap("income", pick("income", 1, 8)).alias("BAS_bruto_jaarinkomen"), gap("class", pick("class", 1, 5)).alias("AFG_sk2015"),
-        gap("school", pick("school", 1, 8)).alias("BAS_voltooide_opleiding8_resp"), stage.cast("string").alias("SPSS_Lifestage"),
+        gap("school", pick("school", 1, 8)).alias("BAS_voltooide_opleiding8_resp"), stage.cast("string").alias("SPSS_Lifestage"), F.col("i").alias("ord"),
     )
 
 

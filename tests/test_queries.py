@@ -10,7 +10,6 @@ from journeyspark.queries import registry, vectors
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"smote_tomek", "k_probe"}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +28,7 @@ def _plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql())))
 def test_matches_sql(spark, duck, name):
     df = registry.queries()[name](spark, DATA)
     cols = sorted(df.columns)
@@ -41,7 +40,7 @@ def test_matches_sql(spark, duck, name):
     assert got and got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_gives_rows(spark, duck, name):
     assert registry.queries()[name](spark, DATA).count() > 0
 
@@ -56,18 +55,8 @@ def test_partitions_do_not_matter(spark, duck, name):
     assert seen[0] == seen[1] == seen[2]
 
 
-@pytest.mark.parametrize("name", ["knee_eps", "kmeans_segments", "spectral_segments", "k_probe", "pca_projection", "logistic_holdout", "eps_selection", "forest_search"])
-def test_whole_embeddings_without_sql(monkeypatch, name):
-    dims = []
-
-    def asked(s, d, dim=vectors.DIM):
-        dims.append(dim)
-        raise StopIteration
-
-    monkeypatch.setattr(vectors, "vecs", asked)
-    with pytest.raises(StopIteration):
-        vectors.Q[name][0](None, None)
-    assert dims == [None] and vectors.Q[name][1] is None
+def test_queries_take_whole_embeddings(spark):
+    assert vectors.vecs(spark, DATA).where("size(v) <> 64").count() == 0 and "embedding::DOUBLE[]" in vectors.VECS
 
 
 @pytest.mark.parametrize(("name", "module", "operator", "given"), [("k_probe", vectors.cluster, "k_probe", 1), ("kmeans_segments", vectors.cluster, "kmeans", 2), ("spectral_segments", vectors.cluster, "spectral", 2), ("forest_search", vectors.search, "random_search", 2), ("eps_selection", vectors.cluster, "eps_candidates", 1)])
