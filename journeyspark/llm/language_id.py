@@ -32,69 +32,85 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+#: Added to every count.
+SMOOTH = 0.1
+#: Up to so many numbers, a kind's log frequencies are one matrix; beyond, rows are put together when they are asked for.
+MATRIX = 20_000_000
+
+
 class Counts:
-    """For parts of one kind: the languages that have each, sparsely, as log frequencies above those of a part that a language never has."""
+    """Log frequencies of the parts of one kind in each language, from the counts of the languages that have each."""
 
     def __init__(self, parts: dict[str, dict[int, int]], n_langs: int):
         self.index = {x: i for i, x in enumerate(parts)}
         self.starts = np.cumsum([0, *map(len, parts.values())])
         self.langs = np.array([k for own in parts.values() for k in own], np.int32)
         counts = np.array([n for own in parts.values() for n in own.values()], float)
-        totals = np.bincount(self.langs, counts, n_langs) + SMOOTH * len(parts) if len(counts) else np.full(n_langs, SMOOTH * max(1, len(parts)))
+        totals = np.bincount(self.langs, counts, n_langs) + SMOOTH * max(1, len(parts))
         self.floor = np.log(SMOOTH / totals)
         self.above = np.log((counts + SMOOTH) / SMOOTH)
+        self.matrix = self._built(range(len(parts))) if len(parts) * n_langs <= MATRIX else None
 
-    def row(self, i: int, out: np.ndarray, share: float = 1.0) -> None:
-        lo, hi = self.starts[i], self.starts[i + 1]
-        out[self.langs[lo:hi]] += share * self.above[lo:hi]
+    def _built(self, at) -> np.ndarray:
+        out = np.tile(self.floor, (len(at), 1))
+        for row, i in zip(out, at, strict=True):
+            lo, hi = self.starts[i], self.starts[i + 1]
+            row[self.langs[lo:hi]] += self.above[lo:hi]
+        return out
 
-
-#: Added to every count.
-SMOOTH = 0.1
+    def rows(self, at: list[int]) -> np.ndarray:
+        return self._built(at) if self.matrix is None else self.matrix[at]
 
 
 class BackoffModel:
-    """langs, and the counts of known words and of known n-grams of each length. Rows of words are built once and kept, up to `kept` numbers."""
+    """langs, and the counts of known words and of known n-grams of each length. Rows of words are found once and kept, up to `kept` numbers."""
 
     def __init__(self, langs: list[str], words: dict[str, dict[int, int]], parts: list[dict[str, dict[int, int]]], kept: int = 4_000_000):
-        self.langs, self.words, self.parts = langs, Counts(words, len(langs)), [Counts(p, len(langs)) for p in parts]
+        self.langs, self.kinds = langs, [Counts(x, len(langs)) for x in (words, *parts)]
         self.most = max(1000, kept // max(1, len(langs)))
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((256, len(langs)))
-
-    def _row(self, word: str) -> np.ndarray:
-        if (i := self.words.index.get(word)) is not None:
-            out = self.words.floor.copy()
-            self.words.row(i, out)
-            return out
-        for n in range(len(self.parts), 0, -1):
-            counts = self.parts[n - 1]
-            known = [i for g in grams(word, n) if (i := counts.index.get(g)) is not None]
-            if known:
-                out = counts.floor.copy()
-                for i in known:
-                    counts.row(i, out, 1.0 / len(known))
-                return out
-        return np.zeros(len(self.langs))
-
-    def place(self, word: str) -> int:
-        i = len(self.at)
-        if i == len(self.rows):
+        self.rows = np.zeros((1024, len(langs)))
+
+    def known(self, word: str) -> tuple[int, list[int]]:
+        """The kind that speaks for a word (0: the word itself; else the longest n-grams of which one is known), and its parts."""
+        if (i := self.kinds[0].index.get(word)) is not None:
+            return 0, [i]
+        for n in range(len(self.kinds) - 1, 0, -1):
+            index = self.kinds[n].index
+            if found := [i for g in grams(word, n) if (i := index.get(g)) is not None]:
+                return n, found
+        return 0, []
+
+    def learn(self, words: list[str]) -> None:
+        """Rows for new words: means over their known parts, all words of a kind at once."""
+        lo = len(self.at)
+        while lo + len(words) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[i] = self._row(word)
-        self.at[word] = i
-        return i
+        self.rows[lo : lo + len(words)] = 0.0
+        flat: list[list[int]] = [[] for _ in self.kinds]
+        sizes: list[list[int]] = [[] for _ in self.kinds]
+        who: list[list[int]] = [[] for _ in self.kinds]
+        for i, w in enumerate(words, lo):
+            self.at[w] = i
+            kind, found = self.known(w)
+            if found:
+                flat[kind] += found
+                sizes[kind].append(len(found))
+                who[kind].append(i)
+        for counts, at, n, rows in zip(self.kinds, flat, sizes, who, strict=True):
+            if at:
+                n = np.array(n)
+                self.rows[rows] = np.add.reduceat(counts.rows(at), np.cumsum(n) - n, axis=0) / n[:, None]
 
     def totals(self, counts: Counter) -> np.ndarray:
-        if len(self.at) + len(counts) > self.most:  # only speed depends on what is kept
-            self.at, self.rows = {}, np.zeros((256, len(self.langs)))
-        words, total = list(counts), np.zeros(len(self.langs))
+        words, times, total = list(counts), np.fromiter(counts.values(), float, len(counts)), np.zeros(len(self.langs))
         for lo in range(0, len(words), self.most):
             some = words[lo : lo + self.most]
-            if len(self.at) + len(some) > self.most:
+            if len(self.at) + len(some) > self.most:  # only speed depends on what is kept
                 self.at = {}
-            at = [got if (got := self.at.get(w)) is not None else self.place(w) for w in some]
-            total += np.fromiter((counts[w] for w in some), float, len(some)) @ self.rows[at]
+            if new := [w for w in some if w not in self.at]:
+                self.learn(new)
+            total += times[lo : lo + self.most] @ self.rows[list(map(self.at.__getitem__, some))]
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
