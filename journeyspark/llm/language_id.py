@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, bucket_of, shipped, table, written
@@ -150,10 +151,10 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_i
     each = written(few.mapInArrow(counted, "lang string, kind int, part string, n bigint").groupBy("kind", "part", "lang").agg(F.sum("n").alias("n")), "language-counts")
     langs = [r[0] for r in each.where("kind = 0").select("lang").distinct().orderBy("lang").collect()]
     places = {x: i for i, x in enumerate(langs)}
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("all"), "part"))
-    top = each.groupBy("kind", "part").agg(F.sum("n").alias("all")).where("all > 1").withColumn("rank", rank).where(F.col("rank") <= max_words)
+    sums = written(each.groupBy("kind", "part").agg(F.sum("n").alias("all")).where("all > 1"), "language-parts")
+    top = reduce(DataFrame.unionByName, [sums.where(F.col("kind") == k).orderBy(F.desc("all"), "part").limit(max_words) for k in range(LONGEST + 1)])
     tables: list[dict] = [{} for _ in range(LONGEST + 1)]
-    for r in each.join(top, ["kind", "part"]).orderBy("kind", "rank", "lang").select("kind", "part", "lang", "n").collect():
+    for r in each.join(top, ["kind", "part"]).orderBy("kind", F.desc("all"), "part", "lang").select("kind", "part", "lang", "n").collect():
         tables[r["kind"]].setdefault(r["part"], {})[places[r["lang"]]] = r["n"]
     return BackoffModel(langs, tables[0], tables[1:])
 

@@ -17,10 +17,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, table
+from .common import bounded_sample, table, written
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -206,8 +206,9 @@ def fit_lines(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: st
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "i", "y", "f", "n"])
 
     runs = few.mapInArrow(numbers, "h bigint, i int, y int, f array<float>, n array<int>")
-    turn = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("h", "i"), "h", "i"))
-    got = runs.withColumn("r", turn).where(F.col("r") <= max_docs // 2).orderBy("y", "r").collect()
+    runs = written(runs, "line-runs")
+    few = [runs.where(F.col("y") == y).orderBy(F.xxhash64("h", "i"), "h", "i").limit(max_docs // 2) for y in (0, 1)]
+    got = [r for lot in few for r in lot.collect()]
     return train_field([(np.array(r.f, float).reshape(-1, N_FEATURES), np.array(r.n), r.y) for r in got], longest)
 
 
