@@ -7,12 +7,6 @@ from pyspark.sql import DataFrame
 # Markers of a missing answer.
 MISSING = ("--", "-", "", "NA", "N/A", "null", "None")
 
-# Profile columns.
-PROFILE = (
-    "GenderID", "Age", "SPSS_Regio5", "BAS_huishoudgrootte", "BAS_werkzaamheid_resp", "afg_kinderen_huishouden",
-    "BAS_bruto_jaarinkomen", "AFG_sk2015", "BAS_voltooide_opleiding8_resp", "SPSS_Lifestage",
-)
-
 # Touchpoint codes, with gaps at 11 and 17.
 TOUCH_CODES = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14, 15, 16, 18, 19, 20, 21, 22)
 

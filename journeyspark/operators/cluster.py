@@ -100,18 +100,17 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 20, kinds: DataFrame |
     weight. Rows are counted first; of cores, only forests that connect them leave a task, and of other rows their
     smallest cluster, so no list of pairs is ever built. `kinds` may be the `distinct_rows` of df.
     """
-    kinds = distinct_rows(df) if kinds is None else kinds
-    rows = rows_of(kinds, "kind", "v", weight="n").persist()
+    kinds = written(distinct_rows(df), "distinct-rows") if kinds is None else kinds
+    rows = rows_of(kinds, "kind", "v", weight="n")
     counts = written(neighbour_counts(rows, eps).where(F.col("n") >= min_samples).select("id"), "cores")
     cores = rows.join(counts, "id", "left_semi")
-    comp = written(connected(linking_pairs(cores, eps), counts), "components")
+    comp = connected(linking_pairs(cores, eps), counts)
     roots = numbered(comp.select("label").distinct(), "label").select(F.col("label").alias("root"), F.col("_at").cast("long").alias("cluster"))
     named = written(comp.join(roots, F.col("label") == F.col("root")).select("id", "cluster"), "clusters")
     reach = least_near(rows.join(counts, "id", "left_anti"), rows.drop("y").join(named, "id").withColumnRenamed("cluster", "y").select("l", "id", "v", "y", "w"), eps)
     by_kind = kinds.select("kind", "v").join(named.withColumnRenamed("id", "kind"), "kind", "left").join(reach.withColumnRenamed("id", "kind"), "kind", "left")
     label = F.coalesce("cluster", "reach", F.lit(-1)).cast("int")
-    found = written(by_kind.select("v", F.col("cluster").isNotNull().alias("is_core"), label.alias("label")), "density-labels")
-    rows.unpersist()
+    found = by_kind.select("v", F.col("cluster").isNotNull().alias("is_core"), label.alias("label"))
     return df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).join(found, "v").select("id", "is_core", "label")
 
 

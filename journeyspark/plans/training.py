@@ -50,14 +50,14 @@ def _features(rows: DataFrame, columns: list[str], segment: bool) -> DataFrame:
     return rows.withColumn("v", F.array(*[F.col(c).cast("double") for c in parts]))
 
 
-def train(rows: DataFrame, columns: list[str], imputer: DataFrame, candidates=None, out: str | None = None, segment: bool = True, seed: int = 1, force: bool = True, k: int = 5, min_samples: int = 20, per_segment: bool = False) -> dict:
+def train(rows: DataFrame, columns: list[str], imputer: DataFrame, candidates=None, out: str | None = None, segment: bool = True, seed: int = 1, force: bool = True, k: int = 5, min_samples: int = 20, ks=(2, 3, 4, 5), per_segment: bool = False) -> dict:
     """Segment, drop noise and rare classes, hold out, select by cross-validation, score the holdout once, refit, write and verify."""
     spark, rows = rows.sparkSession, written(rows, "rows")
     scaler = written(prepare.fit_scaler(rows, columns, "standard"), "scaler")
     data, choices, cores, eps = rows, {}, None, None
     if segment:
         scaled = prepare.scale(rows, scaler, columns).select(F.col("user_id").alias("id"), F.array(*columns).alias("v"))
-        labels, choices = cluster.fit_segmentation(scaled, min_samples)
+        labels, choices = cluster.fit_segmentation(scaled, min_samples, ks)
         labels = written(labels, "segments")
         eps = choices["eps"]["eps"]
         cores = written(scaled.join(labels.where("is_core"), "id").select(F.col("id").cast("long").alias("id"), "v", "label", "dbscan_label"), "cores")
@@ -74,7 +74,7 @@ def train(rows: DataFrame, columns: list[str], imputer: DataFrame, candidates=No
     holdout = metrics.bundle(written(pred, "predictions"), labels_).first().asDict()
     final = models.fit(best, ready)
     own = models.fit_segments(best, ready) if segment and per_segment else {}
-    run = {"candidate": won["name"], "cv_f1": won["f1_macro"], "holdout_f1": holdout["f1_macro"], "k": choices.get("k", {}).get("k"), "k_low": 2, "k_high": 5, "eps": eps, "neighbours": k, "columns": columns, "segments": sorted(own)}
+    run = {"candidate": won["name"], "cv_f1": won["f1_macro"], "holdout_f1": holdout["f1_macro"], "k": choices.get("k", {}).get("k"), "k_low": min(ks), "k_high": max(ks), "eps": eps, "neighbours": k, "columns": columns, "segments": sorted(own)}
     if segment:
         sizes = [r["n"] for r in data.groupBy("segment").agg(F.count("*").alias("n")).collect()]
         run |= {"n_segments": len(sizes), "smallest_segment": min(sizes)}

@@ -149,3 +149,14 @@ def test_dimensions_and_synthetic(spark):
     n = a.groupBy("UserID").count().collect()
     assert len(n) == 20 and all(8 <= r["count"] <= 20 for r in n)
     assert synthetic.profiles(spark, 300).where("Age = '--'").count() > 3
+
+
+def test_samples_codes_and_overlap(spark):
+    people = synthetic.profiles(spark, 300, overlap=0.3)
+    clean_ = synthetic.profiles(spark, 300)
+    got = files.samples({"people": people, "codes": dimensions.dimension(spark, "GenderID")}, 2).collect()
+    assert sorted(r.table for r in got) == ["codes", "codes", "people", "people"] and all(r.row.startswith("{") for r in got)
+    assert sorted(r.code for r in dimensions.valid_codes(spark, "GenderID").collect()) == [1, 2]
+    stage = {r.UserID: r.SPSS_Lifestage for r in clean_.collect()}
+    moved = sum(stage[r.UserID] != r.SPSS_Lifestage for r in people.collect())
+    assert 40 <= moved <= 140 and [r.ord for r in people.orderBy("UserID").limit(3).collect()] == [0, 1, 2]
