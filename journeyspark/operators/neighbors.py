@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 ROWS = 8192
 #: At most so many pivots, so many rows go to the driver.
 PIVOTS = 256
+#: Tables with a row for each of at most so many labels are broadcast.
+LABELS = 100_000
 #: Cells of a distance matrix that are computed at a time.
 CELLS = 1 << 21
 
@@ -57,16 +59,18 @@ def meetings(left: DataFrame, right: DataFrame, kernel, schema: str, within: flo
     """
     parts_of = lambda n, rows: F.greatest(F.lit(1), F.ceil(n / rows)).cast("int")
     sizes = [df.groupBy("l").agg(F.count("*").alias("n")) for df in (left, right)]
-    most = sizes[1].agg(F.max("n")).first()[0] or 0
+    seen = sizes[0].agg(F.count("*").alias("a")).crossJoin(sizes[1].agg(F.count("*").alias("b"), F.max("n").alias("most"))).first()
+    most = seen["most"] or 0
+    small = F.broadcast if max(seen["a"], seen["b"]) <= LABELS else lambda df: df
     if most <= ROWS:
-        many = sizes[0].select("l", parts_of(F.col("n"), ROWS // 4).alias("parts"))
+        many = small(sizes[0].select("l", parts_of(F.col("n"), ROWS // 4).alias("parts")))
         none = F.lit(-1)
         a = left.join(many, "l").select("l", none.alias("ga"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("pa"), none.alias("gb"), F.lit(0).alias("pb"), F.lit(0).alias("side"), "id", "v", "y", "w")
         b = right.join(many, "l").select("l", none.alias("ga"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pa"), none.alias("gb"), F.lit(0).alias("pb"), F.lit(1).alias("side"), "id", "v", "y", "w")
     else:
         few = right.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-most // ROWS) * 4)).select("v").toArrow()["v"].combine_chunks()
         pivots = np.unique(np.nan_to_num(_matrix(few)), axis=0)
-        big = sizes[1].where(F.col("n") > ROWS).select("l")
+        big = small(sizes[1].where(F.col("n") > ROWS).select("l"))
         place, fields = _nearest_pivot(pivots), "l string, id bigint, v array<double>, y bigint, w bigint, g int, d double"
 
         def grouped(df: DataFrame) -> DataFrame:
@@ -127,8 +131,8 @@ def _met(kernel, held):
     cut = int((side == 0).sum())
     if 0 < cut < len(side):
         cols = [pa.concat_arrays([b[c] for b in held]) for c in ("id", "v", "y", "w")]
-        halves = [[np.asarray(c[0][lo:hi]), _matrix(c[1][lo:hi]), np.asarray(c[2][lo:hi]), np.asarray(c[3][lo:hi])] for c in (cols,) for lo, hi in ((0, cut), (cut, len(side)))]
-        yield from kernel(*halves[0], *halves[1])
+        ids, vectors, labels, weights = np.asarray(cols[0]), _matrix(cols[1]), np.asarray(cols[2]), np.asarray(cols[3])
+        yield from kernel(ids[:cut], vectors[:cut], labels[:cut], weights[:cut], ids[cut:], vectors[cut:], labels[cut:], weights[cut:])
 
 
 def _rough(xv: np.ndarray, yv: np.ndarray):
