@@ -13,6 +13,10 @@ from journeyspark.functions.lineage import written
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: A table with a row for each of at most so many marks is broadcast.
+MARKS = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,7 +45,8 @@ def bounded_sample(docs: DataFrame, marks: DataFrame, each: int, text: str, doc_
     # Of a mark with many ids only the lowest hashes are looked at, far more than are asked for, so no task sorts a mark.
     share = (2.0 * each + 1000.0) / F.col("_c")
     low = F.col("_h").cast("double") / float(1 << 53) <= share
-    some = ids.join(ids.groupBy("_y").agg(F.count("*").alias("_c")), "_y").where(low)
+    per = written(ids.groupBy("_y").agg(F.count("*").alias("_c")), "sample-marks")
+    some = ids.join(F.broadcast(per) if per.count() <= MARKS else per, "_y").where(low)
     first = F.row_number().over(Window.partitionBy("_y").orderBy("_h", "_id"))
     few = some.withColumn("_rank", first).where(F.col("_rank") <= each).drop("_rank", "_h", "_c")
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_text is not null").join(F.broadcast(few), "_id")
