@@ -14,6 +14,7 @@ MODULES = {
     "op8_line_dedup": "line_dedup",
     "op9_quality_classifier": "quality_classifier",
     "op10_jaccard_join": "jaccard_join",
+    "op11_best_fit_packing": "packing",
 }
 
 
