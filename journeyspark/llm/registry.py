@@ -15,6 +15,8 @@ MODULES = {
     "op9_quality_classifier": "quality_classifier",
     "op10_jaccard_join": "jaccard_join",
     "op11_best_fit_packing": "packing",
+    "op12_embedding_whitening": "whitening",
+    "op13_prefix_trie": "prefix_trie",
 }
 
 
