@@ -8,8 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from journeyspark.functions.draws import uniform
 from journeyspark.functions.lineage import written
 from journeyspark.functions.order import numbered
 
+from .components import apply_components, principal_components
 from .neighbors import distance, knn_join, label_distances, least_near, linking_pairs, neighbour_counts, rows_of
 
 
@@ -344,9 +344,7 @@ def affinity_footprint(n: int, k: int = 10) -> dict:
 
 def project(df: DataFrame, k: int = 2) -> DataFrame:
     """(id, p): the first k principal components of centred rows."""
-    x = _vectors(df)
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="c").fit(x).transform(x)
-    return PCA(k=k, inputCol="c", outputCol="pc").fit(centred).transform(centred).select("id", vector_to_array("pc").alias("p"))
+    return apply_components(df, principal_components(df, k))
 
 
 def algorithm_table(df: DataFrame, k: int, seeds=range(2), nearest=(10, 20, 50)) -> DataFrame:

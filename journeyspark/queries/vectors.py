@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from journeyspark.functions import metrics
 from journeyspark.functions.draws import uniform, uniform_sql
-from journeyspark.operators import cluster, journey, neighbors, resample, splits
+from journeyspark.operators import cluster, components, journey, neighbors, resample, splits
 from journeyspark.plans import backoff, models, search
 
 from .tables import POSITIONS, clicks, table
@@ -246,6 +246,23 @@ def pca_projection(s, d):
     return cluster.project(vecs(s, d))
 
 
+@q(f"WITH {VECS}, parts AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs), m AS (SELECT i, avg(x) AS m FROM parts GROUP BY i) SELECT id, round(sqrt(sum(power(x - m, 2))), 6) AS size FROM parts JOIN m USING (i) GROUP BY id")
+def pca_sizes(s, d):
+    """Along all axes a row is as long as its way from the mean."""
+    v = vecs(s, d)
+    p = components.apply_components(v, components.principal_components(v))
+    return p.select("id", F.round(F.sqrt(F.aggregate("p", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("size"))
+
+
+@q(f"""WITH {VECS}, parts AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs), c AS (SELECT id, i, x - avg(x) OVER (PARTITION BY i) AS c FROM parts), n AS (SELECT count(*) AS n FROM vecs),
+cov AS (SELECT a.i, b.i AS j, sum(a.c * b.c) / (any_value(n) - 1) AS v FROM c a JOIN c b USING (id), n GROUP BY ALL)
+SELECT count(*) FILTER (i = j) AS components, round(sum(v) FILTER (i = j), 6) AS total, round(sqrt(sum(v * v)), 6) AS size FROM cov""")
+def pca_variances(s, d):
+    """Explained variances sum to the covariance's trace, their squares to the square of its size."""
+    got = components.principal_components(vecs(s, d)).variances
+    return vecs(s, d).agg(F.max(F.size("v")).cast("long").alias("components")).select("components", F.round(F.lit(float(got.sum())), 6).alias("total"), F.round(F.lit(float((got**2).sum() ** 0.5)), 6).alias("size"))
+
+
 # Predictions: the label, wrong where a hash says so, with probabilities that lean to it.
 
 
