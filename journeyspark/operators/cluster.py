@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from journeyspark.functions.draws import uniform
 from journeyspark.functions.lineage import written
 from journeyspark.functions.order import numbered
+from journeyspark.functions.quantiles import exact_quantiles
 
 from .components import apply_components, principal_components
 from .neighbors import distance, knn_join, label_distances, least_near, linking_pairs, neighbour_counts, rows_of
@@ -29,14 +30,20 @@ def k_distances(df: DataFrame, k: int = 20) -> DataFrame:
 def eps_candidates(curve: DataFrame, percents=(70, 75, 80, 85, 90), approx: bool = False) -> DataFrame:
     """(percent, eps): percentiles of the k-distance curve, exact unless approx."""
     wanted = [p / 100 for p in percents]
-    at = curve.agg((F.percentile_approx("distance", wanted) if approx else F.percentile("distance", F.array(*map(F.lit, wanted)))).alias("e"))
-    return at.select(F.posexplode("e").alias("i", "eps")).select(F.element_at(F.array(*[F.lit(p) for p in percents]), F.col("i") + 1).alias("percent"), "eps")
+    if approx:
+        at = curve.agg(F.percentile_approx("distance", wanted).alias("e")).select(F.posexplode("e").alias("i", "eps"))
+    else:
+        at = exact_quantiles(curve, [], "distance", wanted).select("i", F.col("value").alias("eps"))
+    return at.select(F.element_at(F.array(*[F.lit(p) for p in percents]), F.col("i") + 1).alias("percent"), "eps")
 
 
 def knee(curve: DataFrame, points: int = 1000, approx: bool = False) -> DataFrame:
     """eps at the knee of the sorted curve: of `points` quantiles (exact unless approx), brought to 0..1 both ways, where the curve is farthest below the diagonal."""
-    wanted = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
-    q = curve.agg((F.percentile_approx("distance", [i / (points - 1) for i in range(points)]) if approx else F.percentile("distance", wanted)).alias("q")).select(F.posexplode("q").alias("i", "y"))
+    wanted = [i / (points - 1) for i in range(points)]
+    if approx:
+        q = curve.agg(F.percentile_approx("distance", wanted).alias("q")).select(F.posexplode("q").alias("i", "y"))
+    else:
+        q = exact_quantiles(curve, [], "distance", wanted).select("i", F.col("value").alias("y"))
     span = F.max("y").over(Window.partitionBy()) - F.min("y").over(Window.partitionBy())
     unit = q.withColumn("gain", F.col("i") / (points - 1) - F.when(span > 0, (F.col("y") - F.min("y").over(Window.partitionBy())) / span).otherwise(0.0))
     return unit.agg(F.max_by("y", "gain").alias("eps"))

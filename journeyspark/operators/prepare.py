@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from journeyspark.functions.quantiles import column_quantiles
+
 from .neighbors import meetings, rows_of
 
+
 def fit_imputer(train: DataFrame, columns, key: str = "user_id") -> DataFrame:
     """What imputation needs of its training rows: (kind, times, v), each different profile with its smallest key and how often it is there; missing cells are null.
 
@@ -90,24 +93,31 @@ def _donors(k: int, p: int):
     return kernel
 
 
+def _quantiles(df: DataFrame, columns, shares, approx: bool = False) -> dict[tuple[str, float], float]:
+    """A number for each column and share."""
+    if approx:
+        row = df.agg(*[F.percentile_approx(c, list(shares)).alias(c) for c in columns]).first()
+        return {(c, s): row[c][i] for c in columns if row[c] for i, s in enumerate(shares)}
+    return {(r["column"], r["share"]): r["value"] for r in column_quantiles(df, columns, shares).collect()}
+
+
 def median_impute(df: DataFrame, columns) -> DataFrame:
-    row = df.agg(*[F.median(c).alias(c) for c in columns]).first()
-    return df.fillna({c: row[c] for c in columns if row[c] is not None})
+    return df.fillna({c: m for (c, _), m in _quantiles(df, columns, [0.5]).items()})
 
 
 def fit_scaler(df: DataFrame, columns, kind: str, approx: bool = False) -> DataFrame:
     """One row of (shift_c, scale_c): robust (median, interquartile range), minmax or standard (population); a scale of 0 counts as 1.
 
-    approx: sketched quantiles, for columns of more different values than one task can hold.
+    approx: sketched quantiles. A column without values has neither.
     """
+    if kind == "robust":
+        q = _quantiles(df, columns, (0.25, 0.5, 0.75), approx)
+        cells = [(c, q.get((c, 0.5)), q[c, 0.75] - q[c, 0.25] if (c, 0.5) in q else None) for c in columns]
+        made = [(F.lit(mid).cast("double"), F.lit(1.0 if spread == 0 else spread).cast("double")) for _, mid, spread in cells]
+        return df.sparkSession.range(1).select(*[e.alias(f"{name}_{c}") for c, (mid, spread) in zip(columns, made, strict=True) for name, e in (("shift", mid), ("scale", spread))])
     aggs = []
-    at = (lambda c, p: F.percentile_approx(c, p)) if approx else (lambda c, p: F.percentile(c, F.lit(p)))
     for c in columns:
-        lo, spread = {
-            "robust": lambda c: (at(c, 0.5), at(c, 0.75) - at(c, 0.25)),
-            "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)),
-            "standard": lambda c: (F.avg(c), F.stddev_pop(c)),
-        }[kind](c)
+        lo, spread = {"minmax": lambda c: (F.min(c), F.max(c) - F.min(c)), "standard": lambda c: (F.avg(c), F.stddev_pop(c))}[kind](c)
         aggs += [lo.cast("double").alias(f"shift_{c}"), F.when(spread == 0, 1.0).otherwise(spread).cast("double").alias(f"scale_{c}")]
     return df.agg(*aggs)
 
@@ -146,9 +156,8 @@ def feature_matrix(train: DataFrame, df: DataFrame, groups: dict[str, list[str]]
     """
     columns = [c for g in groups.values() for c in g]
     check_groups(columns, groups)
-    median = train.agg(*[F.median(c).alias(c) for c in columns]).first()
-    filled = df.fillna({c: median[c] for c in columns if median[c] is not None})
-    base = train.fillna({c: median[c] for c in columns if median[c] is not None})
+    median = {c: m for (c, _), m in _quantiles(train, columns, [0.5]).items()}
+    filled, base = df.fillna(median), train.fillna(median)
     out = filled.withColumns({f"raw_{c}": F.col(c) for c in columns})
     for kind, own in groups.items():
         if own:

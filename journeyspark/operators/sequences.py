@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from journeyspark.contracts import TOUCH_CODES
+from journeyspark.functions.quantiles import exact_quantiles
 
 PAD, UNKNOWN = 0, len(TOUCH_CODES) + 1
 
@@ -36,7 +37,8 @@ def padded(examples: DataFrame, length: int) -> DataFrame:
 def max_len(train: DataFrame, min_len: int = 3, share: float = 0.95, approx: bool = False) -> DataFrame:
     """The whole part of the percentile of input lengths (exact unless approx), min_len - 1 at least."""
     n = F.size("seq_touch")
-    return train.agg(F.greatest(F.floor(F.percentile_approx(n, share) if approx else F.percentile(n, F.lit(share))), F.lit(min_len - 1)).cast("long").alias("max_len"))
+    at = train.agg(F.percentile_approx(n, share).alias("value")) if approx else exact_quantiles(train.select(n.alias("n")), [], "n", [share])
+    return at.agg(F.greatest(F.floor(F.max("value")), F.lit(min_len - 1)).cast("long").alias("max_len"))
 
 
 def channel_stats(train: DataFrame, channels=("seq_duration_log", "seq_gap_log")) -> DataFrame:
