@@ -6,7 +6,7 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -16,6 +16,8 @@ from journeyspark.functions import metrics
 from journeyspark.functions.lineage import written
 from journeyspark.operators import resample, splits
 
+from .boosting import BoostedTrees
+
 
 @dataclass
 class Candidate:
@@ -34,13 +36,13 @@ def _ovr(make):
     return lambda k, n: OneVsRest(classifier=make())
 
 
-# MLlib's boosted trees and linear SVC are binary: one against the rest, with normalised sigmoids as probabilities.
+# MLlib's linear SVC is binary: one against the rest, with normalised sigmoids as scores (`calibration` makes probabilities of them).
 ROSTER = {
     "random_forest": Candidate("random_forest", lambda k, n: RandomForestClassifier(numTrees=60, maxDepth=8, minInstancesPerNode=2, seed=1)),
     "logistic": Candidate("logistic", lambda k, n: LogisticRegression(maxIter=60, regParam=0.001, family="multinomial", weightCol="weight")),
     "perceptron": Candidate("perceptron", lambda k, n: MultilayerPerceptronClassifier(layers=[n, 32, 16, k], maxIter=60, seed=1)),
     "naive_bayes": Candidate("naive_bayes", lambda k, n: NaiveBayes(modelType="gaussian")),
-    "boosted_trees": Candidate("boosted_trees", _ovr(lambda: GBTClassifier(maxIter=5, maxDepth=3, seed=1))),
+    "boosted_trees": Candidate("boosted_trees", lambda k, n: BoostedTrees(rounds=20, rate=0.3, weight="weight")),
     "linear_svc": Candidate("linear_svc", _ovr(lambda: LinearSVC(maxIter=30)), probabilities=False),
 }
 

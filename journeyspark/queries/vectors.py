@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from journeyspark.functions import metrics
 from journeyspark.functions.draws import uniform, uniform_sql
 from journeyspark.operators import cluster, components, journey, neighbors, resample, splits
-from journeyspark.plans import backoff, models, search
+from journeyspark.plans import backoff, boosting, calibration, models, search
 
 from .tables import POSITIONS, clicks, table
 
@@ -447,6 +447,34 @@ def eps_selection(s, d):
     return v.agg(F.count("*")).select(F.round(F.lit(got["eps"]), 6).alias("eps"), *[F.lit(got[c]).cast("long").alias(c) for c in ("clusters", "noise", "cores")])
 
 
+_SHARES = ", ".join(f"{i}.0/32" for i in range(1, 32))
+
+
+@q(f"""WITH {VECS}, parts AS (SELECT id, y, unnest(v) AS x, generate_subscripts(v, 1)::INT - 1 AS f FROM vecs), cuts AS (SELECT f, list_distinct(quantile_cont(x, [{_SHARES}])) AS c FROM parts GROUP BY f),
+b AS (SELECT y, p.f, len(list_filter(c, lambda q: q < x))::INT AS bin FROM parts p JOIN cuts USING (f)), share AS (SELECT y AS k, count(*) / (SELECT count(*) FROM vecs) AS p FROM vecs GROUP BY y),
+hist AS (SELECT k, f, bin, sum(p - (y = k)::INT) AS g, sum(p * (1 - p)) AS h FROM b, share GROUP BY ALL),
+s AS (SELECT *, sum(g) OVER r AS gl, sum(h) OVER r AS hl, sum(g) OVER t AS gt, sum(h) OVER t AS ht FROM hist WINDOW r AS (PARTITION BY k, f ORDER BY bin ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY k, f)),
+w AS (SELECT k, f, bin, gl, hl, gt - gl AS gr, ht - hl AS hr, gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) AS gain FROM s WHERE hl >= 0.001 AND ht - hl >= 0.001)
+SELECT k AS label, f, bin, round(gain, 6) AS gain, round(-gl / (hl + 1), 6) AS left_value, round(-gr / (hr + 1), 6) AS right_value FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY gain DESC, f, bin) = 1""")
+def boost_round(s, d):
+    """The first split of each class's first tree: quantile bins, gradients and curvatures of the softmax loss, Newton values of both sides."""
+    rows = vecs(s, d).select(F.col("y").alias("label"), "v")
+    trees = boosting.first_trees(rows, rows.agg(F.max("label")).first()[0] + 1)
+    best = boosting.best_splits(boosting.histograms(boosting.prepared(rows, trees), trees))
+    value = lambda g, h: -F.col(g) / (F.col(h) + 1)
+    return _round(best.select(F.col("k").alias("label"), "f", "bin", "gain", value("gl", "hl").alias("left_value"), value("gr", "hr").alias("right_value")), "gain", "left_value", "right_value")
+
+
+@q(f"""WITH {PREDS}, c AS (SELECT label, least(floor(prob * 4096), 4095)::INT AS bucket, count(*) AS n, count(*) FILTER (y_true = label) AS hits FROM long GROUP BY ALL),
+sums AS (SELECT *, sum(n) OVER w AS sn, sum(hits) OVER w AS sh FROM c WINDOW w AS (PARTITION BY label ORDER BY bucket ROWS UNBOUNDED PRECEDING)),
+span AS (SELECT a.label, a.bucket AS lo, b.bucket AS hi, (b.sh - a.sh + a.hits) / (b.sn - a.sn + a.n) AS mean FROM sums a JOIN sums b ON a.label = b.label AND a.bucket <= b.bucket),
+low AS (SELECT s.label, s.lo, c.bucket, min(mean) AS m FROM span s JOIN c ON c.label = s.label AND c.bucket BETWEEN s.lo AND s.hi GROUP BY ALL)
+SELECT c.label, c.bucket, c.n, c.hits, round(max(m), 6) AS value FROM c JOIN low l ON l.label = c.label AND l.bucket = c.bucket GROUP BY ALL""")
+def isotonic(s, d):
+    """Pooled values of every score bucket of every class: the highest, over all starts, of the lowest mean from there on."""
+    return _round(calibration.fit_isotonic(calibration.score_buckets(preds(s, d), TEN)), "value")
+
+
 @q()
 def forest_search(s, d):
     p = splits.three_way(vecs(s, d), "y", "id").withColumn("y", F.col("y").cast("string"))
