@@ -90,13 +90,17 @@ def calibrate(scored: DataFrame, fitted: Isotonic) -> DataFrame:
         if not at:
             out = F.concat(out, F.array(F.col("probs")[i]))
             continue
-        place = F.greatest(F.array_size(F.filter(F.array(*map(F.lit, at)), lambda x, own=own: x <= own)), F.lit(1))
+        place = F.greatest(F.array_size(F.filter(F.array(*map(F.lit, at)), _up_to(own))), F.lit(1))
         out = F.concat(out, F.array(F.element_at(F.array(*map(F.lit, values)), place)))
     total = F.aggregate("_c", F.lit(0.0), lambda a, b: a + b)
     mapped = scored.withColumn("_c", out).withColumn("probs", F.when(total > 0, F.transform("_c", lambda x: x / total)).otherwise(F.col("probs")))
     return mapped.drop("_c")
 
 
+def _up_to(own: Column):
+    return lambda x: x <= own
+
+
 def brier(scored: DataFrame, labels: list) -> DataFrame:
     """(brier): the mean over rows of the summed squares of probability less truth."""
     label = F.array(*[F.lit(x) for x in labels])

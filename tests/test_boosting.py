@@ -136,6 +136,8 @@ def test_unknown_buckets_and_empty_maps(spark):
     scored = spark.createDataFrame([(1, "a", [0.05, 0.95]), (2, "b", [0.5, 0.5]), (3, "a", [1.0, 0.0])], "id int, y_true string, probs array<double>")
     none = calibration.calibrate(scored, calibration.Isotonic(["a", "b"], {"a": ([], []), "b": ([], [])}))
     assert [r.probs for r in none.orderBy("id").collect()] == [[0.05, 0.95], [0.5, 0.5], [1.0, 0.0]]
-    fitted = calibration.Isotonic(["a", "b"], {"a": ([4, 8], [0.0, 0.5]), "b": ([4], [0.0])}, 10)
+    fitted = calibration.Isotonic(["a", "b"], {"a": ([2, 4, 8], [0.1, 0.2, 0.6]), "b": ([4], [0.3])}, 10)
     got = [r.probs for r in calibration.calibrate(scored, fitted).orderBy("id").collect()]
-    assert got == [[0.05, 0.95], [0.5, 0.5], [1.0, 0.0]]  # nothing but zeros, nothing but zeros, and a half
+    assert np.allclose(got, [[0.25, 0.75], [0.4, 0.6], [2 / 3, 1 / 3]])  # buckets 0 (below the first), 5 and 9
+    zeros = calibration.Isotonic(["a", "b"], {"a": ([0, 8], [0.0, 0.5]), "b": ([0], [0.0])}, 10)
+    assert [r.probs for r in calibration.calibrate(scored, zeros).orderBy("id").collect()] == [[0.05, 0.95], [0.5, 0.5], [1.0, 0.0]]
