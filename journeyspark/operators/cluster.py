@@ -7,7 +7,7 @@ import time
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,8 @@ from journeyspark.functions.order import numbered
 from journeyspark.functions.quantiles import exact_quantiles
 
 from .components import apply_components, principal_components
-from .neighbors import distance, knn_join, label_distances, least_near, linking_pairs, neighbour_counts, rows_of
+from .kmeans import best_of, fit_many, labelled
+from .neighbors import distance, knn_join, label_distances, least_near, linking_pairs, linking_pairs_at, neighbour_counts, neighbour_counts_at, rows_of
 
 
 def k_distances(df: DataFrame, k: int = 20) -> DataFrame:
@@ -125,13 +126,38 @@ def dbscan_summary(labels: DataFrame) -> DataFrame:
     return labels.agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters"), F.count_if(F.col("label") == -1).alias("noise"), F.avg((F.col("label") == -1).cast("double")).alias("noise_share"), F.count_if("is_core").alias("cores"))
 
 
+def density_summaries(df: DataFrame, radii: list[float], min_samples: int = 20) -> list[dict]:
+    """For each radius the clusters, noise, noise_share and cores that `dbscan` would give, from two meetings of the rows for all radii.
+
+    The first counts neighbours at every radius. A row that is a core at one radius is one at all larger ones, so the
+    second links cores, and marks other rows near a core, at every radius at once.
+    """
+    kinds = written(distinct_rows(df), "distinct-rows")
+    rows, steps = rows_of(kinds, "kind", "v", weight="n"), list(enumerate(radii))
+    counts = written(neighbour_counts_at(rows, radii), "neighbour-counts")
+    since = F.array_size(F.filter("n", lambda n: n < min_samples))  # the first radius at which the row is a core
+    cores = written(rows.drop("y").join(counts.select("id", since.cast("long").alias("y")), "id").select("l", "id", "v", "y", "w"), "cores-since")
+    total = cores.agg(F.sum("w")).first()[0] or 0
+    links = written(linking_pairs_at(cores, radii), "links-at")
+    near = links.where("reach").select("r", "a").distinct().join(cores.select(F.col("id").alias("a"), "w"), "a").groupBy("r").agg(F.sum("w").alias("w"))
+    reached = {x["r"]: x["w"] for x in near.collect()}
+    own = {x["y"]: (x["n"], x["w"]) for x in cores.groupBy("y").agg(F.count("*").alias("n"), F.sum("w").alias("w")).collect()}  # a row for each radius
+    out = []
+    for r, eps in steps:
+        nodes = cores.where(F.col("y") <= r).select("id")
+        n = connected(links.where((F.col("r") == r) & ~F.col("reach")).select("a", "b"), nodes).select("label").distinct().count()
+        weight = sum(w for y, (_, w) in own.items() if y <= r)
+        noise = total - weight - reached.get(r, 0)
+        out.append({"eps": eps, "clusters": n, "noise": noise, "noise_share": noise / total if total else None, "cores": weight})
+    return out
+
+
 def select_eps(df: DataFrame, candidates: list[float], min_samples: int = 20) -> dict:
     """Of the candidates with more than one cluster and some noise the least noisy; else the one with most cores. Constant data raises."""
     candidates = sorted({e for e in candidates if e > 0})
     if not candidates:
         raise ValueError("the data are constant: no radius separates anything")
-    kinds = written(distinct_rows(df), "distinct-rows")
-    tried = [{"eps": e} | dbscan_summary(dbscan(df, e, min_samples, kinds)).first().asDict() for e in candidates]
+    tried = density_summaries(df, candidates, min_samples)
     good = [t for t in tried if t["clusters"] > 1 and t["noise"] > 0]
     return min(good, key=lambda t: (t["noise_share"], t["eps"])) if good else max(tried, key=lambda t: (t["cores"], -t["eps"]))
 
@@ -141,10 +167,10 @@ def _vectors(df: DataFrame) -> DataFrame:
 
 
 def kmeans(df: DataFrame, k: int, seeds=range(10), v: str = "v") -> DataFrame:
-    """(id, label): the fit of least cost over the seeds."""
-    x = df.select("id", array_to_vector(F.col(v).cast("array<double>")).alias("features")).cache()
-    best = min((KMeans(k=k, seed=s, featuresCol="features", predictionCol="label").fit(x) for s in seeds), key=lambda m: m.summary.trainingCost)
-    return best.transform(x).select(F.col("id").cast("long").alias("id"), "label")
+    """(id, label): the fit of least cost over the seeds, all fitted side by side."""
+    rows = written(df.select("id", F.col(v).cast("array<double>").alias("v")), "kmeans-rows")
+    best = best_of(fit_many(rows, [(k, s) for s in seeds]))[k]
+    return labelled(rows, [best]).select("id", F.col("labels")[0].alias("label"))
 
 
 def centroids(df: DataFrame) -> DataFrame:
@@ -186,15 +212,40 @@ def calinski_harabasz(df: DataFrame) -> DataFrame:
     return between.crossJoin(within).select(((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("t") - F.col("k")))).alias("calinski_harabasz"))
 
 
+def silhouettes(df: DataFrame, ks) -> DataFrame:
+    """(k, silhouette) of several labelings (id, v, labels) at once: rows that agree in all labels are one group, so distances are summed once."""
+    group = F.array_join(F.col("labels").cast("array<string>"), ",")
+    marked = df.withColumn("group", group)
+    names = marked.groupBy("group").agg(F.first("labels").alias("labels")).withColumn("y", F.xxhash64("group"))  # a row for each combination
+    rows = rows_of(marked, "id", "v", "group")
+    own, other = names.select("y", F.col("labels").alias("own")), names.select(F.col("y").alias("other"), F.col("labels").alias("others"))
+    pairs = label_distances(rows, rows).join(own, "y").join(other, "other")
+    each = pairs.select("id", F.explode(F.arrays_zip(F.array(*map(F.lit, ks)).alias("k"), F.col("own").alias("a"), F.col("others").alias("b"))).alias("z"), "total", "n")
+    sums = each.groupBy("id", "z.k", F.col("z.a").alias("a"), F.col("z.b").alias("b")).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    same = F.col("a") == F.col("b")
+    s = sums.groupBy("id", "k").agg(F.max(F.when(same & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("near"), F.min(F.when(~same, F.col("total") / F.col("n"))).alias("far"))
+    return s.groupBy("k").agg(F.avg(F.coalesce((F.col("far") - F.col("near")) / F.greatest("near", "far"), F.lit(0.0))).alias("silhouette"))
+
+
 def k_probe(df: DataFrame, ks=(2, 3, 4, 5), seeds=range(3)) -> DataFrame:
-    """(k, distortion, silhouette, davies_bouldin, calinski_harabasz) for each k."""
-    out = None
-    for k in ks:
-        lab = written(df.join(kmeans(df, k, seeds), "id").select("id", "v", "label"), "labels")
-        cost = lab.join(centroids(lab).drop("n"), "label").agg(F.lit(k).alias("k"), F.avg(distance("v", "c")).alias("distortion"))
-        row = cost.crossJoin(silhouette(lab)).crossJoin(davies_bouldin(lab)).crossJoin(calinski_harabasz(lab))  # one row each
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(k, distortion, silhouette, davies_bouldin, calinski_harabasz) for each k, all k and starts fitted and measured side by side."""
+    rows = written(df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")), "probe-rows")
+    best = best_of(fit_many(rows, [(k, s) for k in ks for s in seeds]))
+    lab = written(rows.join(labelled(rows, [best[k] for k in ks]), "id"), "labels")
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, ks)).alias("k"), F.col("labels").alias("label"))).alias("z")
+    long = lab.select("id", "v", each).select("id", "v", "z.k", "z.label")
+    cells = long.select("k", "label", F.posexplode("v").alias("i", "x")).groupBy("k", "label", "i").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
+    c = written(cells.groupBy("k", "label").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c")), "probe-centres")
+    d = distance("v", "c")
+    spread = long.join(c, ["k", "label"]).groupBy("k", "label").agg(F.avg(d).alias("s"), F.sum(d * d).alias("w"), F.sum(d).alias("far"))
+    c = written(c.join(spread, ["k", "label"]), "probe-spread")
+    # The mean of all rows is that of any labeling's centres, weighed by their rows.
+    mean = c.select("k", "n", F.posexplode("c").alias("i", "x")).groupBy("k", "i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("m")).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+    size, rows_ = F.count("*"), F.sum("n")
+    plain = c.join(mean, "k").groupBy("k").agg((F.sum("far") / rows_).alias("distortion"), ((F.sum(F.col("n") * distance("c", "mean") ** 2) / (size - 1)) / (F.sum("w") / (rows_ - size))).alias("calinski_harabasz"))
+    other = c.select(F.col("k").alias("k2"), F.col("label").alias("l2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
+    worst = c.join(other, (F.col("k") == F.col("k2")) & (F.col("label") != F.col("l2"))).groupBy("k", "label").agg(F.max((F.col("s") + F.col("s2")) / distance("c", "c2")).alias("r"))
+    return plain.join(silhouettes(lab, ks), "k").join(worst.groupBy("k").agg(F.avg("r").alias("davies_bouldin")), "k").select("k", "distortion", "silhouette", "davies_bouldin", "calinski_harabasz")
 
 
 def select_k(probe: list[dict], floor: float = 0.15) -> dict:

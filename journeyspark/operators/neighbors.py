@@ -1,9 +1,9 @@
 """Nearest neighbours and range joins over numeric vectors: exact, in blocks that meet where bounds allow.
 
-Rows are dealt into blocks: by label where only one label's rows can be neighbours, and labels of many rows also by the
-nearest of a few pivots. A pair of pivots' groups whose distance, less both radii, is above what any row can need never
-meets. Rows then go to the meetings of their blocks, and a task takes one meeting after the other, so it holds two blocks,
-whatever the sizes of the tables or of a label.
+Rows are dealt into blocks: by label where only one label's rows can be neighbours, and labels of many rows also by a ball
+tree whose leaves fit a block. Pairs of balls are walked from the top; those whose distance, less both radii, is above what any
+row can need never meet. For nearest neighbours rows first meet their own leaf, and then only go where their k-th distance
+so far reaches. A task takes one meeting after the other, so it holds two blocks, whatever the sizes of the tables or of a label.
 """
 
 from __future__ import annotations
@@ -13,10 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from journeyspark.functions.lineage import written
+
 #: Rows of the right side that a task holds at a time; of the left side it holds a quarter.
 ROWS = 8192
-#: At most so many pivots, so many rows go to the driver.
-PIVOTS = 256
+#: A leaf of a ball tree has about so many rows of the right side at most; small balls rule out more than large ones.
+LEAF = 1024
+#: A node splits by so many pivots; levels of a tree, and pivots of a level, are at most so many.
+FAN, LEVELS, CENTRES = 16, 12, 65_536
 #: Tables with a row for each of at most so many labels are broadcast.
 LABELS = 100_000
 #: Cells of a distance matrix that are computed at a time.
@@ -39,65 +43,151 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _nearest_pivot(pivots: np.ndarray):
-    def place(batches):
-        for b in batches:
-            x = np.nan_to_num(_matrix(b["v"]))
-            rough = (pivots**2).sum(1) - 2 * x @ pivots.T
-            g = rough.argmin(1)
-            d = np.sqrt(((x - pivots[g]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(g.astype(np.int32)), pa.array(d)], names=[*b.schema.names, "g", "d"])
-
-    return place
+def _placed(batches, pivots: dict, names: list[str]):
+    """Rows of nodes with pivots go to the child of the nearest one; `ds` gets the distance from it."""
+    for b in batches:
+        node, ds = b["node"].to_pylist(), b["ds"].to_pylist()
+        by: dict = {}
+        for i, key in enumerate(zip(b["l"].to_pylist(), node, strict=True)):
+            if key in pivots:
+                by.setdefault(key, []).append(i)
+        x = np.nan_to_num(_matrix(b["v"])) if by else None
+        for key, rows in by.items():
+            own, c = x[rows], pivots[key]
+            near = ((c**2).sum(1) - 2 * own @ c.T).argmin(1)
+            d = np.sqrt(((own - c[near]) ** 2).sum(1))
+            for i, p, far in zip(rows, near.tolist(), d.tolist(), strict=True):
+                node[i], ds[i] = f"{node[i]}.{p}", [*ds[i], far]
+        cols = {"node": pa.array(node, pa.string()), "ds": pa.array(ds, pa.list_(pa.float64()))}
+        yield pa.RecordBatch.from_arrays([cols.get(c, b[c]) for c in names], names=names)
+
+
+def ball_tree(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of both sides with their leaf, nodes): right rows split by the nearest of a few of them, again and again, until a leaf has `LEAF` rows or fewer.
+
+    rows: (l, node, side, id, v, y, w, ds); nodes: (l, node, parent, c, na, ra, nb, rb, leaf), c a node's centre, n and r the rows of a
+    side and their greatest distance from it. Leaves of equal rows can't be split; nor are nodes once a level would have more than
+    `CENTRES` pivots, so what reaches the driver and the tasks is bounded.
+    """
+    spark = right.sparkSession
+    columns = ["l", "node", "side", "id", "v", "y", "w", "ds"]
+    kind = "l string, node string, side int, id bigint, v array<double>, y bigint, w bigint, ds array<double>"
+    side = lambda df, s: df.select("l", F.lit("r").alias("node"), F.lit(s).alias("side"), "id", "v", "y", "w", F.array().cast("array<double>").alias("ds"))
+    rows = written(side(left, 0).unionByName(side(right, 1)), "tree-rows")
+    centres, stuck = [], set()
+    for _ in range(LEVELS):
+        sizes = rows.where("side = 1").groupBy("l", "node").agg(F.count("*").alias("n")).where(F.col("n") > min(LEAF, ROWS))
+        big = {(r["l"], r["node"]): r["n"] for r in sizes.limit(CENTRES // FAN + 1).collect()}
+        big = {k: n for k, n in big.items() if k not in stuck}
+        if not big or len(big) > CENTRES // FAN:
+            break
+        rank = F.row_number().over(Window.partitionBy("l", "node").orderBy(F.xxhash64("id"), "id"))
+        open_ = spark.createDataFrame(list(big), "l string, node string")
+        few = rows.where("side = 1").join(F.broadcast(open_), ["l", "node"]).select("l", "node", "id", "v").withColumn("p", rank).where(F.col("p") <= FAN).select("l", "node", "v").toArrow()
+        pivots: dict = {}
+        for key in big:
+            pivots[key] = []
+        for label, node, v in zip(few["l"].to_pylist(), few["node"].to_pylist(), few["v"].to_pylist(), strict=True):
+            pivots[label, node].append(np.nan_to_num(np.array(v, float)))
+        pivots = {k: np.unique(np.stack(c), axis=0) for k, c in pivots.items()}
+        stuck |= {k for k, c in pivots.items() if len(c) == 1}
+        pivots = {k: c for k, c in pivots.items() if len(c) > 1}
+        if not pivots:
+            continue
+        centres += [(label, f"{node}.{i}", node, c.tolist()) for (label, node), cs in pivots.items() for i, c in enumerate(cs)]
+        held = spark.sparkContext.broadcast(pivots)  # at most CENTRES vectors
+        rows = written(rows.mapInArrow(lambda batches, held=held: _placed(batches, held.value, columns), kind), "tree-rows")
+    level = F.posexplode(F.sequence(F.lit(1), F.size("ds") + 1)).alias("i", "depth")
+    path = rows.select("l", "side", "ds", F.col("node").alias("leaf"), level).select("l", "side", F.expr("substring_index(leaf, '.', depth)").alias("node"), F.when(F.col("i") > 0, F.try_element_at("ds", F.greatest(F.col("i"), F.lit(1)))).otherwise(F.lit(0.0)).alias("d"), (F.col("leaf") == F.expr("substring_index(leaf, '.', depth)")).alias("leaf"))
+    on = lambda s, e: F.when(F.col("side") == s, e)
+    stats = path.groupBy("l", "node").agg(F.count(on(0, F.lit(1))).alias("na"), F.max(on(0, F.col("d"))).alias("ra"), F.count(on(1, F.lit(1))).alias("nb"), F.max(on(1, F.col("d"))).alias("rb"), F.max("leaf").alias("leaf"))
+    known = spark.createDataFrame(centres, "l string, node string, parent string, c array<double>")
+    return rows, written(stats.join(known, ["l", "node"], "left"), "tree-nodes")
+
+
+def leaf_pairs(nodes: DataFrame, within: float | None = None, k: int | None = None, reaches: DataFrame | None = None) -> DataFrame:
+    """(l, ga, gb, cb, rb) of leaves that must meet, walked from the roots: a pair of nodes whose balls are too far apart is left with all below it.
+
+    Too far is above `within`, or above what any row of the left node can need for its k nearest: `reaches` (l, node, reach) where a
+    first meeting has told it, and the reach of any right node with more than k rows.
+    """
+    a = nodes.where("na > 0").select("l", F.col("node").alias("ga"), F.col("parent").alias("pa"), F.col("c").alias("ca"), F.coalesce("ra", F.lit(0.0)).alias("ra"), F.col("leaf").alias("la"))
+    b = nodes.where("nb > 0").select("l", F.col("node").alias("gb"), F.col("parent").alias("pb"), F.col("c").alias("cb"), F.coalesce("rb", F.lit(0.0)).alias("rb"), F.col("leaf").alias("lb"), "nb")
+    if reaches is not None:
+        a = a.join(reaches.select("l", F.col("node").alias("ga"), "reach"), ["l", "ga"], "left")
+    else:
+        a = a.withColumn("reach", F.lit(None).cast("double"))
+    below_a = written(a.withColumn("of", F.when(F.col("la"), F.col("ga")).otherwise(F.lit(None))).unionByName(a.withColumn("of", F.col("pa"))).where("of is not null"), "walk-left")
+    below_b = written(b.withColumn("of", F.when(F.col("lb"), F.col("gb")).otherwise(F.lit(None))).unionByName(b.withColumn("of", F.col("pb"))).where("of is not null"), "walk-right")
+    ends = lambda p: p.where("la and lb").select("l", "ga", "gb", "cb", "rb")
+    pairs = written(a.where("pa is null").join(b.where("pb is null"), "l").select("l", "ga", "la", "gb", "lb", "cb", "rb"), "walk")
+    done = ends(pairs)
+    while True:
+        open_ = pairs.where("not (la and lb)").select("l", F.col("ga").alias("up_a"), F.col("gb").alias("up_b"))
+        if open_.isEmpty():
+            return done
+        step = open_.join(below_a.withColumnRenamed("of", "up_a"), ["l", "up_a"]).join(below_b.withColumnRenamed("of", "up_b"), ["l", "up_b"])
+        apart = F.when(F.col("ca").isNull() | F.col("cb").isNull(), 0.0).otherwise(distance("ca", "cb"))
+        low, high = F.col("apart") - F.col("ra") - F.col("rb"), F.col("apart") + F.col("ra") + F.col("rb")
+        whole = F.col("ca").isNull() | F.col("cb").isNull()
+        step = step.withColumn("apart", apart).withColumn("low", F.when(whole, 0.0).otherwise(low - 1e-9 * (1 + high)))
+        if within is not None:
+            step = step.where(F.col("low") <= within)
+        if k is not None:
+            enough = F.min(F.when((F.col("nb") > k) & ~whole, high)).over(Window.partitionBy("l", "ga"))
+            step = step.withColumn("most", F.least(F.coalesce(enough, F.lit(float("inf"))), F.coalesce("reach", F.lit(float("inf"))))).where(F.col("low") <= F.col("most") * (1 + 1e-9))
+        pairs = written(step.select("l", "ga", "la", "gb", "lb", "cb", "rb"), "walk")
+        done = done.unionByName(ends(pairs))
 
 
 def meetings(left: DataFrame, right: DataFrame, kernel, schema: str, within: float | None = None, k: int | None = None) -> DataFrame:
     """What `kernel(left ids, vectors, labels, weights, right's four)` gives (an Arrow batch or None) for every meeting that matters.
 
     left and right come from `rows_of`; rows with the same l meet. With `within`, pairs of rows farther apart need
-    not meet; with `k`, only a left row's k nearest others of its l matter.
+    not meet; with `k`, only a left row's k nearest others of its l matter, and the kernel gives them as (id, neighbour, distance).
     """
     parts_of = lambda n, rows: F.greatest(F.lit(1), F.ceil(n / rows)).cast("int")
     sizes = [df.groupBy("l").agg(F.count("*").alias("n")) for df in (left, right)]
     seen = sizes[0].agg(F.count("*").alias("a")).crossJoin(sizes[1].agg(F.count("*").alias("b"), F.max("n").alias("most"))).first()
     most = seen["most"] or 0
-    small = F.broadcast if max(seen["a"], seen["b"]) <= LABELS else lambda df: df
     if most <= ROWS:
+        small = F.broadcast if max(seen["a"], seen["b"]) <= LABELS else lambda df: df
         many = small(sizes[0].select("l", parts_of(F.col("n"), ROWS // 4).alias("parts")))
-        none = F.lit(-1)
+        none = F.lit("")
         a = left.join(many, "l").select("l", none.alias("ga"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("pa"), none.alias("gb"), F.lit(0).alias("pb"), F.lit(0).alias("side"), "id", "v", "y", "w")
         b = right.join(many, "l").select("l", none.alias("ga"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pa"), none.alias("gb"), F.lit(0).alias("pb"), F.lit(1).alias("side"), "id", "v", "y", "w")
-    else:
-        few = right.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-most // ROWS) * 4)).select("v").toArrow()["v"].combine_chunks()
-        pivots = np.unique(np.nan_to_num(_matrix(few)), axis=0)
-        big = small(sizes[1].where(F.col("n") > ROWS).select("l"))
-        place, fields = _nearest_pivot(pivots), "l string, id bigint, v array<double>, y bigint, w bigint, g int, d double"
-
-        def grouped(df: DataFrame) -> DataFrame:
-            near = df.join(big, "l", "left_semi").mapInArrow(place, fields)
-            return near.unionByName(df.join(big, "l", "left_anti").withColumns({"g": F.lit(-1), "d": F.lit(0.0)}))
-
-        a, b = grouped(left), grouped(right)
-        ha, hb = (df.groupBy("l", "g").agg(F.count("*").alias("n"), F.max("d").alias("r")) for df in (a, b))
-        ha = ha.select("l", F.col("g").alias("ga"), parts_of(F.col("n"), ROWS // 4).alias("na"), F.col("r").alias("ra"))
-        hb = hb.select("l", F.col("g").alias("gb"), parts_of(F.col("n"), ROWS).alias("nb"), F.col("n").alias("size"), F.col("r").alias("rb"))
-        gaps = np.stack([np.sqrt(((pivots - c) ** 2).sum(1)) for c in pivots])
-        i, j = np.indices(gaps.shape, np.int32)
-        apart = left.sparkSession.createDataFrame(pa.table({"ga": i.ravel(), "gb": j.ravel(), "apart": gaps.ravel()}))
-        pairs = ha.join(hb, "l").join(apart, ["ga", "gb"], "left").fillna(0.0, subset=["apart"])
-        low, high = F.col("apart") - F.col("ra") - F.col("rb"), F.col("apart") + F.col("ra") + F.col("rb")
-        slack = 1e-9 * (1 + high)
-        if within is not None:
-            pairs = pairs.where(low - slack <= within)
-        if k is not None:
-            enough = F.min(F.when(F.col("size") > k, high)).over(Window.partitionBy("l", "ga"))
-            pairs = pairs.withColumn("reach", F.coalesce(enough, F.lit(float("inf")))).where(low - slack <= F.col("reach"))
-        pairs = pairs.select("l", "ga", "na", "gb", "nb").persist()
-        mine = lambda df, n, rows, p: df.join(n, ["l", "g"]).withColumn(p, F.pmod(F.xxhash64("id"), "n").cast("int"))
-        a = mine(a, ha.select("l", F.col("ga").alias("g"), F.col("na").alias("n")), ROWS // 4, "pa").withColumnRenamed("g", "ga").join(pairs.drop("na"), ["l", "ga"])
-        a = a.select("l", "ga", "pa", "gb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("pb"), F.lit(0).alias("side"), "id", "v", "y", "w")
-        b = mine(b, hb.select("l", F.col("gb").alias("g"), F.col("nb").alias("n")), ROWS, "pb").withColumnRenamed("g", "gb").join(pairs.drop("nb"), ["l", "gb"])
-        b = b.select("l", "ga", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("pa"), "gb", "pb", F.lit(1).alias("side"), "id", "v", "y", "w")
+        return _meet(a, b, kernel, schema)
+    rows, nodes = ball_tree(left, right)
+    parts = nodes.where("leaf").select("l", "node", parts_of(F.col("na"), ROWS // 4).alias("na"), parts_of(F.col("nb"), ROWS).alias("nb"))
+    mine, theirs = rows.where("side = 0").drop("side", "ds"), rows.where("side = 1").drop("side", "ds")
+
+    def met(pairs: DataFrame, kth: DataFrame | None = None) -> DataFrame:
+        pairs = pairs.join(parts.select("l", F.col("node").alias("ga"), "na"), ["l", "ga"]).join(parts.select("l", F.col("node").alias("gb"), "nb"), ["l", "gb"])
+        pairs = written(pairs, "leaf-pairs")
+        a = mine.withColumnRenamed("node", "ga").join(pairs, ["l", "ga"])
+        if kth is not None:  # a row goes only where one of its k nearest may be
+            own = a.join(kth, "id", "left").withColumn("far", F.when(F.col("cb").isNull(), 0.0).otherwise(distance("v", "cb")))
+            a = own.where(F.col("kth").isNull() | ((F.col("far") - F.col("rb")) * (1 - 1e-9) - 1e-9 <= F.col("kth"))).drop("kth", "far")
+        a = a.select("l", "ga", F.pmod(F.xxhash64("id"), F.col("na")).cast("int").alias("pa"), "gb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("pb"), F.lit(0).alias("side"), "id", "v", "y", "w")
+        b = theirs.withColumnRenamed("node", "gb").join(pairs, ["l", "gb"])
+        b = b.select("l", "ga", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("pa"), "gb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("pb"), F.lit(1).alias("side"), "id", "v", "y", "w")
+        return _meet(a, b, kernel, schema)
+
+    if k is None:
+        return met(leaf_pairs(nodes, within))
+    # First every left row meets its own leaf; the k-th distance that it finds there is as far as it looks in others.
+    home = nodes.where("leaf and na > 0 and nb > 0").select("l", F.col("node").alias("ga"), F.col("node").alias("gb"), F.col("c").alias("cb"), F.coalesce("rb", F.lit(0.0)).alias("rb"))
+    first = written(met(home), "home-meetings")
+    best = first.withColumn("_rn", F.row_number().over(Window.partitionBy("id").orderBy("distance"))).where(F.col("_rn") == k)
+    kth = written(best.select("id", F.col("distance").alias("kth")), "kth-distances")
+    per = rows.where("side = 0").select("l", F.col("node").alias("leaf"), F.size("ds").alias("deep"), "id").join(kth, "id", "left")
+    leaf = per.groupBy("l", "leaf", "deep").agg(F.max(F.coalesce("kth", F.lit(float("inf")))).alias("reach"))
+    every = leaf.select("l", "reach", "leaf", F.explode(F.sequence(F.lit(1), F.col("deep") + 1)).alias("depth")).groupBy("l", F.expr("substring_index(leaf, '.', depth)").alias("node")).agg(F.max("reach").alias("reach"))
+    others = leaf_pairs(nodes, within, k, every).where("ga <> gb")
+    return first.unionByName(met(others, kth))
+
+
+def _meet(a: DataFrame, b: DataFrame, kernel, schema: str) -> DataFrame:
     keys = ["l", "ga", "pa", "gb", "pb"]
     return a.unionByName(b).repartition(*keys).sortWithinPartitions(*keys, "side", "id").mapInArrow(_each(kernel, keys), schema)
 
@@ -222,32 +312,65 @@ def neighbour_counts(rows: DataFrame, eps: float) -> DataFrame:
     return meetings(rows, rows, kernel, "id bigint, n bigint", within=eps).groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def neighbour_counts_at(rows: DataFrame, radii: list[float]) -> DataFrame:
+    """(id, n): `neighbour_counts` at each of the rising radii, an array."""
+
+    def kernel(xi, xv, xy, xw, yi, yv, yy, yw):
+        n = np.stack([linked(xv, yv, e) @ yw.astype(np.int64) for e in radii], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(xi), pa.ListArray.from_arrays(np.arange(0, n.size + 1, len(radii), dtype=np.int32), n.ravel())], names=["id", "n"])
+
+    met = meetings(rows, rows, kernel, "id bigint, n array<bigint>", within=max(radii))
+    return met.groupBy("id").agg(F.array(*[F.sum(F.col("n")[i]) for i in range(len(radii))]).alias("n"))
+
+
+def _forest(near: np.ndarray, xi: np.ndarray, yi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids that connect what a matrix of marks connects."""
+    a, b, open_x, open_y = [], [], np.ones(len(xi), bool), np.ones(len(yi), bool)
+    for start in range(len(xi)):
+        if not open_x[start]:
+            continue
+        open_x[start], todo = False, [start]
+        while todo:
+            x = todo.pop()
+            for y in np.flatnonzero(near[x] & open_y).tolist():
+                open_y[y] = False
+                a.append(xi[x])
+                b.append(yi[y])
+                more = np.flatnonzero(near[:, y] & open_x)
+                open_x[more] = False
+                a += xi[more].tolist()
+                b += [yi[y]] * len(more)
+                todo += more.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def linking_pairs(rows: DataFrame, eps: float) -> DataFrame:
     """(a, b): pairs of rows within eps that connect whatever pairs within eps connect: of each meeting a spanning forest."""
 
     def kernel(xi, xv, xy, xw, yi, yv, yy, yw):
-        near = linked(xv, yv, eps)
-        a, b, open_x, open_y = [], [], np.ones(len(xi), bool), np.ones(len(yi), bool)
-        for start in range(len(xi)):
-            if not open_x[start]:
-                continue
-            open_x[start], todo = False, [start]
-            while todo:
-                x = todo.pop()
-                for y in np.flatnonzero(near[x] & open_y).tolist():
-                    open_y[y] = False
-                    a.append(xi[x])
-                    b.append(yi[y])
-                    more = np.flatnonzero(near[:, y] & open_x)
-                    open_x[more] = False
-                    a += xi[more].tolist()
-                    b += [yi[y]] * len(more)
-                    todo += more.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
+        a, b = _forest(linked(xv, yv, eps), xi, yi)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return meetings(rows, rows, kernel, "a bigint, b bigint", within=eps).where("a <> b")
 
 
+def linking_pairs_at(rows: DataFrame, radii: list[float]) -> DataFrame:
+    """(r, a, b, reach) for each of the rising radii: `linking_pairs` of the rows whose y is at most r, and rows a of higher y that have one of those within reach (b null)."""
+
+    def kernel(xi, xv, xy, xw, yi, yv, yy, yw):
+        for r, eps in enumerate(radii):
+            x, y = np.flatnonzero(xy <= r), np.flatnonzero(yy <= r)
+            rest = np.flatnonzero(xy > r)
+            if not len(y):
+                continue
+            a, b = _forest(linked(xv[x], yv[y], eps), xi[x], yi[y]) if len(x) else (x, x)
+            on = xi[rest[linked(xv[rest], yv[y], eps).any(1)]] if len(rest) else rest
+            cols = [np.full(len(a) + len(on), r, np.int32), np.concatenate([a, on])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([*b.tolist(), *[None] * len(on)], pa.int64()), pa.array(np.arange(len(cols[0])) >= len(a))], names=["r", "a", "b", "reach"])
+
+    return meetings(rows, rows, kernel, "r int, a bigint, b bigint, reach boolean", within=max(radii)).where("reach or a <> b")
+
+
 def least_near(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
     """(id, reach): the least y of the right rows within eps of each left row that has any."""
 

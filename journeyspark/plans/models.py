@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
@@ -80,8 +82,16 @@ def predict(model: PipelineModel, rows: DataFrame) -> tuple[DataFrame, list]:
     return out.select("id", F.col("y").cast("string").alias("y_true"), name.alias("y_pred"), F.slice(probs, 1, len(labels)).alias("probs")), labels
 
 
+def unfit(e: Exception) -> bool:
+    """Whether an error says that a candidate can't be fitted to these rows: a wrong argument or no convergence. All else (a lost executor, a full disk) ends the run."""
+    if isinstance(e, (ValueError, TypeError, ArithmeticError, IllegalArgumentException, AnalysisException)):
+        return True
+    text = str(e)
+    return not re.search(r"ExecutorLost|FetchFailed|OutOfMemory|No space left|SparkContext was shut down|cancelled", text) and bool(re.search(r"IllegalArgument|requirement failed|NotConverged|ArithmeticException", text))
+
+
 def cross_validate(candidate: Candidate, rows: DataFrame, k: int = 3, seed: int = 1) -> list[dict]:
-    """One result per fold: the measures, seconds, and an error instead of measures where a fit fails. Training rows alone are resampled."""
+    """One result per fold: the measures, seconds, and an error instead of measures where the candidate can't be fitted. Training rows alone are resampled."""
     dealt = written(splits.folds(rows, "y", "id", k, seed), "folds")
     out = []
     for f in sorted(r[0] for r in dealt.select("fold").distinct().collect()):
@@ -91,7 +101,9 @@ def cross_validate(candidate: Candidate, rows: DataFrame, k: int = 3, seed: int
             pred, labels = predict(model, dealt.where(F.col("fold") == f).drop("fold"))
             got = metrics.bundle(written(pred, "predictions"), labels if candidate.probabilities else None).first().asDict()
             error = None
-        except Exception as e:  # a candidate that can't be fitted is a result, not the end of the run
+        except Exception as e:
+            if not unfit(e):
+                raise
             got, error = {}, str(e)[:200]
         out.append({"name": candidate.label, "sampler": candidate.sampler or "none", "probabilities": candidate.probabilities, "fold": f, "seconds": time.time() - start, "error": error} | got)
     return out
@@ -165,7 +177,9 @@ def integrity_notes(run: dict) -> list[str]:
         notes.append("more than a fifth of the cells are imputed")
     if run.get("k") in (run.get("k_low"), run.get("k_high")) and run.get("k") is not None:
         notes.append("the number of segments lies at the edge of the range")
-    if run.get("cv_f1", 0) - run.get("holdout_f1", 0) > 0.15:
+    if run.get("holdout_f1", 0) is None:
+        notes.append("no held-out row lies in a segment")
+    elif run.get("cv_f1", 0) - run.get("holdout_f1", 0) > 0.15:
         notes.append("cross-validation is better than the holdout by more than 0.15")
     return notes
 

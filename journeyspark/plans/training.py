@@ -24,7 +24,7 @@ class Run:
     columns: list[str]
     imputer: DataFrame
     scaler: DataFrame
-    model: PipelineModel
+    model: PipelineModel | None
     cores: DataFrame | None = None
     eps: float | None = None
     k: int = 5
@@ -38,11 +38,9 @@ def clean_profiles(profiles: DataFrame, columns: list[str], order: str = "ord")
     return clean.sparsity_filter(clean.coerce_numeric(first, columns), columns).select("user_id", *columns)
 
 
-def prepare_rows(clicks: DataFrame, profiles: DataFrame, columns: list[str], k: int = 5, order: str = "ord", check: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Users with a window of three touches and an imputed profile (user_id, step1..3, columns), and the fitted imputer."""
-    usable = clean_profiles(profiles, columns, order)
-    imputer = written(prepare.fit_imputer(usable, columns), "imputer")
-    return journey.assemble(clicks, prepare.impute(usable, imputer, columns, k), check), imputer
+def prepare_rows(clicks: DataFrame, profiles: DataFrame, columns: list[str], order: str = "ord", check: bool = True) -> DataFrame:
+    """Users with a window of three touches and a usable profile: (user_id, step1..3, columns), gaps as they are. Nothing is fitted here."""
+    return journey.assemble(clicks, clean_profiles(profiles, columns, order), check)
 
 
 def _features(rows: DataFrame, columns: list[str], segment: bool) -> DataFrame:
@@ -50,36 +48,52 @@ def _features(rows: DataFrame, columns: list[str], segment: bool) -> DataFrame:
     return rows.withColumn("v", F.array(*[F.col(c).cast("double") for c in parts]))
 
 
-def train(rows: DataFrame, columns: list[str], imputer: DataFrame, candidates=None, out: str | None = None, segment: bool = True, seed: int = 1, force: bool = True, k: int = 5, min_samples: int = 20, ks=(2, 3, 4, 5), per_segment: bool = False) -> dict:
-    """Segment, drop noise and rare classes, hold out, select by cross-validation, score the holdout once, refit, write and verify."""
-    spark, rows = rows.sparkSession, written(rows, "rows")
-    scaler = written(prepare.fit_scaler(rows, columns, "standard"), "scaler")
-    data, choices, cores, eps = rows, {}, None, None
-    if segment:
-        scaled = prepare.scale(rows, scaler, columns).select(F.col("user_id").alias("id"), F.array(*columns).alias("v"))
-        labels, choices = cluster.fit_segmentation(scaled, min_samples, ks)
-        labels = written(labels, "segments")
-        eps = choices["eps"]["eps"]
-        cores = written(scaled.join(labels.where("is_core"), "id").select(F.col("id").cast("long").alias("id"), "v", "label", "dbscan_label"), "cores")
-        data = rows.join(labels.where("label >= 0").select(F.col("id").alias("user_id"), F.col("label").alias("segment")), "user_id")
-    ready = splits.drop_rare(data.withColumn("y", F.col("step1").cast("string")), "y")
-    ready = written(_features(ready, columns, segment).select(F.col("user_id").alias("id"), "y", "v", *(["segment"] if segment else [])), "training-rows")
-    parts = splits.holdout(ready, "y", "id", seed=seed)
-    fit_rows, test = (written(parts.where(F.col("is_test") == x).drop("is_test", "segment"), "part") for x in (False, True))
+def fit_tables(rows: DataFrame, columns: list[str], segment: bool = True, k: int = 5, min_samples: int = 20, ks=(2, 3, 4, 5)) -> tuple[Run, DataFrame, dict]:
+    """(run without a model, rows with gaps filled, segment and is_noise, choices): imputer, scaler, gate and segments, all of the given rows alone."""
+    imputer = written(prepare.fit_imputer(rows, columns), "imputer")
+    filled = written(prepare.impute(rows, imputer, columns, k), "imputed")
+    scaler = written(prepare.fit_scaler(filled, columns, "standard"), "scaler")
+    run = Run(columns, imputer, scaler, None, None, None, k)
+    if not segment:
+        return run, filled.withColumns({"segment": F.lit(0), "is_noise": F.lit(False)}), {}
+    scaled = prepare.scale(filled, scaler, columns).select(F.col("user_id").alias("id"), F.array(*columns).alias("v"))
+    labels, choices = cluster.fit_segmentation(scaled, min_samples, ks)
+    labels = written(labels, "segments")
+    run.eps = choices["eps"]["eps"]
+    run.cores = written(scaled.join(labels.where("is_core"), "id").select(F.col("id").cast("long").alias("id"), "v", "label", "dbscan_label"), "cores")
+    placed = filled.join(labels.select(F.col("id").alias("user_id"), F.col("label").alias("segment")), "user_id")
+    return run, placed.withColumn("is_noise", F.col("segment") < 0), choices
+
+
+def train(rows: DataFrame, columns: list[str], candidates=None, out: str | None = None, segment: bool = True, seed: int = 1, force: bool = True, k: int = 5, min_samples: int = 20, ks=(2, 3, 4, 5), per_segment: bool = False) -> dict:
+    """Hold out, fit everything on the rest, select by cross-validation, score the holdout once, refit the model, write and verify.
+
+    rows come from `prepare_rows`, with their gaps. Held-out users take part in no fitted table: gaps are filled, scaled and
+    placed by what the others gave, as new users' are. Noise is left out of fitting and scoring, and counted.
+    The last model is of all rows, placed by the same tables.
+    """
+    spark = rows.sparkSession
+    rows = written(rows.withColumn("y", F.col("step1").cast("string")), "rows")
+    parts = splits.holdout(splits.drop_rare(rows, "y"), "y", "user_id", seed=seed)
+    mine, held = (written(parts.where(F.col("is_test") == x).drop("is_test"), "part") for x in (False, True))
+    made, data, choices = fit_tables(mine, columns, segment, k, min_samples, ks)
+    ready = lambda d, name: written(_features(d.where("not is_noise"), columns, segment).select(F.col("user_id").alias("id"), "y", "v", "segment"), name)
+    placed = written(assign_segments(made, held), "placed")
+    fit_rows, test = ready(data, "training-rows"), ready(placed, "holdout-rows")
     roster = candidates or [models.ROSTER["random_forest"], models.ROSTER["logistic"]]
     results = [r for c in roster for r in models.cross_validate(c, fit_rows, seed=seed)]
     won = models.choose(models.summary(results))
     best = next(c for c in roster if c.label == won["name"])
     pred, labels_ = models.predict(models.fit(best, fit_rows), test)
     holdout = metrics.bundle(written(pred, "predictions"), labels_).first().asDict()
-    final = models.fit(best, ready)
-    own = models.fit_segments(best, ready) if segment and per_segment else {}
-    run = {"candidate": won["name"], "cv_f1": won["f1_macro"], "holdout_f1": holdout["f1_macro"], "k": choices.get("k", {}).get("k"), "k_low": min(ks), "k_high": max(ks), "eps": eps, "neighbours": k, "columns": columns, "segments": sorted(own)}
+    every = fit_rows.unionByName(test)
+    made.model = models.fit(best, every)
+    made.segments = models.fit_segments(best, every) if segment and per_segment else {}
+    run = {"candidate": won["name"], "cv_f1": won["f1_macro"], "holdout_f1": holdout["f1_macro"], "holdout_noise": placed.where("is_noise").count(), "k": choices.get("k", {}).get("k"), "k_low": min(ks), "k_high": max(ks), "eps": made.eps, "neighbours": k, "columns": columns, "segments": sorted(made.segments)}
     if segment:
-        sizes = [r["n"] for r in data.groupBy("segment").agg(F.count("*").alias("n")).collect()]
+        sizes = [r["n"] for r in fit_rows.groupBy("segment").agg(F.count("*").alias("n")).collect()]
         run |= {"n_segments": len(sizes), "smallest_segment": min(sizes)}
     manifest = {"run": run, "holdout": holdout, "choices": choices, "notes": {"list": models.integrity_notes(run | {"segments": run.get("n_segments", 99)})}, "verified": {"value": False}}
-    made = Run(columns, imputer, scaler, final, cores, eps, k, own)
     if out:
         files.write_manifest(spark, manifest, f"{out}/manifest", force)
         save(made, out, force)

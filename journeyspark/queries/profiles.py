@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from journeyspark.contracts import TOUCH_CODES
 from journeyspark.functions import metrics
-from journeyspark.operators import clean, journey, prepare, profile
+from journeyspark.functions.draws import uniform_sql
+from journeyspark.operators import clean, journey, prepare, profile, splits
 from journeyspark.plans import training
 from journeyspark.sources import dimensions, files
 
@@ -206,6 +207,20 @@ def impute_new_rows(s, d):
     return prepare.impute(x.where("user_id % 5 = 0"), prepare.fit_imputer(x.where("user_id % 5 <> 0"), COLS), COLS)
 
 
+_PART = f"part AS (SELECT k.*, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {uniform_sql(1, 'c_custkey', 'holdout')}, c_custkey) AS rn, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM kept k JOIN customer ON c_custkey = user_id), train AS (SELECT * EXCLUDE (rn, n) FROM part WHERE rn > greatest(round(n * 0.2), 1))"
+_FITS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, round(avg({c}), 5) AS shift, round(CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END, 5) AS scale FROM filled" for c in COLS)
+
+
+@q(f"WITH {KEPT}, {_PART}, {_knn_sql('train', 'train')} {_FITS}")
+def training_tables(s, d):
+    """What a run fits before it selects a model: held-out customers take no part in filling or scaling."""
+    y = table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("y"))
+    mine = splits.holdout(kept(s, d).join(y, "user_id"), "y", "user_id").where("not is_test").drop("is_test")
+    run, filled, _ = training.fit_tables(mine, COLS, segment=False)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.round(f"shift_{c}", 5).alias("shift"), F.round(f"scale_{c}", 5).alias("scale")) for c in COLS])
+    return run.scaler.crossJoin(filled.agg(F.count("*").alias("n"))).select("n", F.explode(cells).alias("c")).select("c.column", "n", "c.shift", "c.scale")  # one row each
+
+
 _WHOLE = " AND ".join(f"{c} IS NOT NULL" for c in COLS)
 _UNIT = lambda src: ", ".join(f"({src}.{c} - m.m_{c}) / m.s_{c}" for c in COLS)
 

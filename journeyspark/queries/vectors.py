@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from journeyspark.functions import metrics
 from journeyspark.functions.draws import uniform, uniform_sql
 from journeyspark.operators import cluster, components, journey, neighbors, resample, splits
-from journeyspark.plans import backoff, boosting, calibration, models, search
+from journeyspark.plans import backoff, boosting, calibration, context_tree, models, search
 
 from .tables import POSITIONS, clicks, table
 
@@ -389,6 +389,53 @@ def backoff_rank(s, d):
     return _round(backoff.score(ex.select("id", "step2", "step3"), fitted), "prob")
 
 
+def _tree_sql(depth: int = 5, least: int = 2, worth: float = 3.0, weight: float = 5.0) -> str:
+    """CTEs occ, g1.. (gains), kept (depth, context) and pall (depth, context, target, c, prob) of a context tree over the training users."""
+    name = lambda l: "''" if l == 0 else "concat_ws(',', " + ", ".join(f"l{i}" for i in range(1, l + 1)) + ")"  # noqa: E731, E741
+    past = ", ".join(f"lead(touch, {i}) OVER w AS l{i}" for i in range(1, depth + 1))
+    parts = [f"occ AS (SELECT * FROM (SELECT user_id AS id, rn, touch AS target, {past} FROM pos WINDOW w AS (PARTITION BY user_id ORDER BY rn)) WHERE {uniform_sql(5, 'id', 'train')} < 0.7)"]
+    for l in range(depth + 1):  # noqa: E741
+        has = "" if l == 0 else f" WHERE l{l} IS NOT NULL"
+        parent = name(l - 1) if l else "NULL::VARCHAR"
+        few = "" if l == 0 else f" WHERE n >= {least}"
+        parts.append(f"c{l} AS (SELECT * FROM (SELECT context, parent, target, c, sum(c) OVER (PARTITION BY context) AS n FROM (SELECT {name(l)} AS context, {parent} AS parent, target, count(*) AS c FROM occ{has} GROUP BY ALL)){few})")
+        if l:
+            parts.append(f"g{l} AS (SELECT a.context, a.parent, max(a.n) AS n, sum(a.c * ln(a.c / a.n / (b.c / b.n))) AS gain FROM c{l} a JOIN c{l - 1} b ON b.context = a.parent AND b.target = a.target GROUP BY ALL)")
+    for l in range(depth, 0, -1):  # noqa: E741
+        needed = f" OR context IN (SELECT parent FROM k{l + 1})" if l < depth else ""
+        parts.append(f"k{l} AS (SELECT * FROM g{l} WHERE gain >= {worth}{needed})")
+    parts.append("p0 AS (SELECT 0 AS depth, '' AS context, target, c, (c + 1.0) / (sum(c) OVER () + count(*) OVER ()) AS prob FROM c0)")
+    for l in range(1, depth + 1):  # noqa: E741
+        parts.append(f"p{l} AS (SELECT {l} AS depth, k.context, p.target, coalesce(c.c, 0) AS c, (coalesce(c.c, 0) + {weight} * p.prob) / (k.n + {weight}) AS prob FROM k{l} k JOIN p{l - 1} p ON p.context = k.parent LEFT JOIN c{l} c ON c.context = k.context AND c.target = p.target)")
+    parts.append("pall AS (" + " UNION ALL ".join(f"SELECT * FROM p{l}" for l in range(depth + 1)) + ")")  # noqa: E741
+    return ", ".join(parts)
+
+
+def _journeys(s, d):
+    return journey.build_examples(journey.build_events(clicks(s, d))).withColumnRenamed("user_id", "id")
+
+
+@q(f"WITH {POSITIONS}, {_tree_sql()} SELECT depth::INT AS depth, context, target, c::BIGINT AS n, round(prob, 6) AS prob FROM pall")
+def context_shares(s, d):
+    """Kept contexts of up to five touches, with counts and blended shares of what follows, from the training users."""
+    tree = context_tree.fit(_journeys(s, d).where(uniform(5, F.col("id"), "train") < 0.7))
+    return _round(tree.shares.select("depth", "context", "target", F.col("c").alias("n"), "prob"), "prob")
+
+
+_LAST = ", ".join(f"max(touch) FILTER (rn = {i + 1}) AS l{i}" for i in range(1, 6))
+_CTX = " UNION ALL ".join(["SELECT id, 0 AS depth, '' AS context FROM now"] + ["SELECT id, %d, concat_ws(',', %s) FROM now WHERE l%d IS NOT NULL" % (i, ", ".join(f"l{j}" for j in range(1, i + 1)), i) for i in range(1, 6)])
+
+
+@q(f"""WITH {POSITIONS}, {_tree_sql()}, now AS (SELECT user_id AS id, {_LAST} FROM pos GROUP BY user_id), ctx AS ({_CTX}),
+best AS (SELECT id, max(x.depth) AS depth, arg_max(x.context, x.depth) AS context FROM ctx x JOIN (SELECT DISTINCT depth, context FROM pall) USING (depth, context) GROUP BY id)
+SELECT id, target, round(prob, 6) AS prob FROM best JOIN pall USING (depth, context)""")
+def context_rank(s, d):
+    """Shares of every touch for every user's next one, from the longest kept context of the whole journey."""
+    rows = _journeys(s, d)
+    tree = context_tree.fit(rows.where(uniform(5, F.col("id"), "train") < 0.7))
+    return _round(context_tree.score(rows, tree), "prob")
+
+
 @q()
 def logistic_holdout(s, d):
     h = splits.holdout(vecs(s, d), "y", "id").withColumn("y", F.col("y").cast("string"))

@@ -108,20 +108,20 @@ def planted(spark, n):
 def test_train_end_to_end(spark, tmp_path):
     clicks, prof = planted(spark, 120)
     later = prof.limit(5).withColumns({"ord": F.col("ord") + 1000, "Age": F.lit("17")})  # second rows of a user don't count
-    rows, imputer = training.prepare_rows(clicks, prof.unionByName(later), COLS)
-    assert rows.count() > 80 and rows.where("Age is null or Age = 17").count() == 0
-    got = training.train(rows, COLS, imputer, [models.ROSTER["naive_bayes"]], str(tmp_path / "out"), segment=False)
+    rows = training.prepare_rows(clicks, prof.unionByName(later), COLS)
+    assert rows.count() > 80 and rows.where("Age is null").count() > 0 and rows.where("Age = 17").count() == 0
+    got = training.train(rows, COLS, [models.ROSTER["naive_bayes"]], str(tmp_path / "out"), segment=False)
     assert 0 <= got["manifest"]["holdout"]["accuracy"] <= 1 and (tmp_path / "out" / "model").exists() and got["manifest"]["verified"]["value"]
     with pytest.raises(Exception, match="(?i)exist"):
-        training.train(rows, COLS, imputer, [models.ROSTER["naive_bayes"]], str(tmp_path / "out"), segment=False, force=False)
+        training.train(rows, COLS, [models.ROSTER["naive_bayes"]], str(tmp_path / "out"), segment=False, force=False)
 
 
 def test_segments_artefacts_and_new_rows(spark, tmp_path):
     """Train with segments on some users, write, read back, and score users that the run has never seen, with gaps."""
     clicks, prof = planted(spark, 260)
     old = prof.where("user_id % 4 <> 0")
-    rows, imputer = training.prepare_rows(clicks, old, COLS)
-    got = training.train(rows, COLS, imputer, [models.ROSTER["naive_bayes"]], str(tmp_path / "run"), min_samples=8, ks=(2, 3), per_segment=True)
+    rows = training.prepare_rows(clicks, old, COLS)
+    got = training.train(rows, COLS, [models.ROSTER["naive_bayes"]], str(tmp_path / "run"), min_samples=8, ks=(2, 3), per_segment=True)
     told = got["manifest"]["run"]
     assert told["n_segments"] >= 2 and told["segments"] and got["manifest"]["verified"]["value"]
     run = training.load(spark, str(tmp_path / "run"))
@@ -143,6 +143,24 @@ def test_segments_artefacts_and_new_rows(spark, tmp_path):
         assert r.is_noise == (near[0] > run.eps) and (r.is_noise or abs(min(d)[0] - near[0]) < 1e-9 and r.segment in {x[2] for x in d if x[0] < near[0] + 1e-9})
 
 
+def test_held_out_users_take_part_in_no_fit(spark, monkeypatch):
+    """What is fitted gets the training users' rows alone, gaps and all; held-out users only pass through what came out."""
+    clicks, prof = planted(spark, 120)
+    rows = training.prepare_rows(clicks, prof, COLS)
+    marked = splits.holdout(splits.drop_rare(rows.withColumn("y", F.col("step1").cast("string")), "y"), "y", "user_id")
+    held = {r.user_id for r in marked.where("is_test").collect()}
+    fitted, placed, fits, selected = [], [], [], []
+    spy = lambda seen, real: lambda d, *args, **named: seen.append({r.user_id for r in d.select("user_id").collect()}) or real(d, *args, **named)
+    monkeypatch.setattr(training, "fit_tables", spy(fitted, training.fit_tables))
+    monkeypatch.setattr(training.prepare, "fit_imputer", spy(fits, prepare.fit_imputer))
+    monkeypatch.setattr(training.prepare, "fit_scaler", spy(fits, prepare.fit_scaler))
+    monkeypatch.setattr(training, "assign_segments", (lambda real: lambda run, d: placed.append({r.user_id for r in d.collect()}) or real(run, d))(training.assign_segments))
+    monkeypatch.setattr(models, "cross_validate", (lambda real: lambda c, d, **named: selected.append({r.id for r in d.collect()}) or real(c, d, **named))(models.cross_validate))
+    training.train(rows, COLS, [models.ROSTER["naive_bayes"]], segment=False)
+    mine = {r.user_id for r in marked.where("not is_test").collect()}
+    assert held and fitted == [mine] and fits == [mine, mine] and placed == [held] and selected == [mine]
+
+
 def labelled(spark, n=90, seed=7):
     rng = np.random.default_rng(seed)
     x = np.concatenate([rng.normal(c, 0.8, (n // 3, 3)) for c in (0, 4, 8)])
