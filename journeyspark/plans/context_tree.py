@@ -8,6 +8,7 @@ adds a weight's worth of the shorter context's shares to its own counts.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,11 +44,12 @@ def occurrences(journeys: DataFrame, max_len: int, seq: str = "seq_touch", targe
     return steps.where("s.next is not null").groupBy("s.past", "s.next").agg(F.count("*").alias("c"))
 
 
-def fit(journeys: DataFrame, max_len: int = 5, least: int = 2, worth: float = 3.0, weight: float = 5.0, alpha: float = 1.0, seq: str = "seq_touch", target: str | None = "target") -> ContextTree:
+def fit(journeys: DataFrame, max_len: int = 5, least: int = 2, worth: float | None = None, weight: float = 5.0, alpha: float = 1.0, seq: str = "seq_touch", target: str | None = "target") -> ContextTree:
     """A tree of contexts of up to max_len touches from training journeys (seq, target).
 
     least: a context is looked at from so many occurrences on. worth: a context stays from a gain on of so many nats of
-    log likelihood over the shorter one (or below a longer one that stays). weight, alpha: of the blend and of the root.
+    log likelihood over the shorter one (or below a longer one that stays); without it, as the Bayesian information criterion
+    asks of its free shares, (targets - 1) / 2 * ln(occurrences). weight, alpha: of the blend and of the root.
     """
     all_ = written(occurrences(journeys, max_len, seq, target), "context-counts")
     levels: list[DataFrame] = []
@@ -60,6 +62,9 @@ def fit(journeys: DataFrame, max_len: int = 5, least: int = 2, worth: float = 3.
         counts = counts.withColumn("n", F.sum("c").over(Window.partitionBy("context")))
         levels.append(written(counts if depth == 0 else counts.where(F.col("n") >= least), f"contexts-{depth}"))
 
+    if worth is None:
+        told = levels[0].agg(F.count("*").alias("k"), F.sum("c").alias("n")).first()
+        worth = (told["k"] - 1) / 2 * math.log(told["n"] or 1)
     gains, kept = [], [None] * (max_len + 1)
     for depth in range(1, max_len + 1):
         above = levels[depth - 1].select(F.col("context").alias("p"), F.col("target").alias("t"), (F.col("c") / F.col("n")).alias("share"))

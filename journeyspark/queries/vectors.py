@@ -389,7 +389,7 @@ def backoff_rank(s, d):
     return _round(backoff.score(ex.select("id", "step2", "step3"), fitted), "prob")
 
 
-def _tree_sql(depth: int = 5, least: int = 2, worth: float = 3.0, weight: float = 5.0) -> str:
+def _tree_sql(depth: int = 5, least: int = 2, weight: float = 5.0) -> str:
     """CTEs occ, g1.. (gains), kept (depth, context) and pall (depth, context, target, c, prob) of a context tree over the training users."""
     name = lambda l: "''" if l == 0 else "concat_ws(',', " + ", ".join(f"l{i}" for i in range(1, l + 1)) + ")"  # noqa: E731, E741
     past = ", ".join(f"lead(touch, {i}) OVER w AS l{i}" for i in range(1, depth + 1))
@@ -403,7 +403,7 @@ def _tree_sql(depth: int = 5, least: int = 2, worth: float = 3.0, weight: float
             parts.append(f"g{l} AS (SELECT a.context, a.parent, max(a.n) AS n, sum(a.c * ln(a.c / a.n / (b.c / b.n))) AS gain FROM c{l} a JOIN c{l - 1} b ON b.context = a.parent AND b.target = a.target GROUP BY ALL)")
     for l in range(depth, 0, -1):  # noqa: E741
         needed = f" OR context IN (SELECT parent FROM k{l + 1})" if l < depth else ""
-        parts.append(f"k{l} AS (SELECT * FROM g{l} WHERE gain >= {worth}{needed})")
+        parts.append(f"k{l} AS (SELECT * FROM g{l} WHERE gain >= (SELECT (count(*) - 1) / 2.0 * ln(sum(c)) FROM c0){needed})")
     parts.append("p0 AS (SELECT 0 AS depth, '' AS context, target, c, (c + 1.0) / (sum(c) OVER () + count(*) OVER ()) AS prob FROM c0)")
     for l in range(1, depth + 1):  # noqa: E741
         parts.append(f"p{l} AS (SELECT {l} AS depth, k.context, p.target, coalesce(c.c, 0) AS c, (coalesce(c.c, 0) + {weight} * p.prob) / (k.n + {weight}) AS prob FROM k{l} k JOIN p{l - 1} p ON p.context = k.parent LEFT JOIN c{l} c ON c.context = k.context AND c.target = p.target)")
