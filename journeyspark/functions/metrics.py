@@ -58,10 +58,16 @@ def by_class(p: DataFrame, labels: list) -> DataFrame:
 
 def top_k_hits(p: DataFrame, labels: list, k: int = 3) -> DataFrame:
     """Share of rows whose class is among the k likeliest (ties to the smaller class); 0 without probabilities."""
-    k = min(k, len(labels))
-    rn = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("prob"), "label"))
-    hit = by_class(p, labels).withColumn("rn", rn).where(F.col("rn") <= k).groupBy("id").agg(F.max((F.col("label") == F.col("y_true")).cast("double")).alias("hit"))
-    return p.select("id").join(hit, "id", "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("top_k"))
+    return p.agg(F.coalesce(F.avg(_hit(labels, k)), F.lit(0.0)).alias("top_k"))
+
+
+def _hit(labels: list, k: int):
+    """1.0 where fewer than k classes come before the true one, by probability and then by label."""
+    names = F.array(*[F.lit(x) for x in labels])
+    at = F.array_position(names, F.col("y_true"))
+    own = F.try_element_at("probs", F.greatest(at, F.lit(1)).cast("int"))
+    ahead = F.filter(F.arrays_zip(F.col("probs").alias("p"), names.alias("l")), lambda c: (c["p"] > own) | ((c["p"] == own) & (c["l"] < F.col("y_true"))))
+    return F.coalesce(((at > 0) & own.isNotNull() & (F.size(ahead) < min(k, len(labels)))).cast("double"), F.lit(0.0))
 
 
 def _by_score(p: DataFrame, labels: list) -> DataFrame:
@@ -97,8 +103,16 @@ def pr_auc(p: DataFrame, labels: list) -> DataFrame:
 
 def bundle(p: DataFrame, labels: list | None = None) -> DataFrame:
     """All measures in one row; those of probabilities only with labels."""
-    out = accuracy(p).crossJoin(macro(p)).crossJoin(weighted(p)).crossJoin(balanced_accuracy(p))  # one row each
-    return out.crossJoin(top_k_hits(p, labels)).crossJoin(roc_auc(p, labels)).crossJoin(pr_auc(p, labels)) if labels else out
+    hits, n = F.sum(F.col("recall") * F.col("support")), F.sum("support")
+    means = [F.avg(c).alias(f"{c}_macro") for c in ("precision", "recall", "f1")] + [(F.sum(F.col(c) * F.col("support")) / n).alias(f"{c}_weighted") for c in ("precision", "recall", "f1")]
+    out = class_report(p).agg((hits / n).alias("accuracy"), *means, F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"))
+    if not labels:
+        return out
+    rank, tp, seen = F.col("below") + (F.col("n") + 1) / 2, F.col("np_total") - F.col("np_below"), F.col("total") - F.col("below")
+    per = _by_score(p, labels).groupBy("label").agg(F.sum(rank * F.col("np")).alias("s"), F.sum("np").alias("p"), F.sum("n").alias("t"), F.sum(F.when(F.col("np_total") > 0, F.col("np") / F.col("np_total") * tp / seen)).alias("ap"))
+    area = (F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("t") - F.col("p")))
+    curves = per.agg(F.avg(F.when((F.col("p") > 0) & (F.col("p") < F.col("t")), area)).alias("roc_auc"), F.avg("ap").alias("pr_auc"))
+    return out.crossJoin(top_k_hits(p, labels)).crossJoin(curves)  # one row each
 
 
 def top_confusions(p: DataFrame, n: int = 20) -> DataFrame:

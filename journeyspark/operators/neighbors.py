@@ -150,12 +150,12 @@ def meetings(left: DataFrame, right: DataFrame, kernel, schema: str, within: flo
     sizes = [df.groupBy("l").agg(F.count("*").alias("n")) for df in (left, right)]
     seen = sizes[0].agg(F.count("*").alias("a")).crossJoin(sizes[1].agg(F.count("*").alias("b"), F.max("n").alias("most"))).first()
     most = seen["most"] or 0
-    if most <= ROWS:
+    if most <= ROWS or (within is None and k is None):  # one block, or no bound that could keep blocks apart
         small = F.broadcast if max(seen["a"], seen["b"]) <= LABELS else lambda df: df
-        many = small(sizes[0].select("l", parts_of(F.col("n"), ROWS // 4).alias("parts")))
+        many = small(sizes[0].select("l", parts_of(F.col("n"), ROWS // 4).alias("parts")).join(sizes[1].select("l", parts_of(F.col("n"), ROWS).alias("blocks")), "l"))
         none = F.lit("")
-        a = left.join(many, "l").select("l", none.alias("ga"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("pa"), none.alias("gb"), F.lit(0).alias("pb"), F.lit(0).alias("side"), "id", "v", "y", "w")
-        b = right.join(many, "l").select("l", none.alias("ga"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pa"), none.alias("gb"), F.lit(0).alias("pb"), F.lit(1).alias("side"), "id", "v", "y", "w")
+        a = left.join(many, "l").select("l", none.alias("ga"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("pa"), none.alias("gb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("pb"), F.lit(0).alias("side"), "id", "v", "y", "w")
+        b = right.join(many, "l").select("l", none.alias("ga"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pa"), none.alias("gb"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("pb"), F.lit(1).alias("side"), "id", "v", "y", "w")
         return _meet(a, b, kernel, schema)
     rows, nodes = ball_tree(left, right)
     parts = nodes.where("leaf").select("l", "node", parts_of(F.col("na"), ROWS // 4).alias("na"), parts_of(F.col("nb"), ROWS).alias("nb"))

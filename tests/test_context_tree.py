@@ -74,7 +74,7 @@ def test_planted_order_is_found_and_beats_two_steps(spark):
 
 
 def test_held_out_users_not_worse_than_two_steps(spark):
-    rows = journey.build_examples(journey.build_events(clicks(spark, "/root/testdata/sf0.01"))).withColumnRenamed("user_id", "id")
+    rows = journey.build_examples(journey.build_events(clicks(spark, "/root/testdata/sf0.1"))).withColumnRenamed("user_id", "id")
     mine = uniform(5, F.col("id"), "train") < 0.7
     truth = rows.where(~mine).select("id", "target")
     tree = context_tree.fit(rows.where(mine))
