@@ -307,6 +307,17 @@ def spectral(df: DataFrame, k: int, gamma: float = 1.0, landmarks: int = 300, ke
     return kmeans(df.select(F.col("id").cast("long"), "v").mapInPandas(embed, "id bigint, e array<double>"), k, seeds, "e")
 
 
+def neighbour_graph(df: DataFrame, neighbours: int = 10) -> DataFrame:
+    """(id, neighbour, degree, w): the nearest-neighbour graph with loops, each edge counted half from either end; w is divided by the roots of both degrees."""
+    near = knn_join(df, df, neighbours).select("id", "neighbour")
+    half = near.select("id", "neighbour").unionByName(near.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour")))
+    half = half.groupBy("id", "neighbour").agg((F.count("*") / 2).alias("w")).unionByName(df.select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("neighbour"), F.lit(1.0).alias("w")))
+    half = written(half, "neighbour-graph")
+    degree = half.groupBy("id").agg(F.sum("w").alias("degree"))
+    a = half.join(degree, "id").join(degree.select(F.col("id").alias("neighbour"), F.col("degree").alias("other")), "neighbour")
+    return a.select("id", "neighbour", "degree", (F.col("w") / F.sqrt(F.col("degree") * F.col("other"))).alias("w"))
+
+
 def spectral_graph(df: DataFrame, k: int, neighbours: int = 10, rounds: int = 60, seeds=range(5)) -> DataFrame:
     """(id, label): normalised spectral clustering of the nearest-neighbour graph, each edge counted half from either end.
 
@@ -314,13 +325,9 @@ def spectral_graph(df: DataFrame, k: int, neighbours: int = 10, rounds: int = 60
     edges with a k-wide table and one sum, and the k by k products that keep the vectors apart are all that reaches the driver.
     Every `STRIDE` rounds the table is written. K-means labels the rows.
     """
-    near = knn_join(df, df, neighbours).select("id", "neighbour")
-    half = near.select("id", "neighbour").unionByName(near.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour")))
-    half = half.groupBy("id", "neighbour").agg((F.count("*") / 2).alias("w")).unionByName(df.select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("neighbour"), F.lit(1.0).alias("w")))
-    half = written(half, "neighbour-graph")
-    degree = half.groupBy("id").agg(F.sum("w").alias("degree"))
-    a = half.join(degree, "id").join(degree.select(F.col("id").alias("neighbour"), F.col("degree").alias("other")), "neighbour")
-    a = written(a.select("id", "neighbour", (F.col("w") / F.sqrt(F.col("degree") * F.col("other"))).alias("w")), "graph-weights")
+    a = written(neighbour_graph(df, neighbours), "graph-weights")
+    degree = a.select("id", "degree").distinct()
+    a = a.select("id", "neighbour", "w")
     wide = range(k + 2)
     x = written(degree.select("id", *[(uniform(1, F.col("id"), f"axis-{i}") - 0.5).alias(f"x{i}") for i in wide], "degree"), "axes")
 

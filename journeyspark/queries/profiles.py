@@ -8,7 +8,7 @@ from journeyspark.contracts import TOUCH_CODES
 from journeyspark.functions import metrics
 from journeyspark.functions.draws import uniform_sql
 from journeyspark.operators import clean, journey, prepare, profile, splits
-from journeyspark.plans import training
+from journeyspark.plans import models, training
 from journeyspark.sources import dimensions, files
 
 from .tables import CLICKS, KEPT, PROFILE_COLUMNS, PROFILES, RUNS, clicks, raw_profiles, table
@@ -221,6 +221,15 @@ def training_tables(s, d):
     return run.scaler.crossJoin(filled.agg(F.count("*").alias("n"))).select("n", F.explode(cells).alias("c")).select("c.column", "n", "c.shift", "c.scale")  # one row each
 
 
+@q()
+def new_user_channels(s, d):
+    """A whole run on the customers that are not divisible by five, and the channels it ranks for the others, gaps in their profiles and all."""
+    rows = training.prepare_rows(clicks(s, d), kept(s, d).withColumn("ord", F.col("user_id")), list(COLS))
+    fresh = F.col("user_id") % 5 == 0
+    run = training.train(rows.where(~fresh), list(COLS), [models.ROSTER["naive_bayes"]], segment=False)["run"]
+    return training.score(run, rows.where(fresh)).select("user_id", "is_noise", F.transform("top", lambda t: t["code"]).alias("codes"), F.round("confidence", 4).alias("confidence"), "n_tail")
+
+
 _WHOLE = " AND ".join(f"{c} IS NOT NULL" for c in COLS)
 _UNIT = lambda src: ", ".join(f"({src}.{c} - m.m_{c}) / m.s_{c}" for c in COLS)
 

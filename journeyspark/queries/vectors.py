@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from journeyspark.functions import metrics
 from journeyspark.functions.draws import uniform, uniform_sql
-from journeyspark.operators import cluster, components, journey, neighbors, resample, splits
+from journeyspark.operators import cluster, components, journey, kmeans, neighbors, resample, splits
 from journeyspark.plans import backoff, boosting, calibration, context_tree, models, search
 
 from .tables import POSITIONS, clicks, table
@@ -236,11 +237,31 @@ def spectral_segments(s, d):
     return cluster.spectral(vecs(s, d), 3).groupBy("label").agg(F.count("*").alias("n"))
 
 
+@q(f"""WITH {PAIRS}, near AS {_NEAR('true', 10)}, half AS (SELECT id, nb, count(*) / 2 AS w FROM (SELECT id, nb FROM near UNION ALL SELECT nb, id FROM near) GROUP BY ALL UNION ALL SELECT id, id, 1.0 FROM vecs),
+deg AS (SELECT id, sum(w) AS degree FROM half GROUP BY id) SELECT h.id, h.nb AS neighbour, a.degree::DOUBLE AS degree, round(h.w / sqrt(a.degree * b.degree), 6) AS w FROM half h JOIN deg a ON a.id = h.id JOIN deg b ON b.id = h.nb""")
+def neighbour_graph(s, d):
+    """Degrees and weights of the graph that spectral clustering works on."""
+    return _round(cluster.neighbour_graph(vecs(s, d)), "w")
+
+
 @q()
 def k_probe(s, d):
     return cluster.k_probe(vecs(s, d))
 
 
+_CENTRES = "cen AS (SELECT id AS label, v AS c FROM vecs WHERE id < 3)"
+
+
+@q(f"""WITH {VECS}, {_CENTRES}, near AS (SELECT id, v, label, list_distance(v, c) AS d FROM vecs, cen QUALIFY row_number() OVER (PARTITION BY id ORDER BY list_distance(v, c), label) = 1)
+SELECT label::INT AS label, count(*) AS n, round(sum(d * d), 4) AS cost, round(sum(list_sum(v)), 4) AS total FROM near GROUP BY 1""")
+def kmeans_step(s, d):
+    """One round of k-means from given centres (the first three vectors): rows, cost and sum of each cluster."""
+    v = vecs(s, d)
+    c = [np.array(r["v"]) for r in v.where("id < 3").orderBy("id").collect()]
+    got = kmeans.assignment_sums(v, [np.stack(c)]).where("n > 0")
+    return _round(got.select("label", "n", "cost", F.aggregate("total", F.lit(0.0), lambda a, x: a + x).alias("total")), "cost", "total", n=4)
+
+
 @q()
 def pca_projection(s, d):
     return cluster.project(vecs(s, d))
