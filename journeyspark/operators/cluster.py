@@ -431,4 +431,5 @@ def algorithm_table(df: DataFrame, k: int, seeds=range(2), nearest=(10, 20, 50))
         sizes = lab.groupBy("label").count().agg(F.lit(name).alias("algorithm"), F.count_if(F.col("label") >= 0).alias("clusters"), F.min("count").alias("smallest"), F.max("count").alias("largest"), F.coalesce(F.sum(F.when(F.col("label") < 0, F.col("count"))), F.lit(0)).alias("noise"), F.lit(took).alias("seconds"))
         row = sizes.crossJoin(silhouette(lab)).crossJoin(davies_bouldin(lab))  # one row each
         out = row if out is None else out.unionByName(row)
+    x.unpersist()
     return out

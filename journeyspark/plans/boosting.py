@@ -23,6 +23,8 @@ from journeyspark.functions.quantiles import MOST, exact_quantiles
 
 #: Rounds between two writings of the scores.
 STRIDE = 10
+#: Gains that agree in so many decimals are equal, and the first feature and bin has it; sums come in any order.
+DIGITS = 9
 #: Rows of a batch that are scored at a time.
 ROWS = 2048
 
@@ -146,7 +148,7 @@ def best_splits(sums: DataFrame, l2: float = 1.0, least: float = 1e-3) -> DataFr
             gr, hr = gt[:, None] - gl, ht[:, None] - hl
             gain = gl**2 / (hl + l2) + gr**2 / (hr + l2) - (gt**2 / (ht + l2))[:, None]
             gain = np.where((hl >= least) & (hr >= least) & (gain > 1e-12) & (np.arange(g.shape[1]) < g.shape[1] - 1), gain, 0.0)
-            at, i = gain.argmax(1), np.arange(n)
+            at, i = np.round(gain, DIGITS).argmax(1), np.arange(n)
             on = gain[i, at] > 0
             cells = [(gain[i, at], 0.0), (gl[i, at], gt), (hl[i, at], ht), (gr[i, at], 0.0), (hr[i, at], 0.0)]
             f, b = np.where(on, np.asarray(batch.column(2)), -1), np.where(on, at, 0)
@@ -154,7 +156,7 @@ def best_splits(sums: DataFrame, l2: float = 1.0, least: float = 1e-3) -> DataFr
 
     names = ["k", "node", "f", "bin", "gain", "gl", "hl", "gr", "hr"]
     each = sums.select("k", "node", "f", "g", "h").mapInArrow(of_feature, "k int, node int, f int, bin int, gain double, gl double, hl double, gr double, hr double")
-    best = F.max_by(F.struct(*names[2:]), F.struct("gain", (-F.col("f")).alias("nf"))).alias("s")
+    best = F.max_by(F.struct(*names[2:]), F.struct(F.round("gain", DIGITS), (-F.col("f")).alias("nf"))).alias("s")
     return each.groupBy("k", "node").agg(best).select("k", "node", "s.*")
 
 

@@ -60,7 +60,7 @@ def _vectors(df: DataFrame) -> DataFrame:
 def fit(candidate: Candidate, train: DataFrame) -> PipelineModel:
     """Fit on rows (id, y, v); only these are resampled and weighed."""
     train = resample.resampler(candidate.sampler)(train.select("id", "y", "v"))
-    train = train.join(F.broadcast(metrics.class_weights(train, "y").select("y", "weight")), "y")  # a row per class
+    train = train.join(metrics.class_weights(train, "y").select("y", "weight"), "y")
     n = len(train.select("v").first()[0])
     k = train.select("y").distinct().count()
     index = StringIndexer(inputCol="y", outputCol="label", handleInvalid="keep", stringOrderType="alphabetAsc")

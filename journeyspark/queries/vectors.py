@@ -523,7 +523,7 @@ b AS (SELECT y, p.f, len(list_filter(c, lambda q: q < x))::INT AS bin FROM parts
 hist AS (SELECT k, f, bin, sum(p - (y = k)::INT) AS g, sum(p * (1 - p)) AS h FROM b, share GROUP BY ALL),
 s AS (SELECT *, sum(g) OVER r AS gl, sum(h) OVER r AS hl, sum(g) OVER t AS gt, sum(h) OVER t AS ht FROM hist WINDOW r AS (PARTITION BY k, f ORDER BY bin ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY k, f)),
 w AS (SELECT k, f, bin, gl, hl, gt - gl AS gr, ht - hl AS hr, gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) AS gain FROM s WHERE hl >= 0.001 AND ht - hl >= 0.001)
-SELECT k AS label, f, bin, round(gain, 6) AS gain, round(-gl / (hl + 1), 6) AS left_value, round(-gr / (hr + 1), 6) AS right_value FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY gain DESC, f, bin) = 1""")
+SELECT k AS label, f, bin, round(gain, 6) AS gain, round(-gl / (hl + 1), 6) AS left_value, round(-gr / (hr + 1), 6) AS right_value FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(gain, 9) DESC, f, bin) = 1""")
 def boost_round(s, d):
     """The first split of each class's first tree: quantile bins, gradients and curvatures of the softmax loss, Newton values of both sides."""
     rows = vecs(s, d).select(F.col("y").alias("label"), "v")
