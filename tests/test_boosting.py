@@ -74,19 +74,19 @@ def test_about_as_good_as_a_forest(spark):
 
 
 def test_many_rounds_have_a_short_plan(spark, monkeypatch):
-    """Two hundred rounds; the last scan's plan is as long as the first's."""
+    """Sixty rounds, six of them with scores written anew; the last scan's plan is as long as the first's."""
     x, y = rings(40)
     rows = frame(spark, x[:, :2], y).select(F.col("y").cast("int").alias("label"), "v").coalesce(1)
     seen, real = [], boosting.best_splits
 
     def watched(sums, *args):
-        seen.append(len(sums._jdf.queryExecution().logical().toString()) if len(seen) % 50 == 0 else 0)
+        seen.append(len(sums._jdf.queryExecution().logical().toString()) if len(seen) % 10 == 0 else 0)
         return real(sums, *args)
 
     monkeypatch.setattr(boosting, "best_splits", watched)
-    got = boosting.fit_trees(rows, 3, rounds=200, depth=1, bins=4)
+    got = boosting.fit_trees(rows, 3, rounds=60, depth=1, bins=4)
     sizes = [n for n in seen if n]
-    assert len(got.leaves) == 200 and len(sizes) == 4 and max(sizes) < min(sizes) + 200
+    assert len(got.leaves) == 60 and len(sizes) == 6 and max(sizes) < min(sizes) + 200
     assert (got.probabilities(x[:, :2]).argmax(1) == y).mean() > 0.6
 
 
