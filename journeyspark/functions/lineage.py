@@ -34,6 +34,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_apart(df: DataFrame, name: str, by: str) -> str:
+    """Write df to the shared folder, a folder `by=value` for each value of a column; where it is."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.repartition(by).write.partitionBy(by).parquet(path)
+    return path
+
+
 def release(spark: SparkSession) -> None:
     """Delete this application's scratch tables, once no result that reads them is needed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/{spark.sparkContext.applicationId}")
