@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,6 +85,14 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
+def sliced(batches, rows: int = 256):
+    """Arrow batches in parts, so that what a worker makes of them at a time is small; a worker that has seen all gives unused memory back."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def shipped(spark: SparkSession, model):
     """A broadcast of a fitted model, whose class workers need not be able to import; call the result in a task."""
     held = spark.sparkContext.broadcast(cloudpickle.dumps(model))

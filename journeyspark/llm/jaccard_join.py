@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, mix64, shipped, table, written
+from .common import bounded_sample, mix64, shipped, sliced, table, written
 
 LEAF, FANOUT = 32, 16
 
@@ -248,7 +248,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
 
     def sketch(batches):
         last = hot()
-        for b in batches:
+        for b in sliced(batches):
             n, prints, firsts, points = [], [], [], []
             for t in b["t"].to_pylist():
                 s = shingles(t, k)
@@ -304,10 +304,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     close = hopeful(near, own.select("node", F.col("node").alias("c")).distinct())
 
     def full(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([shingles(t, k) for t in part["t"].to_pylist()], pa.list_(pa.int64()))], names=["node", "set"])
+        for part in sliced(batches):
+            yield pa.RecordBatch.from_arrays([part["id"], pa.array([shingles(t, k) for t in part["t"].to_pylist()], pa.list_(pa.int64()))], names=["node", "set"])
 
     asked = written(close.select(F.col("node").alias("id")).distinct(), "asked")
     sets = base.join(asked, "id", "left_semi").mapInArrow(full, f"node {kind}, set array<bigint>").where(F.size("set") > 0)

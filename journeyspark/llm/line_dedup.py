@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ranked, renamed, table, written
+from .common import WORD, ranked, renamed, sliced, table, written
 
 
 def patience_blocks(a: list, b: list) -> list[tuple[int, int, int]]:
@@ -137,7 +137,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 4, text: str =
     mine = held.join(shared, "h").groupBy("id", "th").agg(F.collect_list("h").alias("shared"))
 
     def framed(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for x, n, own in zip(batch["hashes"].to_pylist(), batch["sizes"].to_pylist(), batch["shared"].to_pylist(), strict=True):
                 x, on = np.array(x, np.int64), set(own)
@@ -162,7 +162,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 4, text: str =
     late = single.select(F.col("id").alias("late"), "th", F.col("hashes").alias("b"), "sizes")
 
     def aligned(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for x, y, n in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["sizes"].to_pylist(), strict=True):
                 gone = np.zeros(len(y), bool)
@@ -208,7 +208,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, rare: int = 4, text: str =
 
 def _flags(batches):
     """From the numbers of the lines that go, a flag for each line up to the last of them."""
-    for batch in batches:
+    for batch in sliced(batches):
         out = []
         for at in batch["at"].to_pylist():
             gone = np.zeros(max(at) + 1, bool)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, table
+from .common import shipped, sliced, table
 
 MARK = "▁"
 _NONE = (1, 0.0, -1)
@@ -143,13 +143,11 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text") -> Da
 
     def encoded(batches):
         m = piece_model(held())
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                texts = part.column(at).to_pylist()
-                ids = [m.encode(t) for t in texts]
-                same = [m.decode(i) == (t or "") for t, i in zip(texts, ids, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(same)], names=names)
+        for part in sliced(batches):
+            texts = part.column(at).to_pylist()
+            ids = [m.encode(t) for t in texts]
+            same = [m.decode(i) == (t or "") for t, i in zip(texts, ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(same)], names=names)
 
     return src.mapInArrow(encoded, schema)
 

@@ -88,3 +88,17 @@ def test_ties_and_hot_vectors(spark):
     for q in range(0, 400, 20):
         want = sorted(((-sum(a * b for a, b in zip(data[q], data[i])), i) for i in data if i != q))[:5]
         assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
+def test_workers_take_batches_in_parts(spark):
+    """A worker makes lists of few rows at a time, however many a batch has, and every row comes out."""
+    import pyarrow as pa
+
+    from journeyspark.llm.common import sliced
+    from journeyspark.llm.quality_rules import LineCrf, quality_rules
+
+    b = pa.RecordBatch.from_pydict({"x": list(range(1000))})
+    parts = list(sliced([b, b.slice(0, 0), b.slice(5, 3)]))
+    assert max(p.num_rows for p in parts) <= 256 and [x for p in parts for x in p["x"].to_pylist()] == [*range(1000), 5, 6, 7]
+    docs = spark.range(700).selectExpr("id as doc_id", "concat('words of text ', id) as text").coalesce(1)
+    assert sorted(r.doc_id for r in quality_rules(docs, LineCrf()).collect()) == list(range(700))
