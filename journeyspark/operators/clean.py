@@ -37,13 +37,16 @@ def dedupe_first(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def missing_share(columns) -> Column:
-    return sum(F.col(c).isNull().cast("int") for c in columns) / F.lit(len(columns))
+    return F.array_size(F.filter(F.array(*[F.col(c).isNull() for c in columns]), lambda gap: gap)) / F.lit(len(columns))
 
 
 def sparsity_filter(df: DataFrame, columns, most: float = 0.5) -> DataFrame:
-    """Without rows of which more than `most` of the columns are missing; exactly that share stays, all missing never does."""
-    share = missing_share(columns)
-    return df.where((share <= most) & (share < 1))
+    """Without rows of which more than `most` of the columns are missing; exactly that share stays, all missing never does.
+
+    Spark puts what makes the columns into the condition, once for each time that it names the share, so it does so once.
+    """
+    few = max(i for i in range(-1, len(columns)) if i < 0 or i / len(columns) <= most)
+    return df.where(missing_share(columns) <= few / len(columns))
 
 
 def positive_duration(df: DataFrame, column: str = "duration") -> DataFrame:

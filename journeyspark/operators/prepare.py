@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from journeyspark.functions.lineage import written
 from journeyspark.functions.quantiles import column_quantiles
 
 from .neighbors import meetings, rows_of
@@ -35,7 +36,7 @@ def impute(df: DataFrame, fitted: DataFrame, columns, k: int = 5, key: str = "us
     p, names = len(columns), F.array(*[F.lit(c) for c in columns])
     means = fitted.agg(*[(F.sum(F.col("v")[i] * F.col("times")) / F.sum(F.when(F.col("v")[i].isNotNull(), F.col("times")))).alias(f"_mean_{c}") for i, c in enumerate(columns)])
     gaps = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
-    asks = df.where(gaps).groupBy(*columns).agg(F.min(F.col(key).cast("long")).alias("_rid"))
+    asks = written(df.where(gaps).groupBy(*columns).agg(F.min(F.col(key).cast("long")).alias("_rid")), "asks")
     filled = lambda v: F.transform(v, lambda x: F.coalesce(x, F.lit(float("nan"))))
     left = rows_of(asks.select("_rid", filled(F.array(*[F.col(c).cast("double") for c in columns])).alias("v")), "_rid", "v")
     right = rows_of(fitted.select("kind", "times", filled(F.col("v")).alias("v")), "kind", "v", weight="times")
@@ -55,8 +56,9 @@ def impute(df: DataFrame, fitted: DataFrame, columns, k: int = 5, key: str = "us
 
 
 def knn_impute(df: DataFrame, columns, k: int = 5, key: str = "user_id", digits: int = 6) -> DataFrame:
-    """`impute` of a table from itself."""
-    return impute(df, fit_imputer(df, columns, key), columns, k, key, digits)
+    """`impute` of a table from itself, which is written first, since both read it several times."""
+    df = written(df, "with-gaps")
+    return impute(df, written(fit_imputer(df, columns, key), "imputer"), columns, k, key, digits)
 
 
 def _donors(k: int, p: int):
@@ -156,6 +158,7 @@ def feature_matrix(train: DataFrame, df: DataFrame, groups: dict[str, list[str]]
     """
     columns = [c for g in groups.values() for c in g]
     check_groups(columns, groups)
+    train, df = _read_often(train, df)
     median = {c: m for (c, _), m in _quantiles(train, columns, [0.5]).items()}
     filled, base = df.fillna(median), train.fillna(median)
     out = filled.withColumns({f"raw_{c}": F.col(c) for c in columns})
@@ -166,6 +169,12 @@ def feature_matrix(train: DataFrame, df: DataFrame, groups: dict[str, list[str]]
     return out.withColumn("features", F.array(*[F.col(n).cast("double") for n in names])).drop(*[f"raw_{c}" for c in columns]), names
 
 
+def _read_often(train: DataFrame, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables, train written, since each fit scans it; df with it if it is the same one."""
+    table = written(train, "fit-rows")
+    return table, table if df is train else df
+
+
 def correlation_filter(train: DataFrame, columns, most: float = 0.9) -> list[str]:
     """Columns kept when, in order, each that correlates above `most` with one kept before is dropped; one pass over train."""
     pairs = [(a, b) for i, b in enumerate(columns) for a in columns[:i]]
@@ -187,20 +196,21 @@ def correlations(df: DataFrame, columns) -> DataFrame:
 def static_encoder(train: DataFrame, df: DataFrame, numeric=(), ordinal=(), nominal=(), skewed=(), aggregates=()) -> tuple[DataFrame, list[str]]:
     """df with `static` (array of double) and the names of its entries, in this order: standardised numeric, min-max ordinal,
     one-hot nominal, robust skewed columns and standardised aggregates (nulls 0). All is fitted on train."""
-    names: list[str] = []
+    train, df = _read_often(train, df)
+    known = {c: categories(train, c) for c in nominal}
     groups = (("standard", numeric), ("minmax", ordinal), ("robust", skewed))
     for kind, own in groups:
         if own:
             fitted = fit_scaler(train, own, kind)
             df = scale(df.withColumns({f"_{c}": F.col(c) for c in own}), fitted.select(*[F.col(f"{p}_{c}").alias(f"{p}__{c}") for c in own for p in ("shift", "scale")]), [f"_{c}" for c in own])
     for c in nominal:
-        df = one_hot(df, c, categories(train, c))
+        df = one_hot(df, c, known[c])
     if aggregates:
         zeroed = lambda d: d.withColumns({f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in aggregates})
         own = [f"_{c}" for c in aggregates]
         df = scale(zeroed(df), fit_scaler(zeroed(train), own, "standard"), own)
-    hot = [f"{c}_{int(v)}" for c in nominal for v in categories(train, c)]
-    names = [*numeric, *ordinal, *hot, *skewed, *aggregates]
+    hot = [f"{c}_{int(v)}" for c in nominal for v in known[c]]
+    names: list[str] = [*numeric, *ordinal, *hot, *skewed, *aggregates]
     columns = [n if n in hot else f"_{n}" for n in names]
     out = df.withColumn("static", F.array(*[F.col(c).cast("double") for c in columns]))
     return out.drop(*[f"_{c}" for c in (*numeric, *ordinal, *skewed, *aggregates)], *hot), names

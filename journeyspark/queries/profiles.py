@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from journeyspark.contracts import TOUCH_CODES
 from journeyspark.functions import metrics
 from journeyspark.functions.draws import uniform_sql
+from journeyspark.functions.lineage import written
 from journeyspark.operators import clean, journey, prepare, profile, splits
 from journeyspark.plans import models, training
 from journeyspark.sources import dimensions, files
@@ -29,6 +30,11 @@ def kept(s, d):
     return clean.sparsity_filter(profiles(s, d), COLS)
 
 
+def kept_table(s, d):
+    """`kept`, written, for what reads it several times."""
+    return written(kept(s, d), "kept")
+
+
 def _round(df, cols, n=6):
     return df.select(*[F.round(c, n).alias(c) if c in cols else c for c in df.columns])
 
@@ -176,7 +182,7 @@ _MED = ", ".join(f"coalesce({c}, (SELECT median({c}) FROM kept)) AS {c}" for c i
 
 @q(f"WITH {KEPT} SELECT user_id, {_MED} FROM kept")
 def median_impute(s, d):
-    return prepare.median_impute(kept(s, d), COLS)
+    return prepare.median_impute(kept_table(s, d), COLS)
 
 
 def _knn_sql(receivers: str, donors: str) -> str:
@@ -203,8 +209,8 @@ _SPLIT = "train AS (SELECT * FROM kept WHERE user_id % 5 <> 0), fresh AS (SELECT
 @q(f"WITH {KEPT}, {_SPLIT}, {_knn_sql('fresh', 'train')} SELECT * FROM filled")
 def impute_new_rows(s, d):
     """The imputer is fitted on some customers and fills the gaps of others."""
-    x = kept(s, d)
-    return prepare.impute(x.where("user_id % 5 = 0"), prepare.fit_imputer(x.where("user_id % 5 <> 0"), COLS), COLS)
+    x = kept_table(s, d)
+    return prepare.impute(x.where("user_id % 5 = 0"), written(prepare.fit_imputer(x.where("user_id % 5 <> 0"), COLS), "imputer"), COLS)
 
 
 _PART = f"part AS (SELECT k.*, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {uniform_sql(1, 'c_custkey', 'holdout')}, c_custkey) AS rn, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM kept k JOIN customer ON c_custkey = user_id), train AS (SELECT * EXCLUDE (rn, n) FROM part WHERE rn > greatest(round(n * 0.2), 1))"
@@ -215,7 +221,7 @@ _FITS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, round(av
 def training_tables(s, d):
     """What a run fits before it selects a model: held-out customers take no part in filling or scaling."""
     y = table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("y"))
-    mine = splits.holdout(kept(s, d).join(y, "user_id"), "y", "user_id").where("not is_test").drop("is_test")
+    mine = splits.holdout(written(kept(s, d).join(y, "user_id"), "profiles"), "y", "user_id").where("not is_test").drop("is_test")
     run, filled, _ = training.fit_tables(mine, COLS, segment=False)
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.round(f"shift_{c}", 5).alias("shift"), F.round(f"scale_{c}", 5).alias("scale")) for c in COLS])
     return run.scaler.crossJoin(filled.agg(F.count("*").alias("n"))).select("n", F.explode(cells).alias("c")).select("c.column", "n", "c.shift", "c.scale")  # one row each
@@ -243,13 +249,13 @@ near AS (SELECT a.user_id, c.label, list_distance(a.v, c.v) AS d FROM asked a CR
 SELECT user_id, CASE WHEN d > 1 THEN -1 ELSE label END AS segment, d > 1 AS is_noise, {', '.join(f'filled.{c}' for c in COLS)} FROM near JOIN filled USING (user_id)""")
 def predict_path(s, d):
     """New customers through a fitted run: imputer, scaler and gate come from other customers."""
-    x = kept(s, d)
+    x = kept_table(s, d)
     old = x.where("user_id % 5 <> 0")
     whole = old.dropna(subset=COLS)
     scaler = prepare.fit_scaler(whole, COLS, "standard")
     cores = prepare.scale(whole.where("user_id % 2 = 1").withColumn("label", F.col("region").cast("int")), scaler, COLS)
     cores = cores.select(F.col("user_id").alias("id"), F.array(*COLS).alias("v"), "label", F.col("label").alias("dbscan_label"))
-    run = training.Run(COLS, prepare.fit_imputer(old, COLS), scaler, None, cores, 1.0)
+    run = training.Run(COLS, written(prepare.fit_imputer(old, COLS), "imputer"), scaler, None, cores, 1.0)
     return training.assign_segments(run, x.where("user_id % 5 = 0")).select("user_id", "segment", "is_noise", *COLS)
 
 
@@ -354,6 +360,6 @@ SELECT user_id, round((age - (SELECT avg(age) FROM m)) / (SELECT stddev_pop(age)
  + (stage - (SELECT quantile_cont(stage, 0.5) FROM m)) / (SELECT quantile_cont(stage, 0.75) - quantile_cont(stage, 0.25) FROM m) + (household - (SELECT avg(household) FROM m)) / (SELECT stddev_pop(household) FROM m), 5) AS total,
  (4 + (SELECT count(DISTINCT region) FROM m))::INT AS width FROM m""")
 def static_features(s, d):
-    x = prepare.median_impute(kept(s, d), COLS)
+    x = prepare.median_impute(kept_table(s, d), COLS)
     out, _ = prepare.static_encoder(x, x, ["age"], ["income"], ["region"], ["stage"], ["household"])
     return out.select("user_id", F.round(F.aggregate("static", F.lit(0.0), lambda a, b: a + b), 5).alias("total"), F.size("static").alias("width"))
