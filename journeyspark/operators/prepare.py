@@ -61,36 +61,46 @@ def knn_impute(df: DataFrame, columns, k: int = 5, key: str = "user_id", digits:
     return impute(df, written(fit_imputer(df, columns, key), "imputer"), columns, k, key, digits)
 
 
+#: Cells of a matrix of distances that are computed at a time.
+CELLS = 1 << 18
+
+
 def _donors(k: int, p: int):
-    """For every missing cell of the left rows the k nearest right rows that have the column: products of values and of marks give all distances at once, differences decide."""
+    """For every missing cell of the left rows the k nearest right rows that have the column.
+
+    Rows with the same gaps go together: one product of their values with the donors' gives all distances. The k-th lowest of the
+    lowest distances in a few stretches of donors is as far as the k nearest can be; below it, exact differences decide.
+    """
 
     def kernel(xi, xv, xy, xw, yi, yv, yy, yw):
         hy = ~np.isnan(yv)
-        y, norms = np.where(hy, yv, 0.0), np.where(hy, yv, 0.0) ** 2
-        step = max(1, (1 << 21) // len(yi))
-        for lo in range(0, len(xi), step):
-            part = xv[lo : lo + step]
-            hx = ~np.isnan(part)
-            x = np.where(hx, part, 0.0)
-            present = hx.astype(float) @ hy.T
-            with np.errstate(divide="ignore", invalid="ignore"):
-                rough = np.where(present > 0, np.maximum(0.0, (x**2) @ hy.T + hx @ norms.T - 2 * x @ y.T) * p / present, np.inf)
-            slack = 1e-9 * (1.0 + np.where(np.isfinite(rough), rough, 0.0).max(1))
-            for c in range(part.shape[1]):
-                rows, cols = np.flatnonzero(~hx[:, c]), np.flatnonzero(hy[:, c])
-                if not len(rows) or not len(cols):
+        y = np.where(hy, yv, 0.0)
+        patterns, which = np.unique(~np.isnan(xv), axis=0, return_inverse=True)
+        for g, own in enumerate(patterns):
+            mine, present = np.flatnonzero(which.ravel() == g), hy[:, own].sum(1)
+            for c in np.flatnonzero(~own):
+                some = np.flatnonzero((present > 0) & hy[:, c])
+                if not len(some):
                     continue
-                d = rough[np.ix_(rows, cols)]
-                at = min(k, len(cols)) - 1
-                i, j = np.nonzero((d <= (np.partition(d, at, axis=1)[:, at] + slack[rows])[:, None]) & np.isfinite(d))
-                a, b = rows[i], cols[j]
-                both = hx[a] & hy[b]
-                exact = np.sqrt(float(p) / both.sum(1) * (np.where(both, x[a] - y[b], 0.0) ** 2).sum(1))
-                by = np.lexsort((yi[b], exact, a))
-                a, b, exact = a[by], b[by], exact[by]
-                on = np.arange(len(a)) - np.searchsorted(a, a) < k
-                a, b, exact = a[on], b[on], exact[on]
-                yield pa.RecordBatch.from_arrays([pa.array(xi[lo + a]), pa.array(np.full(len(a), c, np.int32)), pa.array(exact), pa.array(yi[b]), pa.array(yw[b]), pa.array(yv[b, c])], names=["_rid", "c", "_d", "_kind", "_times", "value"])
+                times, squares = p / present[some], (y[some][:, own] ** 2).sum(1)
+                theirs = (np.concatenate([hy[some][:, own], -2 * y[some][:, own], squares[:, None]], 1) * times[:, None]).T
+                step, blocks = max(1, CELLS // len(some)), min(len(some), 16 * k)
+                wide = len(some) // blocks
+                for lo in range(0, len(mine), step):
+                    x = xv[mine[lo : lo + step]][:, own]
+                    rough = np.concatenate([x**2, x, np.ones((len(x), 1))], 1) @ theirs
+                    slack = 64 * p * np.finfo(float).eps * times.max() * ((x**2).sum(1) + squares.max()) + 1e-300
+                    low = rough[:, : blocks * wide].reshape(len(x), blocks, wide).min(2)
+                    most = np.partition(low, k - 1, axis=1)[:, k - 1] if blocks >= k else np.full(len(x), np.inf)
+                    i, j = np.divmod(np.flatnonzero((rough <= (most + 2 * slack)[:, None]).ravel()), len(some))
+                    a, b = mine[lo + i], some[j]
+                    both = own & hy[b]
+                    exact = np.sqrt(float(p) / both.sum(1) * (np.where(both, xv[a] - y[b], 0.0) ** 2).sum(1))
+                    by = np.lexsort((yi[b], exact, a))
+                    a, b, exact = a[by], b[by], exact[by]
+                    on = np.arange(len(a)) - np.searchsorted(a, a) < k
+                    a, b, exact = a[on], b[on], exact[on]
+                    yield pa.RecordBatch.from_arrays([pa.array(xi[a]), pa.array(np.full(len(a), c, np.int32)), pa.array(exact), pa.array(yi[b]), pa.array(yw[b]), pa.array(yv[b, c])], names=["_rid", "c", "_d", "_kind", "_times", "value"])
 
     return kernel
 

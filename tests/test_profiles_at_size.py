@@ -1,6 +1,8 @@
-"""Steps over profiles: each condition once, each table read once."""
+"""Steps over profiles: each condition once, each table read once, and digits that products lose."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from journeyspark.operators import clean, prepare
 
@@ -36,3 +38,15 @@ def test_a_table_is_made_once_for_all_fits(spark, what):
     else:
         out = prepare.knn_impute(df, ["a", "b", "c", "d"])
     assert len(out.collect()) == 60 and seen.value == 60
+
+
+def test_donors_whose_products_lose_digits(spark):
+    """Values far from zero that are near each other: products of them can't tell which is the nearest."""
+    r = np.random.default_rng(1)
+    near = 1e8 + r.uniform(0, 10, 400)
+    rows = [(i, float(x), None if i % 4 == 0 else float(i)) for i, x in enumerate(near)]
+    got = {x.user_id: x.b for x in prepare.knn_impute(spark.createDataFrame(rows, "user_id bigint, a double, b double"), ["a", "b"], k=3).where(F.col("user_id") % 4 == 0).collect()}
+    donors = [i for i in range(400) if i % 4]
+    for i in range(0, 400, 4):
+        best = sorted(donors, key=lambda j: (abs(near[i] - near[j]), j))[:3]
+        assert got[i] == pytest.approx(np.mean(best), abs=1e-6)
