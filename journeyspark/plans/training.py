@@ -125,7 +125,7 @@ def load(spark: SparkSession, out: str) -> Run:
 
 def assign_segments(run: Run, rows: DataFrame) -> DataFrame:
     """Rows (user_id, columns with gaps, …) with gaps filled by the run's imputer, and segment and is_noise by its cores."""
-    filled = prepare.impute(rows, run.imputer, run.columns, run.k)
+    filled = written(prepare.impute(rows, run.imputer, run.columns, run.k), "filled")
     if run.cores is None:
         return filled.withColumns({"segment": F.lit(0), "is_noise": F.lit(False)})
     scaled = prepare.scale(filled, run.scaler, run.columns).select(F.col("user_id").alias("id"), F.array(*run.columns).alias("v"))

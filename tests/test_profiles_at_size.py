@@ -1,10 +1,10 @@
-"""Steps over profiles: each condition once, each table read once, and digits that products lose."""
+"""Steps over profiles: each condition once, each table read once, work by different rows, and digits that products lose."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from journeyspark.operators import clean, prepare
+from journeyspark.operators import clean, cluster, prepare
 
 
 def test_the_sparsity_condition_names_each_column_once(spark):
@@ -40,6 +40,21 @@ def test_a_table_is_made_once_for_all_fits(spark, what):
     assert len(out.collect()) == 60 and seen.value == 60
 
 
+def test_equal_rows_are_placed_once(spark, monkeypatch):
+    sizes, real = [], cluster.knn_join
+
+    def watched(left, right, *rest, **more):
+        sizes.append((left.count(), right.count()))
+        return real(left, right, *rest, **more)
+
+    monkeypatch.setattr(cluster, "knn_join", watched)
+    new = spark.createDataFrame([(i, [float(i % 3), 0.0]) for i in range(90)], "id bigint, v array<double>")
+    cores = spark.createDataFrame([(i, [float(i % 2) * 1.6, 0.0], i, i) for i in range(40, 0, -1)], "id bigint, v array<double>, label int, dbscan_label int")
+    got = {r.id: (r.label, r.is_noise, round(r.distance, 6)) for r in cluster.assign(new, cores, 0.5).collect()}
+    want = [(2, False, 0.0), (-1, True, 0.6), (1, False, 0.4)]
+    assert got == {i: want[i % 3] for i in range(90)} and sizes == [(3, 2)]
+
+
 def test_donors_whose_products_lose_digits(spark):
     """Values far from zero that are near each other: products of them can't tell which is the nearest."""
     r = np.random.default_rng(1)
