@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from journeyspark.contracts import require
+from journeyspark.functions.lineage import written
 
 SESSION_GAP_S = 1800
 
@@ -133,6 +134,8 @@ def assemble(clicks: DataFrame, profiles: DataFrame, check: bool = False) -> Dat
     require(clicks, "user_id", "ts", "touch", "duration", "ord", what="the click log")
     require(profiles, "user_id", what="the profiles")
     runs_ = compress(clicks.join(profiles.select("user_id"), "user_id", "left_semi"))
+    if check:
+        runs_ = written(runs_, "runs")  # read by both constructions and the result
     window = journey_window(runs_)
     if check:
         verify_window(window, runs_)

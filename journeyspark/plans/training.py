@@ -40,7 +40,7 @@ def clean_profiles(profiles: DataFrame, columns: list[str], order: str = "ord")
 
 def prepare_rows(clicks: DataFrame, profiles: DataFrame, columns: list[str], order: str = "ord", check: bool = True) -> DataFrame:
     """Users with a window of three touches and a usable profile: (user_id, step1..3, columns), gaps as they are. Nothing is fitted here."""
-    return journey.assemble(clicks, clean_profiles(profiles, columns, order), check)
+    return journey.assemble(clicks, written(clean_profiles(profiles, columns, order), "profiles"), check)
 
 
 def _features(rows: DataFrame, columns: list[str], segment: bool) -> DataFrame:

@@ -232,7 +232,7 @@ def new_user_channels(s, d):
     """A whole run on the orders of customers that are not divisible by five, and the priorities it ranks for the others, gaps in their profiles and all."""
     o = table(s, d, "orders")
     log = o.select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.substring("o_orderpriority", 1, 1).cast("int").alias("touch"), F.lit(1.0).alias("duration"), F.col("o_orderkey").alias("ord"))
-    rows = training.prepare_rows(log, kept(s, d).withColumn("ord", F.col("user_id")), list(COLS))
+    rows = written(training.prepare_rows(log, kept_table(s, d).withColumn("ord", F.col("user_id")), list(COLS)), "journeys")
     fresh = F.col("user_id") % 5 == 0
     run = training.train(rows.where(~fresh), list(COLS), [models.ROSTER["naive_bayes"]], segment=False)["run"]
     return training.score(run, rows.where(fresh)).select("user_id", "is_noise", F.transform("top", lambda t: t["code"]).alias("codes"), F.round("confidence", 4).alias("confidence"), "n_tail")

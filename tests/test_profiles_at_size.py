@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from journeyspark.operators import clean, cluster, prepare
+from journeyspark.plans import training
 
 
 def test_the_sparsity_condition_names_each_column_once(spark):
@@ -40,6 +41,14 @@ def test_a_table_is_made_once_for_all_fits(spark, what):
     assert len(out.collect()) == 60 and seen.value == 60
 
 
+def test_journeys_are_made_once_for_window_and_check(spark):
+    log = spark.range(300).select((F.col("id") % 20).alias("user_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.floor(F.col("id") / 20) % 4 + 1).cast("int").alias("touch"), F.lit(1.0).alias("duration"), F.col("id").alias("ord"))
+    people = spark.range(25).select(F.col("id").alias("user_id"), F.col("id").alias("ord"), (F.col("id") % 3).cast("string").alias("a"), F.lit("1").alias("b"))
+    (log, clicks), (people, profiles) = counted(spark, log), counted(spark, people)
+    rows = training.prepare_rows(log, people, ["a", "b"])
+    assert rows.count() == 20 and clicks.value == 300 and profiles.value == 25
+
+
 def test_equal_rows_are_placed_once(spark, monkeypatch):
     sizes, real = [], cluster.knn_join
 
