@@ -266,10 +266,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     kind = base.schema["id"].dataType.simpleString()
     rows = written(base.mapInArrow(sketch, f"id {kind}, n bigint, fp binary, point binary, firsts array<bigint>"), "sketches")
     nodes = written(rows.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    own = rows.where("n > 0").join(nodes, "fp").where(F.col("id") == F.col("node"))
-    own = written(own.select("node", "n", "point", "firsts"), "own")
+    chosen = rows.where("n > 0").join(nodes, "fp").where(F.col("id") == F.col("node"))
+    own = written(chosen.select("node", "n", "point"), "own")
 
-    keys = own.select("node", F.explode("firsts").alias("s"))
+    # Shingles are the bulk: they aren't written again, and one shuffle of them serves the grouping and the join.
+    keys = chosen.select("node", F.explode("firsts").alias("s")).repartition("s")
     shared = keys.groupBy("s").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("s", "hub")
     members = written(keys.join(shared, "s").select("hub", "node").distinct(), "members")
 

@@ -102,3 +102,14 @@ def test_workers_take_batches_in_parts(spark):
     assert max(p.num_rows for p in parts) <= 256 and [x for p in parts for x in p["x"].to_pylist()] == [*range(1000), 5, 6, 7]
     docs = spark.range(700).selectExpr("id as doc_id", "concat('words of text ', id) as text").coalesce(1)
     assert sorted(r.doc_id for r in quality_rules(docs, LineCrf()).collect()) == list(range(700))
+
+
+def test_jaccard_writes_the_first_shingles_once(spark, monkeypatch):
+    """They are the bulk of what a join leaves on disk."""
+    seen, real = [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: (seen.append(df.columns), real(df, name))[1])
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:58]), " ".join(words), " ".join(reversed(words)), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_classes(docs, k=3, percent=90).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4} and sum("firsts" in c for c in seen) == 1
