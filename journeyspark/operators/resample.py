@@ -79,11 +79,12 @@ def adasyn_budget(df: DataFrame, k: int = 5, y: str = "y") -> DataFrame:
     Difficulty: the share of the largest class (the first of equal ones) among the k nearest rows, itself included.
     A class's need is split by difficulty and rounded down; without difficulty it is split evenly.
     """
-    need = class_needs(df, y)
+    need = written(class_needs(df, y), "class-needs")
     top = need.orderBy(F.desc("n"), y).limit(1).select(F.col(y).alias("top"))
-    near = knn_join(df, df, k, with_self=True).join(df.select(F.col("id").alias("neighbour"), F.col(y).alias("ny")), "neighbour").crossJoin(F.broadcast(top))  # one row
+    short = written(df.select("id", y, "v").join(need.where("need > 0").select(y), y, "left_semi"), "short")  # no others get new points
+    near = knn_join(short, df, k, with_self=True).join(df.select(F.col("id").alias("neighbour"), F.col(y).alias("ny")), "neighbour").crossJoin(F.broadcast(top))  # one row
     hard = near.groupBy("id").agg(F.avg((F.col("ny") == F.col("top")).cast("double")).alias("difficulty"))
-    rows = df.select("id", y).join(hard, "id").join(need.where("need > 0"), y)
+    rows = short.select("id", y).join(hard, "id").join(need.where("need > 0"), y)
     totals = rows.groupBy(y).agg(F.sum("difficulty").alias("total"), F.count("*").alias("rows"))
     share = F.when(F.col("total") > 0, F.col("difficulty") / F.col("total")).otherwise(1.0 / F.col("rows"))
     return rows.join(totals, y).select("id", y, "difficulty", F.floor(share * F.col("need") + 1e-9).cast("long").alias("budget"))
