@@ -96,7 +96,9 @@ def adasyn(df: DataFrame, k: int = 5, seed: int = 1, y: str = "y") -> DataFrame:
     budget = written(adasyn_budget(rows, k, y).where("budget > 0"), "budget")
     draws = budget.select(y, F.col("id").alias("base"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("budget") - 1)).alias("i"))
     short = rows.join(budget.select(y).distinct(), y, "left_semi")
-    return rows.unionByName(_synthesize(_counted(draws, y, "base", "i"), rows, knn_join(short, short, k, within=y), seed, y).select("id", y, "v"))
+    bases = written(rows.join(budget.select("id"), "id", "left_semi"), "bases")
+    near = written(knn_join(bases, short, k, within=y), "near-bases")
+    return rows.unionByName(_synthesize(_counted(draws, y, "base", "i"), rows, near, seed, y).select("id", y, "v"))
 
 
 def smote_tomek(df: DataFrame, k: int = 5, seed: int = 1, y: str = "y", warn_above: float = 0.5) -> tuple[DataFrame, float, bool]:

@@ -35,3 +35,11 @@ def plan(df, capsys):
 def test_budget_asks_for_no_neighbours_of_the_largest_class(classes, asked):
     got = {r.id for r in resample.adasyn_budget(classes).collect()}
     assert asked == [list(range(60, 120))] and got == set(range(60, 120))
+
+
+def test_adasyn_asks_for_neighbours_of_its_bases_once(classes, asked, capsys):
+    out = resample.adasyn(classes)
+    bases = {r.id for r in resample.adasyn_budget(classes).where("budget > 0").collect()}
+    assert asked[1] == sorted(bases) and 0 < len(bases) < 60
+    assert "MapInArrow" not in plan(out, capsys)  # neighbours have two readers
+    assert out.where("id < 0").count() == resample.adasyn_budget(classes).groupBy().sum("budget").first()[0]
