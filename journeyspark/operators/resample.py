@@ -46,8 +46,9 @@ def smote(df: DataFrame, k: int = 5, seed: int = 1, y: str = "y") -> DataFrame:
     draws = _counted(slots, y, "s").withColumn("_rn", (F.floor(uniform(seed, F.col("key"), "base") * F.col("n")) + 1).cast("long"))
     short = rows.join(need.where("need > 0").select(y), y, "left_semi")
     placed = place_in_class(short.select(y, F.col("id").alias("base")), y, uniform(seed, F.col("base"), "turn"), "base")
-    draws = draws.join(placed.select(y, "base", "_rn"), [y, "_rn"]).select(y, "base", "key", "at")
-    near = knn_join(short, short, k, within=y)
+    draws = written(draws.join(placed.select(y, "base", "_rn"), [y, "_rn"]).select(y, "base", "key", "at"), "draws")
+    drawn = written(short.join(draws.select(F.col("base").alias("id")).distinct(), "id", "left_semi"), "drawn")
+    near = written(knn_join(drawn, short, k, within=y), "near-drawn")
     return rows.unionByName(_synthesize(draws, rows, near, seed, y).select("id", y, "v"))
 
 
@@ -57,8 +58,8 @@ def tomek_links(df: DataFrame, rule: str = "either", y: str = "y") -> DataFrame:
     rule "either": from one end's view or the other's; "mutual": the ends are each other's nearest of all rows.
     """
     rows = df.select("id", y, "v")
-    cross = knn_join(rows, rows, 1, other=y).select(F.col("id").alias("a"), F.col("neighbour").alias("b"), F.col("distance").alias("d"))
-    same = knn_join(rows, rows, 1, within=y).select("id", F.col("distance").alias("own"))
+    cross = written(knn_join(rows, rows, 1, other=y), "nearest-other").select(F.col("id").alias("a"), F.col("neighbour").alias("b"), F.col("distance").alias("d"))
+    same = written(knn_join(rows, rows, 1, within=y), "nearest-own").select("id", F.col("distance").alias("own"))
     both = cross.join(same.select(F.col("id").alias("a"), F.col("own").alias("oa")), "a", "left").join(same.select(F.col("id").alias("b"), F.col("own").alias("ob")), "b", "left")
     inf = F.lit(float("inf"))
     near_a, near_b = F.col("d") <= F.coalesce("oa", inf), F.col("d") <= F.coalesce("ob", inf)

@@ -43,3 +43,14 @@ def test_adasyn_asks_for_neighbours_of_its_bases_once(classes, asked, capsys):
     assert asked[1] == sorted(bases) and 0 < len(bases) < 60
     assert "MapInArrow" not in plan(out, capsys)  # neighbours have two readers
     assert out.where("id < 0").count() == resample.adasyn_budget(classes).groupBy().sum("budget").first()[0]
+
+
+def test_smote_asks_for_neighbours_of_drawn_bases_once(classes, asked, capsys):
+    out = resample.smote(classes)
+    assert len(asked) == 1 and 0 < len(asked[0]) <= 10  # five draws and at most five rows of the small class
+    assert "MapInArrow" not in plan(out, capsys)
+    assert {r.y: r["count"] for r in out.groupBy("y").count().collect()} == {0: 60, 1: 60, 2: 60}
+
+
+def test_links_are_found_once_for_both_ends(classes, capsys):
+    assert "MapInArrow" not in plan(resample.drop_tomek(classes), capsys)
